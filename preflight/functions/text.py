@@ -20,14 +20,27 @@ def int_text(c) -> Column:
     return F.format_number(_col(c).cast("long"), 0)
 
 
+_PCT_CACHE: dict = {}
+
+
 def rounded_pct(part, whole, scale: int) -> Column:
     """``ROUND(100.0 * part / NULLIF(whole, 0), scale)`` as DOUBLE.
 
     Computed exactly in integer arithmetic (round half up, counts are never
     negative) so that boundary cases do not depend on floating point:
     floor((2 * part * 100 * 10^scale + whole) / (2 * whole)) / 10^scale.
-    NULL when ``whole`` is 0 or either side is NULL.
+    NULL when ``whole`` is 0 or either side is NULL.  Expressions over
+    named columns are built once and reused.
     """
+    if isinstance(part, str) and isinstance(whole, str):
+        key = (part, whole, scale)
+        if key not in _PCT_CACHE:
+            _PCT_CACHE[key] = _rounded_pct(F.col(part), F.col(whole), scale)
+        return _PCT_CACHE[key]
+    return _rounded_pct(_col(part), _col(whole), scale)
+
+
+def _rounded_pct(part: Column, whole: Column, scale: int) -> Column:
     p = _col(part).cast("decimal(38,0)")
     w = _col(whole).cast("decimal(38,0)")
     factor = 2 * 100 * (10 ** scale)

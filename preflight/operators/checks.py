@@ -50,13 +50,11 @@ def table_profile(df: DataFrame, null_columns: list[str]) -> DataFrame:
 def null_rate_from_profile(profile: DataFrame, column: str, i: int) -> DataFrame:
     """``column_name, total_rows, null_count, null_pct`` for the i-th
     profiled column."""
-    n = F.col(f"null_count_{i}")
     return profile.select(
         F.lit(column).alias("column_name"),
         F.col("row_count").alias("total_rows"),
-        n.alias("null_count"),
-        rounded_pct(n, F.col("row_count"), 4).alias("null_pct"),
-    )
+        F.col(f"null_count_{i}").alias("null_count"),
+    ).withColumn("null_pct", rounded_pct("null_count", "total_rows", 4))
 
 
 def null_rate(df: DataFrame, column: str) -> DataFrame:
@@ -120,17 +118,17 @@ def value_distribution(df: DataFrame, column: str,
     reused), not an unpartitioned window: no single task sees all groups."""
     g = groups if groups is not None else value_groups(df, column)
     total = g.agg(F.sum("row_count")).scalar()
-    return g.select("value", "row_count",
-                    rounded_pct(F.col("row_count"), total, 2).alias("pct"))
+    return (g.withColumn("total_rows", total)
+             .select("value", "row_count", rounded_pct("row_count", "total_rows", 2).alias("pct")))
 
 
 def unexpected_values(df: DataFrame, column: str, accepted,
-                      groups: DataFrame | None = None) -> DataFrame:
+                      groups: DataFrame | None = None, dtype=None) -> DataFrame:
     """``unexpected_value, row_count`` — non-NULL values outside
     ``accepted``; accepted values are converted to the column type with
     ``try_cast`` (non-convertible ones match nothing)."""
     g = groups if groups is not None else value_groups(df, column)
-    dtype = df.schema[column].dataType
+    dtype = dtype if dtype is not None else df.schema[column].dataType
     allowed = typed_literals(accepted, dtype)
     v = F.col("value")
     return (g.filter(v.isNotNull() & ~F.coalesce(F.array_contains(allowed, v), F.lit(False)))
@@ -170,8 +168,7 @@ def fk_match_rate(child: DataFrame, parent: DataFrame, keys: list[str],
         F.lit(", ".join(keys)).alias("join_keys"),
         child_rows.alias("child_rows"),
         matched.alias("matched_rows"),
-        rounded_pct(matched, child_rows, 2).alias("match_pct"),
-    )
+    ).withColumn("match_pct", rounded_pct("matched_rows", "child_rows", 2))
 
 
 def fk_sample(child: DataFrame, parent: DataFrame, keys: list[str],

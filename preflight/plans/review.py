@@ -57,12 +57,26 @@ def _target(spec: CheckSpec) -> str:
     return spec.parent if spec.check == "fk_match_rate" else (spec.column or "")
 
 
+GRADED_SCHEMA = "ordinal int, status string, detail string"
+
+
 def _stamp(spec: CheckSpec, graded: DataFrame) -> DataFrame:
-    return graded.select(
-        F.lit(spec.ordinal).cast("int").alias("ordinal"), F.lit(spec.model).alias("model"),
-        F.lit(spec.category).alias("category"), F.lit(spec.check).alias("check"),
-        F.lit(spec.importance).alias("importance"), "status", "detail",
-        F.lit(_target(spec)).alias("target"))
+    """Only ``ordinal, status, detail`` travel with a check; the rest of its
+    description is attached once for the whole review (``results_frame``)."""
+    return graded.select(F.lit(spec.ordinal).alias("ordinal"), "status", "detail")
+
+
+def _graded(spec: CheckSpec, metrics: DataFrame, exprs: dict) -> DataFrame:
+    """Grade and stamp in one projection."""
+    return metrics.select(F.lit(spec.ordinal).alias("ordinal"),
+                          exprs["status"].alias("status"), exprs["detail"].alias("detail"))
+
+
+def spec_frame(spark: SparkSession, specs: list[CheckSpec]) -> DataFrame:
+    return spark.createDataFrame(
+        [(s.ordinal, s.model, s.category, s.check, s.importance, _target(s)) for s in specs],
+        "ordinal int, model string, category string, check string, importance string, "
+        "target string")
 
 
 def error_row(spark: SparkSession, spec: CheckSpec, message: str) -> DataFrame:
@@ -74,8 +88,9 @@ def error_row(spark: SparkSession, spec: CheckSpec, message: str) -> DataFrame:
 class _TableWork:
     """Shared sub-plans of one relation (profile and grouped frames)."""
 
-    def __init__(self, df: DataFrame, null_columns: list[str]):
+    def __init__(self, df: DataFrame, null_columns: list[str], schema=None):
         self.df = df
+        self.schema = schema if schema is not None else df.schema
         self.null_columns = list(dict.fromkeys(null_columns))
         self._profile = None
         self._keys: dict[str, DataFrame] = {}
@@ -101,95 +116,126 @@ class _TableWork:
 @dataclass
 class BuiltCheck:
     spec: CheckSpec
-    result: DataFrame | None          # graded, RESULT_SCHEMA
-    sample: DataFrame | None = None   # failing rows, built lazily
+    result: DataFrame | None          # graded: ordinal, status, detail
+    sample: object = None             # () -> DataFrame of failing rows, built on demand
     error: str | None = None
     extra: dict = field(default_factory=dict)
 
 
 def build_checks(spark: SparkSession, specs: list[CheckSpec], resolver: TableResolver,
-                 thresholds: Thresholds = Thresholds(), sample_limit: int = 5) -> list[BuiltCheck]:
-    frames: dict[str, DataFrame | Exception] = {}
-
-    def table(rel: str):
-        if rel not in frames:
-            try:
-                frames[rel] = resolver.resolve(rel)
-            except (TableNotFound, Exception) as e:  # noqa: BLE001
-                frames[rel] = e
-        return frames[rel]
-
-    work: dict[str, _TableWork] = {}
-    for s in specs:
-        df = table(s.relation)
-        if isinstance(df, Exception) or s.relation in work:
-            continue
-        nulls = [x.column for x in specs if x.relation == s.relation
-                 and x.check == "null_rate" and x.column in df.columns]
-        work[s.relation] = _TableWork(df, nulls)
-
+                 thresholds: Thresholds = Thresholds(), sample_limit: int = 5,
+                 threads: int = 8) -> list[BuiltCheck]:
+    """Lazy graded frames of ``specs``.  Tables are resolved once; the plans
+    of different tables are built concurrently on the driver (plan building
+    is JVM round-trips, not data work), then returned in check order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    relations = list(dict.fromkeys([s.relation for s in specs] +
+                                   [s.parent_relation for s in specs if s.parent_relation]))
+
+    def resolve(rel):
+        try:
+            df = resolver.resolve(rel)
+            return rel, (df, df.schema)
+        except Exception as e:  # noqa: BLE001 - reported as a check error
+            return rel, e
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        frames = dict(pool.map(resolve, relations))
+        by_rel: dict[str, list[CheckSpec]] = {}
+        for s in specs:
+            by_rel.setdefault(s.relation, []).append(s)
+        parts = list(pool.map(
+            lambda item: _build_table(item[0], item[1], frames, thresholds, sample_limit),
+            by_rel.items()))
+    built = {b.spec.ordinal: b for part in parts for b in part}
+    return [built[s.ordinal] for s in specs]
+
+
+def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
+                 thresholds: Thresholds, sample_limit: int) -> list[BuiltCheck]:
+    got = frames[relation]
+    if isinstance(got, Exception):
+        return [BuiltCheck(s, None, error=str(got)) for s in specs]
+    df, schema = got
+    cols = set(schema.fieldNames())
+    w = _TableWork(df, [x.column for x in specs if x.check == "null_rate" and x.column in cols],
+                   schema)
     built = []
     for s in specs:
-        df = table(s.relation)
-        if isinstance(df, Exception):
-            built.append(BuiltCheck(s, None, error=str(df)))
-            continue
-        missing = [c for c in ([s.column] if s.column else []) + list(s.keys)
-                   if c not in df.columns]
+        missing = [c for c in ([s.column] if s.column else []) + list(s.keys) if c not in cols]
         if missing:
             built.append(BuiltCheck(s, None, error=f"column {missing[0]} not found in {s.relation}"))
             continue
-        w = work[s.relation]
         if s.check == "row_count":
-            res = G.grade_row_count(w.profile.select("row_count"))
-            built.append(BuiltCheck(s, _stamp(s, res)))
+            built.append(BuiltCheck(s, _graded(s, w.profile, G.row_count_exprs())))
         elif s.check == "null_rate":
             i = w.null_columns.index(s.column)
             m = C.null_rate_from_profile(w.profile, s.column, i)
-            res = G.grade_null_rate(m, thresholds)
-            smp = C.null_sample(df, s.column, list(s.sample_columns), sample_limit)
-            built.append(BuiltCheck(s, _stamp(s, res), smp))
+            smp = (lambda df=df, s=s: C.null_sample(df, s.column, list(s.sample_columns),
+                                                    sample_limit))
+            built.append(BuiltCheck(s, _graded(s, m, G.null_rate_exprs(thresholds)), smp))
         elif s.check == "pk_duplicates":
             g = w.keys(s.column)
-            res = G.grade_pk_duplicates(C.pk_duplicates(df, s.column, g))
-            built.append(BuiltCheck(s, _stamp(s, res), C.pk_sample(df, s.column, g, sample_limit)))
+            res = _graded(s, C.pk_duplicates(df, s.column, g), G.pk_exprs())
+            built.append(BuiltCheck(s, res, lambda df=df, s=s, g=g:
+                                    C.pk_sample(df, s.column, g, sample_limit)))
         elif s.check == "value_distribution":
-            dist = C.value_distribution(df, s.column, w.values(s.column))
-            res = G.grade_value_distribution(w.values(s.column), s.column)
-            built.append(BuiltCheck(s, _stamp(s, res), extra={"distribution": dist}))
+            res = w.values(s.column).agg(F.lit(s.ordinal).alias("ordinal"),
+                                         *G.distribution_aggs(s.column)[1:])
+            built.append(BuiltCheck(s, res, extra={"groups": w.values(s.column)}))
         elif s.check == "unexpected_values":
-            u = C.unexpected_values(df, s.column, s.accepted or (), w.values(s.column))
-            built.append(BuiltCheck(s, _stamp(s, G.grade_unexpected_values(u)),
-                                    extra={"unexpected": u}))
+            dtype = schema[s.column].dataType
+            u = C.unexpected_values(df, s.column, s.accepted or (), w.values(s.column), dtype)
+            aggs = G.unexpected_aggs(dtype)
+            res = u.agg(F.lit(s.ordinal).alias("ordinal"), aggs[1], aggs[2])
+            built.append(BuiltCheck(s, res, extra={"unexpected": u}))
         elif s.check == "fk_match_rate":
-            parent = table(s.parent_relation)
-            if isinstance(parent, Exception):
-                built.append(BuiltCheck(s, None, error=str(parent)))
+            pgot = frames.get(s.parent_relation)
+            if isinstance(pgot, Exception) or pgot is None:
+                built.append(BuiltCheck(s, None, error=str(pgot)))
                 continue
-            pmiss = [c for c in s.parent_keys if c not in parent.columns]
+            parent, pschema = pgot
+            pmiss = [c for c in s.parent_keys if c not in set(pschema.fieldNames())]
             if pmiss:
-                built.append(BuiltCheck(s, None, error=f"column {pmiss[0]} not found in {s.parent_relation}"))
+                built.append(BuiltCheck(
+                    s, None, error=f"column {pmiss[0]} not found in {s.parent_relation}"))
                 continue
             j = C.fk_groups(df, parent, list(s.keys), list(s.parent_keys))
             m = C.fk_match_rate(df, parent, list(s.keys), s.parent, j)
-            built.append(BuiltCheck(s, _stamp(s, G.grade_fk_match_rate(m, thresholds)),
+            built.append(BuiltCheck(s, _graded(s, m, G.fk_exprs(thresholds)),
+                                    lambda df=df, s=s, j=j, parent=parent:
                                     C.fk_sample(df, parent, list(s.keys), j, sample_limit)))
         else:
-            built.append(BuiltCheck(s, _stamp(s, G.grade_rows_returned(df))))
+            res = G.grade_rows_returned(df)
+            built.append(BuiltCheck(s, res.select(F.lit(s.ordinal).alias("ordinal"),
+                                                  "status", "detail")))
     return built
 
 
-def results_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
-    """All graded checks as one lazy frame (errors as literal FAIL rows)."""
-    parts = [b.result if b.error is None else error_row(spark, b.spec, b.error) for b in built]
-    if not parts:
-        return spark.createDataFrame([], RESULT_SCHEMA)
+def graded_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
+    """``ordinal, status, detail`` of all checks (errors as literal rows)."""
+    errors = [(b.spec.ordinal, "FAIL", f"SQL error: {b.error}") for b in built
+              if b.error is not None]
+    parts = [b.result for b in built if b.error is None]
+    if errors or not parts:
+        parts.append(spark.createDataFrame(errors, GRADED_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.union(p)
     return out
 
 
+def results_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
+    """All graded checks as one lazy frame in ``RESULT_SCHEMA``.  The check
+    descriptions are a driver-built table with one row per check (its size
+    is the number of checks, known before planning), broadcast into the
+    join."""
+    meta = spec_frame(spark, [b.spec for b in built])
+    return (graded_frame(spark, built).join(F.broadcast(meta), "ordinal")
+            .select(*RESULT_COLUMNS))
+
+
 def _short(e: Exception) -> str:
     msg = str(e).strip().splitlines()
     return msg[0] if msg else type(e).__name__
@@ -200,16 +246,23 @@ def run_checks(spark: SparkSession, built: list[BuiltCheck]) -> list:
     try:
         return results_frame(spark, built).collect()
     except Exception:  # noqa: BLE001 - isolate the failing checks
-        rows = []
+        meta = {b.spec.ordinal: b.spec for b in built}
+        graded = []
         for b in built:
             if b.error is not None:
-                rows += error_row(spark, b.spec, b.error).collect()
+                graded.append((b.spec.ordinal, "FAIL", f"SQL error: {b.error}"))
                 continue
             try:
-                rows += b.result.collect()
+                graded += [tuple(r) for r in b.result.collect()]
             except Exception as e:  # noqa: BLE001
-                rows += error_row(spark, b.spec, _short(e)).collect()
-        return rows
+                graded.append((b.spec.ordinal, "FAIL", f"SQL error: {_short(e)}"))
+        out = []
+        for o, st, de in graded:
+            s = meta[o]
+            out.append({"ordinal": o, "model": s.model, "category": s.category,
+                        "check": s.check, "importance": s.importance, "status": st,
+                        "detail": de, "target": _target(s)})
+        return out
 
 
 def sample_frame(spark: SparkSession, built: list[BuiltCheck], failing: set[int]) -> DataFrame:
@@ -217,7 +270,7 @@ def sample_frame(spark: SparkSession, built: list[BuiltCheck], failing: set[int]
     parts = []
     for b in built:
         if b.spec.ordinal in failing and b.sample is not None and b.error is None:
-            s = b.sample
+            s = b.sample()
             parts.append(s.select(
                 F.lit(b.spec.ordinal).cast("int").alias("ordinal"),
                 F.lit(b.spec.model).alias("model"), F.lit(b.spec.check).alias("check"),

@@ -144,8 +144,8 @@ def section_counts(spark, sf_dir):
 
 
 def chart_series(spark, sf_dir):
-    parts = [R.chart_series(b.extra["distribution"], f"{b.spec.model}.{b.spec.column}")
-             for b in demo_built(spark, sf_dir) if "distribution" in b.extra]
+    parts = [R.chart_series(b.extra["groups"], f"{b.spec.model}.{b.spec.column}")
+             for b in demo_built(spark, sf_dir) if "groups" in b.extra]
     return _union(parts)
 
 
