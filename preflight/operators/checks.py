@@ -145,8 +145,15 @@ def fk_groups(child: DataFrame, parent: DataFrame, keys: list[str],
     match, as in an equi-join."""
     pkeys = list(parent_keys or keys)
     c = child.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    p = (parent.groupBy(*[qcol(k).alias(f"__pk{i}") for i, k in enumerate(pkeys)])
-               .agg(F.count(F.lit(1)).alias("m")))
+    p = parent.groupBy(*[qcol(k) for k in pkeys]).agg(F.count(F.lit(1)).alias("m"))
+    return fk_join(c, p, keys, pkeys)
+
+
+def fk_join(child_groups: DataFrame, parent_groups: DataFrame, keys: list[str],
+            parent_keys: list[str]) -> DataFrame:
+    """Join pre-grouped sides: ``<keys>, n`` ⟕ ``<parent_keys>, m``."""
+    p = parent_groups.select(*[qcol(k).alias(f"__pk{i}") for i, k in enumerate(parent_keys)], "m")
+    c = child_groups
     cond = [c[f"`{k}`"] == p[f"__pk{i}"] for i, k in enumerate(keys)]
     return c.join(p, cond, "left").select(*[c[f"`{k}`"] for k in keys], "n", "m")
 

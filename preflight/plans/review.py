@@ -3,11 +3,10 @@
 Planning happens on the driver over catalog metadata; every check is a
 lazy frame.  All graded checks of a review are one ``unionByName`` and run
 as one action, so Spark schedules the per-table scans and shuffles side by
-side.  Checks on one table share work:
-
-* row count + every null rate = one ``agg`` (one scan);
-* a column's duplicate test, its distribution and its unexpected values
-  reuse one grouped frame (identical sub-plans become ``ReusedExchange``).
+side.  Checks on one table share work: row counts, null rates, duplicate keys and
+value domains all come from one ``GROUPING SETS`` aggregate of the table
+(``operators.fused``) — one scan and one shuffle per table; a foreign-key
+check reads only the key columns of its two sides.
 
 Errors are isolated: a missing table or column is found before planning
 and becomes a FAIL row; if the fused action still fails, the review reruns
@@ -28,6 +27,7 @@ from pyspark.sql import types as T
 from preflight.config import ReviewOptions, Thresholds
 from preflight.operators import checks as C
 from preflight.operators import grade as G
+from preflight.operators.fused import FUSED, graded, table_checks
 from preflight.plans.checks import CheckSpec, plan_checks
 from preflight.sources.catalog import Catalog
 from preflight.sources.tables import TableNotFound, TableResolver
@@ -85,34 +85,6 @@ def error_row(spark: SparkSession, spec: CheckSpec, message: str) -> DataFrame:
           "FAIL", f"SQL error: {message}", _target(spec))], RESULT_SCHEMA)
 
 
-class _TableWork:
-    """Shared sub-plans of one relation (profile and grouped frames)."""
-
-    def __init__(self, df: DataFrame, null_columns: list[str], schema=None):
-        self.df = df
-        self.schema = schema if schema is not None else df.schema
-        self.null_columns = list(dict.fromkeys(null_columns))
-        self._profile = None
-        self._keys: dict[str, DataFrame] = {}
-        self._values: dict[str, DataFrame] = {}
-
-    @property
-    def profile(self) -> DataFrame:
-        if self._profile is None:
-            self._profile = C.table_profile(self.df, self.null_columns)
-        return self._profile
-
-    def keys(self, col: str) -> DataFrame:
-        if col not in self._keys:
-            self._keys[col] = C.key_groups(self.df, col)
-        return self._keys[col]
-
-    def values(self, col: str) -> DataFrame:
-        if col not in self._values:
-            self._values[col] = C.value_groups(self.df, col)
-        return self._values[col]
-
-
 @dataclass
 class BuiltCheck:
     spec: CheckSpec
@@ -120,14 +92,20 @@ class BuiltCheck:
     sample: object = None             # () -> DataFrame of failing rows, built on demand
     error: str | None = None
     extra: dict = field(default_factory=dict)
+    shared: bool = False              # graded row is produced by a table-level frame
 
 
 def build_checks(spark: SparkSession, specs: list[CheckSpec], resolver: TableResolver,
                  thresholds: Thresholds = Thresholds(), sample_limit: int = 5,
                  threads: int = 8) -> list[BuiltCheck]:
-    """Lazy graded frames of ``specs``.  Tables are resolved once; the plans
-    of different tables are built concurrently on the driver (plan building
-    is JVM round-trips, not data work), then returned in check order."""
+    """Lazy graded frames of ``specs``.
+
+    Each relation is resolved once.  All row-count, null, duplicate-key and
+    domain checks of a table share one ``GROUPING SETS`` aggregate (one
+    scan, one shuffle — ``operators.fused``); a foreign-key check reads the
+    two key columns it needs.  Plans of different tables are built
+    concurrently on the driver (plan building is JVM round-trips, not data
+    work)."""
     from concurrent.futures import ThreadPoolExecutor
 
     relations = list(dict.fromkeys([s.relation for s in specs] +
@@ -159,65 +137,57 @@ def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
         return [BuiltCheck(s, None, error=str(got)) for s in specs]
     df, schema = got
     cols = set(schema.fieldNames())
-    w = _TableWork(df, [x.column for x in specs if x.check == "null_rate" and x.column in cols],
-                   schema)
-    built = []
+    built, fused = [], []
     for s in specs:
         missing = [c for c in ([s.column] if s.column else []) + list(s.keys) if c not in cols]
         if missing:
             built.append(BuiltCheck(s, None, error=f"column {missing[0]} not found in {s.relation}"))
-            continue
-        if s.check == "row_count":
-            built.append(BuiltCheck(s, _graded(s, w.profile, G.row_count_exprs())))
-        elif s.check == "null_rate":
-            i = w.null_columns.index(s.column)
-            m = C.null_rate_from_profile(w.profile, s.column, i)
-            smp = (lambda df=df, s=s: C.null_sample(df, s.column, list(s.sample_columns),
-                                                    sample_limit))
-            built.append(BuiltCheck(s, _graded(s, m, G.null_rate_exprs(thresholds)), smp))
-        elif s.check == "pk_duplicates":
-            g = w.keys(s.column)
-            res = _graded(s, C.pk_duplicates(df, s.column, g), G.pk_exprs())
-            built.append(BuiltCheck(s, res, lambda df=df, s=s, g=g:
-                                    C.pk_sample(df, s.column, g, sample_limit)))
-        elif s.check == "value_distribution":
-            res = w.values(s.column).agg(F.lit(s.ordinal).alias("ordinal"),
-                                         *G.distribution_aggs(s.column)[1:])
-            built.append(BuiltCheck(s, res, extra={"groups": w.values(s.column)}))
-        elif s.check == "unexpected_values":
-            dtype = schema[s.column].dataType
-            u = C.unexpected_values(df, s.column, s.accepted or (), w.values(s.column), dtype)
-            aggs = G.unexpected_aggs(dtype)
-            res = u.agg(F.lit(s.ordinal).alias("ordinal"), aggs[1], aggs[2])
-            built.append(BuiltCheck(s, res, extra={"unexpected": u}))
+        elif s.check in FUSED:
+            fused.append(s)
         elif s.check == "fk_match_rate":
-            pgot = frames.get(s.parent_relation)
-            if isinstance(pgot, Exception) or pgot is None:
-                built.append(BuiltCheck(s, None, error=str(pgot)))
-                continue
-            parent, pschema = pgot
-            pmiss = [c for c in s.parent_keys if c not in set(pschema.fieldNames())]
-            if pmiss:
-                built.append(BuiltCheck(
-                    s, None, error=f"column {pmiss[0]} not found in {s.parent_relation}"))
-                continue
-            j = C.fk_groups(df, parent, list(s.keys), list(s.parent_keys))
-            m = C.fk_match_rate(df, parent, list(s.keys), s.parent, j)
-            built.append(BuiltCheck(s, _graded(s, m, G.fk_exprs(thresholds)),
-                                    lambda df=df, s=s, j=j, parent=parent:
-                                    C.fk_sample(df, parent, list(s.keys), j, sample_limit)))
+            built.append(_fk_check(s, df, frames, thresholds, sample_limit))
         else:
             res = G.grade_rows_returned(df)
             built.append(BuiltCheck(s, res.select(F.lit(s.ordinal).alias("ordinal"),
                                                   "status", "detail")))
+    if fused:
+        table = graded(table_checks(df, fused, schema), thresholds)
+        for i, s in enumerate(fused):
+            # the whole table's graded rows ride on the first check; the
+            # others only describe themselves (their rows are in it)
+            res = table if i == 0 else None
+            smp, extra = None, ({"members": list(fused)} if i == 0 else {})
+            if s.check == "null_rate":
+                smp = (lambda s=s: C.null_sample(df, s.column, list(s.sample_columns),
+                                                 sample_limit))
+            elif s.check == "pk_duplicates":
+                smp = (lambda s=s: C.pk_sample(df, s.column, None, sample_limit))
+            elif s.check == "value_distribution":
+                extra = {"groups": C.value_groups(df, s.column)}
+            built.append(BuiltCheck(s, res, smp, extra=extra, shared=i > 0))
     return built
 
 
+def _fk_check(s: CheckSpec, df: DataFrame, frames: dict, thresholds: Thresholds,
+              sample_limit: int) -> BuiltCheck:
+    pgot = frames.get(s.parent_relation)
+    if isinstance(pgot, Exception) or pgot is None:
+        return BuiltCheck(s, None, error=str(pgot))
+    parent, pschema = pgot
+    pmiss = [c for c in s.parent_keys if c not in set(pschema.fieldNames())]
+    if pmiss:
+        return BuiltCheck(s, None, error=f"column {pmiss[0]} not found in {s.parent_relation}")
+    j = C.fk_groups(df, parent, list(s.keys), list(s.parent_keys))
+    m = C.fk_match_rate(df, parent, list(s.keys), s.parent, j)
+    return BuiltCheck(s, _graded(s, m, G.fk_exprs(thresholds)),
+                      lambda: C.fk_sample(df, parent, list(s.keys), j, sample_limit))
+
+
 def graded_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
     """``ordinal, status, detail`` of all checks (errors as literal rows)."""
     errors = [(b.spec.ordinal, "FAIL", f"SQL error: {b.error}") for b in built
               if b.error is not None]
-    parts = [b.result for b in built if b.error is None]
+    parts = [b.result for b in built if b.error is None and b.result is not None]
     if errors or not parts:
         parts.append(spark.createDataFrame(errors, GRADED_SCHEMA))
     out = parts[0]
@@ -252,10 +222,13 @@ def run_checks(spark: SparkSession, built: list[BuiltCheck]) -> list:
             if b.error is not None:
                 graded.append((b.spec.ordinal, "FAIL", f"SQL error: {b.error}"))
                 continue
+            if b.result is None:
+                continue
             try:
                 graded += [tuple(r) for r in b.result.collect()]
             except Exception as e:  # noqa: BLE001
-                graded.append((b.spec.ordinal, "FAIL", f"SQL error: {_short(e)}"))
+                for m in b.extra.get("members", [b.spec]):
+                    graded.append((m.ordinal, "FAIL", f"SQL error: {_short(e)}"))
         out = []
         for o, st, de in graded:
             s = meta[o]
