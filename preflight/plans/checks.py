@@ -83,24 +83,30 @@ def plan_checks(catalog: Catalog, model_names: list[str],
     cats = list(CATEGORIES) if categories is None else [c for c in categories]
     if not model_names or not cats:
         return []
+    from concurrent.futures import ThreadPoolExecutor
+
     names = list(dict.fromkeys(model_names))
-    models = {r["name"]: r for r in catalog.models_by_name()
-              .filter(F.col("name").isin(names)).collect()}
+    by_name = catalog.models_by_name().filter(F.col("name").isin(names))
+    ids_df = by_name.select(F.col("unique_id").alias("model_id"))
+    rules_q = catalog.rules.join(ids_df, "model_id", "left_semi").orderBy("model_id", "ordinal")
+    rel = catalog.models.select(F.col("unique_id").alias("parent_id"),
+                                F.col("relation_name").alias("parent_relation"))
+    fk_q = (join_keys(catalog, overrides)
+            .join(ids_df.withColumnRenamed("model_id", "child_id"), "child_id", "left_semi")
+            .join(rel, "parent_id").orderBy("child_id", "dep_pos"))
+    # three small catalog lookups (metadata of the requested models) in parallel
+    jobs = [by_name, rules_q] + ([fk_q] if "join" in cats else [])
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        got = list(pool.map(lambda q: q.collect(), jobs))
+    models = {r["name"]: r for r in got[0]}
     if not models:
         return []
-    ids = [r["unique_id"] for r in models.values()]
-    rules_rows = (catalog.rules.filter(F.col("model_id").isin(ids))
-                  .orderBy("model_id", "ordinal").collect())
     rules_by: dict[str, list] = {}
-    for r in rules_rows:
+    for r in got[1]:
         rules_by.setdefault(r["model_id"], []).append(r)
     fks: dict[str, list] = {}
-    if "join" in cats:
-        rel = catalog.models.select(F.col("unique_id").alias("parent_id"),
-                                    F.col("relation_name").alias("parent_relation"))
-        for r in (join_keys(catalog, overrides).filter(F.col("child_id").isin(ids))
-                  .join(rel, "parent_id").orderBy("child_id", "dep_pos").collect()):
-            fks.setdefault(r["child_id"], []).append(r)
+    for r in (got[2] if len(got) > 2 else []):
+        fks.setdefault(r["child_id"], []).append(r)
 
     specs: list[CheckSpec] = []
 
