@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from preflight.config import Thresholds
-from preflight.functions.columns import typed_literals
-from preflight.functions.text import int_text, pct_text, rounded_pct, value_text
+from preflight.functions.text import int_text, pct_text, rounded_pct
 from preflight.operators.checks import qcol
 from preflight.operators.grade import FAIL, NO_ROWS, PASS, WARN
 
@@ -61,63 +60,86 @@ def _gid(columns: list[str], cols) -> int:
     return sum(1 << (k - 1 - i) for i, c in enumerate(columns) if c not in cols)
 
 
+def ident(name: str) -> str:
+    """Quoted identifier for a Spark SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """Spark SQL string literal (backslash escapes)."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _accepted_sql(values, dtype: T.DataType) -> str:
+    """Accepted values as an array literal of the column type; values that
+    do not convert (``try_cast`` gives NULL) are dropped, so they match
+    nothing and raise nothing."""
+    texts = ["True" if v is True else "False" if v is False else str(v) for v in values]
+    t = dtype.simpleString()
+    if not texts:
+        return f"CAST(array() AS array<{t}>)"
+    if isinstance(dtype, T.StringType):
+        return "array(" + ", ".join(text_literal(x) for x in texts) + ")"
+    return "array_compact(array(" + ", ".join(
+        f"try_cast({text_literal(x)} AS {t})" for x in texts) + "))"
+
+
+def _value_text_sql(c: str, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.BooleanType):
+        return f"CASE WHEN {c} IS NULL THEN 'None' WHEN {c} THEN 'True' ELSE 'False' END"
+    return f"coalesce(CAST({c} AS STRING), 'None')"
+
+
 def table_checks(df: DataFrame, specs, schema) -> DataFrame:
     """``METRICS`` rows, one per check in ``specs`` (kinds in ``FUSED``),
-    from one scan and one shuffle of ``df``."""
+    from one scan and one shuffle of ``df``.
+
+    The per-check metrics are one global aggregate over the grouping-sets
+    result and the per-check rows one ``stack``; both are written as Spark
+    SQL expressions so a table's plan is parsed once (building the same
+    from thousands of Column calls costs seconds of driver round-trips)."""
     null_cols = list(dict.fromkeys(s.column for s in specs if s.check == "null_rate"))
     sets = [(s.column,) for s in specs if s.check in GROUPED]
     frame, columns = grouped_counts(df, sets, null_cols)
-    gid, n = F.col("gid"), F.col("n")
-    everything = gid == _gid(columns, ())
-    aggs = [F.max(F.when(everything, n)).alias("rows")]
-    aggs += [F.max(F.when(everything, F.col(f"null_count_{i}"))).alias(f"nulls_{i}")
+    everything = f"gid = {_gid(columns, ())}"
+    aggs = [f"max(CASE WHEN {everything} THEN n END) AS rows"]
+    aggs += [f"max(CASE WHEN {everything} THEN null_count_{i} END) AS nulls_{i}"
              for i in range(len(null_cols))]
-    rows_out = []
+    rows = []
     for s in specs:
         o = s.ordinal
+        name = text_literal(s.column or "")
+        vals = {"total_rows": "rows", "null_count": "NULL", "duplicate_count": "NULL",
+                "distinct_values": "NULL", "unexpected_count": "NULL", "unexpected_text": "NULL"}
         if s.check in GROUPED:
-            c = qcol(s.column)
-            mine = gid == _gid(columns, (s.column,))
-        if s.check == "pk_duplicates":
-            aggs += [F.coalesce(F.sum(F.when(mine, n)), F.lit(0)).alias(f"t{o}"),
-                     F.count(F.when(mine, c)).alias(f"d{o}")]
-        elif s.check == "value_distribution":
-            aggs.append(F.count(F.when(mine, F.lit(1))).alias(f"k{o}"))
-        elif s.check == "unexpected_values":
-            dtype = schema[s.column].dataType
-            allowed = typed_literals(s.accepted or (), dtype)
-            bad = mine & c.isNotNull() & ~F.coalesce(F.array_contains(allowed, c), F.lit(False))
-            aggs += [F.count(F.when(bad, F.lit(1))).alias(f"u{o}"),
-                     F.array_sort(F.collect_list(F.when(bad, F.struct(
-                         (-n).alias("neg"), c.alias("typed"), value_text(c, dtype).alias("v"),
-                         n.alias("n")))))
-                      .alias(f"l{o}")]
-    m = frame.agg(*aggs)
-
-    def row(s) -> Column:
-        o, rows = s.ordinal, F.col("rows")
-        none_l, none_s = F.lit(None).cast("long"), F.lit(None).cast("string")
-        vals = {"total_rows": rows, "null_count": none_l, "duplicate_count": none_l,
-                "distinct_values": none_l, "unexpected_count": none_l, "unexpected_text": none_s}
+            c = ident(s.column)
+            mine = f"gid = {_gid(columns, (s.column,))}"
         if s.check == "null_rate":
-            vals["null_count"] = F.col(f"nulls_{null_cols.index(s.column)}")
+            vals["null_count"] = f"nulls_{null_cols.index(s.column)}"
         elif s.check == "pk_duplicates":
-            vals["total_rows"] = F.col(f"t{o}")
-            vals["duplicate_count"] = F.col(f"t{o}") - F.col(f"d{o}")
+            aggs += [f"coalesce(sum(CASE WHEN {mine} THEN n END), 0) AS t{o}",
+                     f"count(CASE WHEN {mine} THEN {c} END) AS d{o}"]
+            vals["total_rows"] = f"t{o}"
+            vals["duplicate_count"] = f"t{o} - d{o}"
         elif s.check == "value_distribution":
-            vals["distinct_values"] = F.col(f"k{o}")
+            aggs.append(f"count(CASE WHEN {mine} THEN 1 END) AS k{o}")
+            vals["distinct_values"] = f"k{o}"
         elif s.check == "unexpected_values":
-            vals["unexpected_count"] = F.col(f"u{o}")
-            vals["unexpected_text"] = F.array_join(F.transform(
-                F.col(f"l{o}"), lambda x: F.concat(F.lit("'"), x["v"], F.lit("' ("),
-                                                   F.format_number(x["n"], 0), F.lit(" rows)"))),
-                ", ")
-        return F.struct(F.lit(o).alias("ordinal"), F.lit(s.check).alias("kind"),
-                        F.lit(s.column or "").alias("column_name"),
-                        *[v.cast(METRICS[k].dataType).alias(k) for k, v in vals.items()])
-
-    rows_out = [row(s) for s in specs]
-    return m.select(F.inline(F.array(*rows_out)))
+            dtype = schema[s.column].dataType
+            bad = (f"{mine} AND {c} IS NOT NULL AND NOT coalesce(array_contains("
+                   f"{_accepted_sql(s.accepted or (), dtype)}, {c}), false)")
+            aggs += [f"count(CASE WHEN {bad} THEN 1 END) AS u{o}",
+                     f"array_sort(collect_list(CASE WHEN {bad} THEN named_struct('neg', -n, "
+                     f"'typed', {c}, 'v', {_value_text_sql(c, dtype)}, 'n', n) END)) AS l{o}"]
+            vals["unexpected_count"] = f"u{o}"
+            vals["unexpected_text"] = (f"array_join(transform(l{o}, x -> concat('\\'', x.v, "
+                                       f"'\\' (', format_number(x.n, 0), ' rows)')), ', ')")
+        fields = [f"CAST({o} AS INT)", text_literal(s.check), name]
+        fields += [f"CAST({v} AS {METRICS[k].dataType.simpleString()})" for k, v in vals.items()]
+        rows.append(", ".join(fields))
+    m = frame.selectExpr(*aggs)
+    names = ", ".join(f.name for f in METRICS.fields)
+    return m.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS ({names})")
 
 
 _GRADE: dict = {}

@@ -53,3 +53,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir()
+
+
+def materialize(df, label: str = "stage"):
+    """Cut lineage by writing ``df`` as parquet under the checkpoint folder
+    and reading it back: computed once (a reliable ``checkpoint()`` of an
+    uncached frame computes it twice), and the files are in the shared
+    folder, so a lost executor loses nothing."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/preflight-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
