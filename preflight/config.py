@@ -11,6 +11,10 @@ from dataclasses import dataclass, field
 SAMPLE_LIMIT = 5
 BLAST_MAX_DEPTH = 10
 
+# Unexpected values named in a check's detail text (most frequent first);
+# the count in the text is exact and the full set stays a DataFrame.
+LISTED_VALUES = 100
+
 CATEGORIES = ("grain", "distribution", "join", "rowcount")
 
 

@@ -126,13 +126,21 @@ def unexpected_values(df: DataFrame, column: str, accepted,
                       groups: DataFrame | None = None, dtype=None) -> DataFrame:
     """``unexpected_value, row_count`` — non-NULL values outside
     ``accepted``; accepted values are converted to the column type with
-    ``try_cast`` (non-convertible ones match nothing)."""
-    g = groups if groups is not None else value_groups(df, column)
+    ``try_cast`` (non-convertible ones match nothing).  Without ``groups``
+    the filter runs on the rows before grouping, so only unexpected rows
+    reach the shuffle."""
     dtype = dtype if dtype is not None else df.schema[column].dataType
     allowed = typed_literals(accepted, dtype)
+
+    def bad(c):
+        return c.isNotNull() & ~F.coalesce(F.array_contains(allowed, c), F.lit(False))
+
+    if groups is None:
+        return (df.filter(bad(qcol(column)))
+                  .groupBy(qcol(column).alias("unexpected_value"))
+                  .agg(F.count(F.lit(1)).alias("row_count")))
     v = F.col("value")
-    return (g.filter(v.isNotNull() & ~F.coalesce(F.array_contains(allowed, v), F.lit(False)))
-             .select(v.alias("unexpected_value"), "row_count"))
+    return groups.filter(bad(v)).select(v.alias("unexpected_value"), "row_count")
 
 
 # ── A6 / J1 / J2: referential integrity ───────────────────────────────────

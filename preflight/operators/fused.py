@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from preflight.config import Thresholds
+from preflight.config import LISTED_VALUES, Thresholds
 from preflight.functions.text import int_text, pct_text, rounded_pct
-from preflight.operators.checks import qcol
-from preflight.operators.grade import FAIL, NO_ROWS, PASS, WARN
+from preflight.operators.checks import qcol, unexpected_values
+from preflight.operators.grade import FAIL, NO_ROWS, PASS, WARN, unexpected_listing
 
 GROUPED = ("pk_duplicates", "value_distribution", "unexpected_values")
 FUSED = GROUPED + ("null_rate", "row_count")
@@ -84,13 +84,7 @@ def _accepted_sql(values, dtype: T.DataType) -> str:
         f"try_cast({text_literal(x)} AS {t})" for x in texts) + "))"
 
 
-def _value_text_sql(c: str, dtype: T.DataType) -> str:
-    if isinstance(dtype, T.BooleanType):
-        return f"CASE WHEN {c} IS NULL THEN 'None' WHEN {c} THEN 'True' ELSE 'False' END"
-    return f"coalesce(CAST({c} AS STRING), 'None')"
-
-
-def table_checks(df: DataFrame, specs, schema) -> DataFrame:
+def table_checks(df: DataFrame, specs, schema, limit: int = LISTED_VALUES) -> DataFrame:
     """``METRICS`` rows, one per check in ``specs`` (kinds in ``FUSED``),
     from one scan and one shuffle of ``df``.
 
@@ -105,7 +99,7 @@ def table_checks(df: DataFrame, specs, schema) -> DataFrame:
     aggs = [f"max(CASE WHEN {everything} THEN n END) AS rows"]
     aggs += [f"max(CASE WHEN {everything} THEN null_count_{i} END) AS nulls_{i}"
              for i in range(len(null_cols))]
-    rows = []
+    rows, listings = [], {}
     for s in specs:
         o = s.ordinal
         name = text_literal(s.column or "")
@@ -128,16 +122,21 @@ def table_checks(df: DataFrame, specs, schema) -> DataFrame:
             dtype = schema[s.column].dataType
             bad = (f"{mine} AND {c} IS NOT NULL AND NOT coalesce(array_contains("
                    f"{_accepted_sql(s.accepted or (), dtype)}, {c}), false)")
-            aggs += [f"count(CASE WHEN {bad} THEN 1 END) AS u{o}",
-                     f"array_sort(collect_list(CASE WHEN {bad} THEN named_struct('neg', -n, "
-                     f"'typed', {c}, 'v', {_value_text_sql(c, dtype)}, 'n', n) END)) AS l{o}"]
+            aggs.append(f"count(CASE WHEN {bad} THEN 1 END) AS u{o}")
+            # the named values: a bounded top-k over the column's unexpected
+            # groups, joined in as a scalar subquery
+            listings[o] = unexpected_listing(
+                unexpected_values(df, s.column, s.accepted or (), None, dtype), dtype, limit)
             vals["unexpected_count"] = f"u{o}"
-            vals["unexpected_text"] = (f"array_join(transform(l{o}, x -> concat('\\'', x.v, "
-                                       f"'\\' (', format_number(x.n, 0), ' rows)')), ', ')")
+            vals["unexpected_text"] = (
+                f"concat(l{o}, CASE WHEN u{o} > {limit} THEN concat(', … (', "
+                f"format_number(u{o} - {limit}, 0), ' more)') ELSE '' END)")
         fields = [f"CAST({o} AS INT)", text_literal(s.check), name]
         fields += [f"CAST({v} AS {METRICS[k].dataType.simpleString()})" for k, v in vals.items()]
         rows.append(", ".join(fields))
     m = frame.selectExpr(*aggs)
+    if listings:
+        m = m.withColumns({f"l{o}": lst.scalar() for o, lst in listings.items()})
     names = ", ".join(f.name for f in METRICS.fields)
     return m.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS ({names})")
 

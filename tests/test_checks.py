@@ -146,3 +146,32 @@ def test_row_count_detail(spark):
     df = spark.range(52557)
     r = one(G.grade_row_count(C.row_count(df)))
     assert (r["status"], r["detail"]) == ("PASS", "52,557 rows")
+
+
+def test_unexpected_listing_is_bounded(spark):
+    df = spark.createDataFrame([("x",)] * 3 + [("y",)] * 2 + [("z",)], "v string")
+    r = one(G.grade_unexpected_values(C.unexpected_values(df, "v", ["a"]), limit=2))
+    assert r["unexpected_count"] == 3
+    assert r["detail"] == "3 unexpected value(s): 'x' (3 rows), 'y' (2 rows), … (1 more)"
+
+
+def test_fused_table_checks(spark):
+    from preflight.operators.fused import graded, table_checks
+    from preflight.plans.checks import CheckSpec
+    df = spark.createDataFrame([(1, "it's"), (1, "b\\c"), (2, None), (None, "q")], "k long, v string")
+    base = dict(model="t", relation="t", category="x", importance="HIGH")
+    specs = [CheckSpec(0, check="pk_duplicates", column="k", **base),
+             CheckSpec(1, check="null_rate", column="v", **base),
+             CheckSpec(2, check="value_distribution", column="v", **base),
+             CheckSpec(3, check="unexpected_values", column="v", accepted=("it's",), **base),
+             CheckSpec(4, check="unexpected_values", column="k", accepted=("1", "zz"), **base),
+             CheckSpec(5, check="row_count", **base)]
+    out = {r["ordinal"]: (r["status"], r["detail"])
+           for r in graded(table_checks(df, specs, df.schema, limit=1)).collect()}
+    assert out[0] == ("FAIL", "2 duplicate k values out of 4 rows")
+    assert out[1] == ("FAIL", "1 nulls in v (25.0%) out of 4 rows")
+    assert out[2] == ("PASS", "4 distinct values in v")
+    assert out[3][0] == "WARN" and out[3][1].startswith("2 unexpected value(s): '")
+    assert out[3][1].endswith("… (1 more)") and "it's" not in out[3][1]
+    assert out[4] == ("WARN", "1 unexpected value(s): '2' (1 rows)")
+    assert out[5] == ("PASS", "4 rows")
