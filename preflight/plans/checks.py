@@ -88,13 +88,15 @@ def plan_checks(catalog: Catalog, model_names: list[str],
     names = list(dict.fromkeys(model_names))
     by_name = catalog.models_by_name().filter(F.col("name").isin(names))
     ids_df = by_name.select(F.col("unique_id").alias("model_id"))
-    rules_q = catalog.rules.join(ids_df, "model_id", "left_semi").orderBy("model_id", "ordinal")
+    rules_q = catalog.rules.join(ids_df, "model_id", "left_semi")
     rel = catalog.models.select(F.col("unique_id").alias("parent_id"),
                                 F.col("relation_name").alias("parent_relation"))
     fk_q = (join_keys(catalog, overrides)
             .join(ids_df.withColumnRenamed("model_id", "child_id"), "child_id", "left_semi")
-            .join(rel, "parent_id").orderBy("child_id", "dep_pos"))
-    # three small catalog lookups (metadata of the requested models) in parallel
+            .join(rel, "parent_id"))
+    # three small catalog lookups (metadata of the requested models) in
+    # parallel; their rows are sorted here (a distributed sort of a few
+    # rows would cost a sampling job)
     jobs = [by_name, rules_q] + ([fk_q] if "join" in cats else [])
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         got = list(pool.map(lambda q: q.collect(), jobs))
@@ -102,10 +104,10 @@ def plan_checks(catalog: Catalog, model_names: list[str],
     if not models:
         return []
     rules_by: dict[str, list] = {}
-    for r in got[1]:
+    for r in sorted(got[1], key=lambda r: (r["model_id"], r["ordinal"])):
         rules_by.setdefault(r["model_id"], []).append(r)
     fks: dict[str, list] = {}
-    for r in (got[2] if len(got) > 2 else []):
+    for r in sorted(got[2] if len(got) > 2 else [], key=lambda r: (r["child_id"], r["dep_pos"])):
         fks.setdefault(r["child_id"], []).append(r)
 
     specs: list[CheckSpec] = []
