@@ -144,8 +144,13 @@ def section_counts(spark, sf_dir):
 
 
 def chart_series(spark, sf_dir):
-    parts = [R.chart_series(b.extra["groups"], f"{b.spec.model}.{b.spec.column}")
-             for b in demo_built(spark, sf_dir) if "groups" in b.extra]
+    """A9 for the review's value_distribution checks (only those are
+    planned)."""
+    specs = plan_checks(D.demo_catalog(spark), D.model_names(), ["distribution"], D.JOIN_KEYS)
+    res = D.demo_resolver(spark, sf_dir)
+    parts = [R.chart_series(C.value_groups(res.resolve(s.relation), s.column),
+                            f"{s.model}.{s.column}")
+             for s in specs if s.check == "value_distribution"]
     return _union(parts)
 
 
