@@ -7,10 +7,10 @@ fixed schema; nothing is collected.  Shapes chosen for scale:
 * duplicate keys and value distributions come from one ``groupBy`` whose
   partial aggregation collapses hot keys before the shuffle, and the same
   grouped frame feeds the metric and the sample (the exchange is reused);
-* the foreign-key rate joins the two sides *after* grouping each by the
-  keys, so a key holding a third of the rows is one row on each side and
-  a non-unique parent is accounted for by multiplying counts instead of
-  materialising the fan-out.
+* the foreign-key rate groups the keys of both sides together in one
+  aggregation (no join), so a key holding a third of the rows is one row
+  per task and a non-unique parent is accounted for by multiplying counts
+  instead of materialising the fan-out.
 """
 
 from __future__ import annotations
@@ -145,25 +145,43 @@ def unexpected_values(df: DataFrame, column: str, accepted,
 
 # ── A6 / J1 / J2: referential integrity ───────────────────────────────────
 
+def side_counts(child: DataFrame, parent: DataFrame, keys: list[str],
+                parent_keys: list[str] | None = None, extra: dict | None = None) -> DataFrame:
+    """Per child key: ``<keys>, n`` (child rows) and ``m`` (parent rows with
+    that key; NULL when there are none or a key part is NULL — an
+    equi-join never matches those), plus ``extra`` sums over parent rows.
+
+    No join: both sides' keys are unioned with a side tag and grouped
+    once.  Partial aggregation runs on each side before the single
+    shuffle, so a key holding a third of either table is one row per task.
+    Parent keys are converted to the child key types (``try_cast``: a value
+    that does not convert matches nothing)."""
+    pkeys = list(parent_keys or keys)
+    types = {f.name: f.dataType for f in child.schema.fields}
+    extra = extra or {}
+    c = child.select(*[qcol(k) for k in keys], F.lit(1).alias("__c"), F.lit(0).alias("__p"),
+                     *[F.lit(0).cast("long").alias(x) for x in extra])
+    p = parent.select(*[qcol(pk).try_cast(types[k]).alias(k) for k, pk in zip(keys, pkeys)],
+                      F.lit(0).alias("__c"), F.lit(1).alias("__p"),
+                      *[e.cast("long").alias(x) for x, e in extra.items()])
+    g = (c.unionByName(p).groupBy(*[qcol(k) for k in keys])
+         .agg(F.sum("__c").cast("long").alias("n"), F.sum("__p").cast("long").alias("m"),
+              *[F.sum(x).cast("long").alias(x) for x in extra]))
+    whole = None
+    for k in keys:
+        whole = qcol(k).isNotNull() if whole is None else whole & qcol(k).isNotNull()
+    matched = whole & (F.col("m") > 0)
+    return g.filter(F.col("n") > 0).select(
+        *[qcol(k) for k in keys], "n", F.when(matched, F.col("m")).alias("m"),
+        *[F.when(matched, F.col(x)).alias(x) for x in extra])
+
+
 def fk_groups(child: DataFrame, parent: DataFrame, keys: list[str],
               parent_keys: list[str] | None = None) -> DataFrame:
-    """Child keys with their row count ``n`` left-joined to parent keys
-    with their row count ``m`` (NULL when unmatched).  ``parent_keys``
-    default to the child names.  Keys keep the child names; NULL keys never
-    match, as in an equi-join."""
-    pkeys = list(parent_keys or keys)
-    c = child.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    p = parent.groupBy(*[qcol(k) for k in pkeys]).agg(F.count(F.lit(1)).alias("m"))
-    return fk_join(c, p, keys, pkeys)
-
-
-def fk_join(child_groups: DataFrame, parent_groups: DataFrame, keys: list[str],
-            parent_keys: list[str]) -> DataFrame:
-    """Join pre-grouped sides: ``<keys>, n`` ⟕ ``<parent_keys>, m``."""
-    p = parent_groups.select(*[qcol(k).alias(f"__pk{i}") for i, k in enumerate(parent_keys)], "m")
-    c = child_groups
-    cond = [c[f"`{k}`"] == p[f"__pk{i}"] for i, k in enumerate(keys)]
-    return c.join(p, cond, "left").select(*[c[f"`{k}`"] for k in keys], "n", "m")
+    """Child keys with their row count ``n`` and the parent row count ``m``
+    of the same key (NULL when unmatched).  ``parent_keys`` default to the
+    child names."""
+    return side_counts(child, parent, keys, parent_keys)
 
 
 def fk_match_rate(child: DataFrame, parent: DataFrame, keys: list[str],
