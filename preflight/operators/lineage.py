@@ -82,18 +82,23 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
         levels = [seed]
         visited = seed.select("id")
         frontier, size = seed, seed.count()
+        seen = size
         for d in range(1, rounds + 1):
             if size == 0:
                 break
             f = frontier.select(F.col("id").alias("src"))
-            if size <= small:
-                f = F.broadcast(f)
+            # exact sizes are known: broadcast within budget, else a shuffled
+            # hash join building on the frontier (the cached edges stream and
+            # are never sorted or re-shuffled)
+            f = F.broadcast(f) if size <= small else f.hint("shuffle_hash")
+            v = F.broadcast(visited) if seen <= small else visited
             nxt = materialize(e.join(f, "src").select(F.col("dst").alias("id")).distinct()
-                              .join(visited, "id", "left_anti")
+                              .join(v, "id", "left_anti")
                               .withColumn("depth", F.lit(d)), f"bfs-round{d}")
             size = nxt.count()
             if size == 0:
                 break
+            seen += size
             levels.append(nxt)
             visited = visited.unionByName(nxt.select("id"))
             frontier = nxt

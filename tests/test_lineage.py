@@ -72,3 +72,19 @@ def test_matches_recursive_sql(spark):
         SELECT id, min(depth) FROM reach WHERE id NOT IN ('model.n1', 'model.n2') GROUP BY id
     """).collect()}
     assert got == want
+
+
+def test_large_frontier_path(spark):
+    """A tiny broadcast budget forces the shuffled-hash path; same answer."""
+    import random
+    rnd = random.Random(11)
+    edges = [(f"model.n{rnd.randrange(60)}", f"model.n{rnd.randrange(60)}") for _ in range(200)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    want = {r["unique_id"]: r["depth"] for r in blast_radius(e, ["model.n1"], 4).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256")
+        got = {r["unique_id"]: r["depth"] for r in blast_radius(e, ["model.n1"], 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want and len(got) > 2
