@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from preflight.config import ReviewOptions, Thresholds
+from preflight.config import MAX_GROUPING_SETS, ReviewOptions, Thresholds
 from preflight.operators import checks as C
 from preflight.operators import grade as G
 from preflight.operators.fused import FUSED, graded, table_checks
@@ -150,24 +150,39 @@ def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
             res = G.grade_rows_returned(df)
             built.append(BuiltCheck(s, res.select(F.lit(s.ordinal).alias("ordinal"),
                                                   "status", "detail")))
-    if fused:
-        table = graded(table_checks(df, fused, schema), thresholds)
-        for i, s in enumerate(fused):
-            # the whole table's graded rows ride on the first check; the
-            # others only describe themselves (their rows are in it)
+    for chunk in _chunks(fused):
+        table = graded(table_checks(df, chunk, schema), thresholds)
+        for i, s in enumerate(chunk):
+            # the chunk's graded rows ride on its first check; the others
+            # only describe themselves (their rows are in it)
             res = table if i == 0 else None
-            smp, extra = None, ({"members": list(fused)} if i == 0 else {})
+            smp, extra = None, ({"members": list(chunk)} if i == 0 else {})
             if s.check == "null_rate":
                 smp = (lambda s=s: C.null_sample(df, s.column, list(s.sample_columns),
                                                  sample_limit))
             elif s.check == "pk_duplicates":
                 smp = (lambda s=s: C.pk_sample(df, s.column, None, sample_limit))
             elif s.check == "value_distribution":
-                extra = {"groups": C.value_groups(df, s.column)}
+                extra = {**extra, "groups": C.value_groups(df, s.column)}
             built.append(BuiltCheck(s, res, smp, extra=extra, shared=i > 0))
     return built
 
 
+def _chunks(fused: list[CheckSpec], limit: int = MAX_GROUPING_SETS) -> list[list[CheckSpec]]:
+    """Split a table's fused checks so no scan carries more than ``limit``
+    grouped columns; checks on one column stay together."""
+    out, cols = [[]], [set()]
+    for s in fused:
+        if s.check in ("pk_duplicates", "value_distribution", "unexpected_values") \
+                and s.column not in cols[-1]:
+            if len(cols[-1]) >= limit:
+                out.append([])
+                cols.append(set())
+            cols[-1].add(s.column)
+        out[-1].append(s)
+    return [c for c in out if c]
+
+
 def _fk_check(s: CheckSpec, df: DataFrame, frames: dict, thresholds: Thresholds,
               sample_limit: int) -> BuiltCheck:
     pgot = frames.get(s.parent_relation)

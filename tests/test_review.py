@@ -121,3 +121,16 @@ def test_interpret_store(spark):
     assert c == {"updated": 1, "total": 1}
     r = spark.read.parquet(os.path.join(out, "ec2")).collect()[0]
     assert r["flagged"] is False and r["verdict_status"] == "expected"
+
+
+def test_wide_tables_split_scans(spark, catalog, shop_tables, monkeypatch, done):
+    import functools
+
+    import preflight.plans.review as RV
+    parts = RV._chunks(RV.plan_checks(catalog, ["fact_orders"]), limit=1)
+    assert len(parts) == 2
+    monkeypatch.setattr(RV, "_chunks", functools.partial(RV._chunks, limit=1))
+    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
+    split = review(spark, catalog, res, models=["fact_orders"])
+    key = lambda rv: sorted((r["ordinal"], r["status"], r["detail"]) for r in rv.results.collect())
+    assert key(split) == key(done)
