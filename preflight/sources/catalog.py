@@ -120,12 +120,17 @@ def load_manifest(spark: SparkSession, paths) -> Catalog:
     if isinstance(paths, str):
         paths = [paths]
     raw = spark.read.text(list(paths), wholetext=True)
-    doc = raw.select(F.from_json("value", MANIFEST_SCHEMA).alias("m")).select("m.*")
+    doc = raw.select(F.from_json("value", MANIFEST_SCHEMA).alias("m"),
+                     F.input_file_name().alias("doc_id")).select("m.*", "doc_id")
     return catalog_from_documents(doc)
 
 
 def catalog_from_documents(doc: DataFrame) -> Catalog:
-    nodes = doc.select(F.posexplode("nodes").alias("ordinal", "unique_id", "node"))
+    """Catalog frames from parsed documents; node lookups (tests of a model)
+    stay within the document they come from."""
+    if "doc_id" not in doc.columns:
+        doc = doc.withColumn("doc_id", F.lit(""))
+    nodes = doc.select("doc_id", F.posexplode("nodes").alias("ordinal", "unique_id", "node"))
     nodes = nodes.withColumn("ordinal", F.col("ordinal").cast("long"))
     model_nodes = nodes.filter(F.col("unique_id").startswith(MODEL_PREFIX))
     n = F.col("node")
@@ -145,19 +150,19 @@ def catalog_from_documents(doc: DataFrame) -> Catalog:
         "ordinal",
     )
 
-    edges_pos = doc.select(F.explode("child_map").alias("src", "children")).select(
-        "src", F.posexplode("children").alias("pos", "dst"))
+    edges_pos = doc.select("doc_id", F.explode("child_map").alias("src", "children")).select(
+        "doc_id", "src", F.posexplode("children").alias("pos", "dst"))
     edges = edges_pos.select("src", "dst")
 
     # S3: tests hanging off each model, in child_map order
     test_nodes = nodes.filter(F.col("unique_id").startswith(TEST_PREFIX)).select(
-        F.col("unique_id").alias("dst"),
+        "doc_id", F.col("unique_id").alias("dst"),
         F.col("node")["test_metadata"]["name"].alias("rule"),
         F.col("node")["column_name"].alias("column"),
         F.col("node")["test_metadata"]["kwargs"]["values"].alias("accepted_values"),
     )
     tests = (edges_pos.filter(F.col("src").startswith(MODEL_PREFIX))
-             .join(test_nodes, "dst")
+             .join(test_nodes, ["doc_id", "dst"])
              .filter(F.col("column").isNotNull() & (F.col("column") != "")
                      & F.col("rule").isin(*RULE_KINDS))
              .filter((F.col("rule") != "accepted_values")
