@@ -1,12 +1,12 @@
 """R1 — the review: models → blast radius → checks → grade → samples.
 
 Planning happens on the driver over catalog metadata; every check is a
-lazy frame.  All graded checks of a review are one ``unionByName`` and run
-as one action, so Spark schedules the per-table scans and shuffles side by
-side.  Checks on one table share work: row counts, null rates, duplicate keys and
-value domains all come from one ``GROUPING SETS`` aggregate of the table
-(``operators.fused``) — one scan and one shuffle per table; a foreign-key
-check reads only the key columns of its two sides.
+lazy frame.  All graded checks of a review are one ``union`` and run as
+one action, so Spark schedules the per-table scans and shuffles side by
+side.  Checks on one table share work: row counts, null rates, duplicate
+keys and value domains all come from one ``GROUPING SETS`` aggregate of
+the table (``operators.fused``) — one scan and one shuffle per table; a
+foreign-key check reads only the key columns of its two sides.
 
 Errors are isolated: a missing table or column is found before planning
 and becomes a FAIL row; if the fused action still fails, the review reruns
@@ -60,12 +60,6 @@ def _target(spec: CheckSpec) -> str:
 GRADED_SCHEMA = "ordinal int, status string, detail string"
 
 
-def _stamp(spec: CheckSpec, graded: DataFrame) -> DataFrame:
-    """Only ``ordinal, status, detail`` travel with a check; the rest of its
-    description is attached once for the whole review (``results_frame``)."""
-    return graded.select(F.lit(spec.ordinal).alias("ordinal"), "status", "detail")
-
-
 def _graded(spec: CheckSpec, metrics: DataFrame, exprs: dict) -> DataFrame:
     """Grade and stamp in one projection."""
     return metrics.select(F.lit(spec.ordinal).alias("ordinal"),
@@ -79,12 +73,6 @@ def spec_frame(spark: SparkSession, specs: list[CheckSpec]) -> DataFrame:
         "target string")
 
 
-def error_row(spark: SparkSession, spec: CheckSpec, message: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(spec.ordinal, spec.model, spec.category, spec.check, spec.importance,
-          "FAIL", f"SQL error: {message}", _target(spec))], RESULT_SCHEMA)
-
-
 @dataclass
 class BuiltCheck:
     spec: CheckSpec
