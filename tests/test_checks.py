@@ -130,6 +130,7 @@ def test_fk_grades(spark):
 
     assert grade(100, 100)["status"] == "PASS"
     assert grade(95, 100)["status"] == "WARN"     # 95.0 % is not below 95 %
+    assert grade(975, 1000)["status"] == "WARN"
     assert grade(99, 100)["status"] == "PASS"     # 99.0 % is not below 99 %
     assert grade(80, 100)["status"] == "FAIL"
     assert grade(80, 100)["detail"] == "80/100 rows match p (80.0%)"
