@@ -119,7 +119,13 @@ def load_manifest(spark: SparkSession, paths) -> Catalog:
     is one row (``wholetext``); the JSON is parsed on the executors."""
     if isinstance(paths, str):
         paths = [paths]
-    raw = spark.read.text(list(paths), wholetext=True)
+    try:
+        raw = spark.read.text(list(paths), wholetext=True)
+    except Exception as e:  # noqa: BLE001 - Spark reports a missing path at analysis
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            raise FileNotFoundError(
+                f"manifest not found at {', '.join(paths)}; compile the project first") from e
+        raise
     doc = raw.select(F.from_json("value", MANIFEST_SCHEMA).alias("m"),
                      F.input_file_name().alias("doc_id")).select("m.*", "doc_id")
     return catalog_from_documents(doc)

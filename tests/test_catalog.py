@@ -76,3 +76,11 @@ def test_first_name_wins(spark):
     from preflight.sources.catalog import Catalog
     c2 = Catalog(dup, cat.rules, cat.edges, cat.nodes)
     assert c2.model_by_name("a").collect()[0]["relation_name"] == "r1"
+
+
+def test_missing_manifest(spark):
+    import pytest
+
+    from preflight.sources.catalog import load_manifest
+    with pytest.raises(FileNotFoundError):
+        load_manifest(spark, "/tmp/definitely-not-here/target/manifest.json")
