@@ -139,12 +139,12 @@ def row_lineage_edges(tables: dict) -> DataFrame:
                              node("supplier", "s_suppkey").alias("dst")),
         t["orders"].select(node("customer", "o_custkey").alias("src"),
                            node("orders", "o_orderkey").alias("dst")),
-        t["lineitem"].select(node("orders", "l_orderkey").alias("src"),
-                             node("lineitem", "l_orderkey", "l_linenumber").alias("dst")),
-        t["lineitem"].select(node("part", "l_partkey").alias("src"),
-                             node("lineitem", "l_orderkey", "l_linenumber").alias("dst")),
-        t["lineitem"].select(node("supplier", "l_suppkey").alias("src"),
-                             node("lineitem", "l_orderkey", "l_linenumber").alias("dst")),
+        # one scan of lineitem, three parents per line
+        t["lineitem"].select(F.explode(F.array(*[
+            F.struct(node(parent, key).alias("src"),
+                     node("lineitem", "l_orderkey", "l_linenumber").alias("dst"))
+            for parent, key in (("orders", "l_orderkey"), ("part", "l_partkey"),
+                                ("supplier", "l_suppkey"))])).alias("e")).select("e.src", "e.dst"),
     ]
     out = pieces[0]
     for p in pieces[1:]:
