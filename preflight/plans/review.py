@@ -152,6 +152,11 @@ def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
                 smp = (lambda s=s: C.pk_sample(df, s.column, None, sample_limit))
             elif s.check == "value_distribution":
                 extra = {**extra, "groups": C.value_groups(df, s.column)}
+            elif s.check == "unexpected_values":
+                # every unexpected value with its count (the detail names
+                # the most frequent ones); lazy, distributed
+                extra = {**extra, "unexpected": C.unexpected_values(
+                    df, s.column, s.accepted or (), None, schema[s.column].dataType)}
             built.append(BuiltCheck(s, res, smp, extra=extra, shared=i > 0))
     return built
 
@@ -290,6 +295,23 @@ class Review:
     duration_seconds: float
     checks: list = field(default_factory=list)
 
+    def unexpected_values(self) -> DataFrame | None:
+        """All unexpected values of the review's accepted-values checks:
+        ``ordinal, model, column_name, unexpected_value (text), row_count``
+        (lazy; the details name only the most frequent ones)."""
+        parts = [b.extra["unexpected"].select(
+                     F.lit(b.spec.ordinal).alias("ordinal"), F.lit(b.spec.model).alias("model"),
+                     F.lit(b.spec.column).alias("column_name"),
+                     F.col("unexpected_value").cast("string").alias("unexpected_value"),
+                     "row_count")
+                 for b in self.checks if "unexpected" in b.extra]
+        if not parts:
+            return None
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
 
 def summarize(rows) -> dict:
     """FAIL / WARN / PASS counts (SKIP and others not counted)."""

@@ -134,3 +134,9 @@ def test_wide_tables_split_scans(spark, catalog, shop_tables, monkeypatch, done)
     split = review(spark, catalog, res, models=["fact_orders"])
     key = lambda rv: sorted((r["ordinal"], r["status"], r["detail"]) for r in rv.results.collect())
     assert key(split) == key(done)
+
+
+def test_full_unexpected_set(done):
+    u = done.unexpected_values().collect()
+    assert [(r["column_name"], r["unexpected_value"], r["row_count"]) for r in u] == [
+        ("status", "unknown", 1)]
