@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def tables(spark: SparkSession, sf_dir: str, names) -> dict:
+    """Each named table opened once; schema discovery runs concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = list(dict.fromkeys(names))
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return dict(zip(names, pool.map(lambda n: table(spark, sf_dir, n), names)))
+
+
 def _union(frames):
     out = frames[0]
     for f in frames[1:]:
@@ -35,9 +44,10 @@ def _union(frames):
 
 
 def row_count_all(spark, sf_dir):
-    return _union([G.grade_row_count(C.row_count(table(spark, sf_dir, t)))
-                   .select(F.lit(t).alias("model"), "row_count", "status", "detail")
-                   for t in D.TABLES])
+    t = tables(spark, sf_dir, D.TABLES)
+    return _union([G.grade_row_count(C.row_count(t[n]))
+                   .select(F.lit(n).alias("model"), "row_count", "status", "detail")
+                   for n in D.TABLES])
 
 
 PK_TARGETS = [("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"),
@@ -45,8 +55,9 @@ PK_TARGETS = [("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_p
 
 
 def pk_duplicates(spark, sf_dir):
-    return _union([G.grade_pk_duplicates(C.pk_duplicates(table(spark, sf_dir, t), c))
-                   .select(F.lit(t).alias("model"), "*") for t, c in PK_TARGETS])
+    t = tables(spark, sf_dir, [n for n, _ in PK_TARGETS])
+    return _union([G.grade_pk_duplicates(C.pk_duplicates(t[n], c))
+                   .select(F.lit(n).alias("model"), "*") for n, c in PK_TARGETS])
 
 
 def pk_dup_sample(spark, sf_dir):
@@ -95,9 +106,10 @@ UNEXPECTED_TARGETS = [("orders", "o_orderstatus", ["F", "O"]),
 
 
 def unexpected_values(spark, sf_dir):
-    return _union([G.grade_unexpected_values(C.unexpected_values(table(spark, sf_dir, t), c, acc))
-                   .select(F.lit(t).alias("model"), F.lit(c).alias("column_name"), "*")
-                   for t, c, acc in UNEXPECTED_TARGETS])
+    t = tables(spark, sf_dir, [n for n, _, _ in UNEXPECTED_TARGETS])
+    return _union([G.grade_unexpected_values(C.unexpected_values(t[n], c, acc))
+                   .select(F.lit(n).alias("model"), F.lit(c).alias("column_name"), "*")
+                   for n, c, acc in UNEXPECTED_TARGETS])
 
 
 FK_TARGETS = [("documents", "labels", ["doc_id"], ["doc_id"]),
@@ -110,10 +122,10 @@ FK_TARGETS = [("documents", "labels", ["doc_id"], ["doc_id"]),
 
 
 def fk_match_rate(spark, sf_dir):
+    t = tables(spark, sf_dir, [x for c, p, _, _ in FK_TARGETS for x in (c, p)])
     out = []
     for child, parent, keys, pkeys in FK_TARGETS:
-        m = C.fk_match_rate(table(spark, sf_dir, child), table(spark, sf_dir, parent),
-                            keys, parent, parent_keys=pkeys)
+        m = C.fk_match_rate(t[child], t[parent], keys, parent, parent_keys=pkeys)
         out.append(G.grade_fk_match_rate(m).select(F.lit(child).alias("model"), "*"))
     return _union(out)
 
@@ -161,8 +173,8 @@ BLAST_DEPTH_SEEDS = ["nation:3", "part:7"]
 
 
 def lineage_edges(spark, sf_dir):
-    return row_lineage_edges({t: table(spark, sf_dir, t) for t in
-                              ("nation", "customer", "supplier", "orders", "lineitem")})
+    return row_lineage_edges(tables(spark, sf_dir,
+                                    ("nation", "customer", "supplier", "orders", "lineitem")))
 
 
 def blast_radius_rows(spark, sf_dir):
@@ -257,8 +269,8 @@ EDGE_SAMPLES = {0: "SELECT o.o_orderkey, o.o_orderstatus FROM {orders} o LEFT AN
 
 
 def edge_case_frames(spark, sf_dir):
-    return {t: table(spark, sf_dir, t) for t in
-            ("orders", "lineitem", "conversations", "documents", "labels", "events")}
+    return tables(spark, sf_dir, ("orders", "lineitem", "conversations", "documents", "labels",
+                                  "events"))
 
 
 def edge_case_results(spark, sf_dir):
