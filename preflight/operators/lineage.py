@@ -60,9 +60,9 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
       the streamed side, never re-shuffled).
 
     Each round's new nodes are written as parquet under
-    ``spark.checkpoint.dir`` and read back (lineage cut, computed once) and
-    counted; the visited set is the union of those round tables, so no
-    round rewrites earlier ones."""
+    ``spark.checkpoint.dir`` and read back (lineage cut, computed once; the
+    row count is observed during the write); the visited set is the union
+    of those round tables, so no round rewrites earlier ones."""
     from pyspark import StorageLevel
 
     spark = edges.sparkSession
@@ -77,11 +77,11 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
         e = e.filter(F.col("dst").startswith(node_prefix))
     e = e.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        seed = materialize(_seed_frame(spark, seeds).dropDuplicates(["id"])
-                           .withColumn("depth", F.lit(0)), "bfs-seed")
+        seed, size = materialize(_seed_frame(spark, seeds).dropDuplicates(["id"])
+                                 .withColumn("depth", F.lit(0)), "bfs-seed", count=True)
         levels = [seed]
         visited = seed.select("id")
-        frontier, size = seed, seed.count()
+        frontier = seed
         seen = size
         for d in range(1, rounds + 1):
             if size == 0:
@@ -92,10 +92,9 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
             # are never sorted or re-shuffled)
             f = F.broadcast(f) if size <= small else f.hint("shuffle_hash")
             v = F.broadcast(visited) if seen <= small else visited
-            nxt = materialize(e.join(f, "src").select(F.col("dst").alias("id")).distinct()
-                              .join(v, "id", "left_anti")
-                              .withColumn("depth", F.lit(d)), f"bfs-round{d}")
-            size = nxt.count()
+            nxt, size = materialize(e.join(f, "src").select(F.col("dst").alias("id")).distinct()
+                                    .join(v, "id", "left_anti")
+                                    .withColumn("depth", F.lit(d)), f"bfs-round{d}", count=True)
             if size == 0:
                 break
             seen += size

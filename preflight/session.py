@@ -55,15 +55,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, label: str = "stage"):
+def materialize(df, label: str = "stage", count: bool = False):
     """Cut lineage by writing ``df`` as parquet under the checkpoint folder
     and reading it back: computed once (a reliable ``checkpoint()`` of an
     uncached frame computes it twice), and the files are in the shared
-    folder, so a lost executor loses nothing."""
+    folder, so a lost executor loses nothing.
+
+    With ``count=True`` returns ``(frame, rows)``; the row count is observed
+    while writing (``DataFrame.observe``), not by a second job."""
     import uuid
 
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/preflight-{label}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if count:
+        obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        return spark.read.schema(schema).parquet(path), int(obs.get["rows"])
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
