@@ -140,3 +140,13 @@ def test_full_unexpected_set(done):
     u = done.unexpected_values().collect()
     assert [(r["column_name"], r["unexpected_value"], r["row_count"]) for r in u] == [
         ("status", "unknown", 1)]
+
+
+def test_unknown_check_kind_passes(spark, shop_tables):
+    from preflight.plans.checks import CheckSpec
+    from preflight.plans.review import build_checks, run_checks
+    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
+    spec = CheckSpec(0, category="custom", model="fact_orders", check="my_check",
+                     importance="NORMAL", relation="DEV_DB.marts.fact_orders")
+    rows = run_checks(spark, build_checks(spark, [spec], res))
+    assert [(r["status"], r["detail"]) for r in rows] == [("PASS", "5 row(s) returned")]
