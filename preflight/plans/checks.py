@@ -36,19 +36,25 @@ class CheckSpec:
     model_columns: tuple = field(default=(), compare=False)
 
 
-def join_keys(catalog: Catalog, overrides: dict | None = None) -> DataFrame:
+def join_keys(catalog: Catalog, overrides: dict | None = None,
+              child_ids: list[str] | None = None) -> DataFrame:
     """``child, parent, child_keys, parent_keys`` per (model, parent
     model it depends on).  Keys are the override for (child, parent) when
     given and non-empty, else every unique-tested column of the parent that
     the child also has (exact name).  Pairs without keys are dropped.
 
     An override entry is a column name or a ``(child_col, parent_col)``
-    pair."""
+    pair.  ``child_ids`` restricts the children (a filter on the catalog
+    frame, applied before any join)."""
     spark = catalog.models.sparkSession
     m = catalog.models
-    child = m.select(F.col("unique_id").alias("child_id"), F.col("name").alias("child"),
-                     F.col("columns").alias("child_columns"),
-                     F.posexplode("depends_on").alias("dep_pos", "parent_id"))
+    if child_ids is not None:
+        m_child = m.filter(F.col("unique_id").isin(list(child_ids)))
+    else:
+        m_child = m
+    child = m_child.select(F.col("unique_id").alias("child_id"), F.col("name").alias("child"),
+                           F.col("columns").alias("child_columns"),
+                           F.posexplode("depends_on").alias("dep_pos", "parent_id"))
     parent = m.select(F.col("unique_id").alias("parent_id"), F.col("name").alias("parent"))
     pairs = child.join(parent, "parent_id")
     uniq = catalog.rules_of("unique").select(
@@ -86,28 +92,26 @@ def plan_checks(catalog: Catalog, model_names: list[str],
     from concurrent.futures import ThreadPoolExecutor
 
     names = list(dict.fromkeys(model_names))
-    by_name = catalog.models_by_name().filter(F.col("name").isin(names))
-    ids_df = by_name.select(F.col("unique_id").alias("model_id"))
-    rules_q = catalog.rules.join(ids_df, "model_id", "left_semi")
+    models = {r["name"]: r for r in
+              catalog.models_by_name().filter(F.col("name").isin(names)).collect()}
+    if not models:
+        return []
+    ids = [r["unique_id"] for r in models.values()]
+    rules_q = catalog.rules.filter(F.col("model_id").isin(ids))
     rel = catalog.models.select(F.col("unique_id").alias("parent_id"),
                                 F.col("relation_name").alias("parent_relation"))
-    fk_q = (join_keys(catalog, overrides)
-            .join(ids_df.withColumnRenamed("model_id", "child_id"), "child_id", "left_semi")
-            .join(rel, "parent_id"))
-    # three small catalog lookups (metadata of the requested models) in
+    fk_q = join_keys(catalog, overrides, ids).join(rel, "parent_id")
+    # two small catalog lookups (metadata of the requested models) in
     # parallel; their rows are sorted here (a distributed sort of a few
     # rows would cost a sampling job)
-    jobs = [by_name, rules_q] + ([fk_q] if "join" in cats else [])
+    jobs = [rules_q] + ([fk_q] if "join" in cats else [])
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         got = list(pool.map(lambda q: q.collect(), jobs))
-    models = {r["name"]: r for r in got[0]}
-    if not models:
-        return []
     rules_by: dict[str, list] = {}
-    for r in sorted(got[1], key=lambda r: (r["model_id"], r["ordinal"])):
+    for r in sorted(got[0], key=lambda r: (r["model_id"], r["ordinal"])):
         rules_by.setdefault(r["model_id"], []).append(r)
     fks: dict[str, list] = {}
-    for r in sorted(got[2] if len(got) > 2 else [], key=lambda r: (r["child_id"], r["dep_pos"])):
+    for r in sorted(got[1] if len(got) > 1 else [], key=lambda r: (r["child_id"], r["dep_pos"])):
         fks.setdefault(r["child_id"], []).append(r)
 
     specs: list[CheckSpec] = []
