@@ -3,11 +3,12 @@
 Level-synchronous BFS as joins: each round joins the frontier with the
 edge list, keeps unseen nodes (``left_anti`` against the visited set) and
 tags them with the round number, so ``depth`` is the shortest hop count
-from any seed.  Edges are hash-partitioned by ``src`` once and persisted
-(no per-round edge shuffle); a frontier of checked small size is
-broadcast; every round's new nodes are written to the shared checkpoint
-folder and read back, so lineage stays one round deep and a lost executor
-recomputes at most one round.
+from any seed.  Edges are salted, hash-partitioned by ``(src, salt)`` once
+and persisted (no per-round edge shuffle); a frontier of checked small
+size is broadcast, a larger one is repeated per salt so no source's edges
+sit in one task; every round's new nodes are written to the shared
+checkpoint folder and read back, so lineage stays one round deep and a lost
+executor recomputes at most one round.
 
 Semantics kept from the reviewed tool: seeds are excluded, first-hop
 nodes are always returned (``max_depth`` ≤ 0 acts as 1), nodes at
@@ -17,6 +18,7 @@ nodes are always returned (``max_depth`` ≤ 0 acts as 1), nodes at
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,27 +46,28 @@ def _broadcast_rows(spark) -> int:
 
 def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
                  node_prefix: str | None = MODEL_PREFIX,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, salts: int = 8) -> DataFrame:
     """``unique_id, depth`` of every node reachable from ``seeds`` within
     ``max_depth`` hops (seeds excluded).  ``edges`` has ``src, dst``;
     ``seeds`` is a list of ids or a one-column DataFrame of ids.
 
-    The edge list is hash-partitioned by ``src`` once and persisted
-    (memory, spilling to disk); a lost block is recomputed from the edge
-    query.  Each round joins the frontier to it:
+    The edge list gets a ``salt`` (hash of ``dst`` modulo ``salts``), is
+    hash-partitioned by ``(src, salt)`` once and persisted (memory, spilling
+    to disk; a lost block is recomputed from the edge query).  Each round
+    joins the frontier to it:
 
     * a frontier whose exact row count fits the broadcast budget is
       broadcast and the edges stream through in place — no shuffle, and a
       ``src`` holding a third of all edges is spread over every task;
-    * a larger frontier is shuffled to the edges' partitioning (edges are
-      the streamed side, never re-shuffled).
+    * a larger frontier is repeated once per salt and shuffled to the
+      edges' partitioning (edges are the streamed side, never re-shuffled),
+      so even a source owning a third of all edges is spread over
+      ``salts`` tasks; the price is a ``salts``-fold frontier shuffle.
 
     Each round's new nodes are written as parquet under
     ``spark.checkpoint.dir`` and read back (lineage cut, computed once; the
     row count is observed during the write); the visited set is the union
     of those round tables, so no round rewrites earlier ones."""
-    from pyspark import StorageLevel
-
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -75,7 +78,9 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
                      F.col("dst").cast("string").alias("dst"))
     if node_prefix:
         e = e.filter(F.col("dst").startswith(node_prefix))
-    e = e.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    # salted by a hash of dst, partitioned by (src, salt), cached once
+    e = (e.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int"))
+          .repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK))
     try:
         seed, size = materialize(_seed_frame(spark, seeds).dropDuplicates(["id"])
                                  .withColumn("depth", F.lit(0)), "bfs-seed", count=True)
@@ -87,12 +92,19 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
             if size == 0:
                 break
             f = frontier.select(F.col("id").alias("src"))
-            # exact sizes are known: broadcast within budget, else a shuffled
-            # hash join building on the frontier (the cached edges stream and
-            # are never sorted or re-shuffled)
-            f = F.broadcast(f) if size <= small else f.hint("shuffle_hash")
+            if size <= small:
+                # exact size known and within budget: broadcast; the cached
+                # edges stream in place, hot sources included
+                cand = e.join(F.broadcast(f), "src")
+            else:
+                # a shuffled hash join building on the frontier, each frontier
+                # row repeated once per salt: a source owning a third of all
+                # edges is spread over ``salts`` tasks, and the cached edges
+                # stream without being re-shuffled
+                fs = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                cand = e.join(fs.hint("shuffle_hash"), ["src", "salt"])
             v = F.broadcast(visited) if seen <= small else visited
-            nxt, size = materialize(e.join(f, "src").select(F.col("dst").alias("id")).distinct()
+            nxt, size = materialize(cand.select(F.col("dst").alias("id")).distinct()
                                     .join(v, "id", "left_anti")
                                     .withColumn("depth", F.lit(d)), f"bfs-round{d}", count=True)
             if size == 0:

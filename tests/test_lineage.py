@@ -88,3 +88,22 @@ def test_large_frontier_path(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got == want and len(got) > 2
+
+
+def test_hot_source_is_salted(spark):
+    """A hub owning most edges goes through the salted path; same answer."""
+    edges = [(f"model.s{i}", "model.hub") for i in range(10)]
+    edges += [("model.hub", f"model.x{j}") for j in range(100)]
+    edges += [(f"model.x{j}", f"model.y{j % 7}") for j in range(100)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    seeds = [f"model.s{i}" for i in range(10)] + ["model.hub"]
+    want = {r["unique_id"]: r["depth"] for r in blast_radius(e, seeds[:10], 5).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256")
+        got = {r["unique_id"]: r["depth"] for r in blast_radius(e, seeds[:10], 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want
+    assert want["model.hub"] == 1 and want["model.x5"] == 2 and want["model.y3"] == 3
+    assert len(want) == 1 + 100 + 7
