@@ -155,8 +155,8 @@ def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
             elif s.check == "unexpected_values":
                 # every unexpected value with its count (the detail names
                 # the most frequent ones); lazy, distributed
-                extra = {**extra, "unexpected": C.unexpected_values(
-                    df, s.column, s.accepted or (), None, schema[s.column].dataType)}
+                extra = {**extra, "unexpected": (lambda s=s: C.unexpected_values(
+                    df, s.column, s.accepted or (), None, schema[s.column].dataType))}
             built.append(BuiltCheck(s, res, smp, extra=extra, shared=i > 0))
     return built
 
@@ -299,7 +299,7 @@ class Review:
         """All unexpected values of the review's accepted-values checks:
         ``ordinal, model, column_name, unexpected_value (text), row_count``
         (lazy; the details name only the most frequent ones)."""
-        parts = [b.extra["unexpected"].select(
+        parts = [b.extra["unexpected"]().select(
                      F.lit(b.spec.ordinal).alias("ordinal"), F.lit(b.spec.model).alias("model"),
                      F.lit(b.spec.column).alias("column_name"),
                      F.col("unexpected_value").cast("string").alias("unexpected_value"),
