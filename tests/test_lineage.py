@@ -107,3 +107,12 @@ def test_hot_source_is_salted(spark):
     assert got == want
     assert want["model.hub"] == 1 and want["model.x5"] == 2 and want["model.y3"] == 3
     assert len(want) == 1 + 100 + 7
+
+
+def test_hot_sources_rule(spark):
+    from preflight.operators.lineage import _hot_sources
+    edges = [("h", f"d{i}") for i in range(60)] + [(f"s{i}", "x") for i in range(40)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    hot = _hot_sources(e, 8)          # average partition load 100 / 8 = 12.5
+    assert hot == {"h": 5}            # ceil(60 * 8 / 100)
+    assert len(_hot_sources(e, 1)) == 0 or all(k >= 1 for k in _hot_sources(e, 1).values())
