@@ -83,17 +83,22 @@ def join_keys(catalog: Catalog, overrides: dict | None = None,
 
 
 def plan_checks(catalog: Catalog, model_names: list[str],
-                categories=None, overrides: dict | None = None) -> list[CheckSpec]:
+                categories=None, overrides: dict | None = None,
+                resolved: dict | None = None) -> list[CheckSpec]:
     """Checks for the named models (unknown names skipped, repeats kept).
-    ``categories`` None = all four, [] = none; unknown names ignored."""
+    ``categories`` None = all four, [] = none; unknown names ignored.
+    ``resolved`` ({name: model row}) skips the lookup by name."""
     cats = list(CATEGORIES) if categories is None else [c for c in categories]
     if not model_names or not cats:
         return []
     from concurrent.futures import ThreadPoolExecutor
 
     names = list(dict.fromkeys(model_names))
-    models = {r["name"]: r for r in
-              catalog.models_by_name().filter(F.col("name").isin(names)).collect()}
+    if resolved is not None:      # model rows already looked up by name
+        models = {k: v for k, v in resolved.items() if k in names}
+    else:
+        models = {r["name"]: r for r in
+                  catalog.models_by_name().filter(F.col("name").isin(names)).collect()}
     if not models:
         return []
     ids = [r["unique_id"] for r in models.values()]

@@ -324,7 +324,8 @@ def summarize(rows) -> dict:
 
 
 def resolve_models(catalog: Catalog, models=None, changed_files: DataFrame | None = None):
-    """Names to review and the ids the blast radius starts from.
+    """Names to review, the ids the blast radius starts from and the model
+    rows found (``{name: row}``).
 
     Named models stay listed even when unknown (they simply get no
     checks); changed files not in the catalog are skipped."""
@@ -332,15 +333,16 @@ def resolve_models(catalog: Catalog, models=None, changed_files: DataFrame | Non
     if models:
         names = list(models)
         found = (catalog.models_by_name().filter(F.col("name").isin(list(set(names))))
-                 .select("name", "unique_id").collect())
-        by = {r["name"]: r["unique_id"] for r in found}
-        ids = [by[n] for n in names if n in by]
-        return names, list(dict.fromkeys(ids))
+                 .collect())
+        by = {r["name"]: r for r in found}
+        ids = [by[n]["unique_id"] for n in names if n in by]
+        return names, list(dict.fromkeys(ids)), by
     if changed_files is None:
-        return [], []
+        return [], [], None
     rows = (changed_models(catalog, changed_files).filter(~F.col("is_new"))
             .orderBy("path").collect())
-    return [r["name"] for r in rows], list(dict.fromkeys(r["unique_id"] for r in rows))
+    return ([r["name"] for r in rows], list(dict.fromkeys(r["unique_id"] for r in rows)),
+            None)
 
 
 def review(spark: SparkSession, catalog: Catalog, resolver: TableResolver, models=None,
@@ -349,7 +351,7 @@ def review(spark: SparkSession, catalog: Catalog, resolver: TableResolver, model
     from preflight.operators.lineage import blast_radius, reached_models
 
     start = time.time()
-    names, seeds = resolve_models(catalog, models, changed_files)
+    names, seeds, found = resolve_models(catalog, models, changed_files)
     if not names:
         raise ValueError("No models to review. Name models or pass changed files "
                          "that match catalog models.")
@@ -357,7 +359,7 @@ def review(spark: SparkSession, catalog: Catalog, resolver: TableResolver, model
     if seeds:
         reach = blast_radius(catalog.edges, seeds, options.max_depth)
         blast = [r["name"] for r in reached_models(catalog, reach).orderBy("unique_id").collect()]
-    specs = plan_checks(catalog, names, options.categories, options.join_keys)
+    specs = plan_checks(catalog, names, options.categories, options.join_keys, found)
     if resolver.schema_map == {} and options.schema_map:
         resolver.schema_map = dict(options.schema_map)
     if options.dry_run:
