@@ -28,8 +28,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return S.review_report(spark, SF_SMOKE)
 
 
+def _llm() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators and their pipeline;
+    none where that subpackage is not there."""
+    try:
+        from preflight.llm.queries import ORACLE_SQL, QUERIES
+        import corpus_pipeline as P
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith(("preflight.llm", "corpus_pipeline")):
+            raise
+        return {}, {}
+    sql = dict(ORACLE_SQL)
+    if P.ORACLE_SQL:
+        sql["pipeline"] = P.ORACLE_SQL
+    return {**QUERIES, "pipeline": P.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(S.QUERIES)
+    return {**S.QUERIES, **_llm()[0]}
 
 
 def _fmt_num(e: str) -> str:
@@ -187,6 +203,10 @@ def _verdict_merge() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return {**_table_sql(), **_llm()[1]}
+
+
+def _table_sql() -> dict[str, str]:
     return {
         "row_count_all": _row_count_all(),
         "pk_duplicates": _pk_duplicates(),
