@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from preflight.llm.decontaminate import op9_decontaminate
+from preflight.llm.line_dedup import OP3_SQL, op3_line_dedup
+from preflight.llm.minhash import OP4_SQL, op4_near_duplicates
+from preflight.llm.token_count import op8_token_count
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
 }
 
@@ -26,5 +32,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
 
 ORACLE_SQL = {
+    "op3_line_dedup": OP3_SQL,
+    "op4_near_duplicates": OP4_SQL,
     "op9_decontaminate": OP9_SQL,
 }
