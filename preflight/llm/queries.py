@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from preflight.llm.decontaminate import op9_decontaminate
+from preflight.llm.language import op2_language
 from preflight.llm.line_dedup import OP3_SQL, op3_line_dedup
 from preflight.llm.minhash import OP4_SQL, op4_near_duplicates
+from preflight.llm.neighbours import op10_nearest
 from preflight.llm.suffix_dedup import op1_suffix_dedup
 from preflight.llm.token_count import op8_token_count
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language": op2_language,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
+    "op10_nearest": op10_nearest,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
