@@ -1,11 +1,9 @@
 """Operator 3 — line deduplication with two Bloom filters.
 
-Pass 1 hashes every line of every text inside Arrow batches.  Each task
-sends the filter places of its lines, once per place and marked if it has
-seen the key in two of its texts; per filter chunk the places of all tasks
-are merged into a *once-seen* and a *twice-seen* filter: a place that is
-set again moves on to the second one.  A key held by two texts is in the
-second filter for certain.  Pass 2 reads the texts again and shuffles only
+Pass 1 hashes every line of every text inside Arrow batches and merges the
+tasks' filter places into a *once-seen* and a *twice-seen* filter
+(``filters.TwiceSeen``).  A key held by two texts is in the second one for
+certain.  Pass 2 reads the texts again and shuffles only
 lines that the twice-seen filter lets through, as 128-bit digests with the
 document's id; a plain count confirms them and finds the largest id.
 
@@ -35,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from preflight.llm.arrow_text import ASCII_LOWER, SPACE, RangeHash, Texts, text_slices
+from preflight.llm.filters import PLACES, TwiceSeen, places_of_task
 from preflight.llm.joins import salted_join
 from preflight.llm.ship import ship
 from preflight.session import materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
-CHUNK_LOG2 = 16
+MAX_BITS = 28
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -67,74 +66,29 @@ def line_keys(t: Texts, min_chars: int):
     return data, text[first], s[first], e[first], h[first]
 
 
-def places(h: np.ndarray, bits_log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter places of each hash."""
-    low = h & np.uint64((1 << bits_log2) - 1)
-    high = (h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits_log2)
-    return low, high
-
-
 def _once_and_twice(bits_log2: int, min_chars: int):
     def run(batches):
-        seen = [line_keys(t, min_chars)[4] for b in batches for t in text_slices(b)]
-        h, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-        once = np.unique(np.concatenate(places(h, bits_log2)))
-        twice = np.unique(np.concatenate(places(h[n > 1], bits_log2)))
-        chunk = once >> np.uint64(CHUNK_LOG2)
-        inner = np.uint64((1 << CHUNK_LOG2) - 1)
-        cuts = np.flatnonzero(np.diff(chunk)) + 1
-        rows = {"chunk": [], "once": [], "twice": []}
-        for part in np.split(once, cuts) if len(once) else []:
-            c = part[0] >> np.uint64(CHUNK_LOG2)
-            lo, hi = np.searchsorted(twice, [c << np.uint64(CHUNK_LOG2), (c + np.uint64(1)) << np.uint64(CHUNK_LOG2)])
-            rows["chunk"].append(int(c))
-            rows["once"].append((part & inner).astype(np.uint16).tobytes())
-            rows["twice"].append((twice[lo:hi] & inner).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
-            [("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+        yield places_of_task((line_keys(t, min_chars)[4] for b in batches for t in text_slices(b)), bits_log2)
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """All tasks' places of a chunk: the twice-seen bits."""
-    once, twice = np.zeros(1 << CHUNK_LOG2, bool), np.zeros(1 << CHUNK_LOG2, bool)
-    for a, b in zip(table["once"], table["twice"]):
-        at = np.frombuffer(a.as_py(), np.uint16)
-        twice[at[once[at]]] = True
-        once[at] = True
-        twice[np.frombuffer(b.as_py(), np.uint16)] = True
-    return pa.table({"chunk": table["chunk"][:1],
-                     "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
-
-
-def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: int = 28) -> tuple[np.ndarray, int]:
-    """The twice-seen filter (uint8 words) and log2 of its bits."""
+def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: int = MAX_BITS) -> TwiceSeen:
+    """The twice-seen filter of all lines."""
     lines = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
                            + F.lit(1))).first()[0] or 1
-    bits = min(max(CHUNK_LOG2, (8 * int(lines) - 1).bit_length()), max_bits)
-    got = (docs.select("text").mapInArrow(_once_and_twice(bits, min_chars), "chunk int, once binary, twice binary")
-           .groupBy("chunk").applyInArrow(_merge, "chunk int, bits binary").toArrow())
-    out = np.zeros((1 << (bits - CHUNK_LOG2), (1 << CHUNK_LOG2) // 8), np.uint8)
-    for c, b in zip(got["chunk"].to_pylist(), got["bits"].to_pylist()):
-        out[c] = np.frombuffer(b, np.uint8)
-    return out.reshape(-1), bits
-
-
-def _member(words: np.ndarray, place: np.ndarray) -> np.ndarray:
-    at = place.astype(np.int64)
-    return (words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+    seen = TwiceSeen(int(lines), max_bits)
+    return seen.fill(docs.select("text").mapInArrow(_once_and_twice(seen.bits, min_chars), PLACES))
 
 
-def _suspects(shared, bits: int, min_chars: int):
+def _suspects(shared, min_chars: int):
     """Lines that the twice-seen filter lets through: 128-bit key and id."""
     def run(batches):
-        words = shared.value
+        seen = shared.value
         for b in batches:
             ids = b.column(b.schema.get_field_index("doc_id"))
             for t in text_slices(b):
                 data, text, s, e, h = line_keys(t, min_chars)
-                p, q = places(h, bits)
-                k = np.flatnonzero(_member(words, p) & _member(words, q))
+                k = np.flatnonzero(seen.has(h))
                 keys = [xxhash.xxh3_128_digest(data[x:y].tobytes()) for x, y in zip(s[k], e[k])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.binary()), ids.take(pa.array(text[k] + t.rows.start)).cast(pa.int64())],
@@ -146,9 +100,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """``doc_id, keys`` — the 128-bit keys of the lines each document loses."""
     spark = ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words, bits = twice_seen(slim, min_chars)
-    shared = spark.sparkContext.broadcast(words)       # 32 MB at most
-    held = materialize(slim.mapInArrow(_suspects(shared, bits, min_chars), "key binary, doc_id long")
+    shared = spark.sparkContext.broadcast(twice_seen(slim, min_chars))       # 32 MB at most
+    held = materialize(slim.mapInArrow(_suspects(shared, min_chars), "key binary, doc_id long")
                        .distinct(), "lines")
     often = (held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
              .filter(F.col("n") >= min_docs).select("key", "keeper"))

@@ -7,14 +7,20 @@ from preflight.llm.language import op2_language
 from preflight.llm.line_dedup import OP3_SQL, op3_line_dedup
 from preflight.llm.minhash import OP4_SQL, op4_near_duplicates
 from preflight.llm.neighbours import op10_nearest
+from preflight.llm.packing import op7_packing
 from preflight.llm.suffix_dedup import op1_suffix_dedup
 from preflight.llm.token_count import op8_token_count
+from preflight.llm.toxicity import op5_toxicity
+from preflight.llm.url_filter import op6_sql, op6_url_filter
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
+    "op7_packing": op7_packing,
     "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
     "op10_nearest": op10_nearest,
@@ -40,5 +46,6 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
     "op4_near_duplicates": OP4_SQL,
+    "op6_url_filter": op6_sql(),
     "op9_decontaminate": OP9_SQL,
 }
