@@ -3,7 +3,7 @@
 Alternating large-star and small-star rounds: every node's links are moved
 to the smallest neighbour, first those to larger nodes, then those to
 smaller ones, until nothing moves; then each node points to the smallest
-node of its component.  Every round is two aggregations and joins, written
+node of its component.  Every round (two aggregations and joins) is written
 under the session's checkpoint folder; links of one node are dealt over
 salts, so a centre of a third of all links is no single task's work.
 """
@@ -39,8 +39,7 @@ def components(links: DataFrame) -> DataFrame:
                         "links")
     mark = None
     while True:
-        edges = materialize(_star(edges, larger=True), "large")
-        edges = materialize(_star(edges, larger=False), "small")
+        edges = materialize(_star(_star(edges, larger=True), larger=False), "star")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(
             F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark:

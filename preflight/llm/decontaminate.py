@@ -67,13 +67,13 @@ def fingerprints(id_column: str, words=None, lengths=(), missing: int = 0, is_it
     def run(batches):
         for b in batches:
             ids = b.column(b.schema.get_field_index(id_column))
+            keys_of = b.column(b.schema.get_field_index("thash"))
             for t in text_slices(b):
                 low = ASCII_LOWER[t.data]
                 t.data = low
                 s, e, counts = runs(t, WORD)
                 hasher = RangeHash(low)
                 h = hasher(s, e)
-                whole = signed(hasher(t.starts, t.ends))
                 ends = np.cumsum(counts)
                 last = np.repeat(ends, counts)            # end of each word's document
                 first = last - np.repeat(counts, counts)
@@ -118,7 +118,7 @@ def fingerprints(id_column: str, words=None, lengths=(), missing: int = 0, is_it
                 sbase = first[sp] if len(sp) else sp
                 seqs = [h[x:y].tobytes() if is_item else None for x, y in zip(ends - counts, ends)]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(t.rows.start, len(t)).cast(pa.int64()), pa.array(whole),
+                    ids.slice(t.rows.start, len(t)).cast(pa.int64()), keys_of.slice(t.rows.start, len(t)),
                     pa.array(counts.astype(np.int32)), pa.array(seqs, pa.binary()),
                     lists(signed(grams[at]) if len(at) else np.zeros(0, np.int64), per, pa.int64()),
                     lists((at - base).astype(np.int32), per, pa.int32()),
@@ -168,7 +168,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
     """(documents: ``id, thash, n_words``; hit intervals: ``id, thash, cls,
     lo, hi`` in words; item classes: ``cls, item_id``)."""
     ship(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("thash"))
     b = materialize(items.mapInArrow(fingerprints("item_id", missing=1, is_item=True), PRINTS)
                     .filter("n_words > 0").withColumn("cls", F.sha2("seq", 256)), "items")
     classes = b.select("cls", F.col("id").alias("item_id")).distinct()
@@ -186,7 +186,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
     words = bitmap(bfp.select(F.col("fp").alias("h")).union(short.select(F.col("key").alias("h"))),
                    F.col("h"), filter_bits)
 
-    d = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("thash"))
                     .mapInArrow(fingerprints("doc_id", words, sorted(lengths)), PRINTS)
                     .drop("seq"), "prints")
     dfp = d.filter(F.size("fp") > 0).select("id", "thash", F.explode(part("ctx")).alias("x")).select(
@@ -205,6 +205,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
     return d.select("id", "thash", "n_words"), long_hits.union(short_hits), classes
 
 
+def row_hash():
+    """What tells documents apart: id and text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated ones, all columns."""
+    _, found, _ = hits(docs, benchmark)
+    bad = materialize(found.select(F.col("thash").alias("__row")).distinct(), "contaminated")
+    return (docs.withColumn("__row", row_hash()).join(bad.hint("shuffle_hash"), "__row", "left_anti")
+            .drop("__row"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, one
     row for each row of ``docs`` (needs doc_id and text)."""

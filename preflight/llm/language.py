@@ -213,12 +213,12 @@ def _has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode())
 
 
-def _predict(shared, spans: bool):
+def _predict(shared, spans: bool, text: bool):
     def run(batches):
         m = shared.value
         k = len(m.langs)
         for b in batches:
-            keep = [i for i, f in enumerate(b.schema) if f.name != "text"] if not spans else range(b.num_columns)
+            keep = [i for i, f in enumerate(b.schema) if text or f.name != "text"]
             for t in text_slices(b, limit=SLICE):
                 n = len(t)
                 lang, score, found = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
@@ -261,17 +261,18 @@ def _predict(shared, spans: bool):
     return run
 
 
-def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; with ``spans`` also the
-    labelled byte ranges ``lo, hi, lang``, else without the text."""
+def identify(docs: DataFrame, model: Model, spans: bool = False, text: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (columns of these names are
+    replaced); with ``spans`` also the labelled byte ranges ``lo, hi, lang``,
+    with ``text`` also the text."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "spans")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if spans or f.name != "text"]
+    docs = docs.drop("lang_pred", "score", *["spans"] * spans)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if text or f.name != "text"]
     fields += ["lang_pred string", "score double"]
     if spans:
         fields.append("spans array<struct<lo:int,hi:int,lang:string>>")
-    return docs.mapInArrow(_predict(shared, spans), ", ".join(fields))
+    return docs.mapInArrow(_predict(shared, spans, text), ", ".join(fields))
 
 
 def held_out():

@@ -12,14 +12,23 @@ the next rank.  Every text's permutation is affine in the rank
 
 32 bands of 4 rows: two texts of similarity 0.85 share no band with a
 probability of 5e-11.  Texts of equal sets are one class from the first
-shuffle on.  Candidates are verified on full sets (array_intersect) and
-joined to components.  A bucket is never expanded into all pairs: it is
-first compared with its smallest class (a star).  Then, in rounds, members
-that are still outside their bucket's largest component serve as pivots
-and are compared with the members of other components, twice as many
-pivots a bucket each round; a bucket is finished when its members are one
-component, or all others have been pivots.  So every pair of a bucket is
-either connected or verified, without a cap.
+shuffle on.  Of the classes that share a bucket, a twice-seen filter over
+all their shingles tells how many shingles of a class may be in another
+one at all (``c`` of ``n``); two classes have at most min(c, c') in common, so
+
+    100 * min(c, c') >= 85 * (n + n' - min(c, c'))
+
+must hold for a link, and a class with 100 c < 85 n has none.  This is
+exact: it removes copies that were changed too much, and texts that only
+share a passage, before any pair is made.  What is left is verified on full
+sets and joined to components.
+
+First every bucket is compared with its least changed class (a star, by
+array_intersect).  Then families - classes that buckets connect, linked or
+not - that are not yet one component are cut into blocks of about ``BLOCK``
+classes; each pair of blocks is one group, whose sets are compared by
+matrix products and which returns joined components only.  No pair of texts
+is ever a row, no group grows with a family, and no pair is left out.
 
 Cases: a text of one to four words has one shingle, the whole sequence; a
 null or wordless text has none and is linked with nothing (it is its own
@@ -39,7 +48,8 @@ from pyspark.sql import functions as F
 from preflight.llm.arrow_text import (ASCII_LOWER, SPACE, RangeHash, Texts, mix, runs, signed,
                                       text_slices, window_hash)
 from preflight.llm.components import components
-from preflight.llm.filters import bitmap, contains
+from preflight.llm.filters import PLACES as SENT
+from preflight.llm.filters import TwiceSeen, bitmap, contains, places_of_task
 from preflight.llm.joins import salted_join
 from preflight.llm.ship import ship
 from preflight.session import materialize
@@ -49,7 +59,8 @@ PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 PERCENT = 85
 FILTER_BITS = 25        # 4 MB
-FIRST_PIVOTS = 4
+MAX_BITS = 28          # 32 MB
+BLOCK = 512             # classes of a block
 _U = np.uint64
 _RANK = _U(56)
 
@@ -119,28 +130,49 @@ def _signed(batches):
             some = sizes > 0
             off = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(t.rows.start, len(t)), pa.array(sizes), pa.array(fps, pa.binary()),
+                [ids.slice(t.rows.start, len(t)), b.column(b.schema.get_field_index("row")).slice(t.rows.start, len(t)),
+                 pa.array(sizes), pa.array(fps, pa.binary()),
                  pa.ListArray.from_arrays(off, pa.array(signed(np.ascontiguousarray(keys[some])).reshape(-1)))],
-                names=["id", "n", "fp", "bands"])
+                names=["id", "row", "n", "fp", "bands"])
+
+
+def _wanted(shared, b):
+    """Rows whose doc_id is null or passes a bitmap."""
+    ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    own = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    return b.filter(pa.array(~known | contains(shared.value, own))).select(["text"])
+
+
+def _elements(shared, bits_log2: int):
+    """Filter places of the wanted texts' shingles."""
+    def run(batches):
+        def sets():
+            for b in batches:
+                for t in text_slices(_wanted(shared, b)):
+                    yield shingle_sets(t)[0]
+        yield places_of_task(sets(), bits_log2)
+    return run
 
 
-def _sets(shared):
-    """Sets of texts whose doc_id is null or passes a bitmap."""
+def _sets(shared, seen, percent: int):
+    """Sets of the wanted texts that may have a link, with ``c``: how many of
+    their shingles may be in another text."""
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            own = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            wanted = ~known | contains(shared.value, own)
-            for t in text_slices(b.filter(pa.array(wanted))):
+            for t in text_slices(_wanted(shared, b)):
                 h, sizes = shingle_sets(t)
                 ends = np.cumsum(sizes)
-                some = np.flatnonzero(sizes)
-                off = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+                met = np.concatenate([[0], np.cumsum(seen.value.has(h))])
+                c = met[ends] - met[ends - sizes]
+                some = np.flatnonzero((sizes > 0) & (100 * c >= percent * sizes))
                 fps = [xxhash.xxh3_128_digest(h[ends[i] - sizes[i]:ends[i]].tobytes()) for i in some]
+                off = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+                own = [h[ends[i] - sizes[i]:ends[i]] for i in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps, pa.binary()), pa.ListArray.from_arrays(off, pa.array(signed(h)))],
-                    names=["fp", "elements"])
+                    [pa.array(fps, pa.binary()), pa.array(sizes[some]), pa.array(c[some]), pa.ListArray.from_arrays(
+                        off, pa.array(signed(np.concatenate(own) if own else np.zeros(0, np.uint64))))],
+                    names=["fp", "n", "c", "elements"])
     return run
 
 
@@ -161,15 +193,14 @@ def _in_buckets(shared):
             ok = contains(shared.value, flat.view(np.uint64))
             at = pa.array(row[ok])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[ok]), b.column(b.schema.get_field_index("fp")).take(at),
-                 b.column(b.schema.get_field_index("n")).take(at)], names=["key", "fp", "n"])
+                [pa.array(flat[ok]), b.column(b.schema.get_field_index("fp")).take(at)], names=["key", "fp"])
     return run
 
 
-def _similar(percent: int):
-    """Sizes that allow the similarity."""
-    small, large = F.least("n", "m"), F.greatest("n", "m")
-    return small * 100 >= large * percent
+def _possible(percent: int):
+    """The bound for classes (n, c) and (m, k)."""
+    both = F.least("c", "k")
+    return both * 100 >= (F.col("n") + F.col("m") - both) * percent
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,92 +214,149 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"))
 
 
+def _block_links(percent: int):
+    """Links between the components of a pair of blocks (side 0 and 1; the
+    same block twice has side 0 only), by counting common shingles of full
+    sets in matrix products."""
+    def run(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        side = table["side"].to_numpy()
+        parts = table["component"].to_pylist()
+        names = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+        comp = np.array([names[c] for c in parts])
+        flat = table["elements"].combine_chunks()
+        row = np.repeat(np.arange(len(n)), np.diff(flat.offsets.to_numpy()))
+        values, inverse, df = np.unique(flat.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        some = df[inverse] > 1
+        column = (np.cumsum(df > 1) - 1)[inverse[some]]
+        row = row[some]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 4096
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            x, y = np.searchsorted(column, [lo, lo + width])
+            m = np.zeros((len(n), width), np.float32)
+            m[row[x:y], column[x:y] - lo] = 1
+            both += m[left] @ m[right].T
+        total = n[left][:, None] + n[right][None, :] - both
+        a, b = np.nonzero((100 * both >= percent * total) & (comp[left][:, None] != comp[right][None, :]))
+        pairs = np.unique(np.stack([comp[left][a], comp[right][b]], 1), axis=0)
+        known = list(names)
+        return pa.table({"a": pa.array([known[i] for i in pairs[:, 0]], pa.binary()),
+                         "b": pa.array([known[i] for i in pairs[:, 1]], pa.binary())})
+    return run
+
+
+def _family_links(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: components that a link joins, beyond the stars.  A family is
+    what buckets connect, linked or not; every link lies inside one.  Families
+    of one component need nothing.  The others are dealt to blocks of about
+    ``BLOCK`` classes, and every pair of blocks is one group."""
+    family = components(members.select(F.col("fp").alias("a"), F.col("centre").alias("b"))).withColumnRenamed(
+        "component", "family")
+    at = family.join(label, "node", "left").select(
+        F.col("node").alias("fp"), "family", F.coalesce("component", "node").alias("component"))
+    at = materialize(at, "families")
+    size = (at.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"),
+                                     F.max("component").alias("y")).filter("x <> y")
+            .select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    open_ = salted_join(at, size, ["family"], F.col("fp")).withColumn(
+        "block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    spread = (open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      (F.col("block") > F.col("other")).cast("int").alias("side"), "fp", "component"))
+    return (spread.join(sets.select("fp", "n", "elements"), "fp").drop("fp")
+            .groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``
     (needs doc_id and text); texts are linked from a similarity of
     ``percent`` / 100 on."""
+    own, named = families(docs, percent)
+    # smallest id of each component, then back to every row
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    ids = salted_join(named, least, ["component"], F.col("fp")).select("fp", "least")
+    linked = salted_join(own.filter("n > 0"), ids, ["fp"], F.col("row"), salts=4).select("id", "n", "least")
+    alone = own.filter("n = 0").select("id", "n", F.col("id").alias("least"))
+    return linked.union(alone).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each component, all columns: that of its smallest
+    doc_id (nulls last; between texts of one id by hash).  Texts without
+    words all stay."""
+    own, named = families(docs, percent)
+    at = salted_join(own.filter("n > 0"), named.select("fp", "component"), ["fp"], F.col("row"), salts=4)
+    best = at.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("x"))
+    stays = materialize(best.select(F.col("x.row").alias("row")).union(own.filter("n = 0").select("row")).distinct(),
+                        "stays")
+    again = (own.filter("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+             .join(stays, "row").select("row"))
+    again, n = materialize(again, "again", count=True)
+    rows = docs.withColumn("__row", row_hash())
+    out = rows.join(stays.withColumnRenamed("row", "__row").hint("shuffle_hash"), "__row", "left_semi")
+    if n:                                    # rows that are there more than once
+        twice = again.withColumnRenamed("row", "__row")
+        out = out.join(twice, "__row", "left_anti").union(
+            rows.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.drop("__row")
+
+
+def row_hash():
+    """What tells documents apart: id and text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def families(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: ``id, row, n, fp``; classes of equal sets: ``fp, id, component``)."""
     spark = ship(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = materialize(slim.mapInArrow(_signed, "id long, n long, fp binary, bands array<long>"), "signatures")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row"))
+    own = materialize(slim.mapInArrow(_signed, "id long, row long, n long, fp binary, bands array<long>"), "signatures")
     classes = materialize(own.filter("n > 0").groupBy("fp").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    # buckets with more than one class, each with its smallest class
-    buckets = materialize(
-        classes.select("fp", "n", F.explode("bands").alias("key")).groupBy("key")
-        .agg(F.min(F.struct("fp", "n")).alias("c"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1").select("key", F.col("c.fp").alias("centre"), F.col("c.n").alias("m")), "buckets")
-    crowded = spark.sparkContext.broadcast(bitmap(buckets, F.col("key"), FILTER_BITS))
-    members = materialize(salted_join(
-        classes.mapInArrow(_in_buckets(crowded), "key long, fp binary, n long"), buckets, ["key"], F.col("fp"))
-        .filter("fp <> centre"), "members")
-
-    # full sets of the classes in such buckets
-    wanted = members.select("fp").union(members.select(F.col("centre").alias("fp"))).distinct()
-    named = materialize(classes.join(wanted, "fp").select("fp", "id"), "wanted")
+    # classes that share a bucket
+    counts = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    crowded = spark.sparkContext.broadcast(bitmap(counts.filter("k > 1"), F.col("key"), FILTER_BITS))
+    members = materialize(classes.mapInArrow(_in_buckets(crowded), "key long, fp binary"), "members")
+    named = materialize(classes.join(members.select("fp").distinct(), "fp").select("fp", "id", "n"), "wanted")
     some = spark.sparkContext.broadcast(bitmap(
         named.filter("id IS NOT NULL").select("id").mapInArrow(_ids, "h long"), F.col("h"), FILTER_BITS))
-    sets = materialize(slim.mapInArrow(_sets(some), "fp binary, elements array<long>")
+
+    # their sets, as far as they may have a link
+    seen = TwiceSeen(int(named.agg(F.sum("n")).first()[0] or 0), MAX_BITS)
+    seen.fill(slim.mapInArrow(_elements(some, seen.bits), SENT))
+    met = spark.sparkContext.broadcast(seen)
+    sets = materialize(slim.mapInArrow(_sets(some, met, percent), "fp binary, n long, c long, elements array<long>")
                        .join(named.select("fp").hint("shuffle_hash"), "fp", "left_semi")
-                       .groupBy("fp").agg(F.first("elements").alias("elements")), "sets")
+                       .dropDuplicates(["fp"]), "sets")
 
     # a star in every bucket
-    pairs = materialize(members.filter(_similar(percent)).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    members = materialize(members.join(sets.select("fp", "n", "c"), "fp"), "members")
+    middle = (members.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
+                                         F.max(F.struct(F.col("c") / F.col("n"), "fp", "n", "c")).alias("x"))
+              .filter("size > 1").select("key", F.col("x.fp").alias("centre"), F.col("x.n").alias("m"),
+                                         F.col("x.c").alias("k")))
+    members = materialize(salted_join(members, middle, ["key"], F.col("fp")).filter("fp <> centre"), "stars")
+    pairs = materialize(members.filter(_possible(percent)).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
                         .distinct(), "pairs")
     links = _verified(pairs, sets, percent)
     label = materialize(components(links), "labels")
-    rest, pivots = members.select("key", "fp", "n"), FIRST_PIVOTS
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while True:
-        at = rest.join(label.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
-            "component", F.coalesce("component", "fp"))
-        at = materialize(at, "at")
-        mixed = (at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
-                 .agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-                 .filter("parts > 1").select("key", F.col("top.component").alias("largest")))
-        rest, left = materialize(salted_join(at, mixed, ["key"], F.col("fp")), "mixed", count=True)
-        if not left:
-            break
-        order = F.row_number().over(_by_key())
-        chosen = materialize(rest.filter("component <> largest").withColumn("r", order).filter(F.col("r") <= pivots)
-                             .select("key", F.col("fp").alias("pivot"), F.col("n").alias("m"),
-                                     F.col("component").alias("other")), "pivots")
-        fresh = (salted_join(rest, chosen, ["key"], F.col("fp"))
-                 .filter(F.col("component") != F.col("other")).filter(_similar(percent))
-                 .select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct())
-        fresh, n = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "fresh", count=True)
-        if n:
-            found = _verified(fresh, sets, percent)
-            names = label.select("node", "component")
-            moved = (found.join(names.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
-                     .join(names.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-                     .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-            joint = materialize(components(moved), "joint")
-            up = joint.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            old = label.join(up, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            label = materialize(old.union(joint.join(label, "node", "left_anti")), "labels")
-            tried = tried.union(fresh)
-        rest = rest.join(chosen.select("key", F.col("pivot").alias("fp")), ["key", "fp"], "left_anti").select(
-            "key", "fp", "n")
-        pivots *= 2
+    found = materialize(_family_links(members, label, sets, percent), "found")
+    joint = materialize(components(found), "joint")
+    up = joint.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = label.join(up, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    label = materialize(old.union(joint.join(label, "node", "left_anti")), "labels")
 
-    # smallest id of each component, then back to every row
     named = classes.select("fp", "id").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
-    named = materialize(named, "named")
-    least = named.groupBy("component").agg(F.min("id").alias("least"))
-    ids = salted_join(named, least, ["component"], F.col("fp")).select("fp", "least")
-    light = own.select("id", "n", "fp")
-    linked = salted_join(light.filter("n > 0"), ids, ["fp"], F.coalesce("id", F.lit(0)), salts=4).select("id", "n", "least")
-    alone = light.filter("n = 0").select("id", "n", F.col("id").alias("least"))
-    return linked.union(alone).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"),
-        F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
-
-
-def _by_key():
-    from pyspark.sql import Window
-    return Window.partitionBy("key").orderBy("fp")
+    return own.drop("bands"), materialize(named, "named")
 
 
 def op4_near_duplicates(spark, sf_dir):
