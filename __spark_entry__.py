@@ -103,10 +103,9 @@ def _unexpected_values() -> str:
         parts.append(
             f"SELECT '{t}' AS model, '{c}' AS column_name, CAST(k AS BIGINT) AS unexpected_count, "
             f"CASE WHEN k = 0 THEN 'PASS' ELSE 'WARN' END AS status, "
-            f"CASE WHEN k = 0 THEN 'No unexpected values found' ELSE CAST(k AS VARCHAR) || "
-            f"' unexpected value(s): ' || s END AS detail "
-            f"FROM (SELECT COUNT(*) AS k, string_agg('''' || CAST(v AS VARCHAR) || ''' (' || "
-            f"{O.fmt_int('n')} || ' rows)', ', ' ORDER BY n DESC, v) AS s FROM "
+            f"CASE WHEN k = 0 THEN 'No unexpected values found' ELSE {O.fmt_int('k')} || "
+            f"' unexpected value(s) in ' || {O.fmt_int('r')} || ' rows' END AS detail "
+            f"FROM (SELECT COUNT(*) AS k, coalesce(SUM(n), 0) AS r FROM "
             f"(SELECT {c} AS v, COUNT(*) AS n FROM {t} WHERE {c} NOT IN ({lst}) AND {c} IS NOT NULL "
             f"GROUP BY {c}))")
     return "\nUNION ALL\n".join(parts)
@@ -172,15 +171,16 @@ _EDGE_SQL = f"""ec AS (
   FROM (SELECT d, u, ROUND(100.0 * u / d, 1) AS p FROM (SELECT COUNT(*) AS d,
         SUM(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS u FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id))
   UNION ALL
-  SELECT 3, 'orders', true, string_agg(o_orderstatus || ': ' || {_fmt_num('n')} || ' (' || {_fmt_num('p')} || '%)',
-         ' · ' ORDER BY n DESC, o_orderstatus), COUNT(*)
-  FROM (SELECT o_orderstatus, COUNT(*) AS n, ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (), 1) AS p
-        FROM orders GROUP BY o_orderstatus)
+  SELECT 3, 'orders', COUNT(*) > 0, {O.fmt_int('COUNT(*)')} || ' rows returned', COUNT(*)
+  FROM (SELECT o_orderstatus FROM orders GROUP BY o_orderstatus)
   UNION ALL
   SELECT 4, 'lineitem', (q > 0 OR s > 0), {_fmt_num('q')} || ' negative quantities · ' || {_fmt_num('s')} || ' spread', 1
   FROM (SELECT COUNT(CASE WHEN l_quantity < 0 THEN 1 END) AS q, MIN(l_quantity) - MAX(l_quantity) AS s FROM lineitem)
   UNION ALL
-  SELECT 5, 'events', CASE WHEN v IS NULL THEN true ELSE v > 0 END, {_fmt_num('v')} || ' negative value', 1
+  SELECT 5, 'lineitem', COUNT(*) > 0, {O.fmt_int('COUNT(*)')} || ' rows returned', COUNT(*)
+  FROM (SELECT l_suppkey FROM lineitem GROUP BY l_suppkey)
+  UNION ALL
+  SELECT 6, 'events', CASE WHEN v IS NULL THEN true ELSE v > 0 END, {_fmt_num('v')} || ' negative value', 1
   FROM (SELECT MAX(CASE WHEN value < 0 THEN value END) AS v FROM events)
 )"""
 
@@ -193,7 +193,8 @@ def _edge_case_run() -> str:
 
 
 def _verdict_merge() -> str:
-    vals = ", ".join(f"({i}, '{t}', '{s}', {k})" for k, (i, t, s) in enumerate(S.VERDICTS))
+    rows = [(b, k, *v) for b, batch in enumerate((S.VERDICTS, S.MORE_VERDICTS)) for k, v in enumerate(batch)]
+    vals = ", ".join(f"({i}, {O.q(t)}, '{s}', {1000 * b + k})" for b, k, i, t, s in rows)
     return (f"WITH {_EDGE_SQL}, v(idx, verdict, status, ord) AS (VALUES {vals}), "
             f"g AS (SELECT idx, arg_max(verdict, ord) AS verdict, arg_max(status, ord) AS verdict_status, "
             f"bool_or(status IN ('clear', 'expected')) AS clears FROM v GROUP BY idx) "
@@ -202,6 +203,80 @@ def _verdict_merge() -> str:
             f"FROM ec LEFT JOIN g ON ec.idx = g.idx")
 
 
+def _edge_case_rows() -> str:
+    lines = [
+        (0, "SELECT 'result', '{\"dropped_orders\":' || n || '}', CAST(NULL AS VARCHAR) FROM (SELECT COUNT(*) AS n "
+            "FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))"),
+        (0, "SELECT 'sample', '{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}', "
+            "o_orderkey || ': ' || o_orderstatus FROM (SELECT o_orderkey, o_orderstatus FROM orders "
+            "WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderkey LIMIT 5)"),
+        (1, "SELECT 'result', '{\"duplicate_keys\":' || COUNT(*) || '}', NULL FROM (SELECT conv_id FROM conversations "
+            "GROUP BY conv_id, turn HAVING COUNT(*) > 1)"),
+        (2, f"SELECT 'result', '{{\"documents\":' || d || ',\"unlabeled\":' || u || ',\"unlabeled_pct\":' || "
+            f"CAST(CAST(p AS DECIMAL(10,1)) AS VARCHAR) || '}}', d || ': ' || {O.fmt_int('u')} || ' (' || "
+            f"{_fmt_num('p')} || '%)' FROM (SELECT d, u, ROUND(100.0 * u / d, 1) AS p FROM (SELECT COUNT(*) AS d, "
+            f"SUM(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS u FROM documents d LEFT JOIN labels l "
+            f"ON d.doc_id = l.doc_id))"),
+        (3, f"SELECT 'result', '{{\"o_orderstatus\":\"' || o_orderstatus || '\",\"orders\":' || n || ',\"pct\":' || "
+            f"CAST(CAST(p AS DECIMAL(10,1)) AS VARCHAR) || '}}', o_orderstatus || ': ' || {O.fmt_int('n')} || ' (' || "
+            f"{_fmt_num('p')} || '%)' FROM (SELECT o_orderstatus, COUNT(*) AS n, "
+            f"ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (), 1) AS p FROM orders GROUP BY o_orderstatus)"),
+        (4, f"SELECT 'result', '{{\"negative_quantities\":' || q || ',\"spread\":' || s || '}}', {_fmt_num('q')} || ': ' || "
+            f"{_fmt_num('s')} FROM (SELECT COUNT(CASE WHEN l_quantity < 0 THEN 1 END) AS q, "
+            f"MIN(l_quantity) - MAX(l_quantity) AS s FROM lineitem)"),
+        (5, f"SELECT 'result', '{{\"l_suppkey\":' || l_suppkey || ',\"lines\":' || n || '}}', "
+            f"l_suppkey || ': ' || {O.fmt_int('n')} FROM (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey)"),
+        (6, "SELECT 'result', '{\"negative_value\":' || coalesce(CAST(v AS VARCHAR), 'null') || '}', NULL FROM "
+            "(SELECT MAX(CASE WHEN value < 0 THEN value END) AS v FROM events)"),
+    ]
+    return "\nUNION ALL\n".join(f"SELECT CAST({i} AS BIGINT) AS \"index\", * FROM ({q}) t(kind, \"row\", \"text\")"
+                                for i, q in lines)
+
+
+def _mixed_fk() -> str:
+    li = ("(SELECT l_orderkey + CASE WHEN l_linenumber = 2 THEN 0.5 ELSE 0 END AS order_ref, l_suppkey AS supp_ref, "
+          "l_partkey AS part_ref FROM lineitem)")
+    parts = []
+    for parent, key, pkey in (("orders", "order_ref", "o_orderkey"), ("supplier", "supp_ref", "s_suppkey"),
+                              ("part", "part_ref", "p_partkey")):
+        parts.append(
+            f"SELECT '{parent}' AS parent_model, '{key}' AS join_keys, CAST(c AS BIGINT) AS child_rows, "
+            f"CAST(m AS BIGINT) AS matched_rows, CAST(p AS DOUBLE) AS match_pct, CASE WHEN p / 100.0 < 0.95 THEN 'FAIL' "
+            f"WHEN p / 100.0 < 0.99 THEN 'WARN' ELSE 'PASS' END AS status, {O.fmt_int('m')} || '/' || {O.fmt_int('c')} || "
+            f"' rows match {parent} (' || {O.pct_txt('p', 2)} || '%)' AS detail FROM (SELECT c, m, "
+            f"ROUND(m * 100.0 / c, 2) AS p FROM (SELECT COUNT(*) AS c, COUNT(p.{pkey}) AS m FROM {li} c "
+            f"LEFT JOIN {parent} p ON c.{key} = p.{pkey}))")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _value_rows() -> str:
+    types = {"l_suppkey": "BIGINT", "p_size": "INTEGER"}
+    parts = []
+    for t, columns in S.VALUE_TARGETS.items():
+        for c, acc in columns.items():
+            off = "v IS NOT NULL" if not acc else f"v IS NOT NULL AND v NOT IN ({O.accepted_list(acc, types.get(c))})"
+            parts.append(f"SELECT '{t}' AS model, '{c}' AS column_name, CAST(v AS VARCHAR) AS value, CAST(n AS BIGINT) AS "
+                         f"row_count, {off} AS unexpected FROM (SELECT {c} AS v, COUNT(*) AS n FROM {t} GROUP BY {c})")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _upper_review() -> str:
+    t = "(SELECT o_orderkey AS O_ORDERKEY, nullif(o_orderstatus, 'P') AS O_CLERK, o_orderstatus AS O_ORDERSTATUS, " \
+        "o_orderpriority AS O_ORDERPRIORITY FROM orders)"
+    m = "orders"
+    parts = [O.pk_sql(0, m, t, "O_ORDERKEY"), O.null_sql(1, m, t, "O_CLERK"),
+             f"SELECT {O.head(2, m, 'grain', 'null_rate', 'HIGH', '')}, 'FAIL' AS status, "
+             f"'SQL error: column o_missing not found in wh.ORDERS' AS detail, 'o_missing' AS target",
+             O.dist_sql(3, m, t, "O_ORDERSTATUS"), O.unexpected_sql(4, m, t, "O_ORDERSTATUS", ["F", "O"]),
+             O.dist_sql(5, m, t, "O_ORDERPRIORITY"), O.unexpected_sql(6, m, t, "O_ORDERPRIORITY", ["x"]),
+             O.rowcount_sql(7, m, t),
+             O.fk_sql(8, "lineitem", "lineitem", "orders", t, ["l_orderkey"], ["O_ORDERKEY"]),
+             O.rowcount_sql(9, "lineitem", "lineitem")]
+    low = {"O_ORDERKEY", "O_CLERK", "O_ORDERSTATUS", "O_ORDERPRIORITY"}
+    return ("SELECT * REPLACE (CASE WHEN target IN (" + ", ".join(O.q(x) for x in sorted(low))
+            + ") THEN lower(target) ELSE target END AS target) FROM (" + "\nUNION ALL\n".join(parts) + ")")
+
+
 def oracle_sql() -> dict[str, str]:
     return {**_table_sql(), **_llm()[1]}
 
@@ -279,4 +354,8 @@ def _table_sql() -> dict[str, str]:
             "CAST((SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS BIGINT) AS rows_gained"),
         "edge_case_run": _edge_case_run(),
         "verdict_merge": _verdict_merge(),
+        "edge_case_rows": _edge_case_rows(),
+        "mixed_fk_match_rate": _mixed_fk(),
+        "unexpected_value_rows": _value_rows(),
+        "upper_case_review": _upper_review(),
     }

@@ -65,10 +65,9 @@ def accepted_list(values, sql_type: str | None) -> str:
 def unexpected_sql(ordinal, model, table, col, values, sql_type=None) -> str:
     return (f"SELECT {head(ordinal, model, 'distribution', 'unexpected_values', 'HIGH', col)}, "
             f"CASE WHEN k = 0 THEN 'PASS' ELSE 'WARN' END AS status, "
-            f"CASE WHEN k = 0 THEN 'No unexpected values found' ELSE CAST(k AS VARCHAR) || "
-            f"' unexpected value(s): ' || s END AS detail, {q(col)} AS target "
-            f"FROM (SELECT COUNT(*) AS k, string_agg('''' || CAST(v AS VARCHAR) || ''' (' || "
-            f"{fmt_int('n')} || ' rows)', ', ' ORDER BY n DESC, v) AS s FROM "
+            f"CASE WHEN k = 0 THEN 'No unexpected values found' ELSE {fmt_int('k')} || "
+            f"' unexpected value(s) in ' || {fmt_int('r')} || ' rows' END AS detail, {q(col)} AS target "
+            f"FROM (SELECT COUNT(*) AS k, coalesce(SUM(n), 0) AS r FROM "
             f"(SELECT {col} AS v, COUNT(*) AS n FROM {table} WHERE {col} NOT IN "
             f"({accepted_list(values, sql_type)}) AND {col} IS NOT NULL GROUP BY {col}))")
 
@@ -118,8 +117,9 @@ def demo_review_sql() -> str:
                 last[r[2]] = r
         seen = set()
         for r in mine:
-            if r[1] == "accepted_values" and r[2] not in seen and last[r[2]] is r:
-                seen.add(r[2])
+            if r[1] == "accepted_values" and r[2] not in seen:
+                seen.add(r[2])                 # the last rule's values at the first one's place
+                r = last[r[2]]
                 parts.append(dist_sql(k, name, t, r[2])); k += 1
                 parts.append(unexpected_sql(k, name, t, r[2], r[3],
                                             D.ACCEPTED_TYPES.get((name, r[2])))); k += 1

@@ -11,10 +11,6 @@ from dataclasses import dataclass, field
 SAMPLE_LIMIT = 5
 BLAST_MAX_DEPTH = 10
 
-# Unexpected values named in a check's detail text (most frequent first);
-# the count in the text is exact and the full set stays a DataFrame.
-LISTED_VALUES = 100
-
 # Grouped columns per fused table scan: GROUPING SETS copies each row once
 # per set before partial aggregation, so wide rule sets are split into
 # several scans of at most this many sets.

@@ -5,11 +5,11 @@ from preflight.functions.text import (
     ref_names,
 )
 from preflight.functions.columns import (
-    sample_columns, status_rank, importance_rank, verdict_rank, typed_literals,
+    sample_columns, status_rank, importance_rank, verdict_rank, outside, resolve_column,
 )
 
 __all__ = [
     "int_text", "pct_text", "rounded_pct", "value_text", "number_text",
     "file_stem", "ref_names", "sample_columns", "status_rank",
-    "importance_rank", "verdict_rank", "typed_literals",
+    "importance_rank", "verdict_rank", "outside, resolve_column",
 ]

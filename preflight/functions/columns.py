@@ -48,19 +48,33 @@ def verdict_rank(c="verdict_status") -> Column:
     return _rank(F.col(c) if isinstance(c, str) else c, VERDICT_ORDER, 2)
 
 
-def typed_literals(values, dtype: T.DataType) -> Column:
-    """Accepted values (text) as an array literal of the column type.
+def outside(c: Column, values, dtype: T.DataType) -> Column:
+    """Non-NULL and none of the accepted values (text), compared in the
+    column's type.
 
     A value that does not convert (``'zz'`` for an integer column) becomes
-    NULL through ``try_cast`` and ``array_compact`` drops it, so it matches
-    nothing and never raises a cast error (a NULL inside ``NOT IN`` would
-    make every row unknown).  Catalyst folds the whole expression to one
-    literal array."""
-    items = []
-    for v in values:
-        text = "True" if v is True else "False" if v is False else str(v)
-        lit = F.lit(text)
-        items.append(lit if isinstance(dtype, T.StringType) else lit.try_cast(dtype))
-    if not items:
-        return F.array().cast(T.ArrayType(dtype))
-    return F.array_compact(F.array(*items))
+    NULL through ``try_cast`` and stands for one that does convert; if none
+    does, every non-NULL value is outside.  All of this folds to ``NOT IN``
+    over literals, which reaches the scan."""
+    if not isinstance(dtype, T.AtomicType):
+        raise ValueError(f"accepted values need a column of a simple type, not {dtype.simpleString()}")
+    texts = ["True" if v is True else "False" if v is False else str(v) for v in values]
+    if not texts:
+        return c.isNotNull()
+    if isinstance(dtype, T.StringType):
+        return c.isNotNull() & ~c.isin(*texts)
+    typed = [F.lit(x).try_cast(dtype) for x in texts]
+    some = F.coalesce(*typed)
+    return c.isNotNull() & (some.isNull() | ~c.isin(*[F.coalesce(x, some) for x in typed]))
+
+
+def resolve_column(columns: list[str], name: str, case_sensitive: bool) -> str | None:
+    """The column that a rule's ``name`` means, following the session's
+    ``spark.sql.caseSensitive``; None when there is none, an error when
+    two differ in case only and neither is spelled like it."""
+    if name in columns or case_sensitive:
+        return name if name in columns else None
+    found = [c for c in columns if c.lower() == name.lower()]
+    if len(found) > 1:
+        raise ValueError(f"column {name} is ambiguous: {', '.join(found)}")
+    return found[0] if found else None

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from preflight.config import SAMPLE_LIMIT
-from preflight.functions.columns import typed_literals
+from preflight.functions.columns import outside
 from preflight.functions.text import rounded_pct
 
 
@@ -47,18 +48,18 @@ def table_profile(df: DataFrame, null_columns: list[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def null_rate_from_profile(profile: DataFrame, column: str, i: int) -> DataFrame:
-    """``column_name, total_rows, null_count, null_pct`` for the i-th
-    profiled column."""
-    return profile.select(
-        F.lit(column).alias("column_name"),
-        F.col("row_count").alias("total_rows"),
-        F.col(f"null_count_{i}").alias("null_count"),
-    ).withColumn("null_pct", rounded_pct("null_count", "total_rows", 4))
+def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_name, total_rows, null_count, null_pct`` of every listed column,
+    from one scan."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"null_count_{i}").alias("null_count"))
+                              for i, c in enumerate(columns)]))
+    return (table_profile(df, columns).select(F.col("row_count").alias("total_rows"), each)
+            .select("column_name", "total_rows", "null_count")
+            .withColumn("null_pct", rounded_pct("null_count", "total_rows", 4)))
 
 
 def null_rate(df: DataFrame, column: str) -> DataFrame:
-    return null_rate_from_profile(table_profile(df, [column]), column, 0)
+    return null_rates(df, [column])
 
 
 def null_sample(df: DataFrame, column: str, columns: list[str] | None = None,
@@ -130,41 +131,65 @@ def unexpected_values(df: DataFrame, column: str, accepted,
     the filter runs on the rows before grouping, so only unexpected rows
     reach the shuffle."""
     dtype = dtype if dtype is not None else df.schema[column].dataType
-    allowed = typed_literals(accepted, dtype)
-
-    def bad(c):
-        return c.isNotNull() & ~F.coalesce(F.array_contains(allowed, c), F.lit(False))
-
     if groups is None:
-        return (df.filter(bad(qcol(column)))
+        return (df.filter(outside(qcol(column), accepted, dtype))
                   .groupBy(qcol(column).alias("unexpected_value"))
                   .agg(F.count(F.lit(1)).alias("row_count")))
     v = F.col("value")
-    return groups.filter(bad(v)).select(v.alias("unexpected_value"), "row_count")
+    return groups.filter(outside(v, accepted, dtype)).select(v.alias("unexpected_value"), "row_count")
 
 
 # ── A6 / J1 / J2: referential integrity ───────────────────────────────────
 
+def comparison_types(child: DataFrame, parent: DataFrame, keys: list[str],
+                     parent_keys: list[str]) -> list:
+    """Per key, the type in which Spark's ``=`` compares the two sides; None
+    where they are of one type already.  Text is compared as the other
+    side's type (whole numbers as BIGINT); of other pairs both sides are
+    widened.  Neither side is ever narrowed."""
+    out = []
+    for k, pk in zip(keys, parent_keys):
+        a, b = child.select(qcol(k)).schema[0].dataType, parent.select(qcol(pk)).schema[0].dataType
+        if a == b:
+            out.append(None)
+        elif isinstance(a, T.StringType) or isinstance(b, T.StringType):
+            other = b if isinstance(a, T.StringType) else a
+            out.append(T.LongType() if isinstance(other, T.IntegralType) else other)
+        else:
+            both = child.sparkSession.range(0).select(
+                F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)).alias("x"))
+            out.append(both.schema[0].dataType)
+    return out
+
+
 def side_counts(child: DataFrame, parent: DataFrame, keys: list[str],
-                parent_keys: list[str] | None = None, extra: dict | None = None) -> DataFrame:
+                parent_keys: list[str] | None = None, extra: dict | None = None,
+                grouped: DataFrame | None = None) -> DataFrame:
     """Per child key: ``<keys>, n`` (child rows) and ``m`` (parent rows with
     that key; NULL when there are none or a key part is NULL — an
     equi-join never matches those), plus ``extra`` sums over parent rows.
 
-    No join: both sides' keys are unioned with a side tag and grouped
-    once.  Partial aggregation runs on each side before the single
-    shuffle, so a key holding a third of either table is one row per task.
-    Parent keys are converted to the child key types (``try_cast``: a value
-    that does not convert matches nothing)."""
+    Keys of one type on both sides: no join.  Both sides' keys are unioned
+    with a side tag and grouped once.  Partial aggregation runs on each side
+    before the single shuffle, so a key holding a third of either table is
+    one row per task.
+
+    Keys of different types are compared as Spark's ``=`` compares them
+    (``comparison_types``): each side is grouped by its own key first, then
+    the grouped keys are joined in the comparison type; a value that does not
+    convert matches nothing.  Child keys keep their own type.  So it is with
+    ``grouped``, the child's ``<keys>, n`` if they are there already."""
     pkeys = list(parent_keys or keys)
-    types = {f.name: f.dataType for f in child.schema.fields}
     extra = extra or {}
+    types = comparison_types(child, parent, keys, pkeys)
+    if grouped is not None or any(types):
+        return _joined_counts(child, parent, keys, pkeys, extra, types, grouped)
     c = child.select(*[qcol(k) for k in keys], F.lit(1).alias("__c"), F.lit(0).alias("__p"),
                      *[F.lit(0).cast("long").alias(x) for x in extra])
-    p = parent.select(*[qcol(pk).try_cast(types[k]).alias(k) for k, pk in zip(keys, pkeys)],
+    p = parent.select(*[qcol(pk).alias(k) for k, pk in zip(keys, pkeys)],
                       F.lit(0).alias("__c"), F.lit(1).alias("__p"),
                       *[e.cast("long").alias(x) for x, e in extra.items()])
-    g = (c.unionByName(p).groupBy(*[qcol(k) for k in keys])
+    g = (c.union(p).groupBy(*[qcol(k) for k in keys])
          .agg(F.sum("__c").cast("long").alias("n"), F.sum("__p").cast("long").alias("m"),
               *[F.sum(x).cast("long").alias(x) for x in extra]))
     whole = None
@@ -176,12 +201,29 @@ def side_counts(child: DataFrame, parent: DataFrame, keys: list[str],
         *[F.when(matched, F.col(x)).alias(x) for x in extra])
 
 
+def _joined_counts(child, parent, keys, pkeys, extra, types, grouped) -> DataFrame:
+    def compared(column, own, to):
+        return qcol(column) if to is None or own == to else qcol(column).try_cast(to)
+
+    names = [f"__k{i}" for i in range(len(keys))]
+    ctypes = [child.select(qcol(k)).schema[0].dataType for k in keys]
+    ptypes = [parent.select(qcol(k)).schema[0].dataType for k in pkeys]
+    if grouped is None:
+        grouped = child.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    c = (grouped
+         .withColumns({x: compared(k, own, to) for x, k, own, to in zip(names, keys, ctypes, types)}))
+    p = (parent.select(*[compared(k, own, to).alias(x) for x, k, own, to in zip(names, pkeys, ptypes, types)],
+                       *[e.cast("long").alias(x) for x, e in extra.items()])
+         .groupBy(*names).agg(F.count(F.lit(1)).alias("m"), *[F.sum(x).cast("long").alias(x) for x in extra]))
+    return c.join(p, names, "left").select(*[qcol(k) for k in keys], "n", "m", *extra)
+
+
 def fk_groups(child: DataFrame, parent: DataFrame, keys: list[str],
-              parent_keys: list[str] | None = None) -> DataFrame:
+              parent_keys: list[str] | None = None, grouped: DataFrame | None = None) -> DataFrame:
     """Child keys with their row count ``n`` and the parent row count ``m``
     of the same key (NULL when unmatched).  ``parent_keys`` default to the
     child names."""
-    return side_counts(child, parent, keys, parent_keys)
+    return side_counts(child, parent, keys, parent_keys, None, grouped)
 
 
 def fk_match_rate(child: DataFrame, parent: DataFrame, keys: list[str],

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from preflight.config import LISTED_VALUES, Thresholds
+from preflight.config import Thresholds
 from preflight.functions.text import int_text, pct_text, rounded_pct
-from preflight.operators.checks import qcol, unexpected_values
-from preflight.operators.grade import FAIL, NO_ROWS, PASS, WARN, unexpected_listing
+from preflight.functions.columns import outside
+from preflight.operators.checks import qcol
+from preflight.operators.grade import FAIL, NO_ROWS, PASS, WARN
 
 GROUPED = ("pk_duplicates", "value_distribution", "unexpected_values")
 FUSED = GROUPED + ("null_rate", "row_count")
@@ -34,20 +35,20 @@ METRICS = T.StructType([
     T.StructField("duplicate_count", T.LongType()),
     T.StructField("distinct_values", T.LongType()),
     T.StructField("unexpected_count", T.LongType()),
-    T.StructField("unexpected_text", T.StringType()),
+    T.StructField("unexpected_rows", T.LongType()),
 ])
 
 
-def grouped_counts(df: DataFrame, sets, null_columns) -> tuple[DataFrame, list[str]]:
+def grouped_counts(df: DataFrame, sets, null_columns, total: bool = True) -> tuple[DataFrame, list[str]]:
     """``<columns>, n, null_count_<i>…, gid`` — one GROUPING SETS aggregate
-    over ``sets`` plus the empty set (whole-table counts)."""
+    over ``sets`` plus, with ``total``, the empty set (whole-table counts)."""
     sets = list(dict.fromkeys(tuple(s) for s in sets if s))
     columns = list(dict.fromkeys(c for s in sets for c in s))
     nulls = [F.sum(F.when(qcol(c).isNull(), F.lit(1)).otherwise(F.lit(0))).cast("long")
              .alias(f"null_count_{i}") for i, c in enumerate(null_columns)]
     n = F.count(F.lit(1)).alias("n")
     if sets:
-        frame = (df.groupingSets([[qcol(c) for c in s] for s in sets] + [[]],
+        frame = (df.groupingSets([[qcol(c) for c in s] for s in sets] + [[]] * total,
                                  *[qcol(c) for c in columns])
                  .agg(n, *nulls, F.grouping_id().cast("long").alias("gid")))
     else:
@@ -84,27 +85,42 @@ def _accepted_sql(values, dtype: T.DataType) -> str:
         f"try_cast({text_literal(x)} AS {t})" for x in texts) + "))"
 
 
-def table_checks(df: DataFrame, specs, schema, limit: int = LISTED_VALUES) -> DataFrame:
+def check_sets(specs) -> tuple[list[tuple], list[str]]:
+    """Grouping sets and NULL-counted columns that ``specs`` need."""
+    nulls = list(dict.fromkeys(s.column for s in specs if s.check == "null_rate"))
+    sets = [(s.column,) for s in specs if s.check in GROUPED]
+    sets += [tuple(s.keys) for s in specs if s.check == "fk_match_rate"]
+    return list(dict.fromkeys(sets)), nulls
+
+
+def set_rows(frame: DataFrame, columns: list[str], keys) -> DataFrame:
+    """``<keys>, n`` — the groups of one grouping set."""
+    return frame.filter(F.col("gid") == _gid(columns, tuple(keys))).select(*[qcol(k) for k in keys], "n")
+
+
+def table_checks(df: DataFrame, specs, schema, grouped=None) -> DataFrame:
     """``METRICS`` rows, one per check in ``specs`` (kinds in ``FUSED``),
-    from one scan and one shuffle of ``df``.
+    from one scan and one shuffle of ``df``.  ``grouped``: the result of
+    ``grouped_counts`` for these checks and more, to share it.
 
     The per-check metrics are one global aggregate over the grouping-sets
     result and the per-check rows one ``stack``; both are written as Spark
     SQL expressions so a table's plan is parsed once (building the same
     from thousands of Column calls costs seconds of driver round-trips)."""
-    null_cols = list(dict.fromkeys(s.column for s in specs if s.check == "null_rate"))
-    sets = [(s.column,) for s in specs if s.check in GROUPED]
-    frame, columns = grouped_counts(df, sets, null_cols)
+    if grouped is None:
+        sets, null_cols = check_sets(specs)
+        grouped = (*grouped_counts(df, sets, null_cols), null_cols)
+    frame, columns, null_cols = grouped
     everything = f"gid = {_gid(columns, ())}"
     aggs = [f"max(CASE WHEN {everything} THEN n END) AS rows"]
     aggs += [f"max(CASE WHEN {everything} THEN null_count_{i} END) AS nulls_{i}"
              for i in range(len(null_cols))]
-    rows, listings = [], {}
+    rows = []
     for s in specs:
         o = s.ordinal
         name = text_literal(s.column or "")
         vals = {"total_rows": "rows", "null_count": "NULL", "duplicate_count": "NULL",
-                "distinct_values": "NULL", "unexpected_count": "NULL", "unexpected_text": "NULL"}
+                "distinct_values": "NULL", "unexpected_count": "NULL", "unexpected_rows": "NULL"}
         if s.check in GROUPED:
             c = ident(s.column)
             mine = f"gid = {_gid(columns, (s.column,))}"
@@ -123,24 +139,36 @@ def table_checks(df: DataFrame, specs, schema, limit: int = LISTED_VALUES) -> Da
             bad = (f"{mine} AND {c} IS NOT NULL AND NOT coalesce(array_contains("
                    f"{_accepted_sql(s.accepted or (), dtype)}, {c}), false)")
             aggs.append(f"count(CASE WHEN {bad} THEN 1 END) AS u{o}")
-            # the named values: a bounded top-k over the column's unexpected
-            # groups, joined in as a scalar subquery
-            listings[o] = unexpected_listing(
-                unexpected_values(df, s.column, s.accepted or (), None, dtype), dtype, limit)
+            aggs.append(f"sum(CASE WHEN {bad} THEN n END) AS v{o}")
             vals["unexpected_count"] = f"u{o}"
-            vals["unexpected_text"] = (
-                f"concat(l{o}, CASE WHEN u{o} > {limit} THEN concat(', … (', "
-                f"format_number(u{o} - {limit}, 0), ' more)') ELSE '' END)")
+            vals["unexpected_rows"] = f"coalesce(v{o}, 0)"
         fields = [f"CAST({o} AS INT)", text_literal(s.check), name]
         fields += [f"CAST({v} AS {METRICS[k].dataType.simpleString()})" for k, v in vals.items()]
         rows.append(", ".join(fields))
     m = frame.selectExpr(*aggs)
-    if listings:
-        m = m.withColumns({f"l{o}": lst.scalar() for o, lst in listings.items()})
     names = ", ".join(f.name for f in METRICS.fields)
     return m.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS ({names})")
 
 
+def value_rows(df: DataFrame, columns: dict, schema) -> DataFrame:
+    """``column_name, value, row_count, unexpected`` — every distinct value of
+    every column in ``columns`` (name -> accepted values, None: any) with its
+    rows and whether it is outside the accepted ones; one scan, one shuffle."""
+    names = list(columns)
+    frame, order = grouped_counts(df, [(c,) for c in names], [], total=False)
+    gid = F.col("gid")
+    name = value = bad = None
+    for c in names:
+        mine = gid == _gid(order, (c,))
+        text = qcol(c).cast("string")
+        off = F.lit(False) if columns[c] is None else outside(qcol(c), columns[c], schema[c].dataType)
+        name = F.when(mine, F.lit(c)) if name is None else name.when(mine, F.lit(c))
+        value = F.when(mine, text) if value is None else value.when(mine, text)
+        bad = F.when(mine, off) if bad is None else bad.when(mine, off)
+    return frame.select(name.alias("column_name"), value.alias("value"), F.col("n").alias("row_count"),
+                        bad.alias("unexpected"))
+
+
 _GRADE: dict = {}
 
 
@@ -172,8 +200,8 @@ def graded(metrics: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
                                  pct_text(pct, 4), F.lit("%) out of "), int_text(total),
                                  F.lit(" rows"))))
                   .when(kind == "unexpected_values", F.when(k == 0, F.lit("No unexpected values found"))
-                        .otherwise(F.concat(k.cast("string"), F.lit(" unexpected value(s): "),
-                                            F.col("unexpected_text"))))
+                        .otherwise(F.concat(int_text(k), F.lit(" unexpected value(s) in "),
+                                            int_text("unexpected_rows"), F.lit(" rows"))))
                   .otherwise(F.concat(F.col("distinct_values").cast("string"),
                                       F.lit(" distinct values in "), col)))
         _GRADE[t] = (status.alias("status"), detail.alias("detail"))

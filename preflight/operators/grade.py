@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from preflight.config import LISTED_VALUES, Thresholds
-from preflight.functions.text import int_text, pct_text, value_text
+from preflight.config import Thresholds
+from preflight.functions.text import int_text, pct_text
 
+# The words of a result, and those of the details below.
 PASS, WARN, FAIL, SKIP = "PASS", "WARN", "FAIL", "SKIP"
 NO_ROWS = "no rows"
 
@@ -97,40 +98,17 @@ def grade_row_count(m: DataFrame) -> DataFrame:
     return m.withColumns(row_count_exprs())
 
 
-def unexpected_listing(u: DataFrame, dtype, limit: int = LISTED_VALUES) -> DataFrame:
-    """One row, ``listed``: the ``limit`` most frequent unexpected values as
-    ``'v' (n rows), …`` (count desc, value asc).  A top-k
-    (``TakeOrderedAndProject``) keeps at most ``limit`` rows per task, so
-    no task or row ever holds the whole value set."""
-    top = (u.orderBy(F.col("row_count").desc(), F.col("unexpected_value").asc())
-            .limit(limit))
-    entry = F.struct((-F.col("row_count")).alias("neg"), F.col("unexpected_value").alias("typed"),
-                     F.col("row_count").alias("n"))
-    return top.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(entry)),
-        lambda x: F.concat(F.lit("'"), value_text(x["typed"], dtype), F.lit("' ("),
-                           F.format_number(x["n"], 0), F.lit(" rows)"))), ", ").alias("listed"))
-
-
-def unexpected_detail(k: Column, listed: Column, limit: int = LISTED_VALUES) -> Column:
-    more = F.when(k > limit, F.concat(F.lit(", … ("), F.format_number(k - limit, 0),
-                                      F.lit(" more)"))).otherwise(F.lit(""))
-    return F.when(k == 0, F.lit("No unexpected values found")).otherwise(
-        F.concat(k.cast("string"), F.lit(" unexpected value(s): "), listed, more))
-
-
-def grade_unexpected_values(u: DataFrame, limit: int = LISTED_VALUES) -> DataFrame:
+def grade_unexpected_values(u: DataFrame) -> DataFrame:
     """One row from the unexpected-value groups: PASS when none, else WARN
-    naming the values with their counts, count desc then value asc.  The
-    global aggregate yields its row even when there are no groups."""
-    dtype = u.schema["unexpected_value"].dataType
-    listed = unexpected_listing(u, dtype, limit)
-    k = F.col("unexpected_count")
-    return (u.agg(F.count(F.lit(1)).alias("unexpected_count"))
-             .withColumn("listed", listed.scalar())
-             .select("unexpected_count",
-                     F.when(k == 0, PASS).otherwise(WARN).alias("status"),
-                     unexpected_detail(k, F.col("listed"), limit).alias("detail")))
+    with the number of values and of their rows.  The values themselves are a
+    table of their own (``fused.value_rows``): their number has no bound."""
+    k, n = F.col("unexpected_count"), F.col("unexpected_rows")
+    return (u.agg(F.count(F.lit(1)).alias("unexpected_count"),
+                  F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("unexpected_rows"))
+             .select("unexpected_count", F.when(k == 0, PASS).otherwise(WARN).alias("status"),
+                     F.when(k == 0, F.lit("No unexpected values found")).otherwise(F.concat(
+                         int_text(k), F.lit(" unexpected value(s) in "), int_text(n), F.lit(" rows")))
+                      .alias("detail")))
 
 
 def distribution_aggs(column: str) -> list[Column]:

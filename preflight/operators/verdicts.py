@@ -3,7 +3,8 @@
 Verdicts arrive as ``index, verdict, status`` rows (a later row for the same
 index wins for text and status).  Any in-range verdict with status clear or
 expected clears ``flagged``, and a later one never sets it back.
-Out-of-range indexes are ignored.  One join against the verdicts grouped
+Out-of-range indexes are ignored; verdicts of an earlier batch stay unless a
+later one replaces them.  One join against the verdicts grouped
 by index; nothing is collected.
 """
 
@@ -20,20 +21,23 @@ CLEARING = ("clear", "expected")
 
 def merge_verdicts(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``results`` has ``index`` and ``flagged``; ``verdicts`` has ``index,
-    verdict, status`` and optionally ``ordinal`` (input order; by default
-    ``monotonically_increasing_id`` of the verdict frame).  Adds
-    ``verdict, verdict_status`` and updates ``flagged``."""
-    v = verdicts
-    if "ordinal" not in v.columns:
-        v = v.withColumn("ordinal", F.monotonically_increasing_id())
-    g = v.groupBy("index").agg(
-        F.max_by("verdict", "ordinal").alias("verdict"),
-        F.max_by("status", "ordinal").alias("verdict_status"),
+    verdict, status, ordinal`` (ordinal: input order).  Adds or updates
+    ``verdict, verdict_status`` and ``flagged``; a result without a new verdict
+    keeps the one it has."""
+    if "ordinal" not in verdicts.columns:
+        raise ValueError("verdicts need an ordinal column (their input order)")
+    g = verdicts.groupBy("index").agg(
+        F.max_by(F.struct("verdict", "status"), "ordinal").alias("_new"),
         F.bool_or(F.col("status").isin(*CLEARING)).alias("_clears"))
-    r = results.drop(*[c for c in ("verdict", "verdict_status") if c in results.columns])
-    j = r.join(g, "index", "left")
-    return (j.withColumn("flagged", F.col("flagged") & ~F.coalesce(F.col("_clears"), F.lit(False)))
-             .drop("_clears"))
+    old = {c: (F.col(c) if c in results.columns else F.lit(None).cast("string"))
+           for c in ("verdict", "verdict_status")}
+    j = results.join(g, "index", "left")
+    fresh = F.col("_new").isNotNull()
+    return j.withColumns({
+        "verdict": F.when(fresh, F.col("_new.verdict")).otherwise(old["verdict"]),
+        "verdict_status": F.when(fresh, F.col("_new.status")).otherwise(old["verdict_status"]),
+        "flagged": F.col("flagged") & ~F.coalesce(F.col("_clears"), F.lit(False)),
+    }).drop("_new", "_clears")
 
 
 def verdict_counts(results: DataFrame, verdicts: DataFrame) -> DataFrame:

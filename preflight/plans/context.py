@@ -97,14 +97,19 @@ def prior_results(last_results: DataFrame | None) -> DataFrame | None:
                            x["detail"].alias("detail"))).alias("existing_results")))
 
 
-def model_context(catalog: Catalog, changed_files: DataFrame, diffs: DataFrame,
+def model_context(catalog: Catalog, changed_files: DataFrame | None, diffs: DataFrame,
                   new_code: DataFrame | None = None, last_results: DataFrame | None = None,
-                  schema_map: dict | None = None) -> DataFrame:
-    """One row per changed model — name, relation (mapped), diff, code,
-    columns, upstream names and tables, downstream names, prior results,
-    ``is_new``."""
+                  schema_map: dict | None = None, models: list[str] | None = None) -> DataFrame:
+    """One row per model — name, relation (mapped), diff, code, columns,
+    upstream names and tables, downstream names, prior results, ``is_new``.
+    The models are the changed ones or, with ``models``, those named, changed
+    or not (unknown names have no row)."""
     spark = catalog.models.sparkSession
-    changed = changed_models(catalog, changed_files)
+    if models is not None:
+        changed = catalog.models_by_name().filter(F.col("name").isin(list(models))).select(
+            F.col("original_file_path").alias("path"), "name", "unique_id", F.lit(False).alias("is_new"))
+    else:
+        changed = changed_models(catalog, changed_files)
     dif = model_diffs(changed, diffs)
     nb = neighbors(catalog, schema_map)
     m = catalog.models.select("unique_id", "relation_name", "raw_code", "columns")
@@ -157,6 +162,8 @@ def status(catalog: Catalog, changed_files: DataFrame, last_summary: dict | None
     if last_summary is not None:
         s = last_summary
         summary = f"{s.get('fail', 0)} FAIL / {s.get('warn', 0)} WARN / {s.get('pass', 0)} PASS"
+        if s.get("timestamp"):
+            summary += f" ({s['timestamp']})"
     return {
         "models": catalog.model_count().collect()[0][0],
         "tests": catalog.test_count().collect()[0][0],

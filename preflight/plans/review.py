@@ -1,24 +1,27 @@
 """R1 — the review: models → blast radius → checks → grade → samples.
 
 Planning happens on the driver over catalog metadata; every check is a
-lazy frame.  All graded checks of a review are one ``union`` and run as
-one action, so Spark schedules the per-table scans and shuffles side by
-side.  Checks on one table share work: row counts, null rates, duplicate
-keys and value domains all come from one ``GROUPING SETS`` aggregate of
-the table (``operators.fused``) — one scan and one shuffle per table; a
-foreign-key check reads only the key columns of its two sides.
-
-Errors are isolated: a missing table or column is found before planning
-and becomes a FAIL row; if the fused action still fails, the review reruns
-check by check and reports the failing ones as FAIL ``SQL error: …``.
-Samples of failing checks are a second, bounded action (≤ ``limit`` rows
-per check).
+lazy frame.  All checks of a table - row counts, NULL rates, duplicate keys,
+value domains, and the child side of its foreign keys - come from one
+``GROUPING SETS`` aggregate of the table (``operators.fused``): one scan and
+one shuffle; a parent's keys are grouped on their own and joined to the
+child's grouped keys.
+
+Errors are isolated.  Columns are resolved against the table's schema as
+Spark resolves them; a missing one, or a check that cannot be planned, is a
+FAIL row.  Each table is one action, all submitted together; if one fails,
+only that table's checks run again, one by one, and the failing ones become
+FAIL ``SQL error: …`` rows.
+
+Samples of failing checks are a second action (≤ ``limit`` rows per check,
+the samples' documented size); the values of accepted-values checks are a
+table of their own (``Review.values``).
 """
 
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,8 @@ from pyspark.sql import types as T
 from preflight.config import MAX_GROUPING_SETS, ReviewOptions, Thresholds
 from preflight.operators import checks as C
 from preflight.operators import grade as G
-from preflight.operators.fused import FUSED, graded, table_checks
+from preflight.functions.columns import resolve_column
+from preflight.operators.fused import FUSED, check_sets, graded, grouped_counts, set_rows, table_checks, value_rows
 from preflight.plans.checks import CheckSpec, plan_checks
 from preflight.sources.catalog import Catalog
 from preflight.sources.tables import TableResolver
@@ -76,11 +80,12 @@ def spec_frame(spark: SparkSession, specs: list[CheckSpec]) -> DataFrame:
 @dataclass
 class BuiltCheck:
     spec: CheckSpec
-    result: DataFrame | None          # graded: ordinal, status, detail
+    result: DataFrame | None          # graded: ordinal, status, detail (of all members)
     sample: object = None             # () -> DataFrame of failing rows, built on demand
     error: str | None = None
-    extra: dict = field(default_factory=dict)
-    shared: bool = False              # graded row is produced by a table-level frame
+    members: list = field(default_factory=list)   # checks whose rows ``result`` holds
+    alone: object = None              # () -> graded frame of this check only
+    table: object = None              # (frame, schema, spec with resolved names)
 
 
 def build_checks(spark: SparkSession, specs: list[CheckSpec], resolver: TableResolver,
@@ -118,77 +123,155 @@ def build_checks(spark: SparkSession, specs: list[CheckSpec], resolver: TableRes
     return [built[s.ordinal] for s in specs]
 
 
+def _resolved(s: CheckSpec, schema, parent_schema, case_sensitive: bool) -> CheckSpec:
+    """``s`` with the names its tables have; a KeyError names what is missing."""
+    def real(name, of, where):
+        got = resolve_column(of.fieldNames(), name, case_sensitive)
+        if got is None:
+            raise KeyError(f"column {name} not found in {where}")
+        return got
+    change = {}
+    if s.column:
+        change["column"] = real(s.column, schema, s.relation)
+    if s.keys:
+        change["keys"] = tuple(real(c, schema, s.relation) for c in s.keys)
+    if s.check == "fk_match_rate":
+        change["parent_keys"] = tuple(real(c, parent_schema, s.parent_relation) for c in s.parent_keys)
+    if s.sample_columns:
+        found = [resolve_column(schema.fieldNames(), c, case_sensitive) for c in s.sample_columns]
+        change["sample_columns"] = tuple(c for c in found if c)
+    return replace(s, **change)
+
+
 def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
                  thresholds: Thresholds, sample_limit: int) -> list[BuiltCheck]:
     got = frames[relation]
     if isinstance(got, Exception):
-        return [BuiltCheck(s, None, error=str(got)) for s in specs]
+        return [BuiltCheck(s, None, error=_short(got)) for s in specs]
     df, schema = got
-    cols = set(schema.fieldNames())
+    case_sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
     built, fused = [], []
     for s in specs:
-        missing = [c for c in ([s.column] if s.column else []) + list(s.keys) if c not in cols]
-        if missing:
-            built.append(BuiltCheck(s, None, error=f"column {missing[0]} not found in {s.relation}"))
-        elif s.check in FUSED:
-            fused.append(s)
-        elif s.check == "fk_match_rate":
-            built.append(_fk_check(s, df, frames, thresholds, sample_limit))
-        else:
-            res = G.grade_rows_returned(df)
-            built.append(BuiltCheck(s, res.select(F.lit(s.ordinal).alias("ordinal"),
-                                                  "status", "detail")))
+        try:
+            pgot = frames.get(s.parent_relation) if s.check == "fk_match_rate" else None
+            if isinstance(pgot, Exception):
+                raise pgot
+            r = _resolved(s, schema, pgot and pgot[1], case_sensitive)
+            alone = _alone(r, df, schema, pgot and pgot[0], thresholds)
+            if s.check in FUSED or s.check == "fk_match_rate":
+                if s.check == "unexpected_values":
+                    alone()                              # plans, or raises
+                fused.append(BuiltCheck(s, None, _sample(r, df, pgot and pgot[0], sample_limit),
+                                        alone=alone, table=(df, schema, r)))
+            else:
+                built.append(BuiltCheck(s, alone(), members=[s], alone=alone))
+        except Exception as e:  # noqa: BLE001 - reported as this check's result
+            built.append(BuiltCheck(s, None, error=e.args[0] if isinstance(e, KeyError) else _short(e)))
     for chunk in _chunks(fused):
-        table = graded(table_checks(df, chunk, schema), thresholds)
-        for i, s in enumerate(chunk):
-            # the chunk's graded rows ride on its first check; the others
-            # only describe themselves (their rows are in it)
-            res = table if i == 0 else None
-            smp, extra = None, ({"members": list(chunk)} if i == 0 else {})
-            if s.check == "null_rate":
-                smp = (lambda s=s: C.null_sample(df, s.column, list(s.sample_columns),
-                                                 sample_limit))
-            elif s.check == "pk_duplicates":
-                smp = (lambda s=s: C.pk_sample(df, s.column, None, sample_limit))
-            elif s.check == "value_distribution":
-                extra = {**extra, "groups": C.value_groups(df, s.column)}
-            elif s.check == "unexpected_values":
-                # every unexpected value with its count (the detail names
-                # the most frequent ones); lazy, distributed
-                extra = {**extra, "unexpected": (lambda s=s: C.unexpected_values(
-                    df, s.column, s.accepted or (), None, schema[s.column].dataType))}
-            built.append(BuiltCheck(s, res, smp, extra=extra, shared=i > 0))
+        try:
+            first, rest = chunk[0], chunk[1:]
+            first.result = _table_result(df, schema, [b.table[2] for b in chunk], frames, thresholds)
+            first.members = [b.spec for b in chunk]
+        except Exception:  # noqa: BLE001 - plan them one by one
+            rest = []
+            for b in chunk:
+                try:
+                    b.result, b.members = b.alone(), [b.spec]
+                except Exception as e:  # noqa: BLE001
+                    b.error = _short(e)
+        built += chunk
     return built
 
 
-def _chunks(fused: list[CheckSpec], limit: int = MAX_GROUPING_SETS) -> list[list[CheckSpec]]:
-    """Split a table's fused checks so no scan carries more than ``limit``
-    grouped columns; checks on one column stay together."""
-    out, cols = [[]], [set()]
-    for s in fused:
-        if s.check in ("pk_duplicates", "value_distribution", "unexpected_values") \
-                and s.column not in cols[-1]:
-            if len(cols[-1]) >= limit:
-                out.append([])
-                cols.append(set())
-            cols[-1].add(s.column)
-        out[-1].append(s)
-    return [c for c in out if c]
+def _table_result(df, schema, specs, frames, thresholds) -> DataFrame:
+    """Graded rows of all checks of one table, from one grouped frame."""
+    sets, nulls = check_sets(specs)
+    grouped = (*grouped_counts(df, sets, nulls), nulls)
+    own = [s for s in specs if s.check in FUSED]
+    out = graded(table_checks(df, own, schema, grouped), thresholds) if own else None
+    for s in specs:
+        if s.check == "fk_match_rate":
+            child = set_rows(grouped[0], grouped[1], s.keys)
+            part = _graded_fk(s, df, frames[s.parent_relation][0], thresholds, child)
+            out = part if out is None else out.union(part)
+    return out
 
 
-def _fk_check(s: CheckSpec, df: DataFrame, frames: dict, thresholds: Thresholds,
-              sample_limit: int) -> BuiltCheck:
-    pgot = frames.get(s.parent_relation)
-    if isinstance(pgot, Exception) or pgot is None:
-        return BuiltCheck(s, None, error=str(pgot))
-    parent, pschema = pgot
-    pmiss = [c for c in s.parent_keys if c not in set(pschema.fieldNames())]
-    if pmiss:
-        return BuiltCheck(s, None, error=f"column {pmiss[0]} not found in {s.parent_relation}")
-    j = C.fk_groups(df, parent, list(s.keys), list(s.parent_keys))
+def _graded_fk(s, df, parent, thresholds, grouped=None) -> DataFrame:
+    j = C.fk_groups(df, parent, list(s.keys), list(s.parent_keys), grouped)
     m = C.fk_match_rate(df, parent, list(s.keys), s.parent, j)
-    return BuiltCheck(s, _graded(s, m, G.fk_exprs(thresholds)),
-                      lambda: C.fk_sample(df, parent, list(s.keys), j, sample_limit))
+    return _graded(s, m, G.fk_exprs(thresholds))
+
+
+def _alone(s: CheckSpec, df, schema, parent, thresholds):
+    """The check on its own, from the standalone operators."""
+    def build() -> DataFrame:
+        if s.check == "fk_match_rate":
+            return _graded_fk(s, df, parent, thresholds)
+        if s.check == "unexpected_values":
+            m = G.grade_unexpected_values(C.unexpected_values(
+                df, s.column, s.accepted or (), None, schema[s.column].dataType))
+        elif s.check == "null_rate":
+            m = G.grade_null_rate(C.null_rate(df, s.column), thresholds)
+        elif s.check == "pk_duplicates":
+            m = G.grade_pk_duplicates(C.pk_duplicates(df, s.column))
+        elif s.check == "value_distribution":
+            m = G.grade_value_distribution(C.value_groups(df, s.column), s.column)
+        elif s.check == "row_count":
+            m = G.grade_row_count(C.row_count(df))
+        else:
+            m = G.grade_rows_returned(df)
+        return m.select(F.lit(s.ordinal).alias("ordinal"), "status", "detail")
+    return build
+
+
+def _sample(s: CheckSpec, df, parent, limit: int):
+    if s.check == "null_rate":
+        return lambda: C.null_sample(df, s.column, list(s.sample_columns), limit)
+    if s.check == "pk_duplicates":
+        return lambda: C.pk_sample(df, s.column, None, limit)
+    if s.check == "fk_match_rate":
+        return lambda: C.fk_sample(df, parent, list(s.keys), None, limit, list(s.parent_keys))
+    return None
+
+
+def _chunks(fused: list[BuiltCheck], limit: int = MAX_GROUPING_SETS) -> list[list[BuiltCheck]]:
+    """Split a table's checks so no scan carries more than ``limit`` grouping
+    sets; checks on the same columns stay together."""
+    out, sets = [[]], [set()]
+    for b in fused:
+        for key in check_sets([b.table[2]])[0]:
+            if key not in sets[-1]:
+                if len(sets[-1]) >= limit:
+                    out.append([])
+                    sets.append(set())
+                sets[-1].add(key)
+        out[-1].append(b)
+    return [c for c in out if c]
+
+
+def value_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
+    """``model, column_name, value, row_count, unexpected``: every value of the
+    columns with accepted values; one scan per table, nothing cut."""
+    parts = []
+    by_table: dict = {}
+    for b in built:
+        if b.error is None and b.spec.check in ("value_distribution", "unexpected_values") and b.table:
+            df, schema, r = b.table
+            columns = by_table.setdefault((b.spec.model, b.spec.relation), (df, schema, {}))[2]
+            if r.check == "unexpected_values":
+                columns[r.column] = tuple(r.accepted or ())
+            else:
+                columns.setdefault(r.column, None)
+    for (model, _), (df, schema, columns) in by_table.items():
+        parts.append(value_rows(df, columns, schema).select(F.lit(model).alias("model"), "*"))
+    if not parts:
+        return spark.createDataFrame([], "model string, column_name string, value string, row_count long, "
+                                         "unexpected boolean")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def graded_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
@@ -219,31 +302,40 @@ def _short(e: Exception) -> str:
     return msg[0] if msg else type(e).__name__
 
 
-def run_checks(spark: SparkSession, built: list[BuiltCheck]) -> list:
-    """One action for the whole review; per-check rerun on failure."""
-    try:
-        return results_frame(spark, built).collect()
-    except Exception:  # noqa: BLE001 - isolate the failing checks
-        meta = {b.spec.ordinal: b.spec for b in built}
-        graded = []
-        for b in built:
-            if b.error is not None:
-                graded.append((b.spec.ordinal, "FAIL", f"SQL error: {b.error}"))
-                continue
-            if b.result is None:
-                continue
-            try:
-                graded += [tuple(r) for r in b.result.collect()]
-            except Exception as e:  # noqa: BLE001
-                for m in b.extra.get("members", [b.spec]):
-                    graded.append((m.ordinal, "FAIL", f"SQL error: {_short(e)}"))
-        out = []
-        for o, st, de in graded:
-            s = meta[o]
-            out.append({"ordinal": o, "model": s.model, "category": s.category,
-                        "check": s.check, "importance": s.importance, "status": st,
-                        "detail": de, "target": _target(s)})
-        return out
+def run_checks(spark: SparkSession, built: list[BuiltCheck], threads: int = 8) -> list:
+    """One action for each table, submitted together; of a failing one, only
+    its checks run again, each on its own (E8)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    by_ordinal = {b.spec.ordinal: b for b in built}
+
+    def failed(s, e):
+        return (s.ordinal, "FAIL", f"SQL error: {e if isinstance(e, str) else _short(e)}")
+
+    def run(b):
+        if b.error is not None:
+            return [failed(b.spec, b.error)]
+        if b.result is None:
+            return []
+        try:
+            return [tuple(r) for r in b.result.collect()]
+        except Exception:  # noqa: BLE001 - find the failing checks
+            out = []
+            for s in b.members:
+                try:
+                    out += [tuple(r) for r in by_ordinal[s.ordinal].alone().collect()]
+                except Exception as e:  # noqa: BLE001
+                    out.append(failed(s, e))
+            return out
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        rows = [r for part in pool.map(run, built) for r in part]
+    out = []
+    for o, st, de in rows:
+        s = by_ordinal[o].spec
+        out.append({"ordinal": o, "model": s.model, "category": s.category, "check": s.check,
+                    "importance": s.importance, "status": st, "detail": de, "target": _target(s)})
+    return out
 
 
 def sample_frame(spark: SparkSession, built: list[BuiltCheck], failing: set[int]) -> DataFrame:
@@ -294,23 +386,11 @@ class Review:
     blast_radius: list
     duration_seconds: float
     checks: list = field(default_factory=list)
+    values: DataFrame | None = None   # every value of the columns with accepted values
 
-    def unexpected_values(self) -> DataFrame | None:
-        """All unexpected values of the review's accepted-values checks:
-        ``ordinal, model, column_name, unexpected_value (text), row_count``
-        (lazy; the details name only the most frequent ones)."""
-        parts = [b.extra["unexpected"]().select(
-                     F.lit(b.spec.ordinal).alias("ordinal"), F.lit(b.spec.model).alias("model"),
-                     F.lit(b.spec.column).alias("column_name"),
-                     F.col("unexpected_value").cast("string").alias("unexpected_value"),
-                     "row_count")
-                 for b in self.checks if "unexpected" in b.extra]
-        if not parts:
-            return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def unexpected_values(self) -> DataFrame:
+        """The unexpected ones of ``values``."""
+        return self.values.filter("unexpected").drop("unexpected")
 
 
 def summarize(rows) -> dict:
@@ -360,8 +440,8 @@ def review(spark: SparkSession, catalog: Catalog, resolver: TableResolver, model
         reach = blast_radius(catalog.edges, seeds, options.max_depth)
         blast = [r["name"] for r in reached_models(catalog, reach).orderBy("unique_id").collect()]
     specs = plan_checks(catalog, names, options.categories, options.join_keys, found)
-    if resolver.schema_map == {} and options.schema_map:
-        resolver.schema_map = dict(options.schema_map)
+    if options.schema_map:
+        resolver = resolver.mapped(options.schema_map)
     if options.dry_run:
         rows = [(s.ordinal, s.model, s.category, s.check, s.importance, "SKIP",
                  "Skipped (dry-run mode)", _target(s)) for s in specs]
@@ -376,4 +456,4 @@ def review(spark: SparkSession, catalog: Catalog, resolver: TableResolver, model
     sample_df = spark.createDataFrame(samples, SAMPLE_SCHEMA)
     summary = summarize([{"status": r[5]} for r in rows])
     return Review(results, sample_df, summary, names, blast,
-                  round(time.time() - start, 1), built)
+                  round(time.time() - start, 1), built, value_frame(spark, built))

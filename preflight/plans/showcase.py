@@ -1,7 +1,5 @@
 """Query builders over the test tables used by ``__spark_entry__`` and the
-benchmark.  Each takes ``(spark, sf_dir)`` and returns a lazy DataFrame
-(``edge_case_run`` and ``verdict_merge`` run their cases eagerly: the flag
-rule needs the first row of each case)."""
+benchmark.  Each takes ``(spark, sf_dir)`` and returns a DataFrame."""
 
 from __future__ import annotations
 
@@ -10,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preflight.config import Thresholds
+from preflight.config import ReviewOptions, Thresholds
 from preflight.functions.columns import sample_columns
 from preflight.operators import checks as C
 from preflight.operators import edge_cases as E
@@ -20,7 +18,10 @@ from preflight.operators.lineage import blast_radius, row_lineage_edges
 from preflight.operators.verdicts import merge_verdicts
 from preflight.plans import demo_catalog as D
 from preflight.plans.checks import plan_checks
-from preflight.plans.review import build_checks, results_frame
+from preflight.operators.fused import value_rows
+from preflight.plans.review import build_checks, results_frame, review
+from preflight.sources.catalog import declare_catalog
+from preflight.sources.tables import TableResolver
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +77,7 @@ NULL_COLUMNS = ["l_returnflag", "l_linestatus", "l_orderkey"]
 
 
 def null_rate(spark, sf_dir):
-    df = lineitem_with_nulls(spark, sf_dir)
-    prof = C.table_profile(df, NULL_COLUMNS)
-    return _union([G.grade_null_rate(C.null_rate_from_profile(prof, c, i))
-                   for i, c in enumerate(NULL_COLUMNS)])
+    return G.grade_null_rate(C.null_rates(lineitem_with_nulls(spark, sf_dir), NULL_COLUMNS))
 
 
 def null_sample(spark, sf_dir):
@@ -261,6 +259,8 @@ EDGE_CASES = [
     ("lineitem", "COALESCE on quantity leaves no negative quantities", "MEDIUM",
      "SELECT COUNT(CASE WHEN l_quantity < 0 THEN 1 END) AS negative_quantities, "
      "MIN(l_quantity) - MAX(l_quantity) AS spread FROM {lineitem}"),
+    ("lineitem", "lines by supplier after the supplier filter", "LOW",
+     "SELECT l_suppkey, COUNT(*) AS lines FROM {lineitem} GROUP BY l_suppkey"),
     ("events", "value of events the new filter removes", "LOW",
      "SELECT MAX(CASE WHEN value < 0 THEN value END) AS negative_value FROM {events}"),
 ]
@@ -280,10 +280,15 @@ def edge_case_results(spark, sf_dir):
 
 
 def edge_case_run(spark, sf_dir):
-    return edge_case_results(spark, sf_dir).select(
+    return edge_case_results(spark, sf_dir).results.select(
         "index", "model", "description", "risk", "flagged", "result", "n_rows")
 
 
+def edge_case_rows(spark, sf_dir):
+    """Every result row and every sample row, as JSON and text."""
+    return edge_case_results(spark, sf_dir).rows
+
+
 VERDICTS = [(0, "257 orders have no lines; they vanish under INNER JOIN.", "investigate"),
             (1, "No repeated (conv_id, turn) keys.", "clear"),
             (2, "60% unlabeled is expected: labels cover a sample.", "expected"),
@@ -291,14 +296,73 @@ VERDICTS = [(0, "257 orders have no lines; they vanish under INNER JOIN.", "inve
             (3, "Even status mix is by design.", "expected"),
             (3, "Status mix needs a second look.", "investigate"),
             (9, "out of range", "clear")]
+#: A second batch: replaces one verdict, adds one, leaves the others.
+MORE_VERDICTS = [(4, "No negative quantity.", "clear"), (1, "Grain confirmed.", "expected")]
 
 
 def verdict_merge(spark, sf_dir):
-    res = edge_case_results(spark, sf_dir)
-    v = spark.createDataFrame([(i, t, s, k) for k, (i, t, s) in enumerate(VERDICTS)],
-                              "index long, verdict string, status string, ordinal long")
-    return merge_verdicts(res, v).select("index", "model", "flagged", "verdict",
-                                         "verdict_status", "result")
+    res = edge_case_results(spark, sf_dir).results
+    for batch in (VERDICTS, MORE_VERDICTS):
+        v = spark.createDataFrame([(i, t, s, k) for k, (i, t, s) in enumerate(batch)],
+                                  "index long, verdict string, status string, ordinal long")
+        res = merge_verdicts(res, v)
+    return res.select("index", "model", "flagged", "verdict", "verdict_status", "result")
+
+
+# ── keys of different types, upper-case columns, every value ──
+
+def mixed_fk_match_rate(spark, sf_dir):
+    """Foreign keys whose two sides have different types: half keys match
+    nothing, text is compared as a number."""
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") + F.when(F.col("l_linenumber") == 2, 0.5).otherwise(0.0)).alias("order_ref"),
+        F.concat(F.lit("0"), F.col("l_suppkey").cast("string")).alias("supp_ref"),
+        F.col("l_partkey").cast("decimal(12,2)").alias("part_ref"))
+    t = tables(spark, sf_dir, ("orders", "supplier", "part"))
+    out = []
+    for parent, key, pkey in (("orders", "order_ref", "o_orderkey"), ("supplier", "supp_ref", "s_suppkey"),
+                              ("part", "part_ref", "p_partkey")):
+        m = C.fk_match_rate(li, t[parent], [key], parent, parent_keys=[pkey])
+        out.append(G.grade_fk_match_rate(m))
+    return _union(out)
+
+
+VALUE_TARGETS = {"lineitem": {"l_suppkey": ["1", "2", "3", "zz"], "l_linestatus": ["O"]},
+                 "part": {"p_size": ["1", "2"]}, "orders": {"o_orderstatus": []}}
+
+
+def unexpected_value_rows(spark, sf_dir):
+    """Every value of columns with accepted values, one scan per table."""
+    parts = []
+    for name, columns in VALUE_TARGETS.items():
+        df = table(spark, sf_dir, name)
+        parts.append(value_rows(df, columns, df.schema).select(F.lit(name).alias("model"), "*"))
+    return _union(parts)
+
+
+def upper_case_review(spark, sf_dir):
+    """The review of a table with upper-case columns under lower-case rules,
+    through ``review()``."""
+    return _upper_review(spark, sf_dir).results
+
+
+def review_samples(spark, sf_dir):
+    """The samples of the same review's failing checks."""
+    return _upper_review(spark, sf_dir).samples.select("model", "check", "row")
+
+
+def _upper_review(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("o_clerk", F.expr("nullif(o_orderstatus, 'P')"))
+    li = table(spark, sf_dir, "lineitem")
+    resolver = TableResolver(spark, {"wh.ORDERS": o.toDF(*[c.upper() for c in o.columns]), "wh.LINEITEM": li})
+    catalog = declare_catalog(spark, [
+        {"name": "orders", "relation_name": "wh.ORDERS", "columns": ["o_orderkey", "o_clerk"]},
+        {"name": "lineitem", "relation_name": "wh.LINEITEM", "columns": ["l_orderkey"], "depends_on": ["orders"]}],
+        [("orders", "unique", "o_orderkey"), ("orders", "not_null", "o_clerk"),
+         ("orders", "accepted_values", "o_orderstatus", ["F"]), ("orders", "accepted_values", "o_orderpriority", ["x"]),
+         ("orders", "accepted_values", "o_orderstatus", ["F", "O"]), ("orders", "not_null", "o_missing")])
+    keys = {"lineitem": {"orders": [("l_orderkey", "o_orderkey")]}}
+    return review(spark, catalog, resolver, ["orders", "lineitem"], options=ReviewOptions(join_keys=keys))
 
 
 QUERIES = {
@@ -324,5 +388,10 @@ QUERIES = {
     "coalesce_shift": coalesce_shift,
     "result_diff": result_diff,
     "edge_case_run": edge_case_run,
+    "edge_case_rows": edge_case_rows,
+    "mixed_fk_match_rate": mixed_fk_match_rate,
+    "unexpected_value_rows": unexpected_value_rows,
+    "upper_case_review": upper_case_review,
+    "review_samples": review_samples,
     "verdict_merge": verdict_merge,
 }

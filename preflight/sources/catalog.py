@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,12 +183,13 @@ def catalog_from_documents(doc: DataFrame) -> Catalog:
 
 
 def last_accepted_wins(rules: DataFrame) -> DataFrame:
-    """Two accepted_values tests on one column: the later one wins.
-    unique / not_null duplicates are kept (each is reviewed)."""
-    w = Window.partitionBy("model_id", "column").orderBy(F.col("ordinal").desc())
-    av = (rules.filter(F.col("rule") == "accepted_values")
-               .withColumn("_rn", F.row_number().over(w))
-               .filter("_rn = 1").drop("_rn"))
+    """Several accepted_values tests on one column: the values of the last at
+    the place of the first.  unique / not_null duplicates are kept (each is
+    reviewed)."""
+    keys = [c for c in ("doc_id", "model_id", "column") if c in rules.columns]
+    av = (rules.filter(F.col("rule") == "accepted_values").groupBy(*keys)
+          .agg(F.first("rule").alias("rule"), F.max_by("accepted_values", "ordinal").alias("accepted_values"),
+               F.min("ordinal").alias("ordinal")))
     return rules.filter(F.col("rule") != "accepted_values").unionByName(av)
 
 

@@ -5,10 +5,12 @@
   row per check, so it is written as one file (``coalesce(1)`` is sized by
   the number of checks, not by data).
 * ``write_review`` / ``load_review``: the review document (summary, models,
-  blast radius, duration, results, samples) as JSON, overwritten per review.
-* ``write_edge_cases`` / ``interpret``: edge-case results are their own
-  table, so a new review never drops them and verdicts update them by a
-  join.
+  blast radius, duration, results, samples) as JSON, overwritten per review;
+  beside it ``values``: every value of the columns with accepted values, a
+  table, since their number has no bound.
+* ``write_edge_cases`` / ``interpret``: edge-case results and their rows are
+  tables of their own, so a new review never drops them and verdicts update
+  the results by a join.
 """
 
 from __future__ import annotations
@@ -50,14 +52,21 @@ def write_review(review, path: str) -> str:
     doc = (meta.select("timestamp", F.struct("fail", "warn", "pass").alias("summary"),
                        "models_reviewed", "blast_radius", "duration_seconds")
            .withColumn("results", res.scalar()).withColumn("samples", smp.scalar()))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    doc.coalesce(1).write.mode("overwrite").json(f"{path}/review")
+    if review.values is not None:
+        review.values.write.mode("overwrite").parquet(f"{path}/values")
     return path
 
 
+def load_values(spark: SparkSession, path: str) -> DataFrame:
+    """``model, column_name, value, row_count, unexpected`` of a stored review."""
+    return spark.read.parquet(f"{path}/values")
+
+
 def load_review(spark: SparkSession, path: str):
     """S7 source: the stored review row, or None when absent."""
     try:
-        df = spark.read.json(path)
+        df = spark.read.json(f"{path}/review")
     except Exception:  # noqa: BLE001 - no stored review yet
         return None
     return df if not df.isEmpty() else None
@@ -68,9 +77,19 @@ def review_results(doc: DataFrame) -> DataFrame:
     return doc.select(F.explode("results").alias("r")).select("r.*")
 
 
-def write_edge_cases(results: DataFrame, path: str) -> str:
-    """Edge-case results, overwritten per run."""
-    results.write.mode("overwrite").parquet(path)
+def last_summary(spark: SparkSession, path: str) -> dict | None:
+    """Time and counts of the stored review: ``timestamp, fail, warn, pass``."""
+    doc = load_review(spark, path)
+    if doc is None:
+        return None
+    r = doc.select("timestamp", "summary.*").first()
+    return {"timestamp": r["timestamp"], "fail": r["fail"], "warn": r["warn"], "pass": r["pass"]}
+
+
+def write_edge_cases(run, path: str) -> str:
+    """Results and rows of ``run_edge_cases``, overwritten per run."""
+    run.results.write.mode("overwrite").parquet(f"{path}/results")
+    run.rows.write.mode("overwrite").parquet(f"{path}/rows")
     return path
 
 
@@ -78,8 +97,7 @@ def interpret(spark: SparkSession, path: str, verdicts: DataFrame, out_path: str
     """Merge verdicts into the stored edge-case results and store the
     merged table at ``out_path`` (a new location: the input is still being
     read).  Returns ``updated`` and ``total``."""
-    stored = spark.read.parquet(path)
-    merged = merge_verdicts(stored, verdicts)
-    merged.write.mode("overwrite").parquet(out_path)
+    stored = spark.read.parquet(f"{path}/results")
+    merge_verdicts(stored, verdicts).write.mode("overwrite").parquet(f"{out_path}/results")
     c = verdict_counts(stored, verdicts).collect()[0]
     return {"updated": c["updated"], "total": c["total"]}

@@ -7,8 +7,7 @@ catalog.  ``schema_map`` rewrites names first (P7)."""
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +16,9 @@ class TableNotFound(Exception):
     pass
 
 
-def map_relation(relation: str, schema_map: dict | None) -> str:
-    """First ``old`` that occurs in the name: replace all its occurrences
-    with ``new`` and stop."""
-    for old, new in (schema_map or {}).items():
-        if old in relation:
-            return relation.replace(old, new)
-    return relation
-
-
 def map_relation_col(relation: Column, schema_map: dict | None) -> Column:
-    """Same rule as a column expression (for catalog DataFrames)."""
+    """The first ``old`` that occurs in the name is replaced, everywhere in
+    it, by its ``new``."""
     items = list((schema_map or {}).items())
     if not items:
         return relation
@@ -38,6 +29,13 @@ def map_relation_col(relation: Column, schema_map: dict | None) -> Column:
     return expr.otherwise(relation)
 
 
+def map_relation(spark: SparkSession, relation: str, schema_map: dict | None) -> str:
+    """The same rule for one name."""
+    if not schema_map:
+        return relation
+    return spark.range(1).select(map_relation_col(F.lit(relation), schema_map)).first()[0]
+
+
 class TableResolver:
     def __init__(self, spark: SparkSession, tables: dict | None = None,
                  parquet_dir: str | None = None, schema_map: dict | None = None,
@@ -53,8 +51,14 @@ class TableResolver:
         self.tables[relation] = df
         return self
 
+    def mapped(self, schema_map: dict) -> "TableResolver":
+        """The same tables under names that are mapped by ``schema_map`` first,
+        then by the map this resolver has."""
+        return TableResolver(self.spark, self.tables, self.parquet_dir, {**schema_map, **self.schema_map},
+                             self.use_session_catalog)
+
     def resolve(self, relation: str) -> DataFrame:
-        name = map_relation(relation, self.schema_map)
+        name = map_relation(self.spark, relation, self.schema_map)
         if name in self._cache:
             return self._cache[name]
         df = self._lookup(name)
@@ -62,22 +66,27 @@ class TableResolver:
         return df
 
     def _lookup(self, name: str) -> DataFrame:
+        """The full name first; then, among the registered frames, the one
+        whose name ends like it (several are an error), then the parquet
+        folder, then the session catalog."""
         if name in self.tables:
             return self.tables[name]
-        short = name.split(".")[-1]
-        if short in self.tables:
-            return self.tables[short]
+        parts = name.split(".")
+        close = [t for t in self.tables if t.split(".")[-len(parts):] == parts
+                 or parts[-len(t.split(".")):] == t.split(".")]
+        if len(close) > 1:
+            raise TableNotFound(f"relation {name} is ambiguous: {', '.join(sorted(close))}")
+        if close:
+            return self.tables[close[0]]
         if self.parquet_dir:
-            path = os.path.join(self.parquet_dir, f"{short}.parquet")
-            if os.path.exists(path) or "://" in self.parquet_dir:
-                return self.spark.read.parquet(path)
+            try:
+                return self.spark.read.parquet(f"{self.parquet_dir.rstrip('/')}/{parts[-1]}.parquet")
+            except AnalysisException as e:      # Spark tests the path, on its own file system
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
         if self.use_session_catalog:
             try:
                 return self.spark.table(name)
             except Exception as e:  # noqa: BLE001 - reported as a check error
                 raise TableNotFound(f"relation {name} not found: {e}") from e
         raise TableNotFound(f"relation {name} not found")
-
-
-def driver_tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names}

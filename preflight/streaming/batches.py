@@ -6,27 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from preflight.config import Thresholds
-from preflight.operators import checks as C
-from preflight.operators import grade as G
+from preflight.operators.fused import graded, table_checks
+from preflight.plans.checks import CheckSpec
 
 
 def batch_checks(batch: DataFrame, unique: list[str], not_null: list[str],
                  thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Graded ``check, target, status, detail`` of one micro-batch: the row
-    count and null rates in one pass, a duplicate check per key."""
-    prof = C.table_profile(batch, not_null)
-    parts = [G.grade_row_count(prof.select("row_count")).select(
-        F.lit("row_count").alias("check"), F.lit("").alias("target"), "status", "detail")]
-    for i, c in enumerate(not_null):
-        parts.append(G.grade_null_rate(C.null_rate_from_profile(prof, c, i), thresholds).select(
-            F.lit("null_rate").alias("check"), F.lit(c).alias("target"), "status", "detail"))
-    for c in unique:
-        parts.append(G.grade_pk_duplicates(C.pk_duplicates(batch, c)).select(
-            F.lit("pk_duplicates").alias("check"), F.lit(c).alias("target"), "status", "detail"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Graded ``check, target, status, detail`` of one micro-batch, from the
+    same single scan and shuffle as a table's checks."""
+    todo = [("row_count", None), *(("null_rate", c) for c in not_null), *(("pk_duplicates", c) for c in unique)]
+    specs = [CheckSpec(i, "batch", "batch", check, "", "batch", column) for i, (check, column) in enumerate(todo)]
+    rows = graded(table_checks(batch, specs, batch.schema), thresholds)
+    name = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("ordinal") + 1)
+    return rows.select(name([c for c, _ in todo]).alias("check"), name([c or "" for _, c in todo]).alias("target"),
+                       "status", "detail")
 
 
 def review_batches(stream: DataFrame, sink_path: str, checkpoint: str,

@@ -9,9 +9,9 @@ sys.path.insert(0, ROOT)
 from preflight.session import get_spark  # noqa: E402
 
 FIXTURES = os.path.join(ROOT, "tests", "fixtures")
-MANIFEST = os.path.join(FIXTURES, "shop_manifest.json")
+MANIFEST = os.path.join(FIXTURES, "wheels_manifest.json")
 SF_SMALL = "/root/testdata/sf0.001"
-P = "model.shop."
+P = "model.wheels."
 
 
 @pytest.fixture(scope="session")
@@ -26,15 +26,15 @@ def catalog(spark):
 
 
 @pytest.fixture(scope="session")
-def shop_tables(spark):
+def wheel_tables(spark):
     """Small literal tables behind the manifest's relations."""
-    users = spark.createDataFrame(
-        [(1, "a@x", "2024-01-01"), (2, "b@x", "2024-01-02"), (3, None, "2024-01-03")],
-        "user_id long, email string, created_at string")
-    orders = spark.createDataFrame(
-        [(10, 1, "pending", 5.0), (11, 1, "completed", 7.5), (12, 2, "unknown", 1.0),
-         (12, 4, "completed", 2.0), (13, None, None, 3.0)],
-        "order_id long, user_id long, status string, amount double")
-    summary = spark.createDataFrame([(1,), (2,)], "user_id long")
-    return {"DEV_DB.staging.stg_users": users, "DEV_DB.marts.fact_orders": orders,
-            "DEV_DB.marts.dim_user_summary": summary}
+    stations = spark.createDataFrame([(1, "Ulm", "2019"), (2, None, "2020"), (3, "Ulm", None)],
+                                     "station_id long, city string, opened_on string")
+    rides = spark.createDataFrame(
+        [(70, 1, "day", 10), (71, 1, "tour", 20), (72, 3, "dusk", 10), (72, 9, "day", 30),
+         (73, None, None, 10), (73, 2, "dusk", None), (73, 2, "dawn", 20), (74, 8, "day", 20)],
+        "ride_id long, station_id long, kind string, minutes int")
+    load = spark.createDataFrame([(1, 2), (2, 2)], "station_id long, rides long")
+    report = spark.createDataFrame([("Ulm", 3)], "city string, rides long")
+    return {"lake.raw.stations": stations, "lake.core.rides": rides, "lake.core.station_load": load,
+            "lake.reports.city_report": report}

@@ -6,64 +6,60 @@ from conftest import P
 
 
 def test_counts(catalog):
-    assert catalog.model_count().collect()[0][0] == 3
-    assert catalog.test_count().collect()[0][0] == 5
+    assert catalog.model_count().collect()[0][0] == 4
+    assert catalog.test_count().collect()[0][0] == 7
 
 
 def test_model_by_name(catalog):
-    r = catalog.model_by_name("fact_orders").collect()
-    assert len(r) == 1
-    assert r[0]["relation_name"] == "DEV_DB.marts.fact_orders"
-    assert r[0]["materialized"] == "table"
-    assert catalog.model_by_name("nope").count() == 0
+    r = catalog.model_by_name("rides").collect()
+    assert [(x["relation_name"], x["materialized"]) for x in r] == [("lake.core.rides", "incremental")]
+    assert catalog.model_by_name("boats").count() == 0
 
 
 def test_model_by_id(catalog):
-    assert catalog.model_by_id(P + "stg_users").collect()[0]["name"] == "stg_users"
+    assert catalog.model_by_id(P + "city_report").collect()[0]["name"] == "city_report"
 
 
 def test_columns_keep_document_order(catalog):
-    cols = catalog.model_by_name("fact_orders").collect()[0]["columns"]
-    assert cols == ["order_id", "user_id", "status", "amount"]
+    assert catalog.model_by_name("rides").collect()[0]["columns"] == ["ride_id", "station_id", "kind", "minutes"]
 
 
 def test_rules(catalog):
-    rows = {(r["model_id"], r["rule"], r["column"]) for r in catalog.rules.collect()}
-    assert (P + "fact_orders", "unique", "order_id") in rows
-    assert (P + "fact_orders", "not_null", "order_id") in rows
-    assert (P + "stg_users", "unique", "user_id") in rows
-    assert (P + "stg_users", "not_null", "user_id") in rows
-    av = catalog.rules.filter(F.col("rule") == "accepted_values").collect()
-    assert len(av) == 1 and len(av[0]["accepted_values"]) == 4
-    assert "completed" in av[0]["accepted_values"]
+    rows = catalog.rules.orderBy("model_id", "ordinal").collect()
+    assert [(r["model_id"][len(P):], r["rule"], r["column"]) for r in rows] == [
+        ("rides", "accepted_values", "kind"), ("rides", "unique", "ride_id"),
+        ("rides", "accepted_values", "minutes"), ("rides", "not_null", "minutes"),
+        ("stations", "unique", "station_id"), ("stations", "not_null", "city")]
+    # the last rule's values at the first one's place
+    assert rows[0]["accepted_values"] == ["day", "night", "tour"]
 
 
 def test_depends_on_models_only(catalog):
-    su = catalog.model_by_name("stg_users").collect()[0]
-    assert su["depends_on"] == []          # the source node is not a model
-    fo = catalog.model_by_name("fact_orders").collect()[0]
-    assert fo["depends_on"] == [P + "stg_users"]
+    deps = {r["name"]: r["depends_on"] for r in catalog.models.collect()}
+    assert deps["stations"] == []          # a seed is no model
+    assert deps["city_report"] == [P + "station_load", P + "stations"]
 
 
 def test_child_models(catalog):
     ch = {r["unique_id"]: r["child_models"] for r in catalog.child_models().collect()}
-    assert ch[P + "fact_orders"] == [P + "dim_user_summary"]
+    assert ch[P + "stations"] == [P + "rides", P + "city_report"]
+    assert ch[P + "station_load"] == [P + "city_report"]
 
 
 def test_raw_code(catalog):
-    fo = catalog.model_by_name("fact_orders").collect()[0]
-    assert "SELECT" in fo["raw_code"] and "order_id" in fo["raw_code"]
-    assert catalog.model_by_name("stg_users").collect()[0]["raw_code"] == ""
+    assert "minutes" in catalog.model_by_name("rides").collect()[0]["raw_code"]
+    assert catalog.model_by_name("stations").collect()[0]["raw_code"] == ""
 
 
-def test_accepted_values_last_wins(spark):
+def test_repeated_accepted_values(spark):
+    """Values of the last, place of the first: columns a, b, a give a, b."""
     from preflight.sources.catalog import declare_catalog
-    cat = declare_catalog(spark, [{"name": "t", "columns": ["c"]}],
-                          [("t", "accepted_values", "c", ["a"]), ("t", "accepted_values", "c", ["b", "c"]),
-                           ("t", "unique", "c"), ("t", "unique", "c")])
-    rows = cat.rules.collect()
-    av = [r for r in rows if r["rule"] == "accepted_values"]
-    assert len(av) == 1 and av[0]["accepted_values"] == ["b", "c"]
+    cat = declare_catalog(spark, [{"name": "t", "columns": ["a", "b"]}],
+                          [("t", "accepted_values", "a", ["1"]), ("t", "accepted_values", "b", ["2"]),
+                           ("t", "accepted_values", "a", ["3", "4"]), ("t", "unique", "a"), ("t", "unique", "a")])
+    rows = cat.rules.orderBy("ordinal").collect()
+    assert [(r["column"], r["accepted_values"]) for r in rows if r["rule"] == "accepted_values"] == [
+        ("a", ["3", "4"]), ("b", ["2"])]
     assert len([r for r in rows if r["rule"] == "unique"]) == 2
 
 

@@ -11,32 +11,31 @@ from conftest import MANIFEST
 
 def _tables(spark):
     d = tempfile.mkdtemp(prefix="pf-cli-", dir="/tmp")
-    spark.createDataFrame([(1, "a@x", "d"), (2, None, "d")], "user_id long, email string, created_at string") \
-        .write.parquet(os.path.join(d, "stg_users.parquet"))
-    spark.createDataFrame([(10, 1, "pending", 1.0), (10, 3, "odd", 2.0)],
-                          "order_id long, user_id long, status string, amount double") \
-        .write.parquet(os.path.join(d, "fact_orders.parquet"))
+    spark.createDataFrame([(1, "Ulm", "d"), (2, None, "d")], "station_id long, city string, opened_on string") \
+        .write.parquet(os.path.join(d, "stations.parquet"))
+    spark.createDataFrame([(70, 1, "day", 10), (70, 3, "dusk", 10)],
+                          "ride_id long, station_id long, kind string, minutes int") \
+        .write.parquet(os.path.join(d, "rides.parquet"))
     return d
 
 
 def test_cli_review_and_checks(spark, capsys):
     d = _tables(spark)
     out = tempfile.mkdtemp(prefix="pf-cli-out-", dir="/tmp")
-    assert main(["review", "--manifest", MANIFEST, "--tables", d, "--models", "fact_orders",
-                 "--out", out]) == 0
+    assert main(["review", "--manifest", MANIFEST, "--tables", d, "--models", "rides", "--out", out]) == 0
     doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert doc["summary"] == {"fail": 2, "warn": 1, "pass": 3}
+    assert doc["summary"] == {"fail": 2, "warn": 1, "pass": 5}
     assert os.path.isdir(os.path.join(out, "compare"))
-    assert main(["checks", "--manifest", MANIFEST, "--models", "fact_orders"]) == 0
+    assert main(["checks", "--manifest", MANIFEST, "--models", "rides"]) == 0
     doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert {r["status"] for r in doc["results"]} == {"SKIP"}
 
 
 def test_cli_status(spark, capsys):
     f = tempfile.NamedTemporaryFile("w", suffix=".txt", delete=False, dir="/tmp")
-    f.write("models/staging/stg_users.sql\nmodels/new_one.sql\nmacros/x.sql\n")
+    f.write("models/core/rides.sql\nmodels/new_one.sql\nmacros/x.sql\n")
     f.close()
     assert main(["status", "--manifest", MANIFEST, "--changed-files", f.name]) == 0
     doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert doc["changed_models"] == ["new_one", "stg_users"]
-    assert doc["blast_radius"] == ["dim_user_summary", "fact_orders"]
+    assert doc["changed_models"] == ["rides", "new_one"]
+    assert doc["blast_radius"] == ["city_report", "station_load"]

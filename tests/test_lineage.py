@@ -9,27 +9,24 @@ def ids(df):
     return sorted(r["unique_id"] for r in df.collect())
 
 
-def test_single_model(catalog):
-    assert ids(blast_radius(catalog.edges, [P + "stg_users"])) == [
-        P + "dim_user_summary", P + "fact_orders"]
+def test_reach_of_one(catalog):
+    reach = {r["unique_id"]: r["depth"] for r in blast_radius(catalog.edges, [P + "stations"]).collect()}
+    # city_report is one hop away, and three over rides
+    assert reach == {P + "rides": 1, P + "city_report": 1, P + "station_load": 2}
 
 
 def test_leaf(catalog):
-    assert ids(blast_radius(catalog.edges, [P + "dim_user_summary"])) == []
+    assert ids(blast_radius(catalog.edges, [P + "city_report"])) == []
 
 
-def test_depth_one(catalog):
-    r = blast_radius(catalog.edges, [P + "stg_users"], max_depth=1)
-    assert ids(r) == [P + "fact_orders"]
+def test_depth(catalog):
+    assert ids(blast_radius(catalog.edges, [P + "rides"], max_depth=1)) == [P + "station_load"]
+    assert ids(blast_radius(catalog.edges, [P + "rides"], max_depth=0)) == [P + "station_load"]
 
 
-def test_depth_zero_is_first_hop(catalog):
-    assert ids(blast_radius(catalog.edges, [P + "stg_users"], max_depth=0)) == [P + "fact_orders"]
-
-
-def test_multiple_seeds_excluded(catalog):
-    r = blast_radius(catalog.edges, [P + "stg_users", P + "fact_orders"])
-    assert ids(r) == [P + "dim_user_summary"]
+def test_seeds_excluded(catalog):
+    r = blast_radius(catalog.edges, [P + "rides", P + "station_load"])
+    assert ids(r) == [P + "city_report"]
 
 
 def test_empty_graph(spark):
@@ -52,9 +49,9 @@ def test_depth_is_shortest(spark):
 
 
 def test_names(catalog):
-    reach = blast_radius(catalog.edges, [P + "stg_users"])
+    reach = blast_radius(catalog.edges, [P + "rides"])
     assert sorted(r["name"] for r in reached_models(catalog, reach).collect()) == [
-        "dim_user_summary", "fact_orders"]
+        "city_report", "station_load"]
 
 
 def test_matches_recursive_sql(spark):

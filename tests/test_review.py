@@ -5,86 +5,121 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from preflight.config import ReviewOptions
 from preflight.operators import report as R
+from preflight.operators.edge_cases import EdgeCase, run_edge_cases
 from preflight.plans.review import review
 from preflight.sources import sinks
 from preflight.sources.tables import TableResolver
 
 
 @pytest.fixture(scope="module")
-def done(spark, catalog, shop_tables):
-    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
-    return review(spark, catalog, res, models=["fact_orders"])
+def done(spark, catalog, wheel_tables):
+    res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
+    return review(spark, catalog, res, models=["rides"])
 
 
 def by_check(rv):
-    return {r["check"]: r for r in rv.results.collect()}
+    return {(r["check"], r["target"]): (r["status"], r["detail"]) for r in rv.results.collect()}
 
 
 def test_review_results(done):
-    r = by_check(done)
-    assert r["pk_duplicates"]["status"] == "FAIL"
-    assert r["pk_duplicates"]["detail"] == "1 duplicate order_id values out of 5 rows"
-    assert r["null_rate"]["status"] == "PASS"
-    assert r["unexpected_values"]["status"] == "WARN"
-    assert r["unexpected_values"]["detail"] == "1 unexpected value(s): 'unknown' (1 rows)"
-    assert r["value_distribution"]["detail"] == "4 distinct values in status"
-    assert r["fk_match_rate"]["status"] == "FAIL"            # 3 of 5 rows match
-    assert r["fk_match_rate"]["detail"] == "3/5 rows match stg_users (60.0%)"
-    assert r["row_count"]["detail"] == "5 rows"
-    assert done.summary == {"fail": 2, "warn": 1, "pass": 3}
-    assert done.blast_radius == ["dim_user_summary"]
-    assert done.models_reviewed == ["fact_orders"]
+    assert by_check(done) == {
+        ("pk_duplicates", "ride_id"): ("FAIL", "3 duplicate ride_id values out of 8 rows"),
+        ("null_rate", "minutes"): ("FAIL", "1 nulls in minutes (12.5%) out of 8 rows"),
+        ("value_distribution", "kind"): ("PASS", "5 distinct values in kind"),
+        ("unexpected_values", "kind"): ("WARN", "2 unexpected value(s) in 3 rows"),
+        ("value_distribution", "minutes"): ("PASS", "4 distinct values in minutes"),
+        ("unexpected_values", "minutes"): ("WARN", "1 unexpected value(s) in 1 rows"),
+        ("fk_match_rate", "stations"): ("FAIL", "5/8 rows match stations (62.5%)"),
+        ("row_count", ""): ("PASS", "8 rows")}
+    assert done.summary == {"fail": 3, "warn": 2, "pass": 3}
+    assert done.blast_radius == ["city_report", "station_load"]
+    assert done.models_reviewed == ["rides"]
 
 
 def test_samples_only_for_failing(done):
     s = done.samples.collect()
-    checks = {r["check"] for r in s}
-    assert checks == {"pk_duplicates", "fk_match_rate"}
+    assert {r["check"] for r in s} == {"pk_duplicates", "null_rate", "fk_match_rate"}
     pk = [json.loads(r["row"]) for r in s if r["check"] == "pk_duplicates"]
-    assert pk == [{"order_id": 12, "occurrences": 2}]
-    fk = {(json.loads(r["row"]).get("user_id"), json.loads(r["row"])["unmatched_rows"])
+    assert pk == [{"ride_id": 73, "occurrences": 3}, {"ride_id": 72, "occurrences": 2}]
+    fk = {(json.loads(r["row"]).get("station_id"), json.loads(r["row"])["unmatched_rows"])
           for r in s if r["check"] == "fk_match_rate"}
-    assert fk == {(None, 1), (4, 1)}
+    assert fk == {(None, 1), (8, 1), (9, 1)}
 
 
-def test_dry_run(spark, catalog, shop_tables):
-    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
-    rv = review(spark, catalog, res, models=["fact_orders"], options=ReviewOptions(dry_run=True))
+def test_dry_run(spark, catalog, wheel_tables):
+    res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
+    rv = review(spark, catalog, res, models=["rides"], options=ReviewOptions(dry_run=True))
     rows = rv.results.collect()
-    assert len(rows) == 6 and {r["status"] for r in rows} == {"SKIP"}
+    assert len(rows) == 8 and {r["status"] for r in rows} == {"SKIP"}
     assert rv.summary == {"fail": 0, "warn": 0, "pass": 0}
 
 
-def test_errors_are_isolated(spark, catalog, shop_tables):
-    tables = dict(shop_tables)
-    tables["DEV_DB.marts.fact_orders"] = shop_tables["DEV_DB.marts.fact_orders"].drop("status")
-    del tables["DEV_DB.staging.stg_users"]
+def test_missing_column_and_table(spark, catalog, wheel_tables):
+    tables = {k: v for k, v in wheel_tables.items() if k != "lake.raw.stations"}
+    tables["lake.core.rides"] = wheel_tables["lake.core.rides"].drop("kind")
     res = TableResolver(spark, tables=tables, use_session_catalog=False)
-    r = by_check(review(spark, catalog, res, models=["fact_orders"]))
-    assert r["unexpected_values"]["status"] == "FAIL"
-    assert r["unexpected_values"]["detail"].startswith("SQL error: column status not found")
-    assert r["fk_match_rate"]["detail"].startswith("SQL error:")
-    assert r["row_count"]["status"] == "PASS"
-
-
-def test_unknown_model_listed(spark, catalog, shop_tables):
-    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
-    rv = review(spark, catalog, res, models=["ghost", "dim_user_summary"])
-    assert rv.models_reviewed == ["ghost", "dim_user_summary"]
+    r = by_check(review(spark, catalog, res, models=["rides"]))
+    assert r["unexpected_values", "kind"] == ("FAIL", "SQL error: column kind not found in lake.core.rides")
+    assert r["fk_match_rate", "stations"][1].startswith("SQL error:")
+    assert r["row_count", ""] == ("PASS", "8 rows") and r["unexpected_values", "minutes"][0] == "WARN"
+
+
+def test_one_failing_column_fails_its_checks_only(spark, catalog, wheel_tables, done):
+    """kind raises at run time; the other checks of the table keep their results."""
+    tables = dict(wheel_tables)
+    tables["lake.core.rides"] = tables["lake.core.rides"].withColumn(
+        "kind", F.when(F.col("ride_id") == 74, F.raise_error(F.lit("bad kind")).cast("string")).otherwise(F.col("kind")))
+    r = by_check(review(spark, catalog, TableResolver(spark, tables=tables, use_session_catalog=False), models=["rides"]))
+    want = by_check(done)
+    for key, got in r.items():
+        if key[1] == "kind":
+            assert got[0] == "FAIL" and "bad kind" in got[1]
+        else:
+            assert got == want[key]
+
+
+def test_check_that_cannot_be_planned(spark, catalog, wheel_tables, done):
+    """Accepted values of an array column: that check fails, no other."""
+    tables = dict(wheel_tables)
+    tables["lake.core.rides"] = tables["lake.core.rides"].withColumn("kind", F.array("kind"))
+    r = by_check(review(spark, catalog, TableResolver(spark, tables=tables, use_session_catalog=False), models=["rides"]))
+    assert r["unexpected_values", "kind"][0] == "FAIL" and r["unexpected_values", "kind"][1].startswith("SQL error:")
+    assert r["unexpected_values", "minutes"] == by_check(done)["unexpected_values", "minutes"]
+    assert r["row_count", ""] == ("PASS", "8 rows")
+
+
+def test_upper_case_columns(spark, catalog, wheel_tables, done):
+    tables = {k: v.toDF(*[c.upper() for c in v.columns]) for k, v in wheel_tables.items()}
+    rv = review(spark, catalog, TableResolver(spark, tables=tables, use_session_catalog=False), models=["rides"])
+    assert {k: v[0] for k, v in by_check(rv).items()} == {k: v[0] for k, v in by_check(done).items()}
+
+
+def test_schema_map_of_the_review(spark, catalog, wheel_tables):
+    res = TableResolver(spark, tables={"pond" + k[4:]: v for k, v in wheel_tables.items()}, schema_map={"x": "y"},
+                        use_session_catalog=False)
+    rv = review(spark, catalog, res, models=["rides"], options=ReviewOptions(schema_map={"lake": "pond"}))
+    assert by_check(rv)["row_count", ""] == ("PASS", "8 rows") and res.schema_map == {"x": "y"}
+
+
+def test_unknown_model_listed(spark, catalog, wheel_tables):
+    res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
+    rv = review(spark, catalog, res, models=["boats", "station_load"])
+    assert rv.models_reviewed == ["boats", "station_load"]
     assert [r["check"] for r in rv.results.collect()] == ["row_count"]
     with pytest.raises(ValueError):
         review(spark, catalog, res, models=[])
 
 
-def test_changed_files_drive_review(spark, catalog, shop_tables):
-    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
-    files = spark.createDataFrame([("models/staging/stg_users.sql",), ("models/new.sql",)], "path string")
+def test_changed_files_drive_review(spark, catalog, wheel_tables):
+    res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
+    files = spark.createDataFrame([("models/core/station_load.sql",), ("models/new.sql",)], "path string")
     rv = review(spark, catalog, res, changed_files=files, options=ReviewOptions(categories=("rowcount",)))
-    assert rv.models_reviewed == ["stg_users"]
-    assert rv.blast_radius == ["dim_user_summary", "fact_orders"]
+    assert rv.models_reviewed == ["station_load"]
+    assert rv.blast_radius == ["city_report"]
 
 
 def test_report_and_store(spark, done):
@@ -92,61 +127,65 @@ def test_report_and_store(spark, done):
     sinks.write_report(done.results, os.path.join(out, "compare"))
     rows = sinks.read_report(spark, os.path.join(out, "compare")).collect()
     assert list(rows[0].asDict()) == sinks.REPORT_COLUMNS
-    assert [r["status"] for r in rows] == ["FAIL", "FAIL", "WARN", "PASS", "PASS", "PASS"]
-    assert [r["check"] for r in rows][:2] == ["pk_duplicates", "fk_match_rate"]
+    assert [r["status"] for r in rows] == ["FAIL"] * 3 + ["WARN"] * 2 + ["PASS"] * 3
+    assert [r["check"] for r in rows][:3] == ["pk_duplicates", "null_rate", "fk_match_rate"]
     sinks.write_review(done, os.path.join(out, "review"))
     doc = sinks.load_review(spark, os.path.join(out, "review"))
-    assert doc.collect()[0]["summary"]["fail"] == 2
-    assert sinks.review_results(doc).count() == 6
+    assert doc.collect()[0]["summary"]["fail"] == 3
+    assert sinks.review_results(doc).count() == 8
+    assert sinks.load_values(spark, os.path.join(out, "review")).count() == 9
     assert sinks.load_review(spark, os.path.join(out, "missing")) is None
 
 
 def test_report_shapes(spark, done):
     s = R.summary(done.results).collect()[0]
-    assert (s["fail"], s["warn"], s["pass"]) == (2, 1, 3)
+    assert (s["fail"], s["warn"], s["pass"]) == (3, 2, 3)
     sec = {(r["category"], r["status"]): r["results"] for r in R.section_counts(done.results).collect()}
-    assert sec[("grain", "FAIL")] == 1 and sec[("join", "FAIL")] == 1
+    assert sec[("grain", "FAIL")] == 2 and sec[("join", "FAIL")] == 1
     rs = R.report_sections(done.results, None, 1, 1).collect()[0]
-    assert (rs["sections"], rs["charts"]) == (6, 1)
-    assert R.summary_text(done.results).collect()[0][0] == "2 FAIL / 1 WARN / 3 PASS"
+    assert (rs["sections"], rs["charts"]) == (6, 2)
+    assert R.summary_text(done.results).collect()[0][0] == "3 FAIL / 2 WARN / 3 PASS"
 
 
 def test_interpret_store(spark):
-    from preflight.operators.edge_cases import RESULT_SCHEMA
+    """A second batch of verdicts keeps what the first one said."""
     out = tempfile.mkdtemp(prefix="pf-ec-", dir="/tmp")
-    res = spark.createDataFrame([(0, "m", "d", "HIGH", "q", True, "3 rows", 1, None)], RESULT_SCHEMA)
-    sinks.write_edge_cases(res, os.path.join(out, "ec"))
-    v = spark.createDataFrame([(0, "ok", "expected"), (5, "x", "clear")], "index long, verdict string, status string")
-    c = sinks.interpret(spark, os.path.join(out, "ec"), v, os.path.join(out, "ec2"))
-    assert c == {"updated": 1, "total": 1}
-    r = spark.read.parquet(os.path.join(out, "ec2")).collect()[0]
-    assert r["flagged"] is False and r["verdict_status"] == "expected"
-
-
-def test_wide_tables_split_scans(spark, catalog, shop_tables, monkeypatch, done):
+    cases = [EdgeCase("m", "d", "HIGH", "SELECT 3 AS n"), EdgeCase("m", "e", "LOW", "SELECT explode(sequence(1, 60)) AS n")]
+    sinks.write_edge_cases(run_edge_cases(spark, cases), os.path.join(out, "ec"))
+    assert spark.read.parquet(os.path.join(out, "ec", "rows")).count() == 61
+    schema = "index long, verdict string, status string, ordinal long"
+    first = spark.createDataFrame([(0, "ok", "expected", 0), (5, "x", "clear", 1)], schema)
+    c = sinks.interpret(spark, os.path.join(out, "ec"), first, os.path.join(out, "ec2"))
+    assert c == {"updated": 1, "total": 2}
+    sinks.interpret(spark, os.path.join(out, "ec2"), spark.createDataFrame([(1, "look", "investigate", 0)], schema),
+                    os.path.join(out, "ec3"))
+    r = spark.read.parquet(os.path.join(out, "ec3", "results")).orderBy("index").collect()
+    assert [(x["flagged"], x["verdict"], x["verdict_status"]) for x in r] == [
+        (False, "ok", "expected"), (True, "look", "investigate")]
+
+
+def test_wide_tables_split_scans(spark, catalog, wheel_tables, monkeypatch, done):
     import functools
 
     import preflight.plans.review as RV
-    parts = RV._chunks(RV.plan_checks(catalog, ["fact_orders"]), limit=1)
-    assert len(parts) == 2
     monkeypatch.setattr(RV, "_chunks", functools.partial(RV._chunks, limit=1))
-    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
-    split = review(spark, catalog, res, models=["fact_orders"])
-    key = lambda rv: sorted((r["ordinal"], r["status"], r["detail"]) for r in rv.results.collect())
-    assert key(split) == key(done)
+    res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
+    assert by_check(review(spark, catalog, res, models=["rides"])) == by_check(done)
 
 
-def test_full_unexpected_set(done):
-    u = done.unexpected_values().collect()
-    assert [(r["column_name"], r["unexpected_value"], r["row_count"]) for r in u] == [
-        ("status", "unknown", 1)]
+def test_all_values_are_kept(done):
+    v = {(r["column_name"], r["value"]): (r["row_count"], r["unexpected"]) for r in done.values.collect()}
+    assert v["kind", "dusk"] == (2, True) and v["kind", "day"] == (3, False) and v["kind", None] == (1, False)
+    assert len(v) == 9
+    assert {(r["column_name"], r["value"]) for r in done.unexpected_values().collect()} == {
+        ("kind", "dusk"), ("kind", "dawn"), ("minutes", "30")}
 
 
-def test_unknown_check_kind_passes(spark, shop_tables):
+def test_unknown_check_kind_passes(spark, wheel_tables):
     from preflight.plans.checks import CheckSpec
     from preflight.plans.review import build_checks, run_checks
-    res = TableResolver(spark, tables=shop_tables, use_session_catalog=False)
-    spec = CheckSpec(0, category="custom", model="fact_orders", check="my_check",
-                     importance="NORMAL", relation="DEV_DB.marts.fact_orders")
+    res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
+    spec = CheckSpec(0, category="custom", model="rides", check="my_check",
+                     importance="NORMAL", relation="lake.core.rides")
     rows = run_checks(spark, build_checks(spark, [spec], res))
-    assert [(r["status"], r["detail"]) for r in rows] == [("PASS", "5 row(s) returned")]
+    assert [(r["status"], r["detail"]) for r in rows] == [("PASS", "8 row(s) returned")]
