@@ -3,12 +3,7 @@
 Level-synchronous BFS as joins: each round joins the frontier with the
 edge list, keeps unseen nodes (``left_anti`` against the visited set) and
 tags them with the round number, so ``depth`` is the shortest hop count
-from any seed.  Edges of hot sources are salted, all are hash-partitioned
-by ``(src, salt)`` once and persisted (no per-round edge shuffle); a
-frontier of checked small size is broadcast, a larger one repeats hot
-sources per salt so no source's edges sit in one task; every round's new nodes are written to the shared
-checkpoint folder and read back, so lineage stays one round deep and a lost
-executor recomputes at most one round.
+from any seed.
 
 Semantics kept from the reviewed tool: seeds are excluded, first-hop
 nodes are always returned (``max_depth`` ≤ 0 acts as 1), nodes at
@@ -23,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from preflight.config import BLAST_MAX_DEPTH
-from preflight.session import ensure_checkpoint_dir, materialize
+from preflight.session import discard, ensure_checkpoint_dir, materialize, size_setting
 
 MODEL_PREFIX = "model."
+EDGES_PER_PARTITION = 500_000
+# Of a row in a broadcast, beside its id: the hash map's entry.
+ROW_BYTES = 64
 
 
 def _seed_frame(spark, seeds) -> DataFrame:
@@ -34,34 +32,14 @@ def _seed_frame(spark, seeds) -> DataFrame:
     return spark.createDataFrame([(str(s),) for s in seeds], "id string")
 
 
-def _broadcast_rows(spark) -> int:
-    """Frontier rows allowed in a broadcast: the session's broadcast budget
-    over a generous per-row size (an id string plus hash-map overhead)."""
-    try:
-        budget = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    except (TypeError, ValueError):
-        budget = 10 * 1024 * 1024
-    return max(budget // 128, 0)
-
-
-def _hot_sources(e: DataFrame, n: int) -> dict:
-    """``{src: salts}`` for sources whose out-degree exceeds the average
-    partition load |E| / n, each with ⌈deg · n / |E|⌉ salts (≤ n).  Degrees
-    sum to |E|, so at most n sources qualify — a proven bound, which is what
-    lets the map come to the driver and travel as a literal."""
-    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    total = deg.agg(F.sum("deg")).scalar()
-    rows = (deg.filter(F.col("deg") * F.lit(n) > total)
-               .select("src", F.ceil(F.col("deg") * F.lit(n) / total).cast("int").alias("k"))
-               .collect())
-    return {r["src"]: max(int(r["k"]), 1) for r in rows}
-
-
-def _salt_count(hot: dict) -> "F.Column":
-    if not hot:
-        return F.lit(1)
-    m = F.create_map(*[x for src, k in hot.items() for x in (F.lit(src), F.lit(k))])
-    return F.coalesce(F.element_at(m, F.col("src")), F.lit(1))
+def _hot_sources(e: DataFrame, edges: int, n: int) -> DataFrame:
+    """``src, salts`` of sources whose out-degree exceeds the average
+    partition load edges / n, each with ⌈deg · n / edges⌉ salts (≤ n).
+    Degrees sum to the number of edges, so at most n sources qualify: a
+    bound on what is broadcast."""
+    share = F.col("deg") * F.lit(n) / F.lit(max(edges, 1))
+    return (e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).filter(share > 1)
+            .select("src", F.ceil(share).cast("int").alias("salts")))
 
 
 def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
@@ -71,80 +49,75 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
     ``max_depth`` hops (seeds excluded).  ``edges`` has ``src, dst``;
     ``seeds`` is a list of ids or a one-column DataFrame of ids.
 
-    One aggregation finds the sources whose out-degree exceeds the average
-    partition load (``_hot_sources``); their edges get a ``salt`` (hash of
-    ``dst``) over a number of buckets proportional to their share, all
-    other edges salt 0.  The edge list is hash-partitioned by ``(src,
-    salt)`` once and persisted (memory, spilling to disk; a lost block is
-    recomputed from the edge query).  Each round joins the frontier to it:
+    The edges are read once and written to the checkpoint folder; their
+    number sets the number of partitions (``EDGES_PER_PARTITION``).  Edges
+    of sources above the average partition load (``_hot_sources``) get a
+    salt over a number of buckets proportional to their share, and the list
+    is hash-partitioned by ``(src, salt)`` once and persisted (a lost block is
+    recomputed from the written edges).  Each round joins the frontier to it:
 
-    * a frontier whose exact row count fits the broadcast budget is
-      broadcast and the edges stream through in place — no shuffle, and a
+    * a frontier whose measured bytes fit the session's broadcast threshold
+      is broadcast and the edges stream through in place — no shuffle, and a
       ``src`` holding a third of all edges is spread over every task;
     * a larger frontier is shuffled to the edges' partitioning (edges are
       the streamed side, never re-shuffled), each hot source's row repeated
-      once per salt — a source owning a third of all edges is spread over
-      about a third of the tasks, and only hot rows are repeated.
+      once per salt, and only hot rows are repeated.
 
-    Each round's new nodes are written as parquet under
-    ``spark.checkpoint.dir`` and read back (lineage cut, computed once; the
-    row count is observed during the write); the visited set is the union
-    of those round tables, so no round rewrites earlier ones."""
+    Each round's new nodes are written under ``spark.checkpoint.dir`` and read
+    back (lineage cut, computed once; rows and bytes are observed during the
+    write).  The result is written once; the rounds' files are deleted."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rounds = max(int(max_depth), 1)
-    small = _broadcast_rows(spark)
+    budget = size_setting(spark, "spark.sql.autoBroadcastJoinThreshold", 10 << 20)
+    row = F.octet_length("id") + F.lit(ROW_BYTES)
 
     e = edges.select(F.col("src").cast("string").alias("src"),
                      F.col("dst").cast("string").alias("dst"))
     if node_prefix:
         e = e.filter(F.col("dst").startswith(node_prefix))
-    # sources above the average partition load get salts in proportion to
-    # their share; edges partitioned by (src, salt) and cached once
-    hot = _hot_sources(e, n)
-    k = _salt_count(hot)
-    e = (e.withColumn("salt", F.pmod(F.xxhash64("dst"), k).cast("int"))
-          .repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK))
+    written, total = materialize(e, "bfs-edges", count=True)
+    n = partitions or max(1, -(-total // EDGES_PER_PARTITION))
+    hot, n_hot = materialize(_hot_sources(written, total, n), "bfs-hot", count=True)
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    salted = written.join(F.broadcast(hot), "src", "left") if n_hot else written.withColumn("salts", F.lit(1))
+    e = (salted.withColumn("salt", F.pmod(F.xxhash64("dst"), salts).cast("int")).drop("salts")
+         .repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK))
+    scratch = [written, hot]
     try:
-        seed, size = materialize(_seed_frame(spark, seeds).dropDuplicates(["id"])
-                                 .withColumn("depth", F.lit(0)), "bfs-seed", count=True)
-        levels = [seed]
-        visited = seed.select("id")
-        frontier = seed
-        seen = size
+        seed, size, width = materialize(_seed_frame(spark, seeds).dropDuplicates(["id"])
+                                        .withColumn("depth", F.lit(0)), "bfs-seed", size=row)
+        levels, seen = [seed], width
         for d in range(1, rounds + 1):
-            if size == 0:
-                break
-            f = frontier.select(F.col("id").alias("src"))
-            if size <= small:
-                # exact size known and within budget: broadcast; the cached
-                # edges stream in place, hot sources included
+            f = levels[-1].select(F.col("id").alias("src"))
+            if width <= budget:
                 cand = e.join(F.broadcast(f), "src")
             else:
-                # a shuffled hash join building on the frontier; a hot
-                # source's frontier row is repeated once per salt, so its
-                # edges are spread over tasks in proportion to its share, and
-                # the cached edges stream without being re-shuffled
-                fs = f.withColumn("salt", F.explode(F.sequence(F.lit(0), k - F.lit(1))))
+                # a shuffled hash join building on the frontier
+                fs = f.join(F.broadcast(hot), "src", "left").withColumn(
+                    "salt", F.explode(F.sequence(F.lit(0), salts - F.lit(1)))).drop("salts")
                 cand = e.join(fs.hint("shuffle_hash"), ["src", "salt"])
-            v = F.broadcast(visited) if seen <= small else visited
-            nxt, size = materialize(cand.select(F.col("dst").alias("id")).distinct()
-                                    .join(v, "id", "left_anti")
-                                    .withColumn("depth", F.lit(d)), f"bfs-round{d}", count=True)
+            visited = levels[0].select("id")
+            for lv in levels[1:]:
+                visited = visited.union(lv.select("id"))
+            v = F.broadcast(visited) if seen <= budget else visited
+            nxt, size, width = materialize(cand.select(F.col("dst").alias("id")).distinct()
+                                           .join(v, "id", "left_anti")
+                                           .withColumn("depth", F.lit(d)), f"bfs-round{d}", size=row)
             if size == 0:
+                scratch.append(nxt)
                 break
-            seen += size
+            seen += width
             levels.append(nxt)
-            visited = visited.unionByName(nxt.select("id"))
-            frontier = nxt
+        out = levels[0]
+        for lv in levels[1:]:
+            out = out.unionByName(lv)
+        out = materialize(out.filter(F.col("depth") >= 1).select(
+            F.col("id").alias("unique_id"), F.col("depth").cast("long").alias("depth")), "bfs")
     finally:
         e.unpersist()
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out.filter(F.col("depth") >= 1).select(
-        F.col("id").alias("unique_id"), F.col("depth").cast("long").alias("depth"))
+    discard([*scratch, *levels])
+    return out
 
 
 def reached_models(catalog, reach: DataFrame) -> DataFrame:

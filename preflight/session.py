@@ -55,14 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, label: str = "stage", count: bool = False):
+def materialize(df, label: str = "stage", count: bool = False, size=None):
     """Cut lineage by writing ``df`` as parquet under the checkpoint folder
     and reading it back: computed once (a reliable ``checkpoint()`` of an
     uncached frame computes it twice), and the files are in the shared
     folder, so a lost executor loses nothing.
 
-    With ``count=True`` returns ``(frame, rows)``; the row count is observed
-    while writing (``DataFrame.observe``), not by a second job."""
+    With ``count=True`` returns ``(frame, rows)``, with a column ``size``
+    ``(frame, rows, sum of size)``; both are observed while writing
+    (``DataFrame.observe``), not by a second job."""
     import uuid
 
     from pyspark.sql import Observation
@@ -72,9 +73,28 @@ def materialize(df, label: str = "stage", count: bool = False):
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/preflight-{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    if count:
+    if count or size is not None:
         obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
-        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-        return spark.read.schema(schema).parquet(path), int(obs.get["rows"])
+        total = F.sum(size if size is not None else F.lit(0))
+        df.observe(obs, F.count(F.lit(1)).alias("rows"), total.alias("size")).write.mode("overwrite").parquet(path)
+        out = spark.read.schema(schema).parquet(path)
+        return (out, int(obs.get["rows"])) if size is None else (out, int(obs.get["rows"]), int(obs.get["size"] or 0))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def discard(frames) -> None:
+    """Delete the files of materialized frames that are no longer read."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/preflight-" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def size_setting(spark, key: str, default: int) -> int:
+    """Bytes of a size setting (``10485760``, ``10485760b``, ``64MB``, ``1k``)."""
+    import re
+
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(i?b)?\s*", str(spark.conf.get(key, str(default))).lower())
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ") if m else default

@@ -94,11 +94,11 @@ def test_hot_source_is_salted(spark):
     edges += [(f"model.x{j}", f"model.y{j % 7}") for j in range(100)]
     e = spark.createDataFrame(edges, "src string, dst string")
     seeds = [f"model.s{i}" for i in range(10)] + ["model.hub"]
-    want = {r["unique_id"]: r["depth"] for r in blast_radius(e, seeds[:10], 5).collect()}
+    want = {r["unique_id"]: r["depth"] for r in blast_radius(e, seeds[:10], 5, partitions=8).collect()}
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256")
-        got = {r["unique_id"]: r["depth"] for r in blast_radius(e, seeds[:10], 5).collect()}
+        got = {r["unique_id"]: r["depth"] for r in blast_radius(e, seeds[:10], 5, partitions=8).collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got == want
@@ -110,6 +110,29 @@ def test_hot_sources_rule(spark):
     from preflight.operators.lineage import _hot_sources
     edges = [("h", f"d{i}") for i in range(60)] + [(f"s{i}", "x") for i in range(40)]
     e = spark.createDataFrame(edges, "src string, dst string")
-    hot = _hot_sources(e, 8)          # average partition load 100 / 8 = 12.5
-    assert hot == {"h": 5}            # ceil(60 * 8 / 100)
-    assert len(_hot_sources(e, 1)) == 0 or all(k >= 1 for k in _hot_sources(e, 1).values())
+    hot = {r["src"]: r["salts"] for r in _hot_sources(e, 100, 8).collect()}   # average load 12.5
+    assert hot == {"h": 5}                                                    # ceil(60 * 8 / 100)
+    assert _hot_sources(e, 100, 1).count() == 0
+
+
+def test_size_settings(spark):
+    from preflight.session import size_setting
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for text, want in (("10485760b", 10 << 20), ("64MB", 64 << 20), ("1KB", 1024), ("256k", 256 << 10), ("-1", -1), ("300", 300)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+            assert size_setting(spark, "spark.sql.autoBroadcastJoinThreshold", 5) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rounds_leave_no_files(spark):
+    import glob
+    import os
+    from preflight.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    e = spark.createDataFrame([("model.a", "model.b"), ("model.b", "model.c")], "src string, dst string")
+    before = set(glob.glob(os.path.join(base, "preflight-bfs-*")))
+    r = blast_radius(e, ["model.a"])
+    assert set(glob.glob(os.path.join(base, "preflight-bfs-*"))) - before == {
+        f.removeprefix("file://").rsplit("/", 1)[0] for f in r.inputFiles()} and r.count() == 2
