@@ -82,6 +82,7 @@ def _verdicts(spark, a) -> int:
 
 def main(argv=None) -> int:
     a = _parser().parse_args(argv)
+    from preflight.plans.checks import plan_checks, preview
     from preflight.plans.context import status
     from preflight.plans.review import review
     from preflight.session import get_spark
@@ -118,7 +119,11 @@ def main(argv=None) -> int:
     except ValueError as e:
         print(json.dumps({"error": str(e)}))
         return 2
-    rows = [r.asDict() for r in rv.results.orderBy("ordinal").collect()]
+    shown = rv.results
+    if a.command == "checks":
+        names = models or rv.models_reviewed
+        shown = preview(spark, plan_checks(catalog, names, cats, opts.join_keys))
+    rows = [r.asDict() for r in shown.orderBy("ordinal").collect()]
     if a.out:
         sinks.write_report(rv.results, os.path.join(a.out, "compare"))
         sinks.write_review(rv, os.path.join(a.out, "review"))

@@ -116,11 +116,13 @@ def value_distribution(df: DataFrame, column: str,
     """``value, row_count, pct`` with pct = ROUND(100 * n / total, 2).
 
     The total is a scalar subquery over the grouped frame (its exchange is
-    reused), not an unpartitioned window: no single task sees all groups."""
+    reused), not an unpartitioned window: no single task sees all groups.
+    Most frequent first, then by value (O2)."""
     g = groups if groups is not None else value_groups(df, column)
     total = g.agg(F.sum("row_count")).scalar()
     return (g.withColumn("total_rows", total)
-             .select("value", "row_count", rounded_pct("row_count", "total_rows", 2).alias("pct")))
+             .select("value", "row_count", rounded_pct("row_count", "total_rows", 2).alias("pct"))
+             .orderBy(F.col("row_count").desc(), F.col("value").asc_nulls_first()))
 
 
 def unexpected_values(df: DataFrame, column: str, accepted,

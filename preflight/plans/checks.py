@@ -159,12 +159,17 @@ def plan_checks(catalog: Catalog, model_names: list[str],
     return specs
 
 
+#: Checks of which a failing one shows rows.
+SAMPLED = ("pk_duplicates", "null_rate", "fk_match_rate")
+
+
 def preview(spark: SparkSession, specs: list[CheckSpec]) -> DataFrame:
-    """The planned checks as rows, each marked SKIP."""
+    """The planned checks as rows, each marked SKIP, and whether a
+    failing one would show a sample."""
     rows = [(s.ordinal, s.model, s.category, s.check, s.importance, "SKIP",
-             "Skipped (dry-run mode)", s.column or s.parent or "", s.relation)
+             "Skipped (dry-run mode)", s.column or s.parent or "", s.relation, s.check in SAMPLED)
             for s in specs]
     return spark.createDataFrame(
         rows, "ordinal int, model string, category string, check string, "
               "importance string, status string, detail string, target string, "
-              "relation string")
+              "relation string, has_sample boolean")

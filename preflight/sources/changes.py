@@ -2,8 +2,9 @@
 file (F2), as tables.
 
 A version-control tool's output enters as rows: ``changed_files(path)``
-and ``diff_lines(diff_id, line_no, line)`` — one row per diff line, so a
-diff of any size is spread over the cluster.  The split is a running sum
+and ``diff_lines(diff_id, line_no, line)`` — one row per diff line.
+One diff is one task's work (its lines are numbered in order); many diffs are
+spread over the cluster.  The split is a running sum
 of header lines per ``diff_id`` (gap-and-island), then a grouped,
 line-ordered concatenation per file.
 """

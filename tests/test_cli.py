@@ -29,6 +29,25 @@ def test_cli_review_and_checks(spark, capsys):
     assert main(["checks", "--manifest", MANIFEST, "--models", "rides"]) == 0
     doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert {r["status"] for r in doc["results"]} == {"SKIP"}
+    assert {r["check"] for r in doc["results"] if r["has_sample"]} == {"pk_duplicates", "null_rate", "fk_match_rate"}
+    assert main(["status", "--manifest", MANIFEST, "--out", out]) == 0
+    doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert doc["last_review_summary"].startswith("2 FAIL / 1 WARN / 5 PASS (20")
+
+
+def test_cli_edge_cases_and_verdicts(spark, capsys):
+    d = _tables(spark)
+    out = tempfile.mkdtemp(prefix="pf-cli-ec-", dir="/tmp")
+    files = {"cases": [{"model": "rides", "description": "kinds", "risk": "LOW",
+                        "sql": "SELECT COUNT(*) AS odd_rides FROM {rides} WHERE kind = 'dusk'"}],
+             "verdicts": [{"index": 0, "verdict": "known", "status": "expected"}]}
+    for k, v in files.items():
+        json.dump(v, open(os.path.join(out, k + ".json"), "w"))
+    assert main(["edge-cases", "--tables", d, "--cases", os.path.join(out, "cases.json"), "--out", out]) == 0
+    doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (doc["flagged"], doc["results"][0]["result"]) == (1, "1 odd rides")
+    assert main(["verdicts", "--verdicts", os.path.join(out, "verdicts.json"), "--out", out]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"updated": 1, "total": 1}
 
 
 def test_cli_status(spark, capsys):
