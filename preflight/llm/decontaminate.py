@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from preflight.llm.arrow_text import (ASCII_LOWER, RangeHash, mask, runs, signed, text_slices,
                                       window_hash)
 from preflight.llm.filters import bitmap, contains
+from preflight.llm.joins import row_hash
 from preflight.llm.ship import ship
 from preflight.session import materialize
 
@@ -205,11 +206,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
     return d.select("id", "thash", "n_words"), long_hits.union(short_hits), classes
 
 
-def row_hash():
-    """What tells documents apart: id and text."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones, all columns."""
     _, found, _ = hits(docs, benchmark)

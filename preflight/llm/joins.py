@@ -1,4 +1,5 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins that stay even when one key holds a large share of the rows, and the
+key of a document's row."""
 
 from __future__ import annotations
 
@@ -18,10 +19,6 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column,
     return b.join(s, [*keys, "__salt"], how).drop("__salt")
 
 
-def same(a: str, b: str, *columns: str) -> Column:
-    """Null-safe equality of columns of two aliased frames."""
-    out = None
-    for c in columns:
-        e = F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-        out = e if out is None else out & e
-    return out
+def row_hash() -> Column:
+    """What tells documents apart: id and text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))

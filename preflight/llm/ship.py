@@ -32,8 +32,3 @@ def ship(spark: SparkSession) -> SparkSession:
             sc.addPyFile(target)
         _SHIPPED.add(sc.applicationId)
     return spark
-
-
-def documents(spark: SparkSession, sf_dir: str, *columns: str):
-    """Columns of the documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
