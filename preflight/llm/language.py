@@ -35,7 +35,7 @@ from preflight.llm.arrow_text import ASCII_LOWER, RangeHash, Texts, mask, runs,
 from preflight.llm.ship import ship
 
 TRAIN_DOCS = 40_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 SWITCH, CUT = 14.0, 12.0
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
