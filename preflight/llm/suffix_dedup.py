@@ -3,27 +3,29 @@
 A string of ``length`` (400) bytes is repeated if it starts anywhere else in
 the corpus, in its own text included; matches never cross texts.
 
-Partition.  Every string of 400 bytes holds, among its k-grams (k = 200), a
+Partition.  Every string of 400 bytes holds, among its k-grams (k = 256), a
 minimum hash that depends on the string alone; all places of that minimum
 are its anchors.  Equal strings share the anchor's k-gram (*core*) and lie
 alike around it, so all copies of a string meet under the hash of a core.
-An anchor's *context* is what its strings can reach: 200 bytes to the left
-of the core, 200 to its right, cut at the text's ends.
+An anchor's *context* is what its strings can reach: 144 bytes on either
+side of the core, cut at the text's ends.
 
-1. One pass hashes cores and contexts; a count finds the classes of equal
-   contexts.  A class of two or more is repeated as a whole; no text moves.
+1. One pass hashes cores and contexts; a count (first within each task) finds
+   the classes of equal contexts.  A class of two or more is repeated as a
+   whole; no text moves.
 2. Where one core has different contexts, one context of each class is
    sent, by core.  A task joins the contexts of many cores (in order of
-   their first place in the corpus), builds the suffix array to a depth
-   of 400 by prefix doubling, and looks in suffix order, among the neighbours
-   with a common prefix of 400 or more, for the previous and next smaller
+   their first place in the corpus), builds the suffix array to the depth of
+   a string without its core by prefix doubling, and looks in suffix order,
+   among the neighbours of equal strings, for the previous and next smaller
    position: if there is one, the longest previous factor reaches 400 (LPF
-   arrays are kept only as this test).  The mirrored test finds
-   later copies.  Repeated strings come back as ranges.
+   arrays are kept only as this test).  The mirrored test finds later
+   copies.  Repeated strings come back as ranges.
 3. A core with over ``max_contexts`` contexts is no task's work: its strings
-   are cut into pieces of 25 starts, pieces are counted by hash as in 1, and
+   are cut into pieces of 8 starts, pieces are counted by hash as in 1, and
    only the starts of pieces that share their own core are counted one by one.
 4. The ranges join the anchors of a third pass; each text loses their union.
+   Texts that lose nothing are not shuffled.
 
 ``keep="none"`` removes every copy, ``keep="first"`` all but the first (by
 doc_id, nulls first, then text hash and place).
@@ -40,18 +42,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from preflight.llm.arrow_text import RangeHash, Texts, mix, signed, text_slices
 from preflight.llm.filters import bitmap, contains
-from preflight.llm.joins import same, salted_join
+from preflight.llm.joins import row_hash, salted_join
 from preflight.llm.ship import ship
 from preflight.session import materialize
 
-LENGTH, CORE = 400, 200
-MAX_CONTEXTS = 2048
-PIECE = 25
+LENGTH, CORE = 400, 256
+MAX_CONTEXTS = 8192
+PIECE = 8
 BATCH_BYTES = 3 << 20
 FILTER_BITS = 26        # 8 MB
 _U = np.uint64
@@ -96,9 +98,9 @@ class Anchors:
         self.hi = np.minimum(self.at + length, t.ends[self.text])
         self.ctx = mix(self.hash(self.lo, self.hi) + (self.at - self.lo).astype(np.uint64))
 
-    def place(self, t: Texts, thash: np.ndarray) -> np.ndarray:
+    def place(self, t: Texts, row: np.ndarray) -> np.ndarray:
         """Hash of each anchor's place in the corpus."""
-        return mix(thash[self.text].view(np.uint64) + _U(0x632BE59BD9B4E019)
+        return mix(row[self.text].view(np.uint64) + _U(0x632BE59BD9B4E019)
                    * (self.at - t.starts[self.text] + 1).astype(np.uint64))
 
 
@@ -106,29 +108,45 @@ def _column(b, name):
     return b.column(b.schema.get_field_index(name))
 
 
-def _hashed(length: int, k: int):
-    """Pass 1: core, context and place of every anchor."""
+def _hashed(length: int, k: int, ordered: bool):
+    """Pass 1: classes of equal contexts, counted within the task, with their
+    least place; ``ordered``: every anchor with the parts of its place."""
     def run(batches):
+        found = []
         for b in batches:
-            ids, hashes = _column(b, "doc_id").cast(pa.int64()), _column(b, "thash").to_numpy()
+            rows = _column(b, "row").to_numpy()
+            ids = _column(b, "doc_id").cast(pa.int64())
             for t in text_slices(b):
                 a = Anchors(t, length, k)
-                rows = a.text + t.rows.start
+                place = a.place(t, rows[t.rows.start:t.rows.stop])
+                if not ordered:
+                    found.append((a.core, a.ctx, place))
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(a.core)), pa.array(signed(a.ctx)), pa.array(np.ones(len(a.at), np.int64)),
+                     pa.array(signed(place)), ids.take(pa.array(a.text + t.rows.start)),
+                     pa.array(rows[a.text + t.rows.start]), pa.array((a.at - t.starts[a.text]).astype(np.int32))],
+                    names=[*NAMES, "doc_id", "row", "at"])
+        if not ordered:
+            core, ctx, place = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64)
+                                for i in range(3))
+            order = np.lexsort((place, ctx, core))
+            core, ctx, place = core[order], ctx[order], place[order]
+            first = np.ones(len(core), bool)
+            first[1:] = (core[1:] != core[:-1]) | (ctx[1:] != ctx[:-1])
+            at = np.flatnonzero(first)
+            n = np.diff(np.r_[at, len(core)])
+            for lo in range(0, len(at), 50_000):
+                i = at[lo:lo + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(a.core)), pa.array(signed(a.ctx)), ids.take(pa.array(rows)),
-                     pa.array(hashes[rows]), pa.array(a.at - t.starts[a.text])],
-                    names=["core", "ctx", "doc_id", "thash", "at"])
+                    [pa.array(signed(core[i])), pa.array(signed(ctx[i])), pa.array(n[lo:lo + 50_000]),
+                     pa.array(signed(place[i]))], names=NAMES)
     return run
 
 
-def _place_hash():
-    """The place hash of a class's first anchor, as in ``Anchors.place``."""
-    def run(batches):
-        for b in batches:
-            th, at = _column(b, "thash").to_numpy().view(np.uint64), _column(b, "at").to_numpy()
-            h = mix(th + _U(0x632BE59BD9B4E019) * (at + 1).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h))], names=["h"])
-    return run
+NAMES = ["core", "ctx", "n", "place"]
+CLASS = "core long, ctx long, n long, place long"
+WHERE = ", doc_id long, row long, at int"
 
 
 # ── suffix arrays ──────────────────────────────────────────────────────────
@@ -217,12 +235,16 @@ def _ranges_batch(core, ctx, parts):
         names=["core", "ctx", "kind", "far", "near"])
 
 
-def _factors(length: int):
+def _factors(reach: int):
     """Contexts sorted by core, many cores at once: ranges of offsets (bytes
-    from a string's start to its core) whose string is repeated elsewhere."""
+    from a string's start to its core) whose string is repeated elsewhere.
+
+    All strings of a context hold its core, so the suffix array is built over
+    the contexts without it: what is left of a string are ``reach`` bytes.
+    Two strings are equal if these are, and core and offset too."""
     def solve(rows):
         rows.sort(key=lambda r: r[2])                 # first place in the corpus
-        seen, texts, data, core, ctx, left, place = set(), {}, [], [], [], [], []
+        seen, texts, cores, data, core, ctx, left, place = set(), {}, {}, [], [], [], [], []
         for c, x, at, n, raw in rows:
             if (c, x) not in seen:
                 seen.add((c, x))
@@ -231,16 +253,18 @@ def _factors(length: int):
                 core.append(c)
                 ctx.append(x)
                 left.append(n)
+        group = np.array([cores.setdefault(c, len(cores)) for c in core], np.uint64)
         size = np.array([len(x) for x in data])
         core, ctx, left = np.array(core, np.int64), np.array(ctx, np.int64), np.array(left)
         whole = np.frombuffer(b"".join(data), np.uint8)
         starts = np.cumsum(size) - size
-        n_win = np.maximum(size - length + 1, 0)
+        n_win = np.maximum(size - reach + 1, 0)
         owner = np.repeat(np.arange(len(size)), n_win)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        earlier, later = previous_and_next(suffix_ranks(whole, length)[starts[owner] + inner],
-                                           np.array(place, np.int64)[owner] + inner)
         o = left[owner] - inner                       # falls from far to near
+        rank = suffix_ranks(whole, reach)[starts[owner] + inner]
+        rank = (rank << _U(32)) | (group[owner] * _U(reach + 1) + o.astype(np.uint64))
+        earlier, later = previous_and_next(rank, np.array(place, np.int64)[owner] + inner)
         return _ranges_batch(core, ctx, [("any", _ranges(earlier | later, owner, o)),
                                          ("earlier", _ranges(earlier, owner, o))])
 
@@ -248,7 +272,7 @@ def _factors(length: int):
         rows, size, last = [], 0, None
         for b in batches:
             cores, ctxs = _column(b, "core").to_pylist(), _column(b, "ctx").to_pylist()
-            keys = zip(*[_column(b, c).to_pylist() for c in ("doc_id", "thash", "at")])
+            keys = zip(*[_column(b, c).to_pylist() for c in ("doc_id", "row", "at")])
             for c, x, k, n, raw in zip(cores, ctxs, keys, _column(b, "left").to_pylist(), _column(b, "raw").to_pylist()):
                 if size >= BATCH_BYTES and c != last:
                     yield solve(rows)
@@ -262,21 +286,21 @@ def _factors(length: int):
 
 
 def _contexts(length: int, k: int, shared, hot: bool):
-    """Pass 2: the bytes of the contexts whose place passes a bitmap; for
+    """Pass 2: the bytes of the contexts (without their core) whose place passes a bitmap; for
     ``hot`` cores the hashes of their pieces and strings instead."""
     def run(batches):
         for b in batches:
-            ids, hashes = _column(b, "doc_id").cast(pa.int64()), _column(b, "thash").to_numpy()
+            ids, hashes = _column(b, "doc_id").cast(pa.int64()), _column(b, "row").to_numpy()
             for t in text_slices(b):
                 a = Anchors(t, length, k)
-                th = hashes[t.rows.start:t.rows.stop]
-                at = np.flatnonzero(contains(shared.value, a.place(t, th)))
+                at = np.flatnonzero(contains(shared.value, a.place(t, hashes[t.rows.start:t.rows.stop])))
                 rows = a.text[at] + t.rows.start
                 common = [pa.array(signed(a.core[at])), pa.array(signed(a.ctx[at])), ids.take(pa.array(rows)),
-                          pa.array(hashes[rows]), pa.array(a.at[at] - t.starts[a.text[at]])]
-                names = ["core", "ctx", "doc_id", "thash", "at"]
+                          pa.array(hashes[rows]), pa.array((a.at[at] - t.starts[a.text[at]]).astype(np.int32))]
+                names = ["core", "ctx", "doc_id", "row", "at"]
                 if not hot:
-                    raw = [t.data[x:y].tobytes() for x, y in zip(a.lo[at], a.hi[at])]
+                    raw = [t.data[x:p].tobytes() + t.data[p + k:y].tobytes()
+                           for x, p, y in zip(a.lo[at], a.at[at], a.hi[at])]
                     yield pa.RecordBatch.from_arrays(
                         [*common, pa.array((a.at - a.lo)[at].astype(np.int32)), pa.array(raw, pa.binary())],
                         names=[*names, "left", "raw"])
@@ -304,12 +328,12 @@ def _contexts(length: int, k: int, shared, hot: bool):
     return run
 
 
-PLACE = "core long, ctx long, doc_id long, thash long, at long"
+PLACE = "core long, ctx long, doc_id long, row long, at int"
 
 
 def _hot_ranges(pieces: DataFrame) -> DataFrame:
     """``RANGES`` of the pieces of hot cores, by counting hashes."""
-    where = F.struct("doc_id", "thash", "at")
+    where = F.struct("doc_id", "row", "at")
     pieces = materialize(pieces.dropDuplicates(["core", "ctx", "near"]), "pieces")
     kinds = pieces.groupBy("pcore", "pctx").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first"))
     kinds = materialize(kinds, "kinds")
@@ -319,10 +343,10 @@ def _hot_ranges(pieces: DataFrame) -> DataFrame:
         own.filter(where != F.col("first")).select("core", "ctx", F.lit("earlier").alias("kind"), "far", "near"))
     # strings of pieces that share their core but not their context
     single = (salted_join(pieces, mixed, ["pcore"], F.col("ctx"))
-              .select("core", "ctx", "doc_id", "thash", "at", "near", F.posexplode("strings").alias("i", "string"))
+              .select("core", "ctx", "doc_id", "row", "at", "near", F.posexplode("strings").alias("i", "string"))
               .withColumn("o", F.col("near") + F.col("i")))
     # a string is at one place for several cores
-    here = F.struct("doc_id", "thash", (F.col("at") - F.col("o")).alias("at"))
+    here = F.struct("doc_id", "row", (F.col("at") - F.col("o")).alias("at"))
     single = materialize(single, "strings")
     often = (single.groupBy("string").agg(F.min(here).alias("first"), F.max(here).alias("last"))
              .filter("first <> last").select("string", "first"))
@@ -334,28 +358,28 @@ def _hot_ranges(pieces: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, keep: str = "none", length: int = LENGTH, k: int = CORE,
                     max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """``doc_id, thash, lo, hi``: byte ranges to remove (they may overlap).
-    ``docs``: doc_id, text, thash."""
+    """``row, lo, hi``: byte ranges to remove (they may overlap).  ``docs``:
+    doc_id, text, row (what tells the rows apart)."""
     spark = docs.sparkSession
-    where = F.struct("doc_id", "thash", "at")
-    classes = materialize(
-        docs.mapInArrow(_hashed(length, k), PLACE).groupBy("core", "ctx")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")), "classes")
-    cores = materialize(classes.groupBy("core").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "cores")
-    mixed = materialize(salted_join(classes, cores, ["core"], F.col("ctx"))
-                        .select("core", "ctx", "d", "first.thash", "first.at"), "mixed")
+    ordered = keep == "first"
+    where = F.struct("doc_id", "row", "at")
+    sent = docs.mapInArrow(_hashed(length, k, ordered), CLASS + WHERE * ordered).repartition("core")
+    # one shuffle by core serves the count of classes and of a core's classes
+    least = F.min(F.struct("doc_id", "row", "at", "place")) if ordered else F.min("place")
+    classes = (sent.groupBy("core", "ctx").agg(F.sum("n").alias("n"), least.alias("first"))
+               .withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("core"))).filter("d > 1 OR n > 1"))
+    classes = materialize(classes.withColumn("place", F.col("first.place") if ordered else F.col("first")), "classes")
 
     def send(rows):
-        h = rows.select("thash", "at").mapInArrow(_place_hash(), "h long")
-        return spark.sparkContext.broadcast(bitmap(h, F.col("h"), FILTER_BITS))
+        return spark.sparkContext.broadcast(bitmap(rows, F.col("place"), FILTER_BITS))
 
-    sent = docs.mapInArrow(_contexts(length, k, send(mixed.filter(F.col("d") <= max_contexts)), False),
-                           PLACE + ", left int, raw binary")
-    found = (sent.repartition("core").sortWithinPartitions("core").mapInArrow(_factors(length), RANGES))
-    pieces = docs.mapInArrow(
-        _contexts(length, k, send(mixed.filter(F.col("d") > max_contexts)), True),
-        PLACE + ", pcore long, pctx long, far int, near int, strings array<long>")
-    found = materialize(found.union(_hot_ranges(pieces)), "ranges")
+    few = send(classes.filter(F.col("d").between(2, max_contexts)))
+    shipped = docs.mapInArrow(_contexts(length, k, few, False), PLACE + ", left int, raw binary")
+    found = shipped.repartition("core").sortWithinPartitions("core").mapInArrow(_factors(length - k), RANGES)
+    many = send(classes.filter(F.col("d") > max_contexts))
+    pieces = docs.mapInArrow(_contexts(length, k, many, True),
+                             PLACE + ", pcore long, pctx long, far int, near int, strings array<long>")
+    found = found.union(_hot_ranges(pieces))
 
     kind = "any" if keep == "none" else "earlier"
     some = (found.filter(F.col("kind") == kind).groupBy("core", "ctx")
@@ -364,30 +388,41 @@ def repeated_ranges(docs: DataFrame, keep: str = "none", length: int = LENGTH, k
         classes.join(some, ["core", "ctx"], "left").filter(F.col("parts").isNotNull() | (F.col("n") > 1))
         .select("core", "ctx", "n", "first", "parts"), "verdicts")
     known = spark.sparkContext.broadcast(bitmap(verdict, F.col("ctx"), FILTER_BITS))
-    again = docs.mapInArrow(_known(length, k, known), PLACE + ", lo long, hi long")
-    hit = salted_join(again, verdict, ["core", "ctx"], F.col("thash"), salts=4)
-    here = F.struct("doc_id", "thash", "at")
-    whole = (F.col("n") > 1) if keep == "none" else (here != F.col("first"))
+    again = docs.mapInArrow(_known(length, k, known),
+                            "core long, ctx long, doc_id long, row long, at int, lo int, hi int")
+    hit = again.join(verdict, ["core", "ctx"])                # adaptive execution splits large keys
+    here = F.struct("doc_id", "row", "at")
+    own = F.struct("first.doc_id", "first.row", "first.at") if ordered else None
+    whole = here != own if ordered else F.col("n") > 1
     parts = F.transform("parts", lambda p: F.struct((F.col("at") - p["far"]).alias("lo"),
                                                     (F.col("at") - p["near"] + F.lit(length)).alias("hi")))
     spans = F.when(whole, F.array(F.struct(F.col("lo"), F.col("hi")))).otherwise(parts)
-    return hit.select("doc_id", "thash", F.explode(spans).alias("s")).select("doc_id", "thash", "s.lo", "s.hi")
+    return hit.select("row", F.explode(spans).alias("s")).select("row", "s.lo", "s.hi")
 
 
 def _known(length: int, k: int, shared):
     """Pass 3: anchors whose context hash passes a bitmap."""
     def run(batches):
         for b in batches:
-            ids, hashes = _column(b, "doc_id").cast(pa.int64()), _column(b, "thash").to_numpy()
+            ids, hashes = _column(b, "doc_id").cast(pa.int64()), _column(b, "row").to_numpy()
             for t in text_slices(b):
                 a = Anchors(t, length, k)
                 at = np.flatnonzero(contains(shared.value, a.ctx))
                 rows, base = a.text[at] + t.rows.start, t.starts[a.text[at]]
+                small = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(a.core[at])), pa.array(signed(a.ctx[at])), ids.take(pa.array(rows)),
-                     pa.array(hashes[rows]), pa.array(a.at[at] - base), pa.array(a.lo[at] - base),
-                     pa.array(a.hi[at] - base)],
-                    names=["core", "ctx", "doc_id", "thash", "at", "lo", "hi"])
+                     pa.array(hashes[rows]), small(a.at[at] - base), small(a.lo[at] - base), small(a.hi[at] - base)],
+                    names=["core", "ctx", "doc_id", "row", "at", "lo", "hi"])
+    return run
+
+
+def _touched(shared, inside: bool):
+    """Rows whose key passes a bitmap, or the others."""
+    def run(batches):
+        for b in batches:
+            ok = contains(shared.value, _column(b, "row").to_numpy().view(np.uint64))
+            yield b.filter(pa.array(ok if inside else ~ok))
     return run
 
 
@@ -395,13 +430,14 @@ def _cut(digest: bool):
     """Remove each text's ranges."""
     def run(batches):
         for b in batches:
-            lows, highs = _column(b, "lo").to_pylist(), _column(b, "hi").to_pylist()
+            lows, highs = (_column(b, c).to_pylist() if c in b.schema.names else [None] * b.num_rows
+                           for c in ("lo", "hi"))
             n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
             for t in text_slices(b):
                 for i in range(len(t)):
-                    raw, row = t.raw(i), t.rows.start + i
+                    raw, at = t.raw(i), t.rows.start + i
                     parts, reach, out = [], 0, []
-                    for lo, hi in sorted(zip(lows[row] or (), highs[row] or ())):
+                    for lo, hi in sorted(zip(lows[at] or (), highs[at] or ())):
                         if parts and lo <= parts[-1][1]:
                             parts[-1][1] = max(parts[-1][1], hi)
                         else:
@@ -433,15 +469,18 @@ def suffix_dedup(docs: DataFrame, keep: str = "none", digest: bool = False, leng
     SHA-256 of the remaining bytes."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("thash"))
-    spans = (repeated_ranges(slim, keep, length, k, max_contexts).groupBy("doc_id", "thash")
-             .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")).hint("shuffle_hash"))
-    both = (slim.alias("d").join(spans.alias("s"), same("d", "s", "doc_id", "thash"), "left")
-            .select("d.doc_id", "d.text", "s.lo", "s.hi"))
+                       row_hash().alias("row"))
+    spans = materialize(repeated_ranges(slim, keep, length, k, max_contexts).groupBy("row")
+                        .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
     last = "kept_sha256 string" if digest else "kept binary, spans array<array<long>>"
-    return both.mapInArrow(_cut(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, " + last)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, " + last
+    # only texts that may lose something are shuffled to their ranges
+    some = spark.sparkContext.broadcast(bitmap(spans, F.col("row"), FILTER_BITS))
+    whole = slim.mapInArrow(_touched(some, False), slim.schema).mapInArrow(_cut(digest), out)
+    both = slim.mapInArrow(_touched(some, True), slim.schema).join(spans.hint("shuffle_hash"), "row", "left")
+    return whole.union(both.select("doc_id", "text", "lo", "hi").mapInArrow(_cut(digest), out))
 
 
 def op1_suffix_dedup(spark, sf_dir):
