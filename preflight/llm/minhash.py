@@ -14,21 +14,15 @@ the next rank.  Every text's permutation is affine in the rank
 probability of 5e-11.  Texts of equal sets are one class from the first
 shuffle on.  Of the classes that share a bucket, a twice-seen filter over
 all their shingles tells how many shingles of a class may be in another
-one at all (``c`` of ``n``); two classes have at most min(c, c') in common, so
-
-    100 * min(c, c') >= 85 * (n + n' - min(c, c'))
-
-must hold for a link, and a class with 100 c < 85 n has none.  This is
+one at all (``c`` of ``n``); a class with 100 c < 85 n has no link.  This is
 exact: it removes copies that were changed too much, and texts that only
-share a passage, before any pair is made.  What is left is verified on full
-sets and joined to components.
+share a passage.
 
-First every bucket is compared with its least changed class (a star, by
-array_intersect).  Then families - classes that buckets connect, linked or
-not - that are not yet one component are cut into blocks of about ``BLOCK``
-classes; each pair of blocks is one group, whose sets are compared by
-matrix products and which returns joined components only.  No pair of texts
-is ever a row, no group grows with a family, and no pair is left out.
+Families - classes that buckets connect, linked or not - are cut into blocks
+of about ``BLOCK`` classes; each pair of blocks is one group, whose sets are
+compared by matrix products and which returns stars of linked classes.  No
+pair of texts is ever a row, no group grows with a family, and no pair of a
+family is left out.
 
 Cases: a text of one to four words has one shingle, the whole sequence; a
 null or wordless text has none and is linked with nothing (it is its own
@@ -50,7 +44,7 @@ from preflight.llm.arrow_text import (ASCII_LOWER, SPACE, RangeHash, Texts, mix,
 from preflight.llm.components import components
 from preflight.llm.filters import PLACES as SENT
 from preflight.llm.filters import TwiceSeen, bitmap, contains, places_of_task
-from preflight.llm.joins import salted_join
+from preflight.llm.joins import row_hash, salted_join
 from preflight.llm.ship import ship
 from preflight.session import materialize
 
@@ -60,7 +54,9 @@ BANDS = PLACES // ROWS
 PERCENT = 85
 FILTER_BITS = 25        # 4 MB
 MAX_BITS = 28          # 32 MB
-BLOCK = 512             # classes of a block
+BLOCK = 512             # classes of a block, and
+ELEMENTS = 1 << 18      # their shingles (expected numbers; a longer text is alone)
+COLUMNS = 4096          # shingles of a matrix product
 _U = np.uint64
 _RANK = _U(56)
 
@@ -197,33 +193,14 @@ def _in_buckets(shared):
     return run
 
 
-def _possible(percent: int):
-    """The bound for classes (n, c) and (m, k)."""
-    both = F.least("c", "k")
-    return both * 100 >= (F.col("n") + F.col("m") - both) * percent
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose sets are similar enough."""
-    one = salted_join(pairs, sets.select(F.col("fp").alias("b"), F.col("elements").alias("y")), ["b"],
-                      F.col("a"), salts=2)
-    two = salted_join(one, sets.select(F.col("fp").alias("a"), F.col("elements").alias("x")), ["a"],
-                      F.col("b"), salts=4)
-    both = F.size(F.array_intersect("x", "y"))
-    return (two.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-            .filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"))
-
-
 def _block_links(percent: int):
-    """Links between the components of a pair of blocks (side 0 and 1; the
-    same block twice has side 0 only), by counting common shingles of full
-    sets in matrix products."""
+    """Links between a pair of blocks (side 0 and 1; a block with itself has
+    side 0 only), by counting common shingles of full sets in matrix
+    products.  Comes back as stars: every class that is linked, with the
+    first class it is connected to here."""
     def run(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
         side = table["side"].to_numpy()
-        parts = table["component"].to_pylist()
-        names = {c: i for i, c in enumerate(dict.fromkeys(parts))}
-        comp = np.array([names[c] for c in parts])
         flat = table["elements"].combine_chunks()
         row = np.repeat(np.arange(len(n)), np.diff(flat.offsets.to_numpy()))
         values, inverse, df = np.unique(flat.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -235,41 +212,42 @@ def _block_links(percent: int):
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         both = np.zeros((len(left), len(right)), np.float32)
-        width = 4096
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            x, y = np.searchsorted(column, [lo, lo + width])
-            m = np.zeros((len(n), width), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            x, y = np.searchsorted(column, [lo, lo + COLUMNS])
+            m = np.zeros((len(n), min(COLUMNS, int(column[y - 1]) + 1 - lo) if y > x else 0), np.float32)
             m[row[x:y], column[x:y] - lo] = 1
             both += m[left] @ m[right].T
-        total = n[left][:, None] + n[right][None, :] - both
-        a, b = np.nonzero((100 * both >= percent * total) & (comp[left][:, None] != comp[right][None, :]))
-        pairs = np.unique(np.stack([comp[left][a], comp[right][b]], 1), axis=0)
-        known = list(names)
-        return pa.table({"a": pa.array([known[i] for i in pairs[:, 0]], pa.binary()),
-                         "b": pa.array([known[i] for i in pairs[:, 1]], pa.binary())})
+        linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        label = np.arange(len(n))
+        while True:                       # least label along links, until nothing moves
+            old = label.copy()
+            far = len(n)
+            label[right] = np.minimum(label[right], np.where(linked, label[left][:, None], far).min(0, initial=far))
+            label[left] = np.minimum(label[left], np.where(linked, label[right][None, :], far).min(1, initial=far))
+            label = label[label]
+            if (label == old).all():
+                break
+        fp = table["fp"].combine_chunks()
+        at = np.flatnonzero(label != np.arange(len(n)))
+        return pa.table({"a": fp.take(pa.array(at)), "b": fp.take(pa.array(label[at]))})
     return run
 
 
-def _family_links(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: components that a link joins, beyond the stars.  A family is
-    what buckets connect, linked or not; every link lies inside one.  Families
-    of one component need nothing.  The others are dealt to blocks of about
-    ``BLOCK`` classes, and every pair of blocks is one group."""
-    family = components(members.select(F.col("fp").alias("a"), F.col("centre").alias("b"))).withColumnRenamed(
-        "component", "family")
-    at = family.join(label, "node", "left").select(
-        F.col("node").alias("fp"), "family", F.coalesce("component", "node").alias("component"))
-    at = materialize(at, "families")
-    size = (at.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"),
-                                     F.max("component").alias("y")).filter("x <> y")
-            .select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    open_ = salted_join(at, size, ["family"], F.col("fp")).withColumn(
-        "block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    spread = (open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      (F.col("block") > F.col("other")).cast("int").alias("side"), "fp", "component"))
-    return (spread.join(sets.select("fp", "n", "elements"), "fp").drop("fp")
-            .groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary"))
+def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that connect what is connected.  A family is what
+    buckets connect, linked or not; every link lies inside one.  Families are
+    dealt to blocks of about ``BLOCK`` classes and ``ELEMENTS`` shingles at
+    most, and every pair of blocks is one group."""
+    family = materialize(components(members.select(F.col("fp").alias("a"), F.col("centre").alias("b"))), "families")
+    size = (family.join(sets.select(F.col("fp").alias("node"), "n"), "node").groupBy("component")
+            .agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / ELEMENTS)).cast("int").alias("blocks")))
+    at = salted_join(family, size, ["component"], F.col("node")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = (at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      (F.col("block") > F.col("other")).cast("int").alias("side"), F.col("node").alias("fp")))
+    return (spread.join(sets.select("fp", "n", "elements"), "fp")
+            .groupBy("component", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -308,11 +286,6 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.drop("__row")
 
 
-def row_hash():
-    """What tells documents apart: id and text."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-
 def families(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: ``id, row, n, fp``; classes of equal sets: ``fp, id, component``)."""
     spark = ship(docs.sparkSession)
@@ -334,25 +307,15 @@ def families(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     seen.fill(slim.mapInArrow(_elements(some, seen.bits), SENT))
     met = spark.sparkContext.broadcast(seen)
     sets = materialize(slim.mapInArrow(_sets(some, met, percent), "fp binary, n long, c long, elements array<long>")
-                       .join(named.select("fp").hint("shuffle_hash"), "fp", "left_semi")
                        .dropDuplicates(["fp"]), "sets")
 
-    # a star in every bucket
-    members = materialize(members.join(sets.select("fp", "n", "c"), "fp"), "members")
-    middle = (members.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
-                                         F.max(F.struct(F.col("c") / F.col("n"), "fp", "n", "c")).alias("x"))
-              .filter("size > 1").select("key", F.col("x.fp").alias("centre"), F.col("x.n").alias("m"),
-                                         F.col("x.c").alias("k")))
-    members = materialize(salted_join(members, middle, ["key"], F.col("fp")).filter("fp <> centre"), "stars")
-    pairs = materialize(members.filter(_possible(percent)).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-                        .distinct(), "pairs")
-    links = _verified(pairs, sets, percent)
-    label = materialize(components(links), "labels")
-    found = materialize(_family_links(members, label, sets, percent), "found")
-    joint = materialize(components(found), "joint")
-    up = joint.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    old = label.join(up, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    label = materialize(old.union(joint.join(label, "node", "left_anti")), "labels")
+    # what buckets connect, and the links in it
+    members = materialize(members.join(sets.select("fp"), "fp"), "members")
+    middle = (members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("centre"))
+              .filter("size > 1").select("key", "centre"))
+    members = (salted_join(members, middle, ["key"], F.col("fp")).filter("fp <> centre")
+               .select("fp", "centre").distinct())
+    label = materialize(components(_family_links(members, sets, percent)), "labels")
 
     named = classes.select("fp", "id").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
