@@ -52,9 +52,9 @@ from preflight.llm.ship import ship
 from preflight.session import materialize
 
 LENGTH, CORE = 400, 256
-MAX_CONTEXTS = 8192
+MAX_CONTEXTS = 4096
 PIECE = 8
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 FILTER_BITS = 26        # 8 MB
 _U = np.uint64
 
