@@ -279,6 +279,34 @@ def test_nearest(spark):
     assert few.groupBy("query_id").count().collect()[0]["count"] == 3
 
 
+def test_nearest_of_uneven_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12000, 64))
+    x *= (rng.lognormal(0, 0.1, 12000) / np.sqrt((x * x).sum(1)))[:, None]
+    x[5] *= 10                                                    # one long vector
+    x[6:9] *= 1e-6                                                # a band of three
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, lambda i: i % 100 == 0).select("query_id", "vec_id").collect()
+    y, hits = x.astype(float), 0
+    for q in range(0, 12000, 100):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits / (20 * 120) >= 0.9
+
+
+def test_runs_with_many_queries_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    ask = lambda: sorted(map(tuple, neighbours.nearest(df, lambda i: i % 2 == 0, 5).collect()))
+    whole = ask()
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", 40)
+    monkeypatch.setattr(neighbours, "SCORES", 100)
+    assert len(whole) == 1500 and ask() == whole
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS + ", lang string")
     bench = spark.createDataFrame([], "item_id long, text string")
