@@ -1,10 +1,11 @@
 """Operator 7 — length buckets with the least padding, and token-budget
 batches inside them.
 
-The global histogram of lengths (at most ``BINS`` bins; longer scales are
-rounded up to a common width) comes from one aggregation.  Dynamic
-programming over it chooses the ``n_buckets`` upper bounds that minimise the
-total padding.  In a bucket of bound L, a batch holds ``budget // L`` texts
+The exact histogram of lengths comes from one aggregation; distinct lengths
+are at most about the square root of twice the words of all texts.  Dynamic
+programming over it, on the lower hull of the last cuts' lines, chooses the
+``n_buckets`` upper bounds that minimise the total padding, in whole numbers
+and in time linear in the distinct lengths.  In a bucket of bound L, a batch holds ``budget // L`` texts
 (one at least), filled in a fixed order: texts are dealt by hash to chunks
 of about ``CHUNK_ROWS``, numbered inside their chunk, and shifted by the
 counts of the chunks before.  No task sees a whole bucket.
@@ -29,7 +30,6 @@ from preflight.llm.ship import ship
 from preflight.session import materialize
 
 BUCKETS, BUDGET = 16, 32_768
-BINS = 4096
 CHUNK_ROWS = 20_000
 
 
@@ -39,26 +39,41 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]
     h = len(lengths)
     if not h:
         return []
-    # padding of a bucket over bins i..j: lengths[j] * texts - their lengths
-    texts = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    tokens = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(np.float64)
-    best = lengths * texts[1:] - tokens[1:]
-    begin = [np.zeros(h, np.int64)]          # first bin of the last bucket of bins 0..j
+    sizes = [int(x) for x in lengths]
+    # padding of a bucket over lengths i..j: sizes[j] * texts - their tokens
+    texts, tokens = [0], [0]
+    for size, n in zip(sizes, counts):
+        texts.append(texts[-1] + int(n))
+        tokens.append(tokens[-1] + int(n) * size)
+    best = [size * t - s for size, t, s in zip(sizes, texts[1:], tokens[1:])]
+    begin = [np.zeros(h, np.int32)]          # first length of the last bucket of lengths 0..j
     for _ in range(1, min(n_buckets, h)):
-        new, at = best.copy(), begin[-1].copy()
+        new, at = best.copy(), begin[-1].tolist()
+        hull, front = [], 0                  # lines (slope, height, i): height - size * slope, least from front on
         for j in range(1, h):
-            cost = best[:j] + lengths[j] * (texts[j + 1] - texts[1:j + 1]) - (tokens[j + 1] - tokens[1:j + 1])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], at[j] = cost[i], i + 1
+            m, b = texts[j], best[j - 1] + tokens[j]
+            while len(hull) - front >= 2:
+                (m1, b1, _), (m2, b2, _) = hull[-2], hull[-1]
+                if (b - b1) * (m2 - m1) > (b2 - b1) * (m - m1):
+                    break
+                hull.pop()
+            hull.append((m, b, j))
+            size = sizes[j]
+            while front + 1 < len(hull) and hull[front + 1][1] - size * hull[front + 1][0] < \
+                    hull[front][1] - size * hull[front][0]:
+                front += 1
+            m, b, i = hull[front]
+            cost = b - size * m + size * texts[j + 1] - tokens[j + 1]
+            if cost < new[j]:
+                new[j], at[j] = cost, i
         best = new
-        begin.append(at)
+        begin.append(np.array(at, np.int32))
     out, j = [], h - 1
     for at in reversed(begin):
         out.append(int(lengths[j]))
         if at[j] == 0:
             break
-        j = at[j] - 1
+        j = int(at[j]) - 1
     return out[::-1]
 
 
@@ -74,10 +89,9 @@ def _lengths(batches):
 def pack(rows: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``rows`` (doc_id, length, and whatever tells them apart) with ``bucket``
     (from 0), ``pad_to``, ``batch`` (within the bucket) and ``slot``."""
-    top, n = rows.agg(F.max("length"), F.count(F.lit(1))).first()
-    width = max(1, -(-int(top or 0) // BINS))
-    unit = F.ceil(F.col("length") / width) * width
-    hist = rows.groupBy(unit.cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").toArrow()
+    hist = (rows.groupBy(F.col("length").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy("length").toArrow())
+    n = sum(hist["n"].to_pylist())
     ends = bounds(hist["length"].to_numpy().astype(np.int64), hist["n"].to_numpy().astype(np.int64), n_buckets)
     bucket, pad = F.lit(len(ends) - 1), F.lit(max(ends or [0]))
     for i in range(len(ends) - 2, -1, -1):

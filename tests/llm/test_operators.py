@@ -251,6 +251,29 @@ def test_packing(spark, corpus):
     assert many.groupBy("bucket", "batch", "slot").count().filter("count > 1").count() == 0
 
 
+def padding(lengths, counts, k):
+    """The least padding of k buckets, by trying every cut."""
+    t, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    best = lengths * t[1:] - s[1:]
+    for _ in range(1, k):
+        best = np.array([min([best[j], *(best[:j] + lengths[j] * (t[j + 1] - t[1:j + 1]) - (s[j + 1] - s[1:j + 1]))])
+                         for j in range(len(lengths))])
+    return int(best[-1])
+
+
+def test_one_huge_text_moves_no_other_bound(spark):
+    rng = np.random.default_rng(2)
+    size = np.concatenate([np.ceil(rng.lognormal(5, 0.8, 3000)).astype(np.int64), [5_000_000]])
+    rows_ = spark.createDataFrame([(i, n) for i, n in enumerate(size.tolist())], "doc_id long, length long")
+    got = packing.pack(rows_, 16).collect()
+    lengths, counts = np.unique(size, return_counts=True)
+    assert len(got) == len(size) and {r["pad_to"] for r in got} <= set(size.tolist())
+    assert sum(r["pad_to"] - r["length"] for r in got) == padding(lengths, counts, 16)
+    for k in (2, 5, 9):
+        ends = np.array(packing.bounds(lengths, counts, k))
+        assert int((counts * (ends[np.searchsorted(ends, lengths)] - lengths)).sum()) == padding(lengths, counts, k)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 24)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
