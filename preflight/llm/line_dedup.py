@@ -18,8 +18,8 @@ doc_id that holds them (there all of them stay).
 
 Cases: a null or empty text is one empty line (as an operator result an
 empty text); rows of one doc_id are one document; a null doc_id holds
-nothing, but loses the lines that others share often enough; other columns
-pass through.
+nothing, but loses the lines that others share often enough (such rows are
+told apart by a hash of their text); other columns pass through.
 """
 
 from __future__ import annotations
@@ -80,34 +80,43 @@ def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: int = MAX_
     return seen.fill(docs.select("text").mapInArrow(_once_and_twice(seen.bits, min_chars), PLACES))
 
 
+def _null_row(doc_id, text):
+    """What tells rows without an id apart; null for the others."""
+    return F.when(F.col(doc_id).cast("long").isNull(), F.xxhash64(F.coalesce(text, F.lit(""))))
+
+
 def _suspects(shared, min_chars: int):
-    """Lines that the twice-seen filter lets through: 128-bit key and id."""
+    """Lines that the twice-seen filter lets through: 128-bit key, id and
+    null row."""
     def run(batches):
         seen = shared.value
         for b in batches:
-            ids = b.column(b.schema.get_field_index("doc_id"))
+            ids, null_rows = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "null_row"))
             for t in text_slices(b):
                 data, text, s, e, h = line_keys(t, min_chars)
                 k = np.flatnonzero(seen.has(h))
                 keys = [xxhash.xxh3_128_digest(data[x:y].tobytes()) for x, y in zip(s[k], e[k])]
+                at = pa.array(text[k] + t.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), ids.take(pa.array(text[k] + t.rows.start)).cast(pa.int64())],
-                    names=["key", "doc_id"])
+                    [pa.array(keys, pa.binary()), ids.take(at).cast(pa.int64()), null_rows.take(at)],
+                    names=["key", "doc_id", "null_row"])
     return run
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, keys`` — the 128-bit keys of the lines each document loses."""
+    """``doc_id, null_row, keys`` — the 128-bit keys of the lines each document
+    loses; rows without an id by their text."""
     spark = ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(twice_seen(slim, min_chars))       # 32 MB at most
-    held = materialize(slim.mapInArrow(_suspects(shared, min_chars), "key binary, doc_id long")
+    named = slim.withColumn("null_row", _null_row("doc_id", "text"))
+    held = materialize(named.mapInArrow(_suspects(shared, min_chars), "key binary, doc_id long, null_row long")
                        .distinct(), "lines")
     often = (held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
              .filter(F.col("n") >= min_docs).select("key", "keeper"))
-    return (salted_join(held, often, ["key"], F.coalesce("doc_id", F.lit(0)))
+    return (salted_join(held, often, ["key"], F.coalesce("doc_id", "null_row"))
             .filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
-            .groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+            .groupBy("doc_id", "null_row").agg(F.collect_list("key").alias("keys")))
 
 
 def _lose(raw: bytes, gone: set) -> tuple[bytes, int, int]:
@@ -145,7 +154,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lost = repeated_lines(docs, min_chars, min_docs)
     src = docs.select("doc_id", "text") if digest else docs.drop("n_lines", "n_dropped")
     d, k = src.alias("d"), lost.hint("shuffle_hash").alias("k")
-    both = d.join(k, F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left").select("d.*", F.col("k.keys").alias("__lost"))
+    same = (F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+            & _null_row("d.doc_id", "d.text").eqNullSafe(F.col("k.null_row")))
+    both = d.join(k, same, "left").select("d.*", F.col("k.keys").alias("__lost"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text"]
     fields += ["n_lines long", "n_dropped long", "kept_sha256 string" if digest else "text string"]
     return both.mapInArrow(_rewrite(digest), ", ".join(fields))

@@ -81,6 +81,17 @@ def test_line_dedup(spark, corpus):
     assert out.columns.count("keys") == 1
 
 
+def test_line_dedup_groups_no_rows_without_an_id(spark):
+    rnd = random.Random(9)
+    shared = [words(rnd, 8) for _ in range(40)]
+    data = [(i, "\n".join(shared)) for i in range(3)]
+    data += [(None, x + "\n" + words(rnd, 8)) for x in shared] + [(None, shared[0]), (None, shared[0]), (None, None)]
+    df = with_others(spark, data)
+    lost = line_dedup.repeated_lines(df).select("doc_id", F.size("keys").alias("n")).collect()
+    assert sorted(r["n"] for r in lost if r["doc_id"] is None) == [1] * 41
+    assert rows(line_dedup.line_dedup(df, digest=True)) == ordered(brute.line_dedup(data))
+
+
 def test_line_dedup_small_filter(spark, corpus):
     """A filter far too small lets strangers pass and changes nothing."""
     df = spark.createDataFrame(corpus, DOCS)
