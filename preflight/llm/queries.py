@@ -9,6 +9,7 @@ from preflight.llm.minhash import OP4_SQL, op4_near_duplicates
 from preflight.llm.neighbours import op10_nearest
 from preflight.llm.packing import op7_packing
 from preflight.llm.suffix_dedup import op1_suffix_dedup
+from preflight.llm.token_alignment import op13_token_alignment
 from preflight.llm.token_count import op8_token_count
 from preflight.llm.toxicity import op5_toxicity
 from preflight.llm.url_filter import op6_sql, op6_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
     "op10_nearest": op10_nearest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
