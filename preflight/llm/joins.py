@@ -22,3 +22,18 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column,
 def row_hash() -> Column:
     """What tells documents apart: id and text."""
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def least_of_frequent(counts: DataFrame, limit: int) -> int:
+    """The least power of two (or 0: all) such that at most ``limit`` rows of
+    ``counts`` have ``n`` of that or more.  One row per power comes to the
+    driver."""
+    power = F.when(F.col("n") > 0, F.floor(F.log2("n") + F.lit(1e-9))).otherwise(F.lit(-1)).cast("int")
+    got = {r["p"]: r["k"] for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    least, room = max(got, default=-1) + 1, limit
+    for p in sorted(got, reverse=True):
+        room -= got[p]
+        if room < 0:
+            return 1 << least
+        least = p
+    return 0

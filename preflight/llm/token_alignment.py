@@ -30,10 +30,10 @@ give no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -41,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from preflight.llm.joins import least_of_frequent
 from preflight.llm.ship import ship
 from preflight.llm.token_count import byte_symbols, vocabulary
 from preflight.session import materialize
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches, and bytes of their rendered groups, that a worker remembers.
-MEMO, MEMO_BYTES = 200_000, 32 << 20
+MEMO, MEMO_BYTES = 500_000, 96 << 20
 #: Pairs sent to every task (16 bytes each).
 FREQUENT = 1 << 20
 #: Characters of text that are worked on at once (a longer text is a slice of its own).
@@ -57,13 +58,20 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 LINKS = "row long, doc_id {}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
 
 
-def char_places(text: str) -> list[int]:
+def char_places(text: str) -> np.ndarray:
     """Byte offset of every character, and of the end."""
-    out, at = [0], 0
-    for c in text:
-        at += len(c.encode())
-        out.append(at)
-    return out
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    return np.concatenate([[0], np.cumsum(size)])
+
+
+def refined(coarse: np.ndarray, sure: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: the coarse cut where it is sure, else the last
+    sure one before and the decoded bytes since."""
+    at = np.maximum.accumulate(np.where(sure, np.arange(len(size)), -1))
+    total = np.cumsum(size)
+    since = total - np.where(at < 0, 0, total[at])
+    return np.where(at < 0, 0, coarse[at]) + since
 
 
 class Tokenizers:
@@ -78,69 +86,53 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {s: b for b, s in enumerate(byte_symbols())}
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
-                        for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocab = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
         self.n_b = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        self.number = [str(i) for i in range(max(len(self.a_bytes), self.n_b))]
         self.splits = (self.a.normalizer is None and "ByteLevel" in str(self.a.pre_tokenizer)
                        and not any("▁" in p.lstrip("▁") for p in pieces))
 
     def stretches(self, text: str) -> list[str]:
         return CUT.split(text) if self.splits else [text]
 
-    def spans(self, parts: list[str]):
-        """For each part, the ids and byte ends of A's tokens over a space and
-        the part, the same of B's, or None where their bytes differ."""
-        with_space = [" " + p for p in parts]
-        for s, a, b in zip(with_space, self.a.encode_batch(with_space, add_special_tokens=False),
-                           self.b.encode(parts, return_type="proto", num_threads=1)):
-            raw = s.encode()
-            a_ids, offsets = a.ids, a.offsets
-            place = range(len(raw) + 1) if len(raw) == len(s) else char_places(s)
-            ends, at = [], 0
-            for k, i in enumerate(a_ids):
-                end = offsets[k][1]
-                whole = k + 1 == len(a_ids) or offsets[k + 1][0] >= end   # no character shared with the next
-                at = place[end] if whole else at + len(self.a_bytes[i])
-                ends.append(at)
-            a_ends = self.checked(raw, a_ids, ends, self.a_bytes)
-            b_ids, ends, at = [], [], 1
-            for p in b.pieces:
-                b_ids.append(p.id)
-                # an empty span: a byte of a character, or the added space
-                at = p.end + 1 if p.end > p.begin else at + len(self.b_bytes[p.id]) if len(b_ids) > 1 else len(self.b_bytes[p.id])
-                ends.append(at)
-            b_ends = self.checked(raw, b_ids, ends, self.b_bytes)
-            yield None if a_ends is None or b_ends is None else (a_ids, a_ends, b_ids, b_ends)
-
-    @staticmethod
-    def checked(raw: bytes, ids: list[int], ends: list[int], decoded) -> list[int] | None:
-        """The ends, held to the decoded bytes: where a span differs from its
-        token's bytes, all ends are taken from the bytes."""
-        at = 0
-        for i, end in zip(ids, ends):
-            if raw[at:end] != decoded[i]:
-                break
-            at = end
-        else:
-            return ends if at == len(raw) else None
-        if b"".join([decoded[i] for i in ids]) != raw:
+    def tokens(self, text: str):
+        """Ids and byte ends of A's tokens over a space and the text, the same
+        of B's over the text; None where their bytes differ from those."""
+        whole = " " + text
+        raw = whole.encode()
+        got = self.a.encode(whole, add_special_tokens=False)
+        a = np.array(got.ids, np.int64)
+        if b"".join([self.a_bytes[i] for i in got.ids]) != raw:
             return None
-        return np.cumsum([len(decoded[i]) for i in ids]).tolist()
-
-
-def groups_of(a_ids, a_ends, b_ids, b_ends) -> list[tuple[list[int], list[int]]]:
-    """The tokens between places where tokens of both end."""
-    out, x, y = [], 0, 0
-    shared = set(b_ends)
-    at = {e: k + 1 for k, e in enumerate(b_ends)}      # the last of tokens that end there
-    for k, e in enumerate(a_ends):
-        if e in shared and (k + 1 == len(a_ends) or a_ends[k + 1] != e):
-            out.append((a_ids[x:k + 1], b_ids[y:at[e]]))
-            x, y = k + 1, at[e]
-    return out
+        pieces = self.b.encode(text, return_type="proto", num_threads=1).pieces
+        ids = [p.id for p in pieces]
+        if b"".join([self.b_bytes[i] for i in ids]) != raw:
+            return None
+        b = np.array(ids, np.int64)
+        span = np.array(got.offsets, np.int64).reshape(-1, 2)
+        place = np.arange(len(raw) + 1) if len(raw) == len(whole) else char_places(whole)
+        sure = np.ones(len(a), bool)
+        sure[:-1] = span[1:, 0] >= span[:-1, 1]             # no character shared with the next token
+        a_ends = refined(place[span[:, 1]], sure, self.a_size[a])
+        end = np.array([p.end for p in pieces], np.int64)
+        # an empty span: a byte of a character, or the space that B adds
+        b_ends = refined(end + 1, np.diff(end, prepend=0) > 0, self.b_size[b])
+        # every span is held to the decoded bytes
+        return tuple(x for ids, ends, size in ((a, a_ends, self.a_size), (b, b_ends, self.b_size))
+                     for x in (ids, ends if (ends == np.cumsum(size[ids])).all() else np.cumsum(size[ids])))
+
+
+#: Stretches that are tokenized as one text.
+TOGETHER = 1000
+#: Links of a group that are listed one by one; of larger ones, equal pairs at once.
+LISTED = 4096
 
 
 class Aligned:
@@ -151,52 +143,100 @@ class Aligned:
         self.clear()
 
     def clear(self) -> None:
-        self.memo, self.text, self.size = {}, [], 0
-        self.facts = np.zeros((1024, 7), np.int64)       # a, b, groups, links, bad, first pair, pairs
-        self.pairs, self.times, self.used = np.zeros(4096, np.int64), np.zeros(4096, np.int64), 0
-
-    def _room(self, name: str, n: int) -> np.ndarray:
-        old = getattr(self, name)
-        if len(old) < n:
-            new = np.zeros((max(n, 2 * len(old)), *old.shape[1:]), np.int64)
-            new[:len(old)] = old
-            setattr(self, name, new)
-        return getattr(self, name)
+        self.memo, self.text, self.size, self.new = {}, [], 0, []
+        self.facts = np.zeros((0, 7), np.int64)       # a, b, groups, links, bad, first pair, pairs
+        self.uses = np.zeros(0, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the stretches met again, if they are not most of them."""
+        keep = np.flatnonzero(self.uses > 1)
+        size = sum(len(self.text[k]) for k in keep.tolist())
+        if 2 * len(keep) > MEMO or 2 * size > MEMO_BYTES:
+            return self.clear()
+        old, back = list(self.memo), keep.tolist()
+        self.memo = {old[k]: i for i, k in enumerate(back)}
+        self.text, self.size = [self.text[k] for k in back], size
+        first, count = self.facts[keep, 5], self.facts[keep, 6]
+        start = np.cumsum(count) - count
+        at = np.arange(count.sum()) + np.repeat(first - start, count)
+        self.pairs, self.times = self.pairs[at], self.times[at]
+        self.facts, self.uses = self.facts[keep], np.zeros(len(keep), np.int64)
+        self.facts[:, 5] = start
 
     def add(self, parts: list[str]) -> None:
-        base = self.t.n_b
-        for part, got in zip(parts, self.t.spans(parts)):
-            k, links = len(self.text), {}
-            text, facts = "", (0, 0, 0, 0, 1, self.used, 0)
-            if got:
-                groups = groups_of(*got)
-                n_links = 0
-                for a, b in groups:
-                    n_links += len(a) * len(b)
-                    few = Counter(b).items() if len(b) > 1 else ((b[0], 1),)
-                    for i, x in Counter(a).items() if len(a) > 1 else ((a[0], 1),):
-                        for j, y in few:
-                            p = i * base + j
-                            links[p] = links.get(p, 0) + x * y
-                text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-                facts = (len(got[0]), len(got[2]), len(groups), n_links, 0, self.used, len(links))
-            self._room("facts", k + 1)[k] = facts
-            n = self.used + len(links)
-            self._room("pairs", n)[self.used:n] = list(links)
-            self._room("times", n)[self.used:n] = list(links.values())
-            self.used, self.size = n, self.size + len(text) + len(part)
-            self.text.append(text)
-            self.memo[part] = k
+        """Tokenize new stretches, as one text; where its bytes differ, halves of it."""
+        if not parts:
+            return
+        got = self.t.tokens(" ".join(parts))
+        stops = np.cumsum([len(p.encode()) + 1 for p in parts])
+        common = np.intersect1d(got[1], got[3]) if got else None
+        if got is None or not np.isin(stops, common).all():
+            if len(parts) > 1:
+                self.add(parts[:len(parts) // 2])
+                self.add(parts[len(parts) // 2:])
+            else:
+                self._keep(parts, np.array([[0, 0, 0, 0, 1, 0, 0]]), [""], self.pairs[:0], self.times[:0])
+            return
+        a, a_ends, b, b_ends = got
+        group = [np.searchsorted(common, x) for x in (a_ends, b_ends)]
+        n_a, n_b = (np.bincount(g, minlength=len(common)) for g in group)
+        x, y = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        number = self.t.number
+        sa, sb = [number[i] for i in a.tolist()], [number[i] for i in b.tolist()]
+        text = [sa[i] + "|" + sb[j] if p == 1 == q else ",".join(sa[i:i + p]) + "|" + ",".join(sb[j:j + q])
+                for i, j, p, q in zip(x.tolist(), y.tolist(), n_a.tolist(), n_b.tolist())]
+        links = n_a * n_b
+        listed = np.where(links <= LISTED, links, 0)
+        # the k-th link of a group joins its A token k // n_b with its B token k % n_b
+        g = np.repeat(np.arange(len(common)), listed)
+        k = np.arange(len(g)) - (np.cumsum(listed) - listed)[g]
+        pairs, times = a[x[g] + k // n_b[g]] * self.t.n_b + b[y[g] + k % n_b[g]], np.ones(len(g), np.int64)
+        for i in np.flatnonzero(links > LISTED).tolist():
+            (ua, ca), (ub, cb) = (np.unique(ids[s:s + n], return_counts=True)
+                                  for ids, s, n in ((a, x[i], n_a[i]), (b, y[i], n_b[i])))
+            at = np.searchsorted(g, i)
+            g = np.insert(g, at, np.full(len(ua) * len(ub), i))
+            pairs = np.insert(pairs, at, (ua[:, None] * self.t.n_b + ub).ravel())
+            times = np.insert(times, at, (ca[:, None] * cb).ravel())
+        last = np.searchsorted(common, stops) + 1              # groups up to the end of each stretch
+        first = np.concatenate([[0], last[:-1]])
+        total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[last], prepend=0)
+        rows = np.searchsorted(g, last)
+        facts = np.stack([total(n_a), total(n_b), last - first, total(links), np.zeros(len(parts), np.int64),
+                          np.concatenate([[0], rows[:-1]]), np.diff(rows, prepend=0)], axis=1)
+        self._keep(parts, facts, [";".join(text[i:j]) for i, j in zip(first.tolist(), last.tolist())], pairs, times)
+
+    def _keep(self, parts, facts, text, pairs, times) -> None:
+        facts[:, 5] += len(self.pairs) + sum(len(x[1]) for x in self.new)
+        n = len(self.text)
+        self.memo.update(zip(parts, range(n, n + len(parts))))
+        self.text += text
+        self.size += sum(map(len, text)) + sum(map(len, parts))
+        self.new.append((facts, pairs, times))
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember new stretches."""
+        self.new = []
+        for lo in range(0, len(parts), TOGETHER):
+            self.add(parts[lo:lo + TOGETHER])
+        if self.new:
+            facts, pairs, times = zip(*self.new)
+            self.facts = np.concatenate([self.facts, *facts])
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.facts) - len(self.uses), np.int64)])
+            self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+            self.new = []
 
     def documents(self, texts: list[str | None], digest: bool):
         """Columns of ``LINKS`` from ``n_a`` on, for some texts."""
         if len(self.memo) > MEMO or self.size > MEMO_BYTES:
-            self.clear()
+            self.forget()
         split = [self.t.stretches(t) if t else [] for t in texts]
         flat = [p for parts in split for p in parts]
-        self.add([p for p in dict.fromkeys(flat) if p not in self.memo])
+        self.learn([p for p in dict.fromkeys(flat) if p not in self.memo])
         n = len(texts)
         ids = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        self.uses += np.bincount(ids, minlength=len(self.uses))
         stops = np.cumsum([len(p) for p in split], dtype=np.int64)
         doc = np.repeat(np.arange(n), np.diff(stops, prepend=0))
         facts = self.facts[ids]
@@ -210,15 +250,20 @@ class Aligned:
         count = np.where(bad[doc], 0, facts[:, 6])
         first = np.cumsum(count) - count
         at = np.arange(count.sum()) + np.repeat(facts[:, 5] - first, count)
-        owner, pair, times = np.repeat(doc, count), self.pairs[at], self.times[at]
-        order = np.lexsort((pair, owner)) if n > 1 else np.argsort(pair, kind="stable")
-        owner, pair, times = owner[order], pair[order], times[order]
-        new = np.ones(len(pair), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
+        times, all_pairs = self.times[at], len(self.t.a_bytes) * self.t.n_b
+        key = np.repeat(doc, count) * all_pairs + self.pairs[at]      # document and pair
+        if (times == 1).all():
+            key.sort()
+        else:
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
         total = np.add.reduceat(times, start) if len(start) else times
-        off = np.searchsorted(owner[start], np.arange(n + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(v)) for v in (pair[start], total)]
+        owner, pair = np.divmod(key[start], all_pairs)
+        off = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(v)) for v in (pair, total)]
         return [*(pa.array(s, pa.int64()) for s in sums), pa.array(groups, pa.string()), *lists]
 
 
@@ -229,6 +274,7 @@ def aligned(a_path: str, b_path: str) -> Aligned:
 
 def _align(a_path, b_path, digest):
     def run(batches):
+        gc.disable()         # nothing here is cyclic, and what is remembered is long to look through
         worker = aligned(a_path or vocabulary(A_NAME), b_path or vocabulary(B_NAME))
         for b in batches:
             texts = b.column(2).to_pylist()
@@ -242,6 +288,7 @@ def _align(a_path, b_path, digest):
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links",
                                                               "groups", "pairs", "times"])
                 lo = hi
+        gc.enable()
     return run
 
 
@@ -266,22 +313,6 @@ def pair_counts(links: DataFrame, n_b: int) -> DataFrame:
             .select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
 
 
-def frequent(counts: DataFrame, limit: int) -> tuple[pa.Table, int]:
-    """The pairs with at least ``n`` documents, ``n`` the least power of two
-    that leaves at most ``limit`` of them, and that ``n``."""
-    power = F.floor(F.log2("n") + F.lit(1e-9)).cast("int")
-    got = {r["p"]: r["k"] for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    least, room = max(got, default=0) + 1, limit
-    for p in sorted(got, reverse=True):
-        room -= got[p]
-        if room < 0:
-            break
-        least = p
-    if room >= 0:
-        least = 0
-    return counts.filter(F.col("n") >= F.lit(1 << least)).orderBy("pair").toArrow(), 1 << least
-
-
 def _scored(shared):
     def run(batches):
         known, n, best = shared.value
@@ -326,17 +357,18 @@ def align(df: DataFrame, a_path: str | None = None, b_path: str | None = None, d
     n_b = sentencepiece.SentencePieceProcessor(model_file=b_path or vocabulary(B_NAME)).get_piece_size()
     links = materialize(linked(df, a_path, b_path, digest), "align-links")
     counts = materialize(pair_counts(links, n_b), "align-counts")
-    top, least = frequent(counts, FREQUENT if limit is None else limit)
+    least = least_of_frequent(counts, FREQUENT if limit is None else limit)
+    top = counts.filter(F.col("n") >= least).orderBy("pair").toArrow()
     shared = spark.sparkContext.broadcast((top["pair"].to_numpy(), top["n"].to_numpy(),
                                            top["best"].to_numpy().astype(np.int64)))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in links.schema if f.name not in ("pairs", "times")]
     out = links.mapInArrow(_scored(shared), ", ".join([*fields, "count_sum long", "n_best long", "rest array<long>",
                                                        "rest_times array<long>"]))
-    if least > 1:
+    if least > 0:
         out = materialize(out, "align-scored")
         each = (out.select("row", F.explode(F.arrays_zip("rest", "rest_times")).alias("x"))
                 .select("row", F.col("x.rest").alias("pair"), F.col("x.rest_times").alias("t")))
-        more = (each.join(counts.filter(F.col("n") < F.lit(least)), "pair").groupBy("row")
+        more = (each.join(counts.filter(F.col("n") < least), "pair").groupBy("row")
                 .agg(F.sum(F.col("t") * F.col("n")).alias("more"),
                      F.sum(F.when(F.col("best"), F.col("t")).otherwise(F.lit(0))).alias("more_best")))
         out = (out.join(more, "row", "left")
