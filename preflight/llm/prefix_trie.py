@@ -436,7 +436,7 @@ OP11_SQL = """WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (
 o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, x) AS t FROM o GROUP BY c),
 hc AS (SELECT c, t, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
-  lambda a, b: xor(a >> 8, (SELECT t FROM tab)[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h FROM l),
+  lambda a, b: xor(a >> 8, z[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h FROM l, (SELECT t AS z FROM tab)),
 p AS (SELECT hc.c, list_concat(coalesce(list_slice(b.t, 1, h), []), list_slice(hc.t, h + 1, len(hc.t))) AS t
   FROM hc LEFT JOIN l b ON b.c = hc.c - hc.c % 5),
 s AS (SELECT c, d, list_slice(t, 1, d) AS k, len(t) = d AS e FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM p)),

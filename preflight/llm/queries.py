@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from preflight.llm.context_tree import op12_context_tree
 from preflight.llm.decontaminate import op9_decontaminate
 from preflight.llm.language import op2_language
 from preflight.llm.line_dedup import OP3_SQL, op3_line_dedup
 from preflight.llm.minhash import OP4_SQL, op4_near_duplicates
 from preflight.llm.neighbours import op10_nearest
 from preflight.llm.packing import op7_packing
+from preflight.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from preflight.llm.suffix_dedup import op1_suffix_dedup
 from preflight.llm.token_alignment import op13_token_alignment
 from preflight.llm.token_count import op8_token_count
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
     "op10_nearest": op10_nearest,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_context_tree": op12_context_tree,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -50,4 +54,5 @@ ORACLE_SQL = {
     "op4_near_duplicates": OP4_SQL,
     "op6_url_filter": op6_sql(),
     "op9_decontaminate": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
