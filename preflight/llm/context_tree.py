@@ -50,7 +50,9 @@ DEPTH, MIDDLE = 5, 3
 #: Strings, and words, whose values are sent to every task (16 bytes each).
 FREQUENT = 1 << 20
 #: Strings of a group of the model, as expected.
-GROUP = 1 << 19
+GROUP = 1 << 17
+#: Keys that a task holds before it sends what it has counted.
+HELD = 1_500_000
 
 MARK = 0xFF
 HALF = np.log(0.5)
@@ -88,9 +90,12 @@ def words(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(parts):
     key = np.concatenate([k for k, _ in parts])
-    n = np.concatenate([x for _, x in parts])
-    key, at = np.unique(key, return_inverse=True)
-    return key, np.bincount(at, n, len(key)).astype(np.int64)
+    order = np.argsort(key)
+    key, n = key[order], np.concatenate([x for _, x in parts])[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return key[at], np.add.reduceat(n, at)
 
 
 def _count(batches):
@@ -114,16 +119,13 @@ def _count(batches):
                         k, c = np.unique(part, return_counts=True)
                         parts.append((k, c * times))
                         held += len(k)
-            if held > 6_000_000:
-                whole = _merge(parts)
-                if len(whole[0]) > 3_000_000:
-                    parts[:] = [whole]
+            if held > HELD:
+                parts[:] = [_merge(parts)]
+                held = len(parts[0][0])
+                if 2 * held > HELD:
                     yield from out()
                     parts.clear()
                     held = 0
-                else:
-                    parts[:] = [whole]
-                    held = len(whole[0])
     if parts:
         yield from out()
 
@@ -292,7 +294,7 @@ class Table:
     """Values by key, with open addressing."""
 
     def __init__(self, key: np.ndarray, val: np.ndarray):
-        bits = max(4, (4 * max(len(key), 1) - 1).bit_length())
+        bits = max(4, (2 * max(len(key), 1) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key, self.val = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
         slot, todo = self._slot(key), np.arange(len(key))

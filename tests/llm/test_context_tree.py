@@ -93,6 +93,7 @@ def check(df, data):
 @pytest.mark.parametrize("limit", [None, 50, 0])
 def test_scores(spark, texts, limit, monkeypatch):
     monkeypatch.setattr(ct, "GROUP", 100)
+    monkeypatch.setattr(ct, "HELD", 3000)
     df = spark.createDataFrame(texts, DOCS).select(
         "*", *[F.lit("own").alias(c) for c in ("row", "key", "n", "train", "score", "val")]).repartition(3)
     out = ct.score(df, ~ct.held_out(), limit)
