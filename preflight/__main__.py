@@ -1,16 +1,18 @@
-"""Command line: ``python -m preflight <review|checks|status|edge-cases|verdicts> …``.
+"""Command line: ``python -m preflight <review|checks|status|context|edge-cases|verdicts> …``.
 
     python -m preflight review --manifest target/manifest.json \
         --tables /warehouse/parquet --models fact_orders --out out/
     python -m preflight checks --manifest … --models fact_orders     # dry run
     python -m preflight status --manifest … --changed-files changed.txt --out out/
+    python -m preflight context --manifest … --changed-files changed.txt --diff change.diff --project . --out out/
     python -m preflight edge-cases --tables … --cases cases.json --out out/
     python -m preflight verdicts --verdicts verdicts.json --out out/
 
 ``--changed-files`` is a text file with one path per line (the output of a
 version-control diff); ``--tables`` is a folder of ``<table>.parquet``;
 relations not found there are looked up in the session catalog.  ``--out`` also
-names the stored review that ``status`` reports.  ``--cases`` is a JSON list of
+names the stored review that ``status`` and ``context`` report.  ``--diff`` is the
+diff's text, ``--project`` the folder of the changed files (new models' code).  ``--cases`` is a JSON list of
 ``model, description, risk, sql[, sample_sql]`` whose SQL names tables as
 ``{table}``; ``--verdicts`` one of ``index, verdict, status``.
 """
@@ -27,7 +29,7 @@ from preflight.config import ReviewOptions, Thresholds
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="preflight")
-    p.add_argument("command", choices=["review", "checks", "status", "edge-cases", "verdicts"])
+    p.add_argument("command", choices=["review", "checks", "status", "context", "edge-cases", "verdicts"])
     p.add_argument("--manifest", help="manifest.json file(s) or folder")
     p.add_argument("--tables", help="folder of <table>.parquet")
     p.add_argument("--models", help="comma-separated model names")
@@ -37,6 +39,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--join-keys", help='JSON object {child: {parent: [columns or [child, parent] pairs]}}')
     p.add_argument("--thresholds", help='JSON object, e.g. {"null_rate_fail": 0.1}')
     p.add_argument("--cases", help="edge cases, a JSON file")
+    p.add_argument("--diff", help="text of a unified diff, a file")
+    p.add_argument("--project", help="folder that the changed paths are relative to")
     p.add_argument("--verdicts", help="verdicts, a JSON file")
     p.add_argument("--out", help="folder for compare.csv and review.json")
     p.add_argument("--master", default=None)
@@ -76,7 +80,29 @@ def _verdicts(spark, a) -> int:
         rows = [(v["index"], v["verdict"], v["status"], i) for i, v in enumerate(json.load(f))]
     frame = spark.createDataFrame(rows, "index long, verdict string, status string, ordinal long")
     at = os.path.join(a.out, "edge_cases")
-    print(json.dumps(sinks.interpret(spark, at, frame, os.path.join(a.out, "edge_cases_judged"))))
+    print(json.dumps(sinks.interpret(spark, at, frame)))
+    return 0
+
+
+def _context(spark, a, catalog, changed, schema_map) -> int:
+    """What a reviewer needs to know of each changed or named model."""
+    from preflight.plans.context import model_context
+    from preflight.sources import sinks
+    from preflight.sources.changes import diff_lines, split_diffs
+
+    if a.diff:
+        diffs = split_diffs(diff_lines(spark, a.diff)).drop("diff_id")
+    else:
+        diffs = spark.createDataFrame([], "path string, diff string")
+    code = None
+    if a.project and changed is not None:
+        rows = [r["path"] for r in changed.collect() if os.path.isfile(os.path.join(a.project, r["path"]))]
+        code = spark.createDataFrame([(p, open(os.path.join(a.project, p)).read()) for p in rows],
+                                     "path string, code string")
+    doc = sinks.load_review(spark, os.path.join(a.out, "review")) if a.out else None
+    out = model_context(catalog, changed, diffs, code, sinks.review_results(doc) if doc is not None else None,
+                        schema_map, a.models.split(",") if a.models else None)
+    print(json.dumps([r.asDict(recursive=True) for r in out.orderBy("name", "path").collect()]))
     return 0
 
 
@@ -108,6 +134,8 @@ def main(argv=None) -> int:
         last = sinks.last_summary(spark, os.path.join(a.out, "review")) if a.out else None
         print(json.dumps(status(catalog, changed, last)))
         return 0
+    if a.command == "context":
+        return _context(spark, a, catalog, changed, schema_map)
     models = a.models.split(",") if a.models else None
     cats = tuple(a.categories.split(",")) if a.categories else None
     opts = ReviewOptions(categories=cats, schema_map=schema_map, dry_run=a.command == "checks",

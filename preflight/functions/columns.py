@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,13 @@ SAMPLE_COLUMNS = 4
 
 def sample_columns(columns: list[str], exclude: str | None = None,
                    limit: int = SAMPLE_COLUMNS) -> list[str]:
-    """Columns shown in a null-row sample: identifier-like names first
-    (case-insensitive substring match), then the rest, at most ``limit``.
-    Empty list means "all columns"."""
-    cols = [c for c in columns if c != exclude]
-    ids = [c for c in cols if any(h in c.lower() for h in ID_HINTS)]
-    rest = [c for c in cols if c not in ids]
-    return (ids + rest)[:limit]
+    """Columns shown in a null-row sample: the ``limit`` of lowest rank, in the
+    table's order within a rank.  Rank 0 has a hint anywhere in its name,
+    whatever the case; the tested column has none.  No column: show all."""
+    def rank(name: str) -> int:
+        return 0 if re.search("|".join(ID_HINTS), name, re.IGNORECASE) else 1
+
+    return sorted((c for c in columns if c != exclude), key=rank)[:limit]
 
 
 def _rank(c: Column, order: dict, other: int) -> Column:

@@ -15,7 +15,7 @@ fixed schema; nothing is collected.  Shapes chosen for scale:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,51 @@ def null_sample(df: DataFrame, column: str, columns: list[str] | None = None,
               .limit(limit))
 
 
+def _tagged_json(checks: dict) -> Column:
+    """The sample row of the check in ``tag``: its columns as JSON."""
+    out = None
+    for o, (_, cols) in checks.items():
+        row = F.to_json(F.struct(*[qcol(c) for c in cols]))
+        out = F.when(F.col("tag") == o, row) if out is None else out.when(F.col("tag") == o, row)
+    return out
+
+
+def null_samples(df: DataFrame, checks: dict[int, tuple[str, list[str]]], limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """``ordinal, row_no, row`` — the NULL samples (``null_sample``) of many
+    checks, ``{ordinal: (column, sample columns)}``, from one scan.
+
+    A row is tagged with the checks whose column is NULL; of each tag the
+    first rows by that check's sample columns stay.  The limit on the row
+    number is applied in each task before the shuffle (WindowGroupLimit)."""
+    columns = list(dict.fromkeys(c for _, cols in checks.values() for c in cols))
+    tags = F.array_compact(F.array(*[F.when(qcol(c).isNull(), F.lit(o)) for o, (c, _) in checks.items()]))
+    some = None
+    for c in dict.fromkeys(c for c, _ in checks.values()):
+        some = qcol(c).isNull() if some is None else some | qcol(c).isNull()
+    rows = df.filter(some).select(F.explode(tags).alias("tag"), F.struct(*[qcol(c) for c in columns]).alias("__r")).select("tag", "__r.*")
+    return _first_rows(rows, [F.when(F.col("tag") == o, qcol(c)).asc_nulls_first()
+                              for o, (_, cols) in checks.items() for c in cols], checks, limit)
+
+
+def _first_rows(rows, order, checks, limit) -> DataFrame:
+    w = Window.partitionBy("tag").orderBy(*order)
+    return (rows.withColumn("__no", F.row_number().over(w)).filter(F.col("__no") <= limit)
+            .select(F.col("tag").alias("ordinal"), (F.col("__no") - 1).alias("row_no"), _tagged_json(checks).alias("row")))
+
+
+def pk_samples(df: DataFrame, checks: dict[int, tuple[str, list[str]]], limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """``ordinal, row_no, row`` — the most repeated keys (``pk_sample``) of
+    many checks, ``{ordinal: (column, …)}``, from one scan and one shuffle."""
+    from preflight.operators.fused import _gid, grouped_counts
+    frame, columns = grouped_counts(df, [(c,) for c, _ in checks.values()], [], total=False)
+    tags = F.array(*[F.when(F.col("gid") == _gid(columns, (c,)), F.lit(o)) for o, (c, _) in checks.items()])
+    rows = frame.filter(F.col("n") > 1).select(F.explode(F.array_compact(tags)).alias("tag"),
+                                               *[qcol(c) for c in columns], F.col("n").alias("occurrences"))
+    return _first_rows(rows, [F.col("occurrences").desc()] + [F.when(F.col("tag") == o, qcol(c)).asc_nulls_first()
+                                                             for o, (c, _) in checks.items()],
+                       {o: (c, [c, "occurrences"]) for o, (c, _) in checks.items()}, limit)
+
+
 # ── A2: key duplicates ─────────────────────────────────────────────────────
 
 def key_groups(df: DataFrame, column: str) -> DataFrame:
@@ -80,11 +125,50 @@ def key_groups(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(qcol(column)).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+#: Values that one bitmap covers, and how many times as many as rows the
+#: range of a column's values may be for bitmaps to be smaller than keys.
+BITMAP_VALUES, DENSE = 32_768, 64
+
+
+def distinct_by_bitmap(df: DataFrame, column: str) -> DataFrame:
+    """``distinct_values`` of a whole-number column, exactly.
+
+    A value is a bit in the bitmap of its range of ``BITMAP_VALUES``; a task
+    sends one bitmap (4 kB) per range it meets, not its keys, and a key that a
+    third of the rows hold is one bit."""
+    v = qcol(column).cast("long")
+    bits = (df.filter(qcol(column).isNotNull()).select(F.bitmap_bucket_number(v).alias("bucket"),
+                                                       F.bitmap_bit_position(v).alias("at"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+    return bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("distinct_values"))
+
+
+def dense_keys(df: DataFrame, column: str):
+    """``rows, low, high`` of a whole-number column whose values are dense
+    enough for bitmaps, else None.  One pass over the column, one row."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        return None
+    c = qcol(column)
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.min(c).alias("low"), F.max(c).alias("high")).first()
+    if r["low"] is None or r["high"] - r["low"] > DENSE * r["rows"]:
+        return None
+    return r
+
+
 def pk_duplicates(df: DataFrame, column: str,
                   groups: DataFrame | None = None) -> DataFrame:
     """``pk_column, total_rows, duplicate_count`` with
     duplicate_count = COUNT(*) − COUNT(DISTINCT column): every NULL key
-    counts as a duplicate since DISTINCT skips NULLs."""
+    counts as a duplicate since DISTINCT skips NULLs.
+
+    Without ``groups``, whole-number keys that are dense (``dense_keys``) are
+    counted by bitmaps; all others are grouped."""
+    dense = dense_keys(df, column) if groups is None else None
+    if dense is not None:
+        rows = F.lit(dense["rows"]).cast("long")
+        return distinct_by_bitmap(df, column).select(
+            F.lit(column).alias("pk_column"), rows.alias("total_rows"),
+            (rows - F.col("distinct_values")).alias("duplicate_count"))
     g = groups if groups is not None else key_groups(df, column)
     total = F.coalesce(F.sum("occurrences"), F.lit(0)).cast("long")
     return g.agg(
@@ -166,7 +250,7 @@ def comparison_types(child: DataFrame, parent: DataFrame, keys: list[str],
 
 def side_counts(child: DataFrame, parent: DataFrame, keys: list[str],
                 parent_keys: list[str] | None = None, extra: dict | None = None,
-                grouped: DataFrame | None = None) -> DataFrame:
+                grouped: DataFrame | None = None, parent_grouped: DataFrame | None = None) -> DataFrame:
     """Per child key: ``<keys>, n`` (child rows) and ``m`` (parent rows with
     that key; NULL when there are none or a key part is NULL — an
     equi-join never matches those), plus ``extra`` sums over parent rows.
@@ -180,12 +264,13 @@ def side_counts(child: DataFrame, parent: DataFrame, keys: list[str],
     (``comparison_types``): each side is grouped by its own key first, then
     the grouped keys are joined in the comparison type; a value that does not
     convert matches nothing.  Child keys keep their own type.  So it is with
-    ``grouped``, the child's ``<keys>, n`` if they are there already."""
+    ``grouped`` and ``parent_grouped``, a side's ``<keys>, n`` if they are
+    there already."""
     pkeys = list(parent_keys or keys)
     extra = extra or {}
     types = comparison_types(child, parent, keys, pkeys)
-    if grouped is not None or any(types):
-        return _joined_counts(child, parent, keys, pkeys, extra, types, grouped)
+    if grouped is not None or parent_grouped is not None or any(types):
+        return _joined_counts(child, parent, keys, pkeys, extra, types, grouped, parent_grouped)
     c = child.select(*[qcol(k) for k in keys], F.lit(1).alias("__c"), F.lit(0).alias("__p"),
                      *[F.lit(0).cast("long").alias(x) for x in extra])
     p = parent.select(*[qcol(pk).alias(k) for k, pk in zip(keys, pkeys)],
@@ -203,7 +288,7 @@ def side_counts(child: DataFrame, parent: DataFrame, keys: list[str],
         *[F.when(matched, F.col(x)).alias(x) for x in extra])
 
 
-def _joined_counts(child, parent, keys, pkeys, extra, types, grouped) -> DataFrame:
+def _joined_counts(child, parent, keys, pkeys, extra, types, grouped, parent_grouped=None) -> DataFrame:
     def compared(column, own, to):
         return qcol(column) if to is None or own == to else qcol(column).try_cast(to)
 
@@ -214,18 +299,70 @@ def _joined_counts(child, parent, keys, pkeys, extra, types, grouped) -> DataFra
         grouped = child.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
     c = (grouped
          .withColumns({x: compared(k, own, to) for x, k, own, to in zip(names, keys, ctypes, types)}))
-    p = (parent.select(*[compared(k, own, to).alias(x) for x, k, own, to in zip(names, pkeys, ptypes, types)],
-                       *[e.cast("long").alias(x) for x, e in extra.items()])
-         .groupBy(*names).agg(F.count(F.lit(1)).alias("m"), *[F.sum(x).cast("long").alias(x) for x in extra]))
+    rows = F.lit(1).cast("long") if parent_grouped is None else F.col("n")
+    p = ((parent if parent_grouped is None else parent_grouped)
+         .select(*[compared(k, own, to).alias(x) for x, k, own, to in zip(names, pkeys, ptypes, types)],
+                 rows.alias("m"), *[e.cast("long").alias(x) for x, e in extra.items()])
+         .groupBy(*names).agg(F.sum("m").alias("m"), *[F.sum(x).cast("long").alias(x) for x in extra]))
     return c.join(p, names, "left").select(*[qcol(k) for k in keys], "n", "m", *extra)
 
 
-def fk_groups(child: DataFrame, parent: DataFrame, keys: list[str],
-              parent_keys: list[str] | None = None, grouped: DataFrame | None = None) -> DataFrame:
+def fk_groups(child: DataFrame, parent: DataFrame, keys: list[str], parent_keys: list[str] | None = None,
+              grouped: DataFrame | None = None, parent_grouped: DataFrame | None = None) -> DataFrame:
     """Child keys with their row count ``n`` and the parent row count ``m``
     of the same key (NULL when unmatched).  ``parent_keys`` default to the
     child names."""
-    return side_counts(child, parent, keys, parent_keys, None, grouped)
+    return side_counts(child, parent, keys, parent_keys, None, grouped, parent_grouped)
+
+
+def _match_aggs() -> list[Column]:
+    n, m = F.col("n"), F.col("m")
+    return [F.coalesce(F.sum(n * F.coalesce(m, F.lit(1))), F.lit(0)).cast("long").alias("child_rows"),
+            F.sum(F.when(m.isNotNull(), n * m).otherwise(F.lit(0))).cast("long").alias("matched_rows")]
+
+
+def fk_match_rates(fks: list[tuple]) -> DataFrame:
+    """``fk, parent_model, join_keys, child_rows, matched_rows, match_pct`` of
+    many foreign keys from the groups of both sides.
+
+    ``fks``: ``(fk, parent name, keys, child groups, parent keys, parent
+    groups)``, groups being ``<keys>, n``.  The key counts of all foreign keys
+    whose keys are of the same types are one table with the foreign key's
+    number in front, grouped once; keys of different types on the two sides
+    are compared as ``side_counts`` compares them."""
+    spark = fks[0][3].sparkSession
+    alike, parts = {}, []
+    for fk, _, keys, child, pkeys, parent in fks:
+        types = [child.schema[k].dataType for k in keys]
+        if types == [parent.schema[k].dataType for k in pkeys]:
+            alike.setdefault(tuple(t.simpleString() for t in types), []).append((fk, keys, child, pkeys, parent))
+        else:
+            both = _joined_counts(child, parent, list(keys), list(pkeys), {},
+                                  comparison_types(child, parent, list(keys), list(pkeys)), child, parent)
+            parts.append(both.agg(*_match_aggs()).select(F.lit(fk).alias("fk"), "child_rows", "matched_rows"))
+    for kinds, members in alike.items():
+        names = [f"k{i}" for i in range(len(kinds))]
+        rows = None
+        for fk, keys, child, pkeys, parent in members:
+            for cols, side, n, m in ((keys, child, F.col("n"), F.lit(0).cast("long")), (pkeys, parent, F.lit(0).cast("long"), F.col("n"))):
+                part = side.select(F.lit(fk).alias("fk"), *[qcol(c).alias(k) for c, k in zip(cols, names)],
+                                   n.alias("n"), m.alias("m"))
+                rows = part if rows is None else rows.union(part)
+        whole = None
+        for k in names:
+            whole = F.col(k).isNotNull() if whole is None else whole & F.col(k).isNotNull()
+        both = rows.groupBy("fk", *names).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 0")
+        parts.append(both.select("fk", "n", F.when(whole & (F.col("m") > 0), F.col("m")).alias("m"))
+                     .groupBy("fk").agg(*_match_aggs()))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    meta = spark.createDataFrame([(fk, parent, ", ".join(keys)) for fk, parent, keys, *_ in fks],
+                                 "fk int, parent_model string, join_keys string")
+    # one row per foreign key on either side; an empty child has none
+    return (meta.join(F.broadcast(found), "fk", "left")
+            .withColumn("child_rows", F.coalesce("child_rows", F.lit(0).cast("long")))
+            .withColumn("match_pct", rounded_pct("matched_rows", "child_rows", 2)))
 
 
 def fk_match_rate(child: DataFrame, parent: DataFrame, keys: list[str],
@@ -237,14 +374,10 @@ def fk_match_rate(child: DataFrame, parent: DataFrame, keys: list[str],
     child_rows = Σ n·coalesce(m, 1), matched_rows = Σ n·m.  On an empty
     child: child_rows 0, matched_rows and match_pct NULL."""
     j = groups if groups is not None else fk_groups(child, parent, keys, parent_keys)
-    n, m = F.col("n"), F.col("m")
-    child_rows = F.coalesce(F.sum(n * F.coalesce(m, F.lit(1))), F.lit(0)).cast("long")
-    matched = F.sum(F.when(m.isNotNull(), n * m).otherwise(F.lit(0))).cast("long")
     return j.agg(
         F.lit(parent_name).alias("parent_model"),
         F.lit(", ".join(keys)).alias("join_keys"),
-        child_rows.alias("child_rows"),
-        matched.alias("matched_rows"),
+        *_match_aggs(),
     ).withColumn("match_pct", rounded_pct("matched_rows", "child_rows", 2))
 
 

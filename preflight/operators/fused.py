@@ -9,6 +9,9 @@ leaves each task as one row per set) and shuffles once.  A second,
 global aggregation over those groups — tiny, one row out — turns them into
 the metrics of every check, which are then laid out one row per check and
 graded with expressions shared by all checks of a kind.
+
+``TableGroups`` does the same for a whole review: what other tables' foreign
+keys, value lists and samples need of the groups is written once.
 """
 
 from __future__ import annotations
@@ -89,65 +92,187 @@ def check_sets(specs) -> tuple[list[tuple], list[str]]:
     """Grouping sets and NULL-counted columns that ``specs`` need."""
     nulls = list(dict.fromkeys(s.column for s in specs if s.check == "null_rate"))
     sets = [(s.column,) for s in specs if s.check in GROUPED]
-    sets += [tuple(s.keys) for s in specs if s.check == "fk_match_rate"]
     return list(dict.fromkeys(sets)), nulls
 
 
-def set_rows(frame: DataFrame, columns: list[str], keys) -> DataFrame:
-    """``<keys>, n`` — the groups of one grouping set."""
-    return frame.filter(F.col("gid") == _gid(columns, tuple(keys))).select(*[qcol(k) for k in keys], "n")
-
-
-def table_checks(df: DataFrame, specs, schema, grouped=None) -> DataFrame:
-    """``METRICS`` rows, one per check in ``specs`` (kinds in ``FUSED``),
-    from one scan and one shuffle of ``df``.  ``grouped``: the result of
-    ``grouped_counts`` for these checks and more, to share it.
-
-    The per-check metrics are one global aggregate over the grouping-sets
-    result and the per-check rows one ``stack``; both are written as Spark
-    SQL expressions so a table's plan is parsed once (building the same
-    from thousands of Column calls costs seconds of driver round-trips)."""
-    if grouped is None:
-        sets, null_cols = check_sets(specs)
-        grouped = (*grouped_counts(df, sets, null_cols), null_cols)
-    frame, columns, null_cols = grouped
+def metric_sql(specs, schema, columns: list[str], null_cols: list[str]) -> dict[int, dict[str, str]]:
+    """Per check (by ordinal) its metrics as SQL aggregates over the groups."""
     everything = f"gid = {_gid(columns, ())}"
-    aggs = [f"max(CASE WHEN {everything} THEN n END) AS rows"]
-    aggs += [f"max(CASE WHEN {everything} THEN null_count_{i} END) AS nulls_{i}"
-             for i in range(len(null_cols))]
-    rows = []
+    out = {}
     for s in specs:
-        o = s.ordinal
-        name = text_literal(s.column or "")
-        vals = {"total_rows": "rows", "null_count": "NULL", "duplicate_count": "NULL",
-                "distinct_values": "NULL", "unexpected_count": "NULL", "unexpected_rows": "NULL"}
+        vals = {"total_rows": f"max(CASE WHEN {everything} THEN n END)"}
         if s.check in GROUPED:
             c = ident(s.column)
             mine = f"gid = {_gid(columns, (s.column,))}"
         if s.check == "null_rate":
-            vals["null_count"] = f"nulls_{null_cols.index(s.column)}"
+            vals["null_count"] = f"max(CASE WHEN {everything} THEN null_count_{null_cols.index(s.column)} END)"
         elif s.check == "pk_duplicates":
-            aggs += [f"coalesce(sum(CASE WHEN {mine} THEN n END), 0) AS t{o}",
-                     f"count(CASE WHEN {mine} THEN {c} END) AS d{o}"]
-            vals["total_rows"] = f"t{o}"
-            vals["duplicate_count"] = f"t{o} - d{o}"
+            vals["total_rows"] = f"coalesce(sum(CASE WHEN {mine} THEN n END), 0)"
+            vals["duplicate_count"] = f"{vals['total_rows']} - count(CASE WHEN {mine} THEN {c} END)"
         elif s.check == "value_distribution":
-            aggs.append(f"count(CASE WHEN {mine} THEN 1 END) AS k{o}")
-            vals["distinct_values"] = f"k{o}"
+            vals["distinct_values"] = f"count(CASE WHEN {mine} THEN 1 END)"
         elif s.check == "unexpected_values":
-            dtype = schema[s.column].dataType
             bad = (f"{mine} AND {c} IS NOT NULL AND NOT coalesce(array_contains("
-                   f"{_accepted_sql(s.accepted or (), dtype)}, {c}), false)")
-            aggs.append(f"count(CASE WHEN {bad} THEN 1 END) AS u{o}")
-            aggs.append(f"sum(CASE WHEN {bad} THEN n END) AS v{o}")
-            vals["unexpected_count"] = f"u{o}"
-            vals["unexpected_rows"] = f"coalesce(v{o}, 0)"
-        fields = [f"CAST({o} AS INT)", text_literal(s.check), name]
-        fields += [f"CAST({v} AS {METRICS[k].dataType.simpleString()})" for k, v in vals.items()]
+                   f"{_accepted_sql(s.accepted or (), schema[s.column].dataType)}, {c}), false)")
+            vals["unexpected_count"] = f"count(CASE WHEN {bad} THEN 1 END)"
+            vals["unexpected_rows"] = f"coalesce(sum(CASE WHEN {bad} THEN n END), 0)"
+        out[s.ordinal] = vals
+    return out
+
+
+def table_checks(df: DataFrame, specs, schema) -> DataFrame:
+    """``METRICS`` rows, one per check in ``specs`` (kinds in ``FUSED``),
+    from one scan and one shuffle of ``df``.
+
+    The per-check metrics are one global aggregate over the grouping-sets
+    result and the per-check rows one ``stack``; both are written as Spark
+    SQL expressions so a table's plan is parsed once (building the same
+    from thousands of Column calls costs seconds of driver round-trips)."""
+    sets, null_cols = check_sets(specs)
+    frame, columns = grouped_counts(df, sets, null_cols)
+    aggs, rows = [], []
+    metrics = metric_sql(specs, schema, columns, null_cols)
+    for s in specs:
+        vals = metrics[s.ordinal]
+        fields = [f"CAST({s.ordinal} AS INT)", text_literal(s.check), text_literal(s.column or "")]
+        for f in METRICS.fields[3:]:
+            if f.name in vals:
+                aggs.append(f"{vals[f.name]} AS {f.name}_{s.ordinal}")
+            value = f"{f.name}_{s.ordinal}" if f.name in vals else "NULL"
+            fields.append(f"CAST({value} AS {f.dataType.simpleString()})")
         rows.append(", ".join(fields))
-    m = frame.selectExpr(*aggs)
     names = ", ".join(f.name for f in METRICS.fields)
-    return m.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS ({names})")
+    return frame.selectExpr(*aggs).selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS ({names})")
+
+
+class TableGroups:
+    """A table's groups, computed by one scan and one shuffle for all its readers.
+
+    The metrics of the table's checks are observed while the groups pass;
+    the groups of the sets in ``keep`` (keys of foreign keys on either side,
+    columns whose values are listed) are written under the checkpoint folder,
+    by set, and read from there by everything that needs them.  Without such
+    sets nothing is written.  More than ``limit`` sets are more scans."""
+
+    def __init__(self, df: DataFrame, schema, specs, keep, limit: int):
+        self.df, self.schema, self.specs = df, schema, list(specs)
+        self.keep = list(dict.fromkeys(tuple(k) for k in keep))
+        self.limit = limit
+        self.metrics: list[tuple] = []
+        self._written: dict[tuple, tuple] = {}
+
+    def chunks(self) -> list[list[tuple]]:
+        sets = list(dict.fromkeys([*check_sets(self.specs)[0], *self.keep]))
+        return [sets[i:i + self.limit] for i in range(0, len(sets), self.limit)] or [[]]
+
+    def run(self) -> "TableGroups":
+        nulls = check_sets(self.specs)[1]
+        for i, sets in enumerate(self.chunks()):
+            own = [s for s in self.specs if ((s.column,) in sets if s.check in GROUPED else i == 0)]
+            self._run(sets, own, nulls if i == 0 else [])
+        return self
+
+    def _run(self, sets, specs, nulls) -> None:
+        frame, columns = grouped_counts(self.df, sets, nulls)
+        metrics = metric_sql(specs, self.schema, columns, nulls)
+        exprs = [F.expr(sql).cast("long").alias(f"{name}_{o}") for o, vals in metrics.items() for name, sql in vals.items()]
+        keep = [k for k in self.keep if k in sets]
+        if keep:
+            gids = {k: _gid(columns, k) for k in keep}
+            got, path = write_groups(frame, columns, list(gids.values()), exprs)
+            for k in keep:
+                self._written[k] = (path, gids[k], [columns.index(c) for c in k])
+        else:
+            row = frame.agg(*exprs).first() if exprs else None
+            got = row.asDict() if row else {}
+        for s in specs:
+            self.metrics.append((s.ordinal, s.check, s.column or "",
+                                 *(got.get(f"{f.name}_{s.ordinal}") for f in METRICS.fields[3:])))
+
+    def rows(self, keys) -> DataFrame:
+        """``<keys>, n`` of one kept set, read from its files only."""
+        path, gid, at = self._written[tuple(keys)]
+        spark = self.df.sparkSession
+        fields = [T.StructField(f"k{i}", self.schema[c].dataType) for i, c in zip(at, keys)]
+        schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("gid", T.LongType())])
+        return spark.read.schema(schema).parquet(path).filter(F.col("gid") == gid).select(
+            *[F.col(f"k{i}").alias(c) for i, c in zip(at, keys)], "n")
+
+
+class TableReads:
+    """What ``TableGroups`` give of a table, found by group testing.
+
+    If the table's action fails, its checks and kept sets are halved until
+    each action succeeds or is left with one of them: one bad check of 64 costs
+    about a dozen actions, not 64.  What fails alone is in none of ``parts``."""
+
+    def __init__(self, df: DataFrame, schema, specs, keep, limit: int):
+        self.parts: list[TableGroups] = []
+        self.actions = 0
+        items = [("own", s) for s in specs] + [("keep", k) for k in dict.fromkeys(tuple(k) for k in keep)]
+        self._args = (df, schema, limit)
+        if items:
+            self._solve(items, False)
+
+    def _run(self, items) -> bool:
+        df, schema, limit = self._args
+        self.actions += 1
+        try:
+            self.parts.append(TableGroups(df, schema, [x for kind, x in items if kind == "own"],
+                                          [x for kind, x in items if kind == "keep"], limit).run())
+            return True
+        except Exception:  # noqa: BLE001 - looked into, or reported by the check on its own
+            return False
+
+    def _solve(self, items, bad: bool) -> None:
+        """``bad``: these are known to fail together."""
+        if not bad and self._run(items):
+            return
+        if len(items) == 1:
+            if bad:
+                self._run(items)
+            return
+        left, right = items[:len(items) // 2], items[len(items) // 2:]
+        if self._run(left):
+            self._solve(right, True)
+        else:
+            self._solve(left, True) if len(left) > 1 else None
+            self._solve(right, False)
+
+    @property
+    def metrics(self) -> list[tuple]:
+        return [m for p in self.parts for m in p.metrics]
+
+    def has(self, keys) -> bool:
+        return any(tuple(keys) in p.keep for p in self.parts)
+
+    def rows(self, keys) -> DataFrame:
+        return next(p for p in self.parts if tuple(keys) in p.keep).rows(keys)
+
+
+def write_groups(frame: DataFrame, columns: list[str], gids: list[int], exprs) -> tuple[dict, str]:
+    """Write the groups of some sets, a folder each; what ``exprs`` observe of
+    all groups, and the path."""
+    import uuid
+
+    from pyspark.sql import Observation
+
+    from preflight.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/preflight-groups-{uuid.uuid4().hex}"
+    obs = Observation(f"groups-{uuid.uuid4().hex[:8]}")
+    seen = frame.observe(obs, *exprs) if exprs else frame
+    (seen.filter(F.col("gid").isin(gids))
+     .select(*[qcol(c).alias(f"k{i}") for i, c in enumerate(columns)], "n", "gid")
+     .write.partitionBy("gid").parquet(path))
+    return (dict(obs.get) if exprs else {}), path
+
+
+def listed_values(groups: DataFrame, column: str, accepted, dtype) -> DataFrame:
+    """``column_name, value, row_count, unexpected`` from ``<column>, n`` groups."""
+    off = F.lit(False) if accepted is None else outside(qcol(column), accepted, dtype)
+    return groups.select(F.lit(column).alias("column_name"), qcol(column).cast("string").alias("value"),
+                         F.col("n").alias("row_count"), off.alias("unexpected"))
 
 
 def value_rows(df: DataFrame, columns: dict, schema) -> DataFrame:

@@ -17,9 +17,18 @@ from preflight.sources.catalog import MODEL_PREFIX, Catalog
 from preflight.sources.changes import model_paths
 from preflight.sources.tables import map_relation_col
 
+#: Characters of a name by which it meets paths.
+GRAM = 8
 NEW_RELATION = "(new model — not yet materialized)"
 
 
+def _last_by_name(entries, key: str, value):
+    """Map from an array of entries; of a repeated name, the last entry."""
+    last = F.filter(entries, lambda x, i: ~F.exists(
+        F.slice(entries, i + 2, F.size(entries)), lambda y: y[key] == x[key]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x[key], value(x))))
+
+
 def changed_models(catalog: Catalog, changed_files: DataFrame) -> DataFrame:
     """``path, unique_id, name, is_new`` — a path matches a catalog
     model by ``original_file_path``; unmatched paths are new models named
@@ -44,11 +53,9 @@ def neighbors(catalog: Catalog, schema_map: dict | None = None) -> DataFrame:
           .agg(F.array_sort(F.collect_list(F.struct("pos", "p_name", "p_rel"))).alias("ups")))
     up = up.select("unique_id",
                    F.transform("ups", lambda x: x["p_name"]).alias("upstream"),
-                   F.map_from_entries(F.transform("ups", lambda x: F.struct(
-                       x["p_name"], map_relation_col(x["p_rel"], schema_map)))).alias(
+                   _last_by_name("ups", "p_name", lambda x: map_relation_col(x["p_rel"], schema_map)).alias(
                        "upstream_tables"))
     e = catalog.edges.filter(F.col("dst").startswith(MODEL_PREFIX))
-    e = e.withColumn("pos", F.monotonically_increasing_id())
     down = (e.join(m.select(F.col("unique_id").alias("dst"), F.col("name").alias("c_name")), "dst")
             .groupBy(F.col("src").alias("unique_id"))
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c_name"))),
@@ -67,22 +74,32 @@ def new_model_refs(catalog: Catalog, new_code: DataFrame) -> DataFrame:
     return (j.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "rel")))
                                   .alias("r"))
             .select("path", F.transform("r", lambda x: x["ref"]).alias("upstream"),
-                    F.map_from_entries(F.transform("r", lambda x: F.struct(x["ref"], x["rel"])))
-                    .alias("upstream_tables")))
+                    _last_by_name("r", "ref", lambda x: x["rel"]).alias("upstream_tables")))
 
 
 def model_diffs(changed: DataFrame, diffs: DataFrame) -> DataFrame:
     """Diff text per changed model — exact path for catalog models;
     for a new model the first diff (by path) whose path contains its name.
-    The containment match is limited to new models (a handful of rows)."""
+
+    Containment is an equi-join first: a name of ``GRAM`` characters or more
+    meets the paths that hold its first ``GRAM`` characters anywhere, a shorter
+    one those that hold all of it; the whole name is then confirmed.  A path
+    gives one row per distinct piece of each length that names have."""
     known = (changed.filter(~F.col("is_new")).join(diffs, "path", "left")
              .select("name", "path", F.coalesce("diff", F.lit("")).alias("diff")))
-    new = changed.filter(F.col("is_new")).select("name", "path")
-    d = diffs.select(F.col("path").alias("dpath"), "diff")
-    cand = (new.join(d, F.col("dpath").contains(F.col("name")), "left")
-            .groupBy("name", "path")
-            .agg(F.min_by("diff", "dpath").alias("diff")))
-    return known.unionByName(cand.select("name", "path", F.coalesce("diff", F.lit("")).alias("diff")))
+    new = changed.filter(F.col("is_new")).select("name", "path", F.substring("name", 1, GRAM).alias("piece"))
+    # at most GRAM lengths, so one row
+    lengths = new.agg(F.collect_set(F.length("piece")).alias("k")).scalar()
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("dpath"), F.lit(1))))
+    pieces = (diffs.select(F.col("path").alias("dpath")).withColumn("ks", lengths).select("dpath", "ks", starts.alias("s"))
+              .select("dpath", "s", F.explode("ks").alias("k"))
+              .select("dpath", F.expr("substring(dpath, s, k)").alias("piece")).distinct())
+    first = (new.join(pieces, "piece").filter(F.col("dpath").contains(F.col("name")))
+             .groupBy("name", "path").agg(F.min("dpath").alias("dpath")))
+    texts = diffs.select(F.col("path").alias("dpath"), "diff")
+    found = (changed.filter(F.col("is_new")).select("name", "path").join(first, ["name", "path"], "left")
+             .join(texts, "dpath", "left").select("name", "path", F.coalesce("diff", F.lit("")).alias("diff")))
+    return known.unionByName(found)
 
 
 def prior_results(last_results: DataFrame | None) -> DataFrame | None:

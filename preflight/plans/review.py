@@ -1,21 +1,22 @@
 """R1 — the review: models → blast radius → checks → grade → samples.
 
-Planning happens on the driver over catalog metadata; every check is a
-lazy frame.  All checks of a table - row counts, NULL rates, duplicate keys,
-value domains, and the child side of its foreign keys - come from one
-``GROUPING SETS`` aggregate of the table (``operators.fused``): one scan and
-one shuffle; a parent's keys are grouped on their own and joined to the
-child's grouped keys.
+Planning happens on the driver over catalog metadata.  Every table is read
+once: row counts, NULL rates, duplicate keys and value domains are observed
+on its ``GROUPING SETS`` aggregate, and the groups that others need - the keys
+of foreign keys on either side, the values of listed columns - are written
+once (``fused.TableGroups``) and read by all of them.  The key counts of all
+foreign keys of like types are compared in one aggregation.  Summary and
+sections are counted from the graded rows.
 
 Errors are isolated.  Columns are resolved against the table's schema as
 Spark resolves them; a missing one, or a check that cannot be planned, is a
 FAIL row.  Each table is one action, all submitted together; if one fails,
-only that table's checks run again, one by one, and the failing ones become
-FAIL ``SQL error: …`` rows.
+its checks are halved until the failing ones stand alone (group testing), and
+these become FAIL ``SQL error: …`` rows.
 
 Samples of failing checks are a second action (≤ ``limit`` rows per check,
-the samples' documented size); the values of accepted-values checks are a
-table of their own (``Review.values``).
+the samples' documented size), with one scan for all NULL samples of a table
+and one for its duplicate keys; foreign keys are sampled from their groups.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ from preflight.config import MAX_GROUPING_SETS, ReviewOptions, Thresholds
 from preflight.operators import checks as C
 from preflight.operators import grade as G
 from preflight.functions.columns import resolve_column
-from preflight.operators.fused import FUSED, check_sets, graded, grouped_counts, set_rows, table_checks, value_rows
+from preflight.operators.fused import FUSED, METRICS, TableReads, graded, listed_values
 from preflight.plans.checks import CheckSpec, plan_checks
 from preflight.sources.catalog import Catalog
 from preflight.sources.tables import TableResolver
@@ -80,25 +81,24 @@ def spec_frame(spark: SparkSession, specs: list[CheckSpec]) -> DataFrame:
 @dataclass
 class BuiltCheck:
     spec: CheckSpec
-    result: DataFrame | None          # graded: ordinal, status, detail (of all members)
-    sample: object = None             # () -> DataFrame of failing rows, built on demand
+    result: DataFrame | None = None   # graded: ordinal, status, detail (of all members)
     error: str | None = None
     members: list = field(default_factory=list)   # checks whose rows ``result`` holds
     alone: object = None              # () -> graded frame of this check only
-    table: object = None              # (frame, schema, spec with resolved names)
+    table: tuple | None = None        # (frame, schema, spec with resolved names)
+    groups: TableReads | None = None          # of its table
+    parent: tuple | None = None               # (frame, its groups)
 
 
 def build_checks(spark: SparkSession, specs: list[CheckSpec], resolver: TableResolver,
                  thresholds: Thresholds = Thresholds(), sample_limit: int = 5,
                  threads: int = 8) -> list[BuiltCheck]:
-    """Lazy graded frames of ``specs``.
-
-    Each relation is resolved once.  All row-count, null, duplicate-key and
-    domain checks of a table share one ``GROUPING SETS`` aggregate (one
-    scan, one shuffle — ``operators.fused``); a foreign-key check reads the
-    two key columns it needs.  Plans of different tables are built
-    concurrently on the driver (plan building is JVM round-trips, not data
-    work)."""
+    """Graded frames of ``specs``.
+
+    Each relation is resolved once and, if a check or a foreign key needs it,
+    read once (``TableGroups``); the tables' actions run together.  What is
+    left lazy is the comparison of foreign keys over the groups.  Checks that
+    fail on their own are planned alone, for ``run_checks`` to report."""
     from concurrent.futures import ThreadPoolExecutor
 
     relations = list(dict.fromkeys([s.relation for s in specs] +
@@ -113,14 +113,75 @@ def build_checks(spark: SparkSession, specs: list[CheckSpec], resolver: TableRes
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
         frames = dict(pool.map(resolve, relations))
-        by_rel: dict[str, list[CheckSpec]] = {}
-        for s in specs:
-            by_rel.setdefault(s.relation, []).append(s)
-        parts = list(pool.map(
-            lambda item: _build_table(item[0], item[1], frames, thresholds, sample_limit),
-            by_rel.items()))
-    built = {b.spec.ordinal: b for part in parts for b in part}
-    return [built[s.ordinal] for s in specs]
+        built = list(pool.map(lambda s: _build(s, frames, thresholds), specs))
+        own = {r: [b.table[2] for b in built if b.error is None and b.spec.relation == r and b.spec.check in FUSED]
+               for r in relations}
+        keep = {r: [] for r in relations}
+        for b in built:
+            if b.error is None and b.spec.check == "fk_match_rate":
+                keep[b.spec.relation].append(b.table[2].keys)
+                keep[b.spec.parent_relation].append(b.table[2].parent_keys)
+            elif b.error is None and b.spec.check in LISTED:
+                keep[b.spec.relation].append((b.table[2].column,))
+
+        def read(rel):
+            if isinstance(frames[rel], Exception):
+                return rel, None
+            return rel, TableReads(*frames[rel], own[rel], keep[rel], MAX_GROUPING_SETS)
+        groups = dict(pool.map(read, relations))
+    metrics = [m for g in groups.values() if g for m in g.metrics]
+    measured = {m[0] for m in metrics}
+    together = graded(spark.createDataFrame(metrics, METRICS), thresholds) if metrics else None
+    fks = []
+    first = None
+    for b in built:
+        if b.error is not None:
+            continue
+        b.groups = groups[b.spec.relation]
+        if b.spec.check == "fk_match_rate":
+            b.parent = (frames[b.spec.parent_relation][0], groups[b.spec.parent_relation])
+            if b.groups.has(b.table[2].keys) and b.parent[1].has(b.table[2].parent_keys):
+                fks.append(b)
+                continue
+        elif b.spec.ordinal in measured:
+            first = first or b
+            first.result = together
+            first.members.append(b.spec)
+            continue
+        try:
+            b.result, b.members = b.alone(), [b.spec]
+        except Exception as e:  # noqa: BLE001 - reported as this check's result
+            b.error = _short(e)
+    if fks:
+        rates = C.fk_match_rates([(b.spec.ordinal, b.spec.parent, b.table[2].keys, b.groups.rows(b.table[2].keys),
+                                   b.table[2].parent_keys, b.parent[1].rows(b.table[2].parent_keys)) for b in fks])
+        grades = G.fk_exprs(thresholds)
+        fks[0].result = rates.select(F.col("fk").alias("ordinal"), grades["status"].alias("status"),
+                                     grades["detail"].alias("detail"))
+        fks[0].members = [b.spec for b in fks]
+    return built
+
+
+#: Checks whose columns' values are listed (``Review.values``).
+LISTED = ("value_distribution", "unexpected_values")
+
+
+def _build(s: CheckSpec, frames: dict, thresholds: Thresholds) -> BuiltCheck:
+    """The check with its table's names, or what is wrong with it."""
+    try:
+        for rel in (s.relation, s.parent_relation if s.check == "fk_match_rate" else None):
+            if isinstance(frames.get(rel), Exception):
+                raise frames[rel]
+        df, schema = frames[s.relation]
+        parent = frames.get(s.parent_relation) if s.check == "fk_match_rate" else None
+        case_sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+        r = _resolved(s, schema, parent and parent[1], case_sensitive)
+        alone = _alone(r, df, schema, parent and parent[0], thresholds)
+        if s.check == "unexpected_values":
+            alone()                              # plans, or raises
+        return BuiltCheck(s, alone=alone, table=(df, schema, r))
+    except Exception as e:  # noqa: BLE001 - reported as this check's result
+        return BuiltCheck(s, error=e.args[0] if isinstance(e, KeyError) else _short(e))
 
 
 def _resolved(s: CheckSpec, schema, parent_schema, case_sensitive: bool) -> CheckSpec:
@@ -143,63 +204,8 @@ def _resolved(s: CheckSpec, schema, parent_schema, case_sensitive: bool) -> Chec
     return replace(s, **change)
 
 
-def _build_table(relation: str, specs: list[CheckSpec], frames: dict,
-                 thresholds: Thresholds, sample_limit: int) -> list[BuiltCheck]:
-    got = frames[relation]
-    if isinstance(got, Exception):
-        return [BuiltCheck(s, None, error=_short(got)) for s in specs]
-    df, schema = got
-    case_sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
-    built, fused = [], []
-    for s in specs:
-        try:
-            pgot = frames.get(s.parent_relation) if s.check == "fk_match_rate" else None
-            if isinstance(pgot, Exception):
-                raise pgot
-            r = _resolved(s, schema, pgot and pgot[1], case_sensitive)
-            alone = _alone(r, df, schema, pgot and pgot[0], thresholds)
-            if s.check in FUSED or s.check == "fk_match_rate":
-                if s.check == "unexpected_values":
-                    alone()                              # plans, or raises
-                fused.append(BuiltCheck(s, None, _sample(r, df, pgot and pgot[0], sample_limit),
-                                        alone=alone, table=(df, schema, r)))
-            else:
-                built.append(BuiltCheck(s, alone(), members=[s], alone=alone))
-        except Exception as e:  # noqa: BLE001 - reported as this check's result
-            built.append(BuiltCheck(s, None, error=e.args[0] if isinstance(e, KeyError) else _short(e)))
-    for chunk in _chunks(fused):
-        try:
-            first, rest = chunk[0], chunk[1:]
-            first.result = _table_result(df, schema, [b.table[2] for b in chunk], frames, thresholds)
-            first.members = [b.spec for b in chunk]
-        except Exception:  # noqa: BLE001 - plan them one by one
-            rest = []
-            for b in chunk:
-                try:
-                    b.result, b.members = b.alone(), [b.spec]
-                except Exception as e:  # noqa: BLE001
-                    b.error = _short(e)
-        built += chunk
-    return built
-
-
-def _table_result(df, schema, specs, frames, thresholds) -> DataFrame:
-    """Graded rows of all checks of one table, from one grouped frame."""
-    sets, nulls = check_sets(specs)
-    grouped = (*grouped_counts(df, sets, nulls), nulls)
-    own = [s for s in specs if s.check in FUSED]
-    out = graded(table_checks(df, own, schema, grouped), thresholds) if own else None
-    for s in specs:
-        if s.check == "fk_match_rate":
-            child = set_rows(grouped[0], grouped[1], s.keys)
-            part = _graded_fk(s, df, frames[s.parent_relation][0], thresholds, child)
-            out = part if out is None else out.union(part)
-    return out
-
-
-def _graded_fk(s, df, parent, thresholds, grouped=None) -> DataFrame:
-    j = C.fk_groups(df, parent, list(s.keys), list(s.parent_keys), grouped)
-    m = C.fk_match_rate(df, parent, list(s.keys), s.parent, j)
+def _graded_fk(s, df, parent, thresholds) -> DataFrame:
+    m = C.fk_match_rate(df, parent, list(s.keys), s.parent, parent_keys=list(s.parent_keys))
     return _graded(s, m, G.fk_exprs(thresholds))
 
 
@@ -225,46 +231,21 @@ def _alone(s: CheckSpec, df, schema, parent, thresholds):
     return build
 
 
-def _sample(s: CheckSpec, df, parent, limit: int):
-    if s.check == "null_rate":
-        return lambda: C.null_sample(df, s.column, list(s.sample_columns), limit)
-    if s.check == "pk_duplicates":
-        return lambda: C.pk_sample(df, s.column, None, limit)
-    if s.check == "fk_match_rate":
-        return lambda: C.fk_sample(df, parent, list(s.keys), None, limit, list(s.parent_keys))
-    return None
-
-
-def _chunks(fused: list[BuiltCheck], limit: int = MAX_GROUPING_SETS) -> list[list[BuiltCheck]]:
-    """Split a table's checks so no scan carries more than ``limit`` grouping
-    sets; checks on the same columns stay together."""
-    out, sets = [[]], [set()]
-    for b in fused:
-        for key in check_sets([b.table[2]])[0]:
-            if key not in sets[-1]:
-                if len(sets[-1]) >= limit:
-                    out.append([])
-                    sets.append(set())
-                sets[-1].add(key)
-        out[-1].append(b)
-    return [c for c in out if c]
-
-
 def value_frame(spark: SparkSession, built: list[BuiltCheck]) -> DataFrame:
     """``model, column_name, value, row_count, unexpected``: every value of the
-    columns with accepted values; one scan per table, nothing cut."""
-    parts = []
-    by_table: dict = {}
+    columns with accepted values, from the tables' groups; nothing cut."""
+    parts, columns = [], {}
     for b in built:
-        if b.error is None and b.spec.check in ("value_distribution", "unexpected_values") and b.table:
-            df, schema, r = b.table
-            columns = by_table.setdefault((b.spec.model, b.spec.relation), (df, schema, {}))[2]
-            if r.check == "unexpected_values":
-                columns[r.column] = tuple(r.accepted or ())
+        if b.error is None and b.spec.check in LISTED and b.table:
+            key = (b.spec.model, b.spec.relation, b.table[2].column)
+            if b.spec.check == "unexpected_values":
+                columns[key] = (b, tuple(b.table[2].accepted or ()))
             else:
-                columns.setdefault(r.column, None)
-    for (model, _), (df, schema, columns) in by_table.items():
-        parts.append(value_rows(df, columns, schema).select(F.lit(model).alias("model"), "*"))
+                columns.setdefault(key, (b, None))
+    for (model, _, c), (b, accepted) in columns.items():
+        df, schema, _ = b.table
+        rows = b.groups.rows((c,)) if b.groups.has((c,)) else C.key_groups(df, c).withColumnRenamed("occurrences", "n")
+        parts.append(listed_values(rows, c, accepted, schema[c].dataType).select(F.lit(model).alias("model"), "*"))
     if not parts:
         return spark.createDataFrame([], "model string, column_name string, value string, row_count long, "
                                          "unexpected boolean")
@@ -338,43 +319,56 @@ def run_checks(spark: SparkSession, built: list[BuiltCheck], threads: int = 8) -
     return out
 
 
-def sample_frame(spark: SparkSession, built: list[BuiltCheck], failing: set[int]) -> DataFrame:
-    """Rows of the failing checks' samples as JSON text, one frame."""
+def sample_frame(spark: SparkSession, built: list[BuiltCheck], failing: set[int], limit: int = 5) -> DataFrame:
+    """Rows of the failing checks' samples as JSON text, numbered: one scan
+    of a table for all its NULL samples, one for its duplicate keys; unmatched
+    keys come from the groups."""
+    todo = [b for b in built if b.spec.ordinal in failing and b.error is None and b.table]
     parts = []
-    for b in built:
-        if b.spec.ordinal in failing and b.sample is not None and b.error is None:
-            s = b.sample()
-            parts.append(s.select(
-                F.lit(b.spec.ordinal).cast("int").alias("ordinal"),
-                F.lit(b.spec.model).alias("model"), F.lit(b.spec.check).alias("check"),
-                F.lit(0).alias("row_no"),
-                F.to_json(F.struct(*[s[f"`{c}`"] for c in s.columns])).alias("row")))
+    for kind, sample in (("null_rate", C.null_samples), ("pk_duplicates", C.pk_samples)):
+        by_table: dict = {}
+        for b in todo:
+            if b.spec.check == kind:
+                by_table.setdefault(b.spec.relation, []).append(b)
+        for members in by_table.values():
+            df = members[0].table[0]
+            checks = {b.spec.ordinal: (b.table[2].column, list(b.table[2].sample_columns or df.columns)) for b in members}
+            parts.append(sample(df, checks, limit))
+    for b in todo:
+        if b.spec.check == "fk_match_rate":
+            df, _, r = b.table
+            frame, pgroups = b.parent
+            j = C.fk_groups(df, frame, list(r.keys), list(r.parent_keys),
+                            b.groups.rows(r.keys) if b.groups.has(r.keys) else None,
+                            pgroups.rows(r.parent_keys) if pgroups.has(r.parent_keys) else None)
+            s = C.fk_sample(df, frame, list(r.keys), j, limit)
+            order = [F.col("unmatched_rows").desc(), *[C.qcol(k).asc_nulls_first() for k in r.keys]]
+            # at most ``limit`` rows, so one task is enough
+            parts.append(s.select(F.lit(b.spec.ordinal).alias("ordinal"),
+                                  (F.row_number().over(Window.orderBy(*order)) - 1).alias("row_no"),
+                                  F.to_json(F.struct(*[C.qcol(c) for c in s.columns])).alias("row")))
     if not parts:
         return spark.createDataFrame([], SAMPLE_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.join(F.broadcast(spec_frame(spark, [b.spec for b in todo])), "ordinal").select(
+        *[F.col(f.name).cast(f.dataType) for f in SAMPLE_SCHEMA.fields])
 
 
-def collect_samples(spark: SparkSession, built: list[BuiltCheck], failing: set[int]) -> list:
+def collect_samples(spark: SparkSession, built: list[BuiltCheck], failing: set[int], limit: int = 5) -> list:
     """Samples only for WARN/FAIL checks; sampling errors swallowed."""
     try:
-        rows = sample_frame(spark, built, failing).collect()
+        rows = sample_frame(spark, built, failing, limit).collect()
     except Exception:  # noqa: BLE001
         rows = []
         for b in built:
-            if b.spec.ordinal in failing and b.sample is not None:
+            if b.spec.ordinal in failing:
                 try:
-                    rows += sample_frame(spark, [b], {b.spec.ordinal}).collect()
+                    rows += sample_frame(spark, [b], {b.spec.ordinal}, limit).collect()
                 except Exception:  # noqa: BLE001
                     pass
-    numbered, seen = [], {}
-    for r in rows:
-        k = seen.get(r["ordinal"], 0)
-        seen[r["ordinal"]] = k + 1
-        numbered.append((r["ordinal"], r["model"], r["check"], k, r["row"]))
-    return numbered
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[3]))
 
 
 @dataclass
@@ -450,7 +444,7 @@ def review(spark: SparkSession, catalog: Catalog, resolver: TableResolver, model
         built = build_checks(spark, specs, resolver, options.thresholds, options.sample_limit)
         rows = [tuple(r[c] for c in RESULT_COLUMNS) for r in run_checks(spark, built)]
         failing = {r[0] for r in rows if r[5] in ("FAIL", "WARN")}
-        samples = collect_samples(spark, built, failing)
+        samples = collect_samples(spark, built, failing, options.sample_limit)
     rows.sort(key=lambda r: r[0])
     results = spark.createDataFrame(rows, RESULT_SCHEMA)
     sample_df = spark.createDataFrame(samples, SAMPLE_SCHEMA)

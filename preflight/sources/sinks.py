@@ -64,12 +64,24 @@ def load_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_review(spark: SparkSession, path: str):
-    """S7 source: the stored review row, or None when absent."""
-    try:
-        df = spark.read.json(f"{path}/review")
-    except Exception:  # noqa: BLE001 - no stored review yet
+    """S7 source: the stored review row, or None when there is none.  One that
+    is there and cannot be read raises."""
+    if not _exists(spark, f"{path}/review"):
         return None
-    return df if not df.isEmpty() else None
+    df = spark.read.json(f"{path}/review")
+    if "results" not in df.columns:
+        raise ValueError(f"the review stored at {path} cannot be read")
+    return df
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _fs(spark, path)
+    return fs.exists(where)
 
 
 def review_results(doc: DataFrame) -> DataFrame:
@@ -87,17 +99,40 @@ def last_summary(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_edge_cases(run, path: str) -> str:
-    """Results and rows of ``run_edge_cases``, overwritten per run."""
-    run.results.write.mode("overwrite").parquet(f"{path}/results")
+    """Results and rows of ``run_edge_cases``, overwritten per run.  Verdicts
+    on an earlier run's results are left behind with them."""
+    spark = run.results.sparkSession
     run.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    run.results.write.mode("overwrite").parquet(f"{path}/results")
+    where, fs = _fs(spark, f"{path}/judged")
+    fs.delete(where, True)
     return path
 
 
-def interpret(spark: SparkSession, path: str, verdicts: DataFrame, out_path: str) -> dict:
-    """Merge verdicts into the stored edge-case results and store the
-    merged table at ``out_path`` (a new location: the input is still being
-    read).  Returns ``updated`` and ``total``."""
-    stored = spark.read.parquet(f"{path}/results")
-    merge_verdicts(stored, verdicts).write.mode("overwrite").parquet(f"{out_path}/results")
+def _judged(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the judged results that are whole, ascending."""
+    where, fs = _fs(spark, f"{path}/judged")
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()
+                  and _exists(spark, f"{path}/judged/{n}/_SUCCESS"))
+
+
+def load_edge_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The stored results with the verdicts so far."""
+    versions = _judged(spark, path)
+    return spark.read.parquet(f"{path}/judged/v{versions[-1]}" if versions else f"{path}/results")
+
+
+def interpret(spark: SparkSession, path: str, verdicts: DataFrame, out_path: str | None = None) -> dict:
+    """Merge verdicts into the stored edge-case results, those of earlier
+    calls included, and store them as the next version beside them (or at
+    ``out_path``, a store of its own).  A version is read once it is whole, so
+    a call that breaks off changes nothing.  Returns ``updated`` and ``total``."""
+    versions = _judged(spark, path)
+    stored = load_edge_cases(spark, path)
+    target = f"{out_path}/results" if out_path else f"{path}/judged/v{(versions or [0])[-1] + 1}"
+    merge_verdicts(stored, verdicts).write.mode("overwrite").parquet(target)
     c = verdict_counts(stored, verdicts).collect()[0]
     return {"updated": c["updated"], "total": c["total"]}

@@ -80,3 +80,36 @@ def test_missing_manifest(spark):
     from preflight.sources.catalog import load_manifest
     with pytest.raises(FileNotFoundError):
         load_manifest(spark, "/tmp/definitely-not-here/target/manifest.json")
+
+
+def test_two_manifests_that_share_ids(spark, tmp_path):
+    """Rules and edges meet within their document; the latest snapshot of a
+    project counts; an id of two projects is read from the later document."""
+    import json
+
+    from preflight.sources.catalog import load_manifest
+
+    def manifest(name, project, at, rule, values, table, children):
+        node = lambda uid, **more: {"unique_id": uid, "name": uid.split(".")[-1], "columns": {"k": {}}, **more}
+        test = f"test.{project}.t"
+        doc = {"metadata": {"generated_at": at, "project_name": project},
+               "nodes": {"model.shared.base": node("model.shared.base", relation_name=f"{table}.base"),
+                         f"model.{project}.own": node(f"model.{project}.own", relation_name=f"{table}.own"),
+                         test: {"unique_id": test, "column_name": "k",
+                                "test_metadata": {"name": rule, "kwargs": {"values": values}}}},
+               "child_map": {"model.shared.base": children, f"model.{project}.own": [test]}}
+        (tmp_path / name).write_text(json.dumps(doc))
+
+    manifest("a1.json", "a", "2024-01-01", "unique", None, "a1", ["model.a.own"])
+    manifest("a2.json", "a", "2024-03-01", "accepted_values", ["x"], "a2", ["test.a.t", "model.a.own"])
+    manifest("b.json", "b", "2024-02-01", "not_null", None, "b", ["model.b.own"])
+    cat = load_manifest(spark, str(tmp_path))
+    assert {r["unique_id"]: r["relation_name"] for r in cat.models.collect()} == {
+        "model.shared.base": "a2.base", "model.a.own": "a2.own", "model.b.own": "b.own"}
+    assert {(r["model_id"], r["rule"]) for r in cat.rules.collect()} == {
+        ("model.shared.base", "accepted_values"), ("model.a.own", "accepted_values"), ("model.b.own", "not_null")}
+    assert {(r["src"], r["dst"], r["pos"]) for r in cat.edges.collect()} == {
+        ("model.shared.base", "test.a.t", 0), ("model.shared.base", "model.a.own", 1),
+        ("model.a.own", "test.a.t", 0), ("model.b.own", "test.b.t", 0)}
+    assert cat.test_count().collect()[0][0] == 2
+    assert cat.child_models().filter("unique_id = 'model.shared.base'").collect()[0]["child_models"] == ["model.a.own"]

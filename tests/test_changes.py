@@ -82,3 +82,86 @@ def test_status(spark, catalog):
     assert s["changed_models"] == ["station_load", "new_thing"]
     assert s["blast_radius"] == ["city_report"]
     assert s["last_review_summary"] == "1 FAIL / 2 WARN / 3 PASS"
+
+
+def test_a_long_diff_is_split_in_chunks(spark, monkeypatch):
+    """The same sections, whatever the chunk, and from files of any split."""
+    import random
+    import tempfile
+
+    from preflight.sources import changes
+    rnd = random.Random(3)
+    text = "noise\n" + "".join(patch(f"models/m{rnd.randrange(40)}.sql", *[f"+line {rnd.random()}" for _ in range(rnd.randrange(30))])
+                               for _ in range(120))
+    want, at = {}, None
+    for line in text.splitlines(keepends=True):
+        if line.startswith("diff --git"):
+            at = line.split()[3][2:]
+            want[at] = ""
+        if at:
+            want[at] += line
+    assert split(spark, text) == want
+    monkeypatch.setattr(changes, "CHUNK", 16)
+    assert split(spark, text) == want
+    f = tempfile.NamedTemporaryFile("w", suffix=".diff", delete=False, dir="/tmp")
+    f.write(text)
+    f.close()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        lines = changes.diff_lines(spark, f.name)
+        assert lines.rdd.getNumPartitions() > 5
+        assert {r["path"]: r["diff"] for r in split_diffs(lines).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_million_lines_of_one_diff(spark):
+    """Numbered in chunks: no window sees more than one chunk's lines."""
+    lines = spark.range(1_000_000).select(
+        F.lit("d").alias("diff_id"), F.col("id").alias("line_no"),
+        F.when(F.col("id") % 1000 == 0, F.concat(F.lit("diff --git a/models/x b/models/"), F.col("id").cast("string"), F.lit(".sql")))
+         .otherwise(F.lit("+x")).alias("line"))
+    got = split_diffs(lines).select("path", F.length("diff").alias("n"))
+    assert got.count() == 1000 and got.filter("n < 1998").count() == 0
+
+
+def test_repeated_refs_and_parents_of_one_name(spark):
+    """A table that is referred to twice is listed twice and mapped once."""
+    from preflight.plans.context import neighbors, new_model_refs
+    from preflight.sources.catalog import declare_catalog
+    cat = declare_catalog(spark, [{"name": "orders", "relation_name": "w.orders"}, {"name": "c", "relation_name": "w.c"}])
+    code = spark.createDataFrame([("models/n.sql", "{{ ref('orders') }} {{ ref('c') }} {{ ref('orders') }}")], "path string, code string")
+    r = new_model_refs(cat, code).collect()[0]
+    assert r["upstream"] == ["orders", "c", "orders"] and r["upstream_tables"] == {"orders": "w.orders", "c": "w.c"}
+    m = spark.createDataFrame([("", "model.a.t", "t", "w1.t", []), ("", "model.b.t", "t", "w2.t", []),
+                               ("", "model.a.u", "u", "w1.u", ["model.a.t", "model.b.t"])],
+                              "doc_id string, unique_id string, name string, relation_name string, depends_on array<string>")
+    cat.models = m
+    r = {x["unique_id"]: x for x in neighbors(cat).collect()}["model.a.u"]
+    assert r["upstream"] == ["t", "t"] and r["upstream_tables"] == {"t": "w2.t"}
+
+
+def test_diff_of_a_new_model_by_containment(spark):
+    """First path that contains the name, by an equi-join on pieces of paths."""
+    import contextlib
+    import io
+    import random
+
+    from preflight.plans.context import model_diffs
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abc_") for _ in range(n))
+    new = [(word(rnd.randrange(1, 14)), f"models/{i}.sql") for i in range(60)]
+    paths = sorted({f"models/{word(rnd.randrange(3, 20))}/{word(9)}.sql" for _ in range(80)} |
+                   {f"models/x/{n}.sql" for n, _ in new[::3]})
+    changed = spark.createDataFrame([(p, n, None, True) for n, p in new] + [(paths[5], "known", "model.k", False)],
+                                    "path string, name string, unique_id string, is_new boolean")
+    diffs = spark.createDataFrame([(p, "text of " + p) for p in paths], "path string, diff string")
+    out = model_diffs(changed, diffs)
+    want = {(n, p): next((f"text of {x}" for x in paths if n in x), "") for n, p in new}
+    want["known", paths[5]] = "text of " + paths[5]
+    assert {(r["name"], r["path"]): r["diff"] for r in out.collect()} == want
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        out.explain()
+    assert "NestedLoop" not in shown.getvalue() and "Cartesian" not in shown.getvalue()

@@ -168,3 +168,18 @@ def test_fused_table_checks(spark):
     assert out[3] == ("WARN", "2 unexpected value(s) in 2 rows")
     assert out[4] == ("WARN", "1 unexpected value(s) in 1 rows")
     assert out[5] == ("PASS", "4 rows")
+
+
+def test_keys_by_bitmap(spark):
+    """Dense whole numbers: as many distinct values as grouping finds, with
+    NULLs, negative values and repeated keys; others are grouped."""
+    from preflight.operators.checks import dense_keys, distinct_by_bitmap, key_groups, pk_duplicates
+    k = F.when(F.col("id") % 7 != 0, (F.col("id") * 3 % 70_001) - 40_000)
+    df = spark.range(200_000).select(k.cast("int").alias("k"), (F.col("id") * 10**12).alias("far"),
+                                     F.col("id").cast("string").alias("s"), F.lit(None).cast("long").alias("none"))
+    assert dense_keys(df, "k") is not None
+    assert distinct_by_bitmap(df, "k").first()[0] == df.agg(F.countDistinct("k")).first()[0]
+    assert pk_duplicates(df, "k").collect() == pk_duplicates(df, "k", key_groups(df, "k")).collect()
+    assert dense_keys(df, "far") is None and dense_keys(df, "s") is None and dense_keys(df, "none") is None
+    assert [tuple(r) for r in pk_duplicates(df, "none").collect()] == [("none", 200_000, 200_000)]
+    assert [tuple(r) for r in pk_duplicates(df.limit(0), "k").collect()] == [("k", 0, 0)]

@@ -135,6 +135,11 @@ def test_report_and_store(spark, done):
     assert sinks.review_results(doc).count() == 8
     assert sinks.load_values(spark, os.path.join(out, "review")).count() == 9
     assert sinks.load_review(spark, os.path.join(out, "missing")) is None
+    os.makedirs(os.path.join(out, "broken", "review"))
+    with open(os.path.join(out, "broken", "review", "part-0.json"), "w") as f:
+        f.write('{"summary": ')
+    with pytest.raises(Exception):
+        sinks.load_review(spark, os.path.join(out, "broken"))
 
 
 def test_report_shapes(spark, done):
@@ -164,15 +169,66 @@ def test_interpret_store(spark):
         (False, "ok", "expected"), (True, "look", "investigate")]
 
 
-def test_wide_tables_split_scans(spark, catalog, wheel_tables, monkeypatch, done):
-    import functools
+def test_verdicts_of_several_calls(spark):
+    """Each call starts from the verdicts before it; a new run starts anew."""
+    at = os.path.join(tempfile.mkdtemp(prefix="pf-ec-", dir="/tmp"), "ec")
+    cases = [EdgeCase("m", "d", "HIGH", "SELECT 3 AS n"), EdgeCase("m", "e", "LOW", "SELECT 4 AS n")]
+    schema = "index long, verdict string, status string, ordinal long"
+    sinks.write_edge_cases(run_edge_cases(spark, cases), at)
+    sinks.interpret(spark, at, spark.createDataFrame([(0, "known", "clear", 0)], schema))
+    os.makedirs(os.path.join(at, "judged", "v2"))                       # a call that broke off
+    assert sinks.interpret(spark, at, spark.createDataFrame([(1, "look", "investigate", 0)], schema)) == {
+        "updated": 1, "total": 2}
+    r = sinks.load_edge_cases(spark, at).orderBy("index").collect()
+    assert [(x["flagged"], x["verdict"]) for x in r] == [(False, "known"), (True, "look")]
+    sinks.write_edge_cases(run_edge_cases(spark, cases), at)
+    assert all(x["flagged"] for x in sinks.load_edge_cases(spark, at).collect())
 
+
+def test_wide_tables_split_scans(spark, catalog, wheel_tables, monkeypatch, done):
     import preflight.plans.review as RV
-    monkeypatch.setattr(RV, "_chunks", functools.partial(RV._chunks, limit=1))
+    monkeypatch.setattr(RV, "MAX_GROUPING_SETS", 1)
     res = TableResolver(spark, tables=wheel_tables, use_session_catalog=False)
     assert by_check(review(spark, catalog, res, models=["rides"])) == by_check(done)
 
 
+def test_each_table_is_scanned_once(spark, monkeypatch):
+    """All 63 checks of the declared catalog: one scan per table (14), whoever
+    else needs its keys or values; what is left reads the written groups."""
+    from preflight.operators import fused
+    from preflight.plans import showcase as S
+    from conftest import SF_SMALL
+    run, scans = [], []
+    plain = fused.TableGroups._run
+
+    def counted(self, sets, specs, nulls):
+        run.append([f.rsplit("/", 1)[-1] for f in self.df.inputFiles()])
+        return plain(self, sets, specs, nulls)
+
+    monkeypatch.setattr(fused.TableGroups, "_run", counted)
+    built = S.demo_built(spark, SF_SMALL)
+    assert sorted(x[0] for x in run) == sorted(f"{t}.parquet" for t in S.D.TABLES)
+    from preflight.plans.review import graded_frame, value_frame
+    for frame in (graded_frame(spark, built), value_frame(spark, built)):
+        files = frame.inputFiles()
+        assert files and all("/preflight-groups-" in f for f in files)
+        scans += files
+    assert len([b for b in built if b.error]) == 0 and graded_frame(spark, built).count() == 63
+
+
+def test_group_testing_of_a_failing_table(spark):
+    """One bad check of 64 is found in about two actions per halving."""
+    from preflight.operators.fused import TableReads
+    from preflight.plans.checks import CheckSpec
+    df = spark.range(20).select("id", *[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(64)])
+    df = df.withColumn("c41", F.when(F.col("id") == 7, F.raise_error(F.lit("bad"))).otherwise(F.col("c41").cast("string")))
+    specs = [CheckSpec(i, "grain", "t", "pk_duplicates", "TIER0", "t", f"c{i}") for i in range(64)]
+    got = TableReads(df, df.schema, specs, [], 64)
+    assert {m[0] for m in got.metrics} == set(range(64)) - {41}
+    assert {m[0]: m[5] for m in got.metrics} == {i: 20 - min(20, i + 2) for i in range(64) if i != 41}
+    assert got.actions <= 14
+
+
 def test_all_values_are_kept(done):
     v = {(r["column_name"], r["value"]): (r["row_count"], r["unexpected"]) for r in done.values.collect()}
     assert v["kind", "dusk"] == (2, True) and v["kind", "day"] == (3, False) and v["kind", None] == (1, False)
