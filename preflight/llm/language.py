@@ -12,8 +12,9 @@ of a slice take their steps together, so the loop runs over the words of
 the longest one.
 
 The model is counted from labelled texts by Spark; ``train_docs`` bounds
-the expected number of texts (a hash of id and text chooses them).  Its
-size depends on the number of languages only.
+the expected number of texts (a hash of id and text chooses them), to which
+each language adds at most ``LEAST_DOCS``, so that a rare one stays.  Its size
+depends on the number of languages only.
 
 The prediction is the language with most bytes of words.  The score is its
 share of those bytes times the softmax of the summed scores of its words.
@@ -35,6 +36,7 @@ from preflight.llm.arrow_text import ASCII_LOWER, RangeHash, Texts, mask, runs,
 from preflight.llm.ship import ship
 
 TRAIN_DOCS = 40_000
+LEAST_DOCS = 1_000       # of a language, as far as it has them
 SLICE = 2 << 20
 SWITCH, CUT = 14.0, 12.0
 BUCKETS_LOG2 = 16
@@ -139,26 +141,33 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     and feature bucket at most."""
     ship(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.count()
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
+    n = held.agg(F.sum("held")).first()[0] or 0
     if n > train_docs:
-        share = int(train_docs / n * (1 << 30))
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
+        # one row per language; of 2^30 parts, how many are chosen
+        share = held.select("lang", F.greatest(F.lit(train_docs / n), F.lit(LEAST_DOCS) / F.col("held")).alias("share"))
+        rows = rows.join(F.broadcast(share), "lang").filter(
+            F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
     got = (rows.select("lang", "text").mapInArrow(_counts, "lang string, feature int, n long")
-           .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow())
+           .groupBy("lang", "feature").agg(F.sum("n").alias("n")).orderBy("lang").toArrow())
     lang, feature, count = (got[c].to_numpy() for c in ("lang", "feature", "n"))
     langs = sorted(set(lang))
-    table = np.zeros((len(langs), FEATURES + 1 + SCRIPTS))
-    if langs:
-        table[np.searchsorted(np.array(langs, object), lang), feature] = count
-    grams = table[:, :FEATURES] + ALPHA
-    logp = np.log(grams)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, FEATURES)):
-        logp[:, part] -= np.log(grams[:, part].sum(1, keepdims=True))
+    start = [*np.searchsorted(lang, np.array(langs, object)), len(lang)] if langs else [0]
+    used = np.zeros((len(langs), SCRIPTS))
+    logp, seen = np.empty((len(langs), FEATURES), np.float64), np.zeros(FEATURES, bool)
+    for j in range(len(langs)):
+        own = np.zeros(FEATURES + 1 + SCRIPTS)
+        own[feature[start[j]:start[j + 1]]] = count[start[j]:start[j + 1]]
+        used[j], grams = own[FEATURES + 1:], own[:FEATURES] + ALPHA
+        seen |= own[:FEATURES] > 0
+        logp[j] = np.log(grams)
+        for part in (slice(0, BUCKETS), slice(BUCKETS, FEATURES)):
+            logp[j, part] -= np.log(grams[part].sum())
     weights = np.zeros((FEATURES + 1, len(langs)), np.float32)
     if langs:
-        seen = table[:, :FEATURES].sum(0) > 0
-        weights[:FEATURES] = np.where(seen, logp - logp.mean(0), 0).T
-    used = table[:, FEATURES + 1:]
+        mean = logp.mean(0)
+        for j in range(len(langs)):
+            weights[:FEATURES, j] = np.where(seen, logp[j] - mean, 0)
     writes = (used >= 0.01 * np.maximum(used.sum(1, keepdims=True), 1)).T & (used.T > 0)
     return Model(langs, weights, writes)
 
@@ -181,7 +190,8 @@ def word_scores(w: Words, m: Model) -> np.ndarray:
 def viterbi(e: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of every word; ``counts`` words belong to each text."""
     n, k = len(counts), e.shape[1]
-    label = np.zeros(len(e), np.int8)
+    kind = np.min_scalar_type(-max(k, 1))        # holds every label
+    label = np.zeros(len(e), kind)
     order = np.argsort(-counts, kind="stable")
     size = counts[order]
     first = (np.cumsum(counts) - counts)[order]
@@ -189,13 +199,13 @@ def viterbi(e: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.nda
     live = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")     # texts with over t words
     v = np.zeros((n, k), np.float32)
     back = []
-    own = np.arange(k, dtype=np.int8)[None, :]
+    own = np.arange(k, dtype=kind)[None, :]
     for t in range(steps):
         a = live[t]
         best = v[:a].argmax(1)
         jump = v[np.arange(a), best] - switch
         stay = v[:a] >= jump[:, None]
-        back.append(np.where(stay, own, best.astype(np.int8)[:, None]))
+        back.append(np.where(stay, own, best.astype(kind)[:, None]))
         v[:a] = np.where(stay, v[:a], jump[:, None]) + e[first[:a] + t]
     state = np.zeros(n, np.int64)
     done = 0

@@ -13,7 +13,9 @@ of fewer than ``3 * LEAST_BLOCK`` vectors is looked at whole.
 
 Queries and candidates are placed by direction alone, so no vector's length
 moves another one's place; the scale of a band's cells is taken from its
-vectors and the queries.
+vectors and the queries.  Within a band vectors are held times a power of
+two that brings their lengths to 1/4 to 1, and windows are scored in double
+precision with that power taken back, so no magnitude is lost.
 
 Equal vectors are one point of the index with its ``k + 1`` smallest ids (no
 larger id can be among a query's k), so a vector that a third of all rows
@@ -48,7 +50,7 @@ SAMPLE = 20_000         # vectors whose keys fix the ranges (expected number)
 BAND_SAMPLE = 2_000     # of one band at least
 PIECE_ROWS = 50_000
 LEAST_BLOCK = 64        # vectors in a range, or there are fewer ranges
-LAST_BAND = 300         # lengths of floats are within 2^-149 and 2^150
+LAST_BAND = 1_000       # vectors of less than 2^-1000 of the longest one's length are one band
 SCORES = 4 << 20        # inner products held at a time
 SEED = 7
 
@@ -207,7 +209,8 @@ def _best(k: int):
     def run(table: pa.Table) -> pa.Table:
         query = table["query"].to_numpy()
         block, cid = table["block"].to_numpy(), table["cid"].to_numpy()
-        x = _matrix(table["vector"].combine_chunks()) if table.num_rows else np.zeros((0, 1), np.float32)
+        x = _matrix(table["vector"].combine_chunks()).astype(float) if table.num_rows else np.zeros((0, 1))
+        scale = 0.5 ** (table["band"][0].as_py() if table.num_rows else 0)
         c = np.flatnonzero(~query)
         c = c[np.argsort(block[c], kind="stable")]
         spots, cands, ids = block[c], x[c], cid[c]
@@ -219,28 +222,32 @@ def _best(k: int):
                 continue
             n, step = min(k, hi - lo), max(1, SCORES // (hi - lo))
             for i in range(0, len(q), step):
-                s = x[q[i:i + step]] @ cands[lo:hi].T
+                s = x[q[i:i + step]] @ cands[lo:hi].T * scale
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 out[0].append(np.repeat(cid[q[i:i + step]], n))
                 out[1].append(ids[lo:hi][top].reshape(-1))
                 out[2].append(np.take_along_axis(s, top, 1).reshape(-1))
         cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, kind)
         return pa.table({"q": pa.array(cat(out[0], np.int64), pa.int64()), "c": pa.array(cat(out[1], np.int64), pa.int64()),
-                         "near": pa.array(cat(out[2], np.float32), pa.float32())})
+                         "near": pa.array(cat(out[2], float), pa.float64())})
     return run
 
 
-def _packed(batches):
-    for b in batches:
-        col = b.column(b.schema.get_field_index("vector"))
-        off = col.offsets.to_numpy()
-        raw = col.flatten().to_numpy(zero_copy_only=False).astype(np.float32).tobytes()
-        base = off[0]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(b.schema.get_field_index("cid")),
-             pa.array([raw[4 * (x - base):4 * (y - base)] for x, y in zip(off[:-1], off[1:])], pa.binary()),
-             b.column(b.schema.get_field_index("asks")), b.column(b.schema.get_field_index("band"))],
-            names=["cid", "vector", "asks", "band"])
+def _packed(exponent: int):
+    """Vectors as bytes, times 2^(band - exponent): lengths of 1/4 to 1."""
+    def run(batches):
+        for b in batches:
+            col, band = (b.column(b.schema.get_field_index(c)) for c in ("vector", "band"))
+            off = col.offsets.to_numpy()
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
+            power = np.repeat(band.to_numpy().astype(np.int64) - exponent, np.diff(off))
+            raw = np.ldexp(flat, power).astype(np.float32).tobytes()
+            base = off[0]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(b.schema.get_field_index("cid")),
+                 pa.array([raw[4 * (x - base):4 * (y - base)] for x, y in zip(off[:-1], off[1:])], pa.binary()),
+                 b.column(b.schema.get_field_index("asks")), band], names=["cid", "vector", "asks", "band"])
+    return run
 
 
 def _sampled(rows: DataFrame, limit) -> DataFrame:
@@ -277,16 +284,20 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = CURVES, bloc
     points = materialize(
         rows.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1).groupBy("vector")
         .agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("cid", F.col("ids")[0])
-        .withColumn("length", F.sqrt(inner_product("vector", "vector"))), "points")
+        .withColumn("top", F.array_max(F.transform("vector", lambda v: F.abs(v).cast("double"))))
+        .withColumn("length", F.col("top") * F.sqrt(F.aggregate(
+            F.transform("vector", lambda v: F.pow(v.cast("double") / F.col("top"), F.lit(2.0))), F.lit(0.0),
+            lambda s, v: s + v))).drop("top"), "points")
     asked = rows.filter(queries(F.col("id"))).select(F.col("id").alias("query_id"), "vector")
     asked = materialize(asked.join(points.select("vector", "cid"), "vector").select("query_id", "cid"), "asked")
     longest = points.agg(F.max("length")).first()[0]
-    band = F.floor(F.log2(F.lit(longest) / F.col("length")))
+    exponent = int(np.frexp(longest)[1])            # 2^exponent is more than any length
+    band = F.floor(F.lit(float(np.log2(longest))) - F.log2("length"))
     band = F.greatest(F.lit(0), F.least(F.lit(LAST_BAND), F.coalesce(band, F.lit(LAST_BAND)))).cast("int")
     marked = points.join(asked.select("cid").distinct().withColumn("asks", F.lit(True)), "cid", "left").select(
         "cid", "vector", F.coalesce("asks", F.lit(False)).alias("asks"), band.alias("band"))
     held = {r["band"]: (r["n"], r["q"]) for r in marked.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()}      # 301 rows at most
+        F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()}      # 1,001 rows at most
     n, n_asked = (sum(v) for v in zip(*held.values()))
     limits = F.create_map(*[F.lit(v) for at, (m, _) in held.items()
                             for v in (at, _limit(max(SAMPLE / n, BAND_SAMPLE / m)))])
@@ -298,9 +309,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = CURVES, bloc
     for at, (m, _) in sorted(held.items()):
         index.fit(at, sample[of == at] if (of == at).any() else np.ones((1, dim)), asking, m, n_asked, blocks)
     shared = spark.sparkContext.broadcast(index)
-    spots = (marked.mapInArrow(_packed, "cid long, vector binary, asks boolean, band int")
+    spots = (marked.mapInArrow(_packed(exponent), "cid long, vector binary, asks boolean, band int")
              .mapInArrow(_place(shared), SPOTS))
-    found = spots.groupBy(*GROUP).applyInArrow(_best(k + 4), "q long, c long, near float")
+    found = spots.groupBy(*GROUP).applyInArrow(_best(k + 4), "q long, c long, near double")
     merged = found.groupBy("q", "c").agg(F.max("near").alias("near"))
     first = Window.partitionBy("q").orderBy(F.desc("near"), "c")
     merged = materialize(merged.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 2 * k + 8)

@@ -2,15 +2,17 @@
 batches inside them.
 
 The exact histogram of lengths comes from one aggregation; distinct lengths
-are at most about the square root of twice the words of all texts.  Dynamic
+are at most about the square root of twice the tokens of all texts.  Dynamic
 programming over it, on the lower hull of the last cuts' lines, chooses the
 ``n_buckets`` upper bounds that minimise the total padding, in whole numbers
 and in time linear in the distinct lengths.  In a bucket of bound L, a batch holds ``budget // L`` texts
 (one at least), filled in a fixed order: texts are dealt by hash to chunks
 of about ``CHUNK_ROWS``, numbered inside their chunk, and shifted by the
-counts of the chunks before.  No task sees a whole bucket.
+counts of the chunks before.  Equal rows are one row with their number until
+their places are known, and are listed ``COPIES`` at a time; so neither a
+bucket nor a row that a third of the table repeats is one task.
 
-Lengths are words between ASCII white space.
+Lengths are tokens (``token_count``).
 
 Cases: null and empty texts have length 0 and belong to the smallest
 bucket; a text longer than the budget is a batch of its own; equal rows are
@@ -21,16 +23,15 @@ an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from preflight.llm.arrow_text import SPACE, runs, text_slices
-from preflight.llm.ship import ship
+from preflight.llm.token_count import count_tokens
 from preflight.session import materialize
 
 BUCKETS, BUDGET = 16, 32_768
 CHUNK_ROWS = 20_000
+COPIES = 4_096          # equal rows listed at once
 
 
 def bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
@@ -77,15 +78,6 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]
     return out[::-1]
 
 
-def _lengths(batches):
-    for b in batches:
-        got = [runs(t, ~SPACE)[2] for t in text_slices(b)]
-        keep = [i for i, f in enumerate(b.schema) if f.name != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(i) for i in keep), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))],
-            names=[*(b.schema.field(i).name for i in keep), "length"])
-
-
 def pack(rows: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``rows`` (doc_id, length, and whatever tells them apart) with ``bucket``
     (from 0), ``pad_to``, ``batch`` (within the bucket) and ``slot``."""
@@ -97,27 +89,39 @@ def pack(rows: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET, chunk_
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("length") <= ends[i], F.lit(i)).otherwise(bucket)
         pad = F.when(F.col("length") <= ends[i], F.lit(ends[i])).otherwise(pad)
-    names = rows.columns
+    names = [F.col(f"`{c}`") for c in rows.columns]
     chunks = max(1, -(-int(n) // chunk_rows))
-    dealt = rows.withColumns({"bucket": bucket.cast("int"), "pad_to": pad.cast("long"),
-                              "__chunk": F.pmod(F.xxhash64(*names), F.lit(chunks)).cast("int")})
-    count = dealt.groupBy("bucket", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    dealt = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies")).withColumns(
+        {"bucket": bucket.cast("int"), "pad_to": pad.cast("long"),
+         "__chunk": F.pmod(F.xxhash64(*names), F.lit(chunks)).cast("int")})
+    count = dealt.groupBy("bucket", "__chunk").agg(F.sum("__copies").alias("__n"))
     before = count.withColumn("__before", F.sum("__n").over(
         Window.partitionBy("bucket").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("bucket", "__chunk").orderBy(*[F.col(f"`{c}`") for c in names]))
+    own = F.sum("__copies").over(Window.partitionBy("bucket", "__chunk").orderBy(*names)
+                                 .rowsBetween(Window.unboundedPreceding, -1))
     at = F.col("__at")
     cap = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("pad_to"), F.lit(1))))
-    return (dealt.withColumn("__own", own).join(before.drop("__n"), ["bucket", "__chunk"])
-            .withColumn("__at", F.col("__own") - 1 + F.coalesce("__before", F.lit(0)))
-            .select(*[F.col(f"`{c}`") for c in names], "bucket", "pad_to", F.floor(at / cap).cast("long").alias("batch"),
+    placed = (dealt.withColumn("__own", own).join(before.drop("__n"), ["bucket", "__chunk"])
+              .withColumn("__first", F.coalesce("__own", F.lit(0)) + F.coalesce("__before", F.lit(0)))
+              .select(*names, "bucket", "pad_to", "__first", "__copies"))
+    # copies: up to COPIES at once, more in parts that are dealt out first
+    last = F.col("__copies") - 1
+    few = placed.filter(F.col("__copies") <= COPIES).withColumn("__lo", F.lit(0).cast("long"))
+    many = (placed.filter(F.col("__copies") > COPIES)
+            .withColumn("__lo", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))))
+            .repartition(F.xxhash64(*names, "__lo")))
+    return (few.unionByName(many)
+            .withColumn("__k", F.explode(F.sequence("__lo", F.least(F.col("__lo") + F.lit(COPIES - 1), last))))
+            .withColumn("__at", F.col("__first") + F.col("__k"))
+            .select(*names, "bucket", "pad_to", F.floor(at / cap).cast("long").alias("batch"),
                     (at % cap).cast("int").alias("slot")))
 
 
 def pack_documents(docs: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """``doc_id, length, bucket, pad_to, batch, slot`` of every row of ``docs``."""
-    ship(docs.sparkSession)
+    """``doc_id, length, bucket, pad_to, batch, slot`` of every row of
+    ``docs``; lengths and ``budget`` are tokens."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(slim.mapInArrow(_lengths, "doc_id long, length long"), "lengths")
+    rows = materialize(count_tokens(slim).withColumnRenamed("n_tokens", "length"), "lengths")
     return pack(rows, n_buckets, budget)
 
 

@@ -182,6 +182,75 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(spark.createDataFrame(new, DOCS), none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_byte_holds(spark):
+    rnd = random.Random(7)
+    pools = {f"l{j:03d}": ["".join(rnd.choices("abcdefghijklmnop", k=9)) for _ in range(12)] for j in range(300)}
+    text = lambda g, n: " ".join(rnd.choice(pools[g]) for _ in range(n))
+    data = [(10 * j + i, text(g, 25), g) for j, g in enumerate(pools) for i in range(2)]
+    model = language.train(spark.createDataFrame(data, DOCS + ", lang string"))
+    new = [(j, text(g, 12)) for j, g in enumerate(pools)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(new, DOCS), model).collect()}
+    assert got == {j: g for j, g in enumerate(pools)}
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    """One text in 400 is in a language that a uniform sample of 100 would miss."""
+    monkeypatch.setattr(language, "LEAST_DOCS", 20)
+    rnd = random.Random(8)
+    vocab = {"aa": [f"{x}ung" for x in "bdfgklmn"], "bb": [f"{x}tion" for x in "bdfgklmn"], "zz": [f"{x}ovik" for x in "bdfgklmn"]}
+    text = lambda g, n: " ".join(rnd.choice(vocab[g]) for _ in range(n))
+    data = [(i, text(g, 20), g) for i, g in enumerate(["aa"] * 2000 + ["bb"] * 2000 + ["zz"] * 10)]
+    model = language.train(spark.createDataFrame(data, DOCS + ", lang string"), train_docs=100)
+    assert model.langs == ["aa", "bb", "zz"]
+    new = [(i, text(g, 8)) for i, g in enumerate(vocab)]
+    got = language.identify(spark.createDataFrame(new, DOCS), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == dict(enumerate(vocab))
+
+
+def test_word_scores_against_plain_loops():
+    """A word's score is the sum of its trigrams' and its own log-likelihoods,
+    counted and summed one by one."""
+    import pyarrow as pa
+    texts = ["abba cab", "cab abba abba", "dada bad"]
+    langs = ["x", "x", "y"]
+    counts = {g: {} for g in "xy"}
+    feats = []
+    for t in texts + ["abba dada zap"]:
+        [sl] = list(language.text_slices(pa.RecordBatch.from_pydict({"text": [t]})))
+        w = language.Words(sl)
+        own = [[int(w.gram[i]) for i in range(a, b)] + [int(h)] for a, b, h in zip(w.starts, w.ends, w.whole)]
+        feats.append(own)
+    for g, own in zip(langs, feats):
+        for word in own:
+            for f in word:
+                counts[g][f] = counts[g].get(f, 0) + 1
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "text": texts})
+    got = {}
+    for b in language._counts([batch]):
+        for g, f, n in zip(*(c.to_pylist() for c in b.columns)):
+            if f < language.FEATURES:
+                got.setdefault(g, {})[f] = n
+    assert got == counts
+    logp = {}
+    for g in "xy":
+        for part in (range(language.BUCKETS), range(language.BUCKETS, language.FEATURES)):
+            total = sum(counts[g].get(f, 0) + language.ALPHA for f in part)
+            for f in part:
+                logp[g, f] = np.log((counts[g].get(f, 0) + language.ALPHA) / total)
+    seen = set(counts["x"]) | set(counts["y"])
+    weights = np.zeros((language.FEATURES + 1, 2), np.float32)
+    for f in seen:
+        mean = (logp["x", f] + logp["y", f]) / 2
+        weights[f] = [logp["x", f] - mean, logp["y", f] - mean]
+    writes = np.zeros((language.SCRIPTS, 2), bool)
+    writes[1] = True
+    [sl] = list(language.text_slices(pa.RecordBatch.from_pydict({"text": ["abba dada zap"]})))
+    e = language.word_scores(language.Words(sl), language.Model(["x", "y"], weights, writes))
+    for row, word in zip(e, feats[3]):
+        s = np.array([sum(weights[f, j] for f in word) for j in (0, 1)])
+        assert row == pytest.approx(np.maximum(s - s.max(), -language.CUT), abs=1e-4)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     counts = np.array([0, 5, 1, 7])
@@ -247,8 +316,10 @@ def test_bounds_are_optimal():
 def test_packing(spark, corpus):
     data = corpus * 3
     got = packing.pack_documents(with_others(spark, data), n_buckets=4, budget=400).collect()
+    from tokenizers import Tokenizer
+    count = Tokenizer.from_file(token_count.vocabulary("word_bpe_49k.json"))
     assert sorted((r["doc_id"] or -1, r["length"]) for r in got) == sorted(
-        (i or -1, len((t or "").encode().split())) for i, t in data)
+        (i or -1, len(count.encode(t or "", add_special_tokens=False).ids)) for i, t in data)
     batches = {}
     for r in got:
         assert r["length"] <= r["pad_to"]
@@ -262,6 +333,22 @@ def test_packing(spark, corpus):
     assert many.groupBy("bucket", "batch", "slot").count().filter("count > 1").count() == 0
 
 
+def test_packing_a_row_that_a_third_repeats(spark, monkeypatch):
+    """100,000 equal rows without an id: one row until places are known, then
+    listed in parts; places are whole, and the batches keep to the budget."""
+    hot = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("length"))
+    rest = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 + 1).alias("length"))
+    rows_ = hot.unionByName(rest)
+    out = packing.pack(rows_, 4, 1000).cache()
+    assert out.count() == 300_000 and out.filter("doc_id IS NULL").count() == 100_000
+    assert out.groupBy("bucket", "batch", "slot").count().filter("count > 1").count() == 0
+    used = out.groupBy("bucket", "batch").agg(F.sum("pad_to").alias("t"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("s"))
+    assert used.filter("t > 1000 OR s <> n - 1").count() == 0
+    want = sorted(map(tuple, packing.pack(rows_.limit(5000), 4, 1000).collect()), key=repr)
+    monkeypatch.setattr(packing, "COPIES", 100)
+    assert sorted(map(tuple, packing.pack(rows_.limit(5000), 4, 1000).collect()), key=repr) == want
+
+
 def padding(lengths, counts, k):
     """The least padding of k buckets, by trying every cut."""
     t, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
@@ -285,6 +372,37 @@ def test_one_huge_text_moves_no_other_bound(spark):
         assert int((counts * (ends[np.searchsorted(ends, lengths)] - lengths)).sum()) == padding(lengths, counts, k)
 
 
+@pytest.mark.parametrize("size", [1e-25, 1.0, 1e25])
+def test_nearest_at_any_magnitude(spark, size):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(1500, 32)) * size).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, lambda i: i % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y = x.astype(float) / size
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 30
+
+
+def test_nearest_of_doubles(spark):
+    """Components beyond single precision, and lengths 10^200 apart."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8)) * np.where(np.arange(400) % 2, 1e-150, 1e90)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, lambda i: i % 50 == 1, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(1, 400, 50):
+        s = (x / 1e90) @ (x[q] * 1e150)
+        s[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.argsort(-s)[:5].tolist()
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 24)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
