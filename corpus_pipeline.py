@@ -4,8 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a frame that is written
 as Parquet and read again as the next stage's ``docs``; all but the last
 return the columns of ``docs``.
 
-1. language: texts without a recognisable language go (no letter, or no
-   language with at least ``MIN_SCORE`` of the text).
+1. language: texts without a recognisable language (``und``: no letter) go.
 2. lines: lines that three or more documents hold stay in one of them;
    ``n_chars`` follows the text.
 3. near_duplicates: one document of each group of similarity 0.8 or more stays.
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from preflight.llm import decontaminate, language, line_dedup, minhash, packing
 from preflight.session import materialize
 
-MIN_SCORE = 0.2
 SIMILARITY_PERCENT = 80
 
 
@@ -37,7 +35,7 @@ def language_stage(spark, docs, sf_dir):
     model = language.train(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
     plain, back = _aside(docs, "lang_pred", "score")
     found = language.identify(plain, model, text=True)
-    return back(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score"))
+    return back(found.filter(F.col("lang_pred") != "und").drop("lang_pred", "score"))
 
 
 def line_stage(spark, docs, sf_dir):
