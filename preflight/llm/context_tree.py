@@ -34,8 +34,6 @@ no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,11 +46,11 @@ from preflight.session import materialize
 
 DEPTH, MIDDLE = 5, 3
 #: Strings, and words, whose values are sent to every task (16 bytes each).
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Strings of a group of the model, as expected.
 GROUP = 1 << 17
 #: Keys that a task holds before it sends what it has counted.
-HELD = 1_500_000
+HELD = 800_000
 
 MARK = 0xFF
 HALF = np.log(0.5)
@@ -325,21 +323,10 @@ class Table:
         return out, has
 
 
-_TABLES: dict = {}
-
-
-def _tables(shared) -> tuple[Table, Table]:
-    """A worker's tables of a broadcast, made once."""
-    if shared.value[0] not in _TABLES:
-        _TABLES.clear()
-        _TABLES[shared.value[0]] = tuple(Table(*x) for x in shared.value[1:3])
-    return _TABLES[shared.value[0]]
-
-
 def _score(shared):
     def run(batches):
-        by_string, by_word = _tables(shared)
-        unknown = shared.value[3]
+        top_strings, top_words, unknown = shared.value
+        by_string, by_word = Table(*top_strings), Table(*top_words)
         for b in batches:
             for t in text_slices(b):
                 n = len(t)
@@ -390,7 +377,7 @@ def score(df: DataFrame, train: Column, limit: int | None = None) -> DataFrame:
     least = [least_of_frequent(x, limit) for x in (by_string, by_word)]
     top = [x.filter(F.col("n") >= m).select("key", "val").toArrow() for x, m in zip((by_string, by_word), least)]
     unknown = base(0) + 1e-9        # the value of any known word is larger
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *((x["key"].to_numpy(), x["val"].to_numpy()) for x in top), unknown))
+    shared = spark.sparkContext.broadcast((*((x["key"].to_numpy(), x["val"].to_numpy()) for x in top), unknown))
     kind = df.schema["doc_id"].dataType.simpleString()
     slim = df.select(F.monotonically_increasing_id().alias("row"), "doc_id",
                      F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
