@@ -277,6 +277,22 @@ def _upper_review() -> str:
             + ") THEN lower(target) ELSE target END AS target) FROM (" + "\nUNION ALL\n".join(parts) + ")")
 
 
+def _sample_rows() -> str:
+    def row(cols):
+        return " || ',' || ".join(f"'\"{c}\":' || {c}" for c in cols)
+    parts = []
+    for o, (c, cols) in S.NULL_SAMPLES.items():
+        lst = ", ".join(cols)
+        parts.append(f"SELECT {o} AS o, row_number() OVER (ORDER BY {lst}) - 1 AS no, '{{' || {row(cols)} || '}}' AS r "
+                     f"FROM (SELECT {lst} FROM li WHERE {c} IS NULL ORDER BY {lst} LIMIT 5)")
+    for o, (c, _) in S.KEY_SAMPLES.items():
+        key = f"CASE WHEN {c} IS NULL THEN '' ELSE '\"{c}\":\"' || {c} || '\",' END" if c == "l_returnflag" else f"'\"{c}\":' || {c} || ','"
+        parts.append(f"SELECT {o}, row_number() OVER (ORDER BY n DESC, {c} NULLS FIRST) - 1, '{{' || {key} || '\"occurrences\":' || n || '}}' "
+                     f"FROM (SELECT {c}, COUNT(*) AS n FROM li GROUP BY {c} HAVING COUNT(*) > 1 ORDER BY n DESC, {c} NULLS FIRST LIMIT 5)")
+    return (_LI_NULLS + 'SELECT CAST(o AS INTEGER) AS ordinal, CAST(no AS INTEGER) AS row_no, r AS "row" FROM ('
+            + "\nUNION ALL\n".join(parts) + ")")
+
+
 def oracle_sql() -> dict[str, str]:
     return {**_table_sql(), **_llm()[1]}
 
@@ -358,4 +374,8 @@ def _table_sql() -> dict[str, str]:
         "mixed_fk_match_rate": _mixed_fk(),
         "unexpected_value_rows": _value_rows(),
         "upper_case_review": _upper_review(),
+        "review_samples": (
+            "SELECT 'orders' AS model, 'null_rate' AS \"check\", '{\"O_ORDERKEY\":' || o_orderkey || '}' AS \"row\" "
+            "FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 5)"),
+        "sample_rows": _sample_rows(),
     }

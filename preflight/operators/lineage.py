@@ -21,7 +21,7 @@ from preflight.config import BLAST_MAX_DEPTH
 from preflight.session import discard, ensure_checkpoint_dir, materialize, size_setting
 
 MODEL_PREFIX = "model."
-EDGES_PER_PARTITION = 500_000
+EDGES_PER_PARTITION = 250_000
 # Of a row in a broadcast, beside its id: the hash map's entry.
 ROW_BYTES = 64
 
@@ -65,7 +65,7 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
 
     Each round's new nodes are written under ``spark.checkpoint.dir`` and read
     back (lineage cut, computed once; rows and bytes are observed during the
-    write).  The result is written once; the rounds' files are deleted."""
+    write); the rounds are the result.  The edges' files are deleted."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     rounds = max(int(max_depth), 1)
@@ -78,15 +78,21 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
         e = e.filter(F.col("dst").startswith(node_prefix))
     written, total = materialize(e, "bfs-edges", count=True)
     n = partitions or max(1, -(-total // EDGES_PER_PARTITION))
-    hot, n_hot = materialize(_hot_sources(written, total, n), "bfs-hot", count=True)
+    hot, n_hot = written.select("src", F.lit(1).alias("salts")).limit(0), 0
+    if n > 1:                    # of one partition no source exceeds the load
+        hot, n_hot = materialize(_hot_sources(written, total, n), "bfs-hot", count=True)
     salts = F.coalesce(F.col("salts"), F.lit(1))
     salted = written.join(F.broadcast(hot), "src", "left") if n_hot else written.withColumn("salts", F.lit(1))
     e = (salted.withColumn("salt", F.pmod(F.xxhash64("dst"), salts).cast("int")).drop("salts")
          .repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK))
-    scratch = [written, hot]
+    scratch = [written, *[hot] * (n > 1)]
     try:
-        seed, size, width = materialize(_seed_frame(spark, seeds).dropDuplicates(["id"])
-                                        .withColumn("depth", F.lit(0)), "bfs-seed", size=row)
+        seed = _seed_frame(spark, seeds).dropDuplicates(["id"]).withColumn("depth", F.lit(0))
+        if isinstance(seeds, DataFrame):
+            seed, _, width = materialize(seed, "bfs-seed", size=row)
+            scratch.append(seed)
+        else:
+            width = sum(len(str(x).encode()) + ROW_BYTES for x in seeds)
         levels, seen = [seed], width
         for d in range(1, rounds + 1):
             f = levels[-1].select(F.col("id").alias("src"))
@@ -109,14 +115,13 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
                 break
             seen += width
             levels.append(nxt)
-        out = levels[0]
+        out = levels[0].limit(0)
         for lv in levels[1:]:
-            out = out.unionByName(lv)
-        out = materialize(out.filter(F.col("depth") >= 1).select(
-            F.col("id").alias("unique_id"), F.col("depth").cast("long").alias("depth")), "bfs")
+            out = out.unionByName(lv) if lv is not levels[1] else lv
+        out = out.select(F.col("id").alias("unique_id"), F.col("depth").cast("long").alias("depth"))
     finally:
         e.unpersist()
-    discard([*scratch, *levels])
+    discard(scratch)
     return out
 
 

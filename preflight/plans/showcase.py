@@ -351,6 +351,20 @@ def review_samples(spark, sf_dir):
     return _upper_review(spark, sf_dir).samples.select("model", "check", "row")
 
 
+#: Checks of lineitem whose samples are taken together: NULLs, then repeated keys.
+NULL_SAMPLES = {0: ("l_returnflag", ["l_orderkey", "l_linenumber"]),
+                1: ("l_linestatus", ["l_partkey", "l_suppkey", "l_orderkey"]),
+                2: ("l_returnflag", ["l_suppkey", "l_orderkey", "l_linenumber"])}
+KEY_SAMPLES = {3: ("l_orderkey", []), 4: ("l_partkey", []), 5: ("l_suppkey", []), 6: ("l_returnflag", [])}
+
+
+def sample_rows(spark, sf_dir):
+    """The samples of many checks of one table: one scan for all NULL samples,
+    one scan and one shuffle for all repeated keys."""
+    li = lineitem_with_nulls(spark, sf_dir)
+    return C.null_samples(li, NULL_SAMPLES).unionByName(C.pk_samples(li, KEY_SAMPLES))
+
+
 def _upper_review(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("o_clerk", F.expr("nullif(o_orderstatus, 'P')"))
     li = table(spark, sf_dir, "lineitem")
@@ -393,5 +407,6 @@ QUERIES = {
     "unexpected_value_rows": unexpected_value_rows,
     "upper_case_review": upper_case_review,
     "review_samples": review_samples,
+    "sample_rows": sample_rows,
     "verdict_merge": verdict_merge,
 }
