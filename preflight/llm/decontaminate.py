@@ -18,7 +18,10 @@ found in a third of all documents is spread over the tasks.
 Cases: null or wordless texts and items have no words, no windows and no
 hits; repeated documents each get their row; items of equal words are
 joined once and listed all; a null item_id hits words but is not listed;
-a null doc_id is a document of its own text.  Other columns are ignored.
+a null doc_id is a document of its own text; texts of any length are read
+whole; without documents the result is empty, without items nothing is hit.
+Other columns are ignored (``clean`` passes them through; names that begin with
+``__`` are reserved).
 """
 
 from __future__ import annotations

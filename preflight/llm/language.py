@@ -22,7 +22,8 @@ share of those bytes times the softmax of the summed scores of its words.
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if there is no labelled one.  Ties go to the first language in
 order.  A null doc_id is never learned from and not held out.  Repeated
-rows get equal rows; a text of any length is labelled whole.
+rows get equal rows; a text of any length is labelled whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ doc_id that holds them (there all of them stay).
 Cases: a null or empty text is one empty line (as an operator result an
 empty text); rows of one doc_id are one document; a null doc_id holds
 nothing, but loses the lines that others share often enough (such rows are
-told apart by a hash of their text); other columns pass through.
+told apart by a hash of their text); repeated rows are judged alike; a text of
+any length is split whole; an empty table gives an empty result; other columns
+pass through (names that begin with ``__`` are reserved).
 """
 
 from __future__ import annotations

@@ -28,7 +28,10 @@ Cases: a text of one to four words has one shingle, the whole sequence; a
 null or wordless text has none and is linked with nothing (it is its own
 component); rows of one doc_id are one document of several texts; a null
 doc_id takes the smallest id of its component and is never kept; a
-component of null ids only has a null id.  Other columns are ignored.
+component of null ids only has a null id; texts are read whole, however
+long; an empty table gives an empty result.  Other columns are ignored
+(``deduplicated`` passes them through; names that begin with ``__`` are
+reserved).
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ recall; for clustered ones more blocks do.
 
 Cases: vectors that are null, empty, zero, hold null or non-finite components or
 are not of the most common length take no part, nor do null ids; repeated
-rows (same id and vector) are one; other columns are ignored.
+rows (same id and vector) are one; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

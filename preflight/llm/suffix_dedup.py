@@ -33,7 +33,8 @@ doc_id, nulls first, then text hash and place).
 Cases: null and empty texts have no bytes; texts under 400 bytes lose
 nothing; equal rows are copies of each other; rows of one doc_id are texts
 of their own; a cut may leave half a character, so the remaining bytes are
-handed out as binary.  Other columns are ignored.
+handed out as binary.  A text of any length is one text; an empty table
+gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ count one token each wherever they stand in a text.  Counts of words seen
 before are remembered per Python worker, up to a fixed number of entries.
 
 Cases: null and empty texts have no bytes and no tokens; repeated rows get
-equal rows; a word of any length is merged whole.  Other columns are
-ignored.
+equal rows; a word of any length is merged whole; an empty table gives an
+empty result.  Other columns are ignored (``count_tokens`` passes them through).
 """
 
 from __future__ import annotations

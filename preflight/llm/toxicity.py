@@ -19,8 +19,8 @@ driver fits is the sample's rows in the kept buckets.
 
 Cases: null and wordless texts have severity and score of no words; without
 labels of both kinds all severities are 0; ids with several labels count
-as toxic if one says so; repeated rows get equal rows.  Other columns are
-ignored.
+as toxic if one says so; repeated rows get equal rows; texts are read whole;
+an empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ Host and path: the host follows the first ``://`` up to ``/``, ``?``, ``#`` or t
 end, A-Z lowered; the path goes on to ``?``, ``#`` or the end.
 
 Cases: a null URL or one without ``://`` has an empty host and path and fits
-no rule; a null URL has no terms; repeated rows get equal rows; other
-columns are ignored.
+no rule; a null URL has no terms; repeated rows get equal rows; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
