@@ -10,7 +10,14 @@ return the columns of ``docs``.
 3. near_duplicates: one document of each group of similarity 0.8 or more stays.
 4. decontamination: documents that share ten consecutive words with a
    benchmark item go.
-5. packing: every document gets its length bucket, batch and slot.
+5. packing: every document gets its length bucket, batch and slot (lengths and
+   the budget are tokens).
+
+Cases: nulls in any column, empty and very long texts, repeated rows, rows
+without an id and empty tables are handled by each stage as its operator
+states; a null or empty text has no language and goes in the first stage.
+Other columns pass through, also if they are named as a stage names its own;
+names that begin with ``__`` are reserved.
 """
 
 from __future__ import annotations
