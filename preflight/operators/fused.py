@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from preflight.config import Thresholds
+from preflight.config import MAX_GROUPING_SETS, Thresholds
 from preflight.functions.text import int_text, pct_text, rounded_pct
 from preflight.functions.columns import outside
-from preflight.operators.checks import qcol
+from preflight.operators.checks import fk_match_rates, qcol
 from preflight.operators.grade import FAIL, NO_ROWS, PASS, WARN
 
 GROUPED = ("pk_duplicates", "value_distribution", "unexpected_values")
@@ -250,6 +250,23 @@ class TableReads:
         return next(p for p in self.parts if tuple(keys) in p.keep).rows(keys)
 
 
+def shared_fk_match_rates(frames: dict, fks, limit: int = MAX_GROUPING_SETS, threads: int = 8) -> DataFrame:
+    """``fk, parent_model, join_keys, child_rows, matched_rows, match_pct`` of
+    foreign keys ``(child, parent, keys, parent keys)`` between named frames.
+    Each frame is read once, for all keys it has on either side; the groups
+    are compared together (``checks.fk_match_rates``)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    keep: dict = {}
+    for child, parent, keys, pkeys in fks:
+        keep.setdefault(child, []).append(tuple(keys))
+        keep.setdefault(parent, []).append(tuple(pkeys))
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        groups = dict(pool.map(lambda name: (name, TableGroups(frames[name], frames[name].schema, [], keep[name], limit).run()), keep))
+    return fk_match_rates([(i, parent, keys, groups[child].rows(keys), pkeys, groups[parent].rows(pkeys))
+                           for i, (child, parent, keys, pkeys) in enumerate(fks)])
+
+
 def write_groups(frame: DataFrame, columns: list[str], gids: list[int], exprs) -> tuple[dict, str]:
     """Write the groups of some sets, a folder each; what ``exprs`` observe of
     all groups, and the path."""

@@ -183,3 +183,19 @@ def test_keys_by_bitmap(spark):
     assert dense_keys(df, "far") is None and dense_keys(df, "s") is None and dense_keys(df, "none") is None
     assert [tuple(r) for r in pk_duplicates(df, "none").collect()] == [("none", 200_000, 200_000)]
     assert [tuple(r) for r in pk_duplicates(df.limit(0), "k").collect()] == [("k", 0, 0)]
+
+
+def test_foreign_keys_over_shared_groups(spark):
+    """NULL keys, fan-out, empty sides, keys of two columns and of different
+    types, all at once, as each on its own."""
+    from preflight.operators.checks import fk_match_rate
+    from preflight.operators.fused import shared_fk_match_rates
+    a = spark.createDataFrame([(1, 1, "1"), (1, 2, "x"), (None, 2, None), (3, None, "03"), (4, 4, "4")], "i int, j int, s string")
+    b = spark.createDataFrame([(1, 1), (1, 2), (3, 3), (None, 2), (4, 4), (4, 4)], "i int, j int")
+    frames = {"a": a, "b": b, "none": b.limit(0)}
+    fks = [("a", "b", ["i"], ["i"]), ("a", "b", ["j"], ["j"]), ("a", "b", ["i", "j"], ["i", "j"]), ("a", "b", ["s"], ["i"]),
+           ("b", "a", ["i"], ["i"]), ("none", "a", ["i"], ["i"]), ("a", "none", ["i"], ["i"]), ("b", "b", ["i"], ["j"])]
+    got = {r["fk"]: tuple(r)[1:] for r in shared_fk_match_rates(frames, fks).collect()}
+    for n, (c, p, k, pk) in enumerate(fks):
+        one = fk_match_rate(frames[c], frames[p], k, p, parent_keys=pk).first()
+        assert got[n][:3] == tuple(one)[:3] and got[n][4] == one["match_pct"] and (got[n][3] or 0) == (one["matched_rows"] or 0)
