@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from preflight.llm import decontaminate, language, line_dedup, minhash, packing
-from preflight.session import materialize
+from preflight.session import delete_scratch, materialize, scratch_files
 
 SIMILARITY_PERCENT = 80
 
@@ -80,8 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """``documents`` through every stage."""
+    """``documents`` through every stage.  Once a stage is written, what it
+    read of the stage before and its own intermediate files are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = set(scratch_files(spark))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        *done, _ = [p for p in scratch_files(spark) if p not in before]       # the last one is ``docs``
+        delete_scratch(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)

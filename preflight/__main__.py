@@ -155,6 +155,7 @@ def main(argv=None) -> int:
     if a.out:
         sinks.write_report(rv.results, os.path.join(a.out, "compare"))
         sinks.write_review(rv, os.path.join(a.out, "review"))
+    rv.release()
     print(json.dumps({"summary": rv.summary, "models_reviewed": rv.models_reviewed,
                       "blast_radius": rv.blast_radius, "duration_seconds": rv.duration_seconds,
                       "results": rows}))

@@ -246,6 +246,12 @@ class TableReads:
     def has(self, keys) -> bool:
         return any(tuple(keys) in p.keep for p in self.parts)
 
+    def release(self) -> None:
+        """Delete the written groups; ``rows`` cannot be read after that."""
+        from preflight.session import delete_scratch
+        for p in self.parts:
+            delete_scratch(p.df.sparkSession, {path for path, _, _ in p._written.values()})
+
     def rows(self, keys) -> DataFrame:
         return next(p for p in self.parts if tuple(keys) in p.keep).rows(keys)
 
@@ -274,9 +280,9 @@ def write_groups(frame: DataFrame, columns: list[str], gids: list[int], exprs) -
 
     from pyspark.sql import Observation
 
-    from preflight.session import ensure_checkpoint_dir
+    from preflight.session import scratch_path
 
-    path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/preflight-groups-{uuid.uuid4().hex}"
+    path = scratch_path(frame.sparkSession, "groups")
     obs = Observation(f"groups-{uuid.uuid4().hex[:8]}")
     seen = frame.observe(obs, *exprs) if exprs else frame
     (seen.filter(F.col("gid").isin(gids))

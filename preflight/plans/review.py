@@ -382,6 +382,11 @@ class Review:
     checks: list = field(default_factory=list)
     values: DataFrame | None = None   # every value of the columns with accepted values
 
+    def release(self) -> None:
+        """Delete the tables' groups, once ``values`` is stored or not needed."""
+        for reads in {id(g): g for b in self.checks for g in (b.groups, b.parent and b.parent[1]) if g}.values():
+            reads.release()
+
     def unexpected_values(self) -> DataFrame:
         """The unexpected ones of ``values``."""
         return self.values.filter("unexpected").drop("unexpected")

@@ -55,6 +55,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_path(spark, label: str) -> str:
+    """A new folder name under the checkpoint folder, remembered until it is
+    deleted."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/preflight-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def scratch_files(spark) -> list[str]:
+    """The session's folders that have not been deleted, oldest first."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, ()))
+
+
+def delete_scratch(spark, paths) -> None:
+    """Delete folders of ``scratch_files`` that nothing reads any more."""
+    known = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if p in known:
+            known.remove(p)
+
+
 def materialize(df, label: str = "stage", count: bool = False, size=None):
     """Cut lineage by writing ``df`` as parquet under the checkpoint folder
     and reading it back: computed once (a reliable ``checkpoint()`` of an
@@ -70,8 +98,7 @@ def materialize(df, label: str = "stage", count: bool = False, size=None):
     from pyspark.sql import functions as F
 
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/preflight-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     schema = df.schema
     if count or size is not None:
         obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
@@ -86,10 +113,7 @@ def materialize(df, label: str = "stage", count: bool = False, size=None):
 def discard(frames) -> None:
     """Delete the files of materialized frames that are no longer read."""
     for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/preflight-" in f}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_scratch(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/preflight-" in f})
 
 
 def size_setting(spark, key: str, default: int) -> int:

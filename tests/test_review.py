@@ -237,6 +237,15 @@ def test_all_values_are_kept(done):
         ("kind", "dusk"), ("kind", "dawn"), ("minutes", "30")}
 
 
+def test_released_groups_are_deleted(spark, catalog, wheel_tables):
+    from preflight.session import scratch_files
+    before = set(scratch_files(spark))
+    rv = review(spark, catalog, TableResolver(spark, tables=wheel_tables, use_session_catalog=False), models=["rides"])
+    assert rv.values.count() == 9 and any("preflight-groups-" in p for p in set(scratch_files(spark)) - before)
+    rv.release()
+    assert not any("preflight-groups-" in p for p in set(scratch_files(spark)) - before)
+
+
 def test_unknown_check_kind_passes(spark, wheel_tables):
     from preflight.plans.checks import CheckSpec
     from preflight.plans.review import build_checks, run_checks
