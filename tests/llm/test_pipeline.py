@@ -67,7 +67,11 @@ def test_decontamination(spark, stages):
 
 
 def test_run(spark, stages):
+    from preflight.session import scratch_files
+    before = set(scratch_files(spark))
     got = P.run(spark, SF)
+    left = [p.rsplit("/preflight-", 1)[1].rsplit("-", 1)[0] for p in scratch_files(spark) if p not in before]
+    assert left == ["decontamination", "lengths"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[5].collect()))
     assert got.count() == stages[4].count()
 
