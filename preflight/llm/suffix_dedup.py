@@ -16,11 +16,11 @@ side of the core, cut at the text's ends.
 2. Where one core has different contexts, one context of each class is
    sent, by core.  A task joins the contexts of many cores (in order of
    their first place in the corpus), builds the suffix array to the depth of
-   a string without its core by prefix doubling, and looks in suffix order,
-   among the neighbours of equal strings, for the previous and next smaller
-   position: if there is one, the longest previous factor reaches 400 (LPF
-   arrays are kept only as this test).  The mirrored test finds later
-   copies.  Repeated strings come back as ranges.
+   a string without its core by prefix doubling, and the LPF array: for every
+   suffix the previous and next smaller position in suffix order and the
+   common prefix with these, as far as it reaches 400 bytes (shorter ones
+   count as none).  Where LPF is 400 there is an earlier copy; the LPF array of
+   mirrored positions finds later ones.  Repeated strings come back as ranges.
 3. A core with over ``max_contexts`` contexts is no task's work: its strings
    are cut into pieces of 8 starts, pieces are counted by hash as in 1, and
    only the starts of pieces that share their own core are counted one by one.
@@ -186,25 +186,61 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def previous_and_next(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes at ``place`` in the corpus (``rank`` by at least the
-    wanted length): which have an earlier, and which a later one of equal
-    rank.  The run of equal ranks in suffix order is taken by place: there
-    is a previous or next smaller value for a suffix unless its place is the
-    run's least, and a larger one unless it is the run's largest.  A place
-    may come up more than once (contexts overlap); it is no match of itself."""
+def _nearest_smaller(place: np.ndarray, lcp: np.ndarray, todo: np.ndarray, floor: int) -> np.ndarray:
+    """Suffixes in suffix order: of those in ``todo``, the common prefix with
+    the nearest one before that starts at a smaller place; 0 if there is none
+    or it is under ``floor``.
+
+    Pointers jump: between a suffix and its pointer no place is smaller, so a
+    pointer that does not fit is replaced by its own pointer, and the least
+    common prefix on the way is carried along."""
+    to, least = np.arange(-1, len(place) - 1), lcp.copy()
+    out = np.zeros(len(place), lcp.dtype)
+    while len(todo):
+        todo = todo[(to[todo] >= 0) & (least[todo] >= floor)]
+        at = to[todo]
+        hit = place[at] < place[todo]
+        out[todo[hit]] = least[todo[hit]]
+        todo, at = todo[~hit], at[~hit]
+        least[todo] = np.minimum(least[todo], least[at])
+        to[todo] = to[at]
+    return out
+
+
+def lpf(place: np.ndarray, lcp: np.ndarray, floor: int = 1, cap: int | None = None) -> np.ndarray:
+    """Longest previous factor of every suffix, in suffix order: the longest
+    prefix that also starts at a smaller place.  ``lcp``: common prefix with
+    the suffix before (the first: 0), known up to ``cap``.  It is found at the
+    nearest smaller place before or after in suffix order; where the one
+    before reaches ``cap`` the other is not looked for.  Values under ``floor``
+    are 0."""
+    n = len(place)
+    before = _nearest_smaller(place, lcp, np.arange(n), floor)
+    todo = np.arange(n) if cap is None else np.flatnonzero(before < cap)
+    after = _nearest_smaller(place[::-1], _turned(lcp), n - 1 - todo, floor)[::-1]
+    return np.maximum(before, after)
+
+
+def _turned(lcp: np.ndarray) -> np.ndarray:
+    """The same common prefixes for the suffixes in reverse order."""
+    return np.concatenate([lcp[:1] * 0, lcp[:0:-1]])
+
+
+def earlier_and_later(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes at ``place`` in the corpus, ranked by ``depth`` bytes:
+    which have a longest previous factor of ``depth``, and which a longest
+    following one.  A place may come up more than once (contexts overlap); it
+    is no match of itself."""
     n = len(rank)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
-    order = np.lexsort((place, rank))
+    order = np.argsort(rank, kind="stable")
     s, p = rank[order], place[order]
-    begin = np.ones(n, bool)
-    begin[1:] = s[1:] != s[:-1]
-    run = np.cumsum(begin) - 1
-    first = np.flatnonzero(begin)
-    last = np.r_[first[1:], n] - 1
+    lcp = np.zeros(n, np.int32)
+    lcp[1:] = np.where(s[1:] == s[:-1], depth, 0)         # under depth: not told apart from 0
     earlier, later = np.empty(n, bool), np.empty(n, bool)
-    earlier[order], later[order] = p > p[first][run], p < p[last][run]
+    earlier[order] = lpf(p, lcp, depth, depth) >= depth
+    later[order] = lpf(-p[::-1], _turned(lcp), depth, depth)[::-1] >= depth
     return earlier, later
 
 
@@ -265,7 +301,7 @@ def _factors(reach: int):
         o = left[owner] - inner                       # falls from far to near
         rank = suffix_ranks(whole, reach)[starts[owner] + inner]
         rank = (rank << _U(32)) | (group[owner] * _U(reach + 1) + o.astype(np.uint64))
-        earlier, later = previous_and_next(rank, np.array(place, np.int64)[owner] + inner)
+        earlier, later = earlier_and_later(rank, np.array(place, np.int64)[owner] + inner, reach)
         return _ranges_batch(core, ctx, [("any", _ranges(earlier | later, owner, o)),
                                          ("earlier", _ranges(earlier, owner, o))])
 

@@ -63,6 +63,25 @@ def test_suffix_dedup(spark, corpus):
         assert len(r["kept"]) + r["n_removed"] == r["n_bytes"] and sum(y - x for x, y in r["spans"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("floor", [1, 4])
+def test_longest_previous_factors(floor):
+    """The LPF array against trying every earlier start, also of suffixes whose
+    places are not in order or come up twice."""
+    rnd = random.Random(floor)
+    for n in (1, 2, 30, 200):
+        for letters in ("a", "ab", "abcd"):
+            text = "".join(rnd.choice(letters) for _ in range(n))
+            place = rnd.sample(range(3 * n), n) if n < 30 else [rnd.randrange(2 * n) for _ in range(n)]
+            order = sorted(range(n), key=lambda i: text[i:])
+            common = lambda i, j: next((k for k in range(n) if i + k >= n or j + k >= n or text[i + k] != text[j + k]), n)
+            lcp = np.array([0] + [common(a, b) for a, b in zip(order, order[1:])])
+            want = [max([common(i, j) for j in range(n) if place[j] < place[i]], default=0) for i in order]
+            got = suffix_dedup.lpf(np.array(place)[order], lcp, floor)
+            assert got.tolist() == [x if x >= floor else 0 for x in want]
+            top = suffix_dedup.lpf(np.array(place)[order], np.minimum(lcp, 5), 5, 5)
+            assert (top >= 5).tolist() == [x >= 5 for x in want]
+
+
 def test_suffix_dedup_keeps_the_first(spark):
     rnd = random.Random(8)
     shared = words(rnd, 100)
