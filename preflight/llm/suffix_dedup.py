@@ -55,7 +55,7 @@ from preflight.session import materialize
 LENGTH, CORE = 400, 256
 MAX_CONTEXTS = 4096
 PIECE = 8
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 FILTER_BITS = 26        # 8 MB
 _U = np.uint64
 
@@ -207,16 +207,18 @@ def _nearest_smaller(place: np.ndarray, lcp: np.ndarray, todo: np.ndarray, floor
     return out
 
 
-def lpf(place: np.ndarray, lcp: np.ndarray, floor: int = 1, cap: int | None = None) -> np.ndarray:
+def lpf(place: np.ndarray, lcp: np.ndarray, floor: int = 1, cap: int | None = None,
+        todo: np.ndarray | None = None) -> np.ndarray:
     """Longest previous factor of every suffix, in suffix order: the longest
     prefix that also starts at a smaller place.  ``lcp``: common prefix with
     the suffix before (the first: 0), known up to ``cap``.  It is found at the
     nearest smaller place before or after in suffix order; where the one
     before reaches ``cap`` the other is not looked for.  Values under ``floor``
-    are 0."""
+    are 0, as are those of suffixes that are not in ``todo`` (all)."""
     n = len(place)
-    before = _nearest_smaller(place, lcp, np.arange(n), floor)
-    todo = np.arange(n) if cap is None else np.flatnonzero(before < cap)
+    todo = np.arange(n) if todo is None else todo
+    before = _nearest_smaller(place, lcp, todo, floor)
+    todo = todo if cap is None else todo[before[todo] < cap]
     after = _nearest_smaller(place[::-1], _turned(lcp), n - 1 - todo, floor)[::-1]
     return np.maximum(before, after)
 
@@ -228,9 +230,9 @@ def _turned(lcp: np.ndarray) -> np.ndarray:
 
 def earlier_and_later(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes at ``place`` in the corpus, ranked by ``depth`` bytes:
-    which have a longest previous factor of ``depth``, and which a longest
-    following one.  A place may come up more than once (contexts overlap); it
-    is no match of itself."""
+    which have a longest previous factor of ``depth``, and which of the others
+    a longest following one.  A place may come up more than once (contexts
+    overlap); it is no match of itself."""
     n = len(rank)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
@@ -240,7 +242,8 @@ def earlier_and_later(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[
     lcp[1:] = np.where(s[1:] == s[:-1], depth, 0)         # under depth: not told apart from 0
     earlier, later = np.empty(n, bool), np.empty(n, bool)
     earlier[order] = lpf(p, lcp, depth, depth) >= depth
-    later[order] = lpf(-p[::-1], _turned(lcp), depth, depth)[::-1] >= depth
+    first = n - 1 - np.flatnonzero(~earlier[order])
+    later[order] = lpf(-p[::-1], _turned(lcp), depth, depth, first)[::-1] >= depth
     return earlier, later
 
 
