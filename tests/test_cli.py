@@ -58,3 +58,20 @@ def test_cli_status(spark, capsys):
     doc = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert doc["changed_models"] == ["rides", "new_one"]
     assert doc["blast_radius"] == ["city_report", "station_load"]
+
+
+def test_cli_context(spark, capsys):
+    d = tempfile.mkdtemp(prefix="pf-cli-ctx-", dir="/tmp")
+    os.makedirs(os.path.join(d, "models"))
+    files = {"changed.txt": "models/core/rides.sql\nmodels/new_one.sql\n",
+             "models/new_one.sql": "select * from {{ ref('rides') }} join {{ ref('rides') }}",
+             "change.diff": "diff --git a/models/new_one.sql b/models/new_one.sql\n+select 1\n"}
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    at = lambda name: os.path.join(d, name)
+    assert main(["context", "--manifest", MANIFEST, "--changed-files", at("changed.txt"), "--diff", at("change.diff"),
+                 "--project", d]) == 0
+    doc = {r["name"]: r for r in json.loads(capsys.readouterr().out.strip().splitlines()[-1])}
+    assert doc["new_one"]["is_new"] and doc["new_one"]["upstream"] == ["rides", "rides"]
+    assert "+select 1" in doc["new_one"]["diff"] and doc["rides"]["downstream"] == ["station_load"]
