@@ -13,7 +13,6 @@ nodes are always returned (``max_depth`` ≤ 0 acts as 1), nodes at
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +20,13 @@ from preflight.config import BLAST_MAX_DEPTH
 from preflight.session import discard, ensure_checkpoint_dir, materialize, size_setting
 
 MODEL_PREFIX = "model."
-EDGES_PER_PARTITION = 250_000
+EDGES_PER_PARTITION = 1_000_000
 # Of a row in a broadcast, beside its id: the hash map's entry.
 ROW_BYTES = 64
+# Edges are first counted by so many hash bins of their source.
+BINS = 1 << 16
+# A large frontier's key filter: bits per id, and bits in all (half a million words).
+FILTER_BITS, FILTER_LOG2 = 8, 25
 
 
 def _seed_frame(spark, seeds) -> DataFrame:
@@ -36,12 +39,33 @@ def _hot_sources(e: DataFrame, edges: int, n: int) -> DataFrame:
     """``src, salts`` of sources whose out-degree exceeds the average
     partition load edges / n, each with ⌈deg · n / edges⌉ salts (≤ n).
     Degrees sum to the number of edges, so at most n sources qualify: a
-    bound on what is broadcast."""
+    bound on what is broadcast.  Only sources in a hash bin above that load
+    can qualify, so a first count keeps ``BINS`` numbers, not one per source."""
     share = F.col("deg") * F.lit(n) / F.lit(max(edges, 1))
-    return (e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).filter(share > 1)
+    own = e.select("src", F.pmod(F.xxhash64("src"), F.lit(BINS)).alias("bin"))
+    full = own.groupBy("bin").agg(F.count(F.lit(1)).alias("deg")).filter(share > 1).select("bin")
+    return (own.join(F.broadcast(full), "bin", "left_semi")
+            .groupBy("src").agg(F.count(F.lit(1)).alias("deg")).filter(share > 1)
             .select("src", F.ceil(share).cast("int").alias("salts")))
 
 
+def _maybe(e: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
+    """Edges whose source may be one of ``size`` frontier ids: their ``key``
+    is looked up in a bit set of the frontier's keys, broadcast as 64-bit
+    words (at most 2^``FILTER_LOG2`` bits; a set that would be mostly full is
+    not made).  Strangers may pass, no edge of the frontier is lost."""
+    bits = max(16, (FILTER_BITS * size - 1).bit_length())
+    bits = min(bits, FILTER_LOG2)
+    if size > 1 << bits:
+        return e
+    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    word = F.shiftright(place, 6)
+    words = (frontier.select(word.alias("word"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    return (e.withColumn("word", word).join(F.broadcast(words), "word")
+            .filter(F.expr("shiftright(bits, CAST(key & 63 AS INT)) & 1L = 1L")).drop("word", "bits"))
+
+
 def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
                  node_prefix: str | None = MODEL_PREFIX,
                  partitions: int | None = None) -> DataFrame:
@@ -49,19 +73,23 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
     ``max_depth`` hops (seeds excluded).  ``edges`` has ``src, dst``;
     ``seeds`` is a list of ids or a one-column DataFrame of ids.
 
-    The edges are read once and written to the checkpoint folder; their
-    number sets the number of partitions (``EDGES_PER_PARTITION``).  Edges
-    of sources above the average partition load (``_hot_sources``) get a
-    salt over a number of buckets proportional to their share, and the list
-    is hash-partitioned by ``(src, salt)`` once and persisted (a lost block is
-    recomputed from the written edges).  Each round joins the frontier to it:
+    The edges are read once and written to the checkpoint folder with a
+    64-bit ``key`` of their source; their number sets the least
+    number of partitions of shuffles (``EDGES_PER_PARTITION``).  Each round scans the
+    keys, keeps the edges that may start in the frontier and joins these to
+    it by id:
 
     * a frontier whose measured bytes fit the session's broadcast threshold
-      is broadcast and the edges stream through in place — no shuffle, and a
-      ``src`` holding a third of all edges is spread over every task;
-    * a larger frontier is shuffled to the edges' partitioning (edges are
-      the streamed side, never re-shuffled), each hot source's row repeated
-      once per salt, and only hot rows are repeated.
+      is broadcast, its keys and its ids, and the edges stream through in
+      place — no shuffle, and a ``src`` holding a third of all edges is
+      spread over every task;
+    * of a larger frontier a bit set of keys of bounded size is broadcast
+      (``_maybe``); the edges that pass are shuffled to the frontier.  An
+      edge belongs to one round's frontier at most, so beside the bit set's
+      strangers an edge is shuffled once.  Edges of sources above the average
+      partition load (``_hot_sources``, looked for before the first such
+      round) get a salt over a number of buckets proportional to their share,
+      and each hot source's row is repeated once per salt.
 
     Each round's new nodes are written under ``spark.checkpoint.dir`` and read
     back (lineage cut, computed once; rows and bytes are observed during the
@@ -76,51 +104,51 @@ def blast_radius(edges: DataFrame, seeds, max_depth: int = BLAST_MAX_DEPTH,
                      F.col("dst").cast("string").alias("dst"))
     if node_prefix:
         e = e.filter(F.col("dst").startswith(node_prefix))
-    written, total = materialize(e, "bfs-edges", count=True)
+    e, total = materialize(e.withColumn("key", F.xxhash64("src")), "bfs-edges", count=True)
     n = partitions or max(1, -(-total // EDGES_PER_PARTITION))
-    hot, n_hot = written.select("src", F.lit(1).alias("salts")).limit(0), 0
-    if n > 1:                    # of one partition no source exceeds the load
-        hot, n_hot = materialize(_hot_sources(written, total, n), "bfs-hot", count=True)
     salts = F.coalesce(F.col("salts"), F.lit(1))
-    salted = written.join(F.broadcast(hot), "src", "left") if n_hot else written.withColumn("salts", F.lit(1))
-    e = (salted.withColumn("salt", F.pmod(F.xxhash64("dst"), salts).cast("int")).drop("salts")
-         .repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK))
-    scratch = [written, *[hot] * (n > 1)]
-    try:
-        seed = _seed_frame(spark, seeds).dropDuplicates(["id"]).withColumn("depth", F.lit(0))
-        if isinstance(seeds, DataFrame):
-            seed, _, width = materialize(seed, "bfs-seed", size=row)
-            scratch.append(seed)
+    hot, n_hot, scratch = None, 0, [e]
+
+    seed = _seed_frame(spark, seeds).dropDuplicates(["id"]).withColumn("depth", F.lit(0))
+    if isinstance(seeds, DataFrame):
+        seed, size, width = materialize(seed, "bfs-seed", size=row)
+        scratch.append(seed)
+    else:
+        size, width = len(seeds), sum(len(str(x).encode()) + ROW_BYTES for x in seeds)
+    levels, seen = [seed], width
+    for d in range(1, rounds + 1):
+        f = levels[-1].select(F.col("id").alias("src"), F.xxhash64("id").alias("key"))
+        if width <= budget:
+            cand = (e.join(F.broadcast(f.select("key")), "key", "left_semi")
+                    .join(F.broadcast(f.select("src")), "src"))
         else:
-            width = sum(len(str(x).encode()) + ROW_BYTES for x in seeds)
-        levels, seen = [seed], width
-        for d in range(1, rounds + 1):
-            f = levels[-1].select(F.col("id").alias("src"))
-            if width <= budget:
-                cand = e.join(F.broadcast(f), "src")
-            else:
-                # a shuffled hash join building on the frontier
-                fs = f.join(F.broadcast(hot), "src", "left").withColumn(
-                    "salt", F.explode(F.sequence(F.lit(0), salts - F.lit(1)))).drop("salts")
-                cand = e.join(fs.hint("shuffle_hash"), ["src", "salt"])
-            visited = levels[0].select("id")
-            for lv in levels[1:]:
-                visited = visited.union(lv.select("id"))
-            v = F.broadcast(visited) if seen <= budget else visited
-            nxt, size, width = materialize(cand.select(F.col("dst").alias("id")).distinct()
-                                           .join(v, "id", "left_anti")
-                                           .withColumn("depth", F.lit(d)), f"bfs-round{d}", size=row)
-            if size == 0:
-                scratch.append(nxt)
-                break
-            seen += width
-            levels.append(nxt)
-        out = levels[0].limit(0)
+            if hot is None and n > 1:                    # of one partition no source exceeds the load
+                hot, n_hot = materialize(_hot_sources(e, total, n), "bfs-hot", count=True)
+                scratch.append(hot)
+            near, fs = (x.join(F.broadcast(hot), "src", "left") if n_hot else x.withColumn("salts", F.lit(1))
+                        for x in (_maybe(e, f, size), f.select("src")))
+            near = near.select("src", "dst", F.pmod(F.xxhash64("dst"), salts).cast("int").alias("salt"))
+            if n > int(spark.conf.get("spark.sql.shuffle.partitions")):      # else the session's number does, adaptively fewer
+                near = near.repartition(n, "src", "salt")
+            # a shuffled hash join building on the frontier
+            fs = fs.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - F.lit(1)))).drop("salts")
+            cand = near.join(fs.hint("shuffle_hash"), ["src", "salt"])
+        visited = levels[0].select("id")
         for lv in levels[1:]:
-            out = out.unionByName(lv) if lv is not levels[1] else lv
-        out = out.select(F.col("id").alias("unique_id"), F.col("depth").cast("long").alias("depth"))
-    finally:
-        e.unpersist()
+            visited = visited.union(lv.select("id"))
+        v = F.broadcast(visited) if seen <= budget else visited
+        nxt, size, width = materialize(cand.select(F.col("dst").alias("id")).distinct()
+                                       .join(v, "id", "left_anti")
+                                       .withColumn("depth", F.lit(d)), f"bfs-round{d}", size=row)
+        if size == 0:
+            scratch.append(nxt)
+            break
+        seen += width
+        levels.append(nxt)
+    out = levels[0].limit(0)
+    for lv in levels[1:]:
+        out = out.unionByName(lv) if lv is not levels[1] else lv
+    out = out.select(F.col("id").alias("unique_id"), F.col("depth").cast("long").alias("depth"))
     discard(scratch)
     return out
 
