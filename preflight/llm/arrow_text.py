@@ -11,8 +11,10 @@ a multiply-xorshift mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,27 @@ def text_slices(batch: pa.RecordBatch, name: str = "text",
         lo = hi
 
 
+def give_back() -> None:
+    """Freed memory back to the system: Arrow's pool and the C library keep
+    it otherwise, and Spark keeps a Python worker after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:                # glibc
+        trim(0)
+
+
+def lean(run):
+    """``run``, a function of a task's batches, which gives back what it has
+    freed when the task ends."""
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))
@@ -80,6 +103,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS_STEP = 1 << 18
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 
@@ -87,7 +111,7 @@ _INVERSES = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS))
+        size = -(-n // _POWERS_STEP) * _POWERS_STEP      # kept by the worker: not twice what is needed
         one = np.full(size, _BASE, np.uint64)
         one[0] = 1
         _POWERS = np.multiply.accumulate(one)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from preflight.llm.arrow_text import ASCII_LOWER, SPACE, RangeHash, Texts, runs, text_slices
+from preflight.llm.arrow_text import ASCII_LOWER, SPACE, RangeHash, Texts, give_back, lean, runs, text_slices
 from preflight.llm.joins import least_of_frequent
 from preflight.llm.ship import ship
 from preflight.session import materialize
@@ -51,6 +51,8 @@ FREQUENT = 1 << 19
 GROUP = 1 << 17
 #: Keys that a task holds before it sends what it has counted.
 HELD = 800_000
+#: Bytes of text that a task scores at once.
+SLICE = 1 << 19
 
 MARK = 0xFF
 HALF = np.log(0.5)
@@ -263,6 +265,7 @@ def _values(strings_of: pa.Table, mixed: pa.Table) -> pa.Table:
     value = np.zeros(len(key))
     for k in range(8):
         value += np.where(bits[k], one[places[k]], zero[places[k]])
+    give_back()
     return pa.table({"key": key, "n": n, "val": value})
 
 
@@ -328,7 +331,7 @@ def _score(shared):
         top_strings, top_words, unknown = shared.value
         by_string, by_word = Table(*top_strings), Table(*top_words)
         for b in batches:
-            for t in text_slices(b):
+            for t in text_slices(b, limit=SLICE):
                 n = len(t)
                 head = [b.column(i).slice(t.rows.start, n) for i in range(b.num_columns - 1)]
                 lost, cols = [], []
@@ -365,7 +368,7 @@ def score(df: DataFrame, train: Column, limit: int | None = None) -> DataFrame:
     limit = FREQUENT if limit is None else limit
     train = F.coalesce(train, F.lit(False))
     n_docs = df.agg(F.count(F.when(train, 1))).first()[0]
-    counts = df.select(train.alias("train"), "text").select("text", "train").mapInArrow(_count, "key long, n long")
+    counts = df.select(train.alias("train"), "text").select("text", "train").mapInArrow(lean(_count), "key long, n long")
     counts = materialize(counts.groupBy("key").agg(F.sum("n").alias("n")), "ctw-counts")
     facts = counts.agg(F.count(F.when(F.col("key") >= 0, 1)), F.sum(F.when(F.col("key") < 0, F.col("n"))),
                        F.count(F.when((F.col("key") < 0) & (F.col("n") > 0), 1))).first()
@@ -381,7 +384,7 @@ def score(df: DataFrame, train: Column, limit: int | None = None) -> DataFrame:
     kind = df.schema["doc_id"].dataType.simpleString()
     slim = df.select(F.monotonically_increasing_id().alias("row"), "doc_id",
                      F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    out = slim.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_bytes long, score double, base double, known long, "
+    out = slim.mapInArrow(lean(_score(shared)), f"row long, doc_id {kind}, n_bytes long, score double, base double, known long, "
                           "n_words long, rest array<long>, times array<long>")
     if any(m > 0 for m in least):
         out = materialize(out, "ctw-scored")
