@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflight.llm.arrow_text import (ASCII_LOWER, RangeHash, mask, runs, signed, text_slices,
+from preflight.llm.arrow_text import (ASCII_LOWER, RangeHash, lean, mask, runs, signed, text_slices,
                                       window_hash)
 from preflight.llm.filters import bitmap, contains
 from preflight.llm.joins import row_hash
@@ -173,7 +173,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
     lo, hi`` in words; item classes: ``cls, item_id``)."""
     ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("thash"))
-    b = materialize(items.mapInArrow(fingerprints("item_id", missing=1, is_item=True), PRINTS)
+    b = materialize(items.mapInArrow(lean(fingerprints("item_id", missing=1, is_item=True)), PRINTS)
                     .filter("n_words > 0").withColumn("cls", F.sha2("seq", 256)), "items")
     classes = b.select("cls", F.col("id").alias("item_id")).distinct()
     # items of the same words once
@@ -191,7 +191,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
                    F.col("h"), filter_bits)
 
     d = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("thash"))
-                    .mapInArrow(fingerprints("doc_id", words, sorted(lengths)), PRINTS)
+                    .mapInArrow(lean(fingerprints("doc_id", words, sorted(lengths))), PRINTS)
                     .drop("seq"), "prints")
     dfp = d.filter(F.size("fp") > 0).select("id", "thash", F.explode(part("ctx")).alias("x")).select(
         "id", "thash", "x.fp", "x.pos", "x.ctx",
@@ -199,7 +199,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24):
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     long_hits = (dfp.join(bfp.select("*", salts), ["fp", "salt"])
                  .select("id", "thash", "cls", "pos", "ctx", "item_ctx")
-                 .mapInArrow(_extend, "id long, thash long, cls string, lo int, hi int"))
+                 .mapInArrow(lean(_extend), "id long, thash long, cls string, lo int, hi int"))
     z = F.explode(F.arrays_zip("short_key", "short_len", "short_pos")).alias("x")
     dsh = d.filter(F.size("short_key") > 0).select("id", "thash", z).select(
         "id", "thash", F.col("x.short_key").alias("key"), F.col("x.short_len").alias("len"),
@@ -225,7 +225,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = ["id", "thash"]
     cover = (found.select("id", "thash", "lo", "hi").distinct().groupBy(*key)
              .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-             .mapInArrow(_covered, "id long, thash long, n_hit long"))
+             .mapInArrow(lean(_covered), "id long, thash long, n_hit long"))
     listed = (found.select("id", "thash", "cls").distinct().join(classes, "cls")
               .filter(F.col("item_id").isNotNull())
               .select("id", "thash", F.col("item_id").cast("string").alias("item")).distinct()

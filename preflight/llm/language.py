@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflight.llm.arrow_text import ASCII_LOWER, RangeHash, Texts, mask, runs, text_slices
+from preflight.llm.arrow_text import ASCII_LOWER, RangeHash, Texts, lean, mask, runs, text_slices
 from preflight.llm.ship import ship
 
 TRAIN_DOCS = 40_000
 LEAST_DOCS = 1_000       # of a language, as far as it has them
-SLICE = 2 << 20
+SLICE = 1 << 20
 SWITCH, CUT = 14.0, 12.0
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
@@ -149,7 +149,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         share = held.select("lang", F.greatest(F.lit(train_docs / n), F.lit(LEAST_DOCS) / F.col("held")).alias("share"))
         rows = rows.join(F.broadcast(share), "lang").filter(
             F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
-    got = (rows.select("lang", "text").mapInArrow(_counts, "lang string, feature int, n long")
+    got = (rows.select("lang", "text").mapInArrow(lean(_counts), "lang string, feature int, n long")
            .groupBy("lang", "feature").agg(F.sum("n").alias("n")).orderBy("lang").toArrow())
     lang, feature, count = (got[c].to_numpy() for c in ("lang", "feature", "n"))
     langs = sorted(set(lang))
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False, text: bool = Fa
     fields += ["lang_pred string", "score double"]
     if spans:
         fields.append("spans array<struct<lo:int,hi:int,lang:string>>")
-    return docs.mapInArrow(_predict(shared, spans, text), ", ".join(fields))
+    return docs.mapInArrow(lean(_predict(shared, spans, text)), ", ".join(fields))
 
 
 def held_out():

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflight.llm.arrow_text import ASCII_LOWER, SPACE, RangeHash, Texts, text_slices
+from preflight.llm.arrow_text import ASCII_LOWER, SPACE, RangeHash, Texts, lean, text_slices
 from preflight.llm.filters import PLACES, TwiceSeen, places_of_task
 from preflight.llm.joins import salted_join
 from preflight.llm.ship import ship
@@ -79,7 +79,7 @@ def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: int = MAX_
     lines = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
                            + F.lit(1))).first()[0] or 1
     seen = TwiceSeen(int(lines), max_bits)
-    return seen.fill(docs.select("text").mapInArrow(_once_and_twice(seen.bits, min_chars), PLACES))
+    return seen.fill(docs.select("text").mapInArrow(lean(_once_and_twice(seen.bits, min_chars)), PLACES))
 
 
 def _null_row(doc_id, text):
@@ -112,7 +112,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(twice_seen(slim, min_chars))       # 32 MB at most
     named = slim.withColumn("null_row", _null_row("doc_id", "text"))
-    held = materialize(named.mapInArrow(_suspects(shared, min_chars), "key binary, doc_id long, null_row long")
+    held = materialize(named.mapInArrow(lean(_suspects(shared, min_chars)), "key binary, doc_id long, null_row long")
                        .distinct(), "lines")
     often = (held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
              .filter(F.col("n") >= min_docs).select("key", "keeper"))
@@ -161,7 +161,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     both = d.join(k, same, "left").select("d.*", F.col("k.keys").alias("__lost"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text"]
     fields += ["n_lines long", "n_dropped long", "kept_sha256 string" if digest else "text string"]
-    return both.mapInArrow(_rewrite(digest), ", ".join(fields))
+    return both.mapInArrow(lean(_rewrite(digest)), ", ".join(fields))
 
 
 def op3_line_dedup(spark, sf_dir):

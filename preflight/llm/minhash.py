@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflight.llm.arrow_text import (ASCII_LOWER, SPACE, RangeHash, Texts, mix, runs, signed,
+from preflight.llm.arrow_text import (ASCII_LOWER, SPACE, RangeHash, Texts, lean, mix, runs, signed,
                                       text_slices, window_hash)
 from preflight.llm.components import components
 from preflight.llm.filters import PLACES as SENT
@@ -293,23 +293,23 @@ def families(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: ``id, row, n, fp``; classes of equal sets: ``fp, id, component``)."""
     spark = ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row"))
-    own = materialize(slim.mapInArrow(_signed, "id long, row long, n long, fp binary, bands array<long>"), "signatures")
+    own = materialize(slim.mapInArrow(lean(_signed), "id long, row long, n long, fp binary, bands array<long>"), "signatures")
     classes = materialize(own.filter("n > 0").groupBy("fp").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     # classes that share a bucket
     counts = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     crowded = spark.sparkContext.broadcast(bitmap(counts.filter("k > 1"), F.col("key"), FILTER_BITS))
-    members = materialize(classes.mapInArrow(_in_buckets(crowded), "key long, fp binary"), "members")
+    members = materialize(classes.mapInArrow(lean(_in_buckets(crowded)), "key long, fp binary"), "members")
     named = materialize(classes.join(members.select("fp").distinct(), "fp").select("fp", "id", "n"), "wanted")
     some = spark.sparkContext.broadcast(bitmap(
-        named.filter("id IS NOT NULL").select("id").mapInArrow(_ids, "h long"), F.col("h"), FILTER_BITS))
+        named.filter("id IS NOT NULL").select("id").mapInArrow(lean(_ids), "h long"), F.col("h"), FILTER_BITS))
 
     # their sets, as far as they may have a link
     seen = TwiceSeen(int(named.agg(F.sum("n")).first()[0] or 0), MAX_BITS)
-    seen.fill(slim.mapInArrow(_elements(some, seen.bits), SENT))
+    seen.fill(slim.mapInArrow(lean(_elements(some, seen.bits)), SENT))
     met = spark.sparkContext.broadcast(seen)
-    sets = materialize(slim.mapInArrow(_sets(some, met, percent), "fp binary, n long, c long, elements array<long>")
+    sets = materialize(slim.mapInArrow(lean(_sets(some, met, percent)), "fp binary, n long, c long, elements array<long>")
                        .dropDuplicates(["fp"]), "sets")
 
     # what buckets connect, and the links in it

@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from preflight.llm.arrow_text import lean
 from preflight.llm.ship import ship
 
 LIMIT = 2048
@@ -170,7 +171,7 @@ def count_tokens(df: DataFrame, column: str = "text", name: str = "word_bpe_49k.
     its own copy of the public file ``name``."""
     ship(df.sparkSession)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column]
-    return df.mapInArrow(_count(column, name, path), ", ".join([*fields, "n_tokens long"]))
+    return df.mapInArrow(lean(_count(column, name, path)), ", ".join([*fields, "n_tokens long"]))
 
 
 def op8_token_count(spark, sf_dir):
