@@ -134,12 +134,12 @@ class RangeHash:
         h = (self._sum[ends] - self._sum[starts]) * self._inverse[starts]
         return mix(h + (ends - starts).astype(np.uint64))
 
-    def rolling(self, k: int) -> np.ndarray:
-        """Unmixed hash of every range of ``k`` bytes, by start."""
-        n = len(self._sum) - k
-        if n <= 0:
+    def rolling(self, k: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Unmixed hash of every range of ``k`` bytes, by start (``lo`` to ``hi``)."""
+        n = len(self._sum) - k if hi is None else min(hi, len(self._sum) - k)
+        if n <= lo:
             return np.zeros(0, np.uint64)
-        return (self._sum[k:] - self._sum[:n]) * self._inverse[:n]
+        return (self._sum[lo + k:n + k] - self._sum[lo:n]) * self._inverse[lo:n]
 
 
 def runs(t: Texts, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

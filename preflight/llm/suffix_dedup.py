@@ -16,14 +16,15 @@ side of the core, cut at the text's ends.
 2. Where one core has different contexts, one context of each class is
    sent, by core.  A task joins the contexts of many cores (in order of
    their first place in the corpus), builds the suffix array to the depth of
-   a string without its core by prefix doubling, and the LPF array: for every
-   suffix the previous and next smaller position in suffix order and the
-   common prefix with these, as far as it reaches 400 bytes (shorter ones
-   count as none).  Where LPF is 400 there is an earlier copy; the LPF array of
+   a string without its core by prefix doubling (sorted values hold their
+   place), and the LPF array: for every suffix the previous and next smaller
+   position in suffix order and the common prefix with these, as far as it
+   reaches 400 bytes (shorter ones count as none).  Where LPF is 400 there is an earlier copy; the LPF array of
    mirrored positions finds later ones.  Repeated strings come back as ranges.
-3. A core with over ``max_contexts`` contexts is no task's work: its strings
-   are cut into pieces of 8 starts, pieces are counted by hash as in 1, and
-   only the starts of pieces that share their own core are counted one by one.
+3. A core with over ``max_contexts`` contexts is no task's work: its contexts
+   are sent one by one, their strings cut into pieces of 8 starts, pieces are
+   counted by hash as in 1, and only the starts of pieces that share their own
+   core are counted one by one.  Adjoining ranges are joined before they move.
 4. The ranges join the anchors of a third pass; each text loses their union.
    Texts that lose nothing are not shuffled.
 
@@ -55,54 +56,59 @@ from preflight.session import materialize
 LENGTH, CORE = 400, 256
 MAX_CONTEXTS = 4096
 PIECE = 8
-BATCH_BYTES = 1 << 19
+HOT_SALTS = 4
+BATCH_BYTES = 1 << 16
+BLOCK = 1 << 15
 FILTER_BITS = 26        # 8 MB
 _U = np.uint64
 
 
 # ── anchors ────────────────────────────────────────────────────────────────
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every ``w`` consecutive values (block-wise prefix and
-    suffix minima)."""
-    n = len(x) - w + 1
-    blocks = np.concatenate([x, np.full(-len(x) % w, ~_U(0))]).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[:n], ahead[w - 1:w - 1 + n])
+def sliding_min(x: np.ndarray, w: int, least=np.minimum) -> np.ndarray:
+    """Minimum (``np.maximum``: maximum) of every ``w`` consecutive values, by
+    windows of twice the width."""
+    have = 1
+    while 2 * have <= w:
+        x = least(x[:-have], x[have:])
+        have *= 2
+    return least(x[:len(x) - (w - have)], x[w - have:]) if have < w else x
 
 
 class Anchors:
     """Anchors of a slice: ``text`` (index), ``at`` (core's start), ``lo`` and
-    ``hi`` (context), ``core`` and ``ctx`` (hashes)."""
+    ``hi`` (context), ``core`` and ``ctx`` (hashes).  Their places are looked
+    for block by block, so that the arrays stay in the processor's cache."""
 
     def __init__(self, t: Texts, length: int, k: int):
         self.hash = RangeHash(t.data)
         w = length - k + 1
-        grams = mix(self.hash.rolling(k))
-        if len(grams) < w:
-            self.at = self.text = self.lo = self.hi = np.zeros(0, np.int64)
-            self.core = self.ctx = np.zeros(0, np.uint64)
-            return
-        least = sliding_min(grams, w)
-        inside = np.zeros(len(t.data) + 1, np.int64)
-        ok = t.ends - t.starts >= length
-        np.add.at(inside, t.starts[ok], 1)
-        np.add.at(inside, t.ends[ok] - length + 1, -1)
-        least = np.where(np.cumsum(inside)[:len(least)] > 0, least, _U(0))
-        z = np.zeros(w - 1, np.uint64)
-        most = ~sliding_min(~np.concatenate([z, least, z]), w)
-        self.at = np.flatnonzero(most[:len(grams)] == grams)
-        self.core = grams[self.at]
+        size = t.ends - t.starts
+        whole = np.maximum(size - length + 1, 0)      # starts of strings that end in their text
+        outside = np.repeat(np.arange(2 * len(t)) % 2 > 0, np.stack([whole, size - whole], 1).reshape(-1))
+        n, none = len(t.data) - k + 1, np.zeros(w - 1, np.uint64)
+        at, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo in range(0, n, BLOCK) if n >= w else ():
+            hi = min(lo + BLOCK, n)
+            a, b = max(lo - w + 1, 0), min(hi + w - 1, n)       # every string that reaches into the block
+            gram = self.hash.rolling(k, a, b)
+            least = sliding_min(gram, w)
+            least[outside[a:a + len(least)]] = 0
+            most = sliding_min(np.concatenate([none, least, none]), w, np.maximum)
+            found = np.flatnonzero(most[lo - a:hi - a] == gram[lo - a:hi - a]) + (lo - a)
+            at.append(found + a)
+            grams.append(gram[found])
+        self.at = np.concatenate(at)
+        self.core = mix(np.concatenate(grams))
         self.text = np.searchsorted(t.ends, self.at, side="right")
         self.lo = np.maximum(self.at - (length - k), t.starts[self.text])
         self.hi = np.minimum(self.at + length, t.ends[self.text])
         self.ctx = mix(self.hash(self.lo, self.hi) + (self.at - self.lo).astype(np.uint64))
 
     def place(self, t: Texts, row: np.ndarray) -> np.ndarray:
-        """Hash of each anchor's place in the corpus."""
+        """Hash of each anchor's place in the corpus, as many bits as a filter has."""
         return mix(row[self.text].view(np.uint64) + _U(0x632BE59BD9B4E019)
-                   * (self.at - t.starts[self.text] + 1).astype(np.uint64))
+                   * (self.at - t.starts[self.text] + 1).astype(np.uint64)) & _U((1 << FILTER_BITS) - 1)
 
 
 def _column(b, name):
@@ -152,11 +158,22 @@ WHERE = ", doc_id long, row long, at int"
 
 # ── suffix arrays ──────────────────────────────────────────────────────────
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    s = key[order]
-    step = np.ones(len(s), np.uint64)
-    step[0] = 0
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of keys of so many bits, and the keys in it.  Sorting
+    values is several times as fast as sorting places, so a place goes into
+    the low bits of its key where both fit in 64."""
+    low = len(key).bit_length()
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    s = (key << _U(low)) | np.arange(len(key), dtype=np.uint64)
+    s.sort()
+    return (s & _U((1 << low) - 1)).view(np.int64), s >> _U(low)
+
+
+def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    order, s = _sorted(key, bits)
+    step = np.zeros(len(s), np.uint64)
     step[1:] = s[1:] != s[:-1]
     out = np.empty(len(s), np.uint64)
     out[order] = np.cumsum(step)
@@ -165,23 +182,25 @@ def _ranks(key: np.ndarray) -> np.ndarray:
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """Rank of every suffix by its first ``depth`` bytes; equal ranks mean
-    equal bytes.  Prefix doubling from 8-byte keys; past the end is zero
-    (and shorter suffixes are no one's business: callers ask for starts with
-    ``depth`` bytes left)."""
+    equal bytes.  Prefix doubling from keys of as many bytes as fit beside a
+    place (a byte is its number among those in use); past the end is zero."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64)
-    more = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    h = min(8, depth)
+    used = np.bincount(data, minlength=256) > 0
+    wide, low = int(used.sum()).bit_length(), n.bit_length()
+    h = min(max((64 - low) // wide, 1), depth)
+    more = np.zeros(n + h, np.uint64)
+    more[:n] = np.cumsum(used).astype(np.uint64)[data]
     key = np.zeros(n, np.uint64)
     for j in range(h):
-        key = (key << _U(8)) | more[j:j + n]
-    rank = _ranks(key)
+        key = (key << _U(wide)) | more[j:j + n]
+    rank = _ranks(key, wide * h)
     while h < depth:
         step = min(h, depth - h)
-        key = rank << _U(32)
+        key = rank << _U(low)
         key[:n - step] |= rank[step:] + _U(1)
-        rank = _ranks(key)
+        rank = _ranks(key, 2 * low)
         h += step
     return rank
 
@@ -236,8 +255,8 @@ def earlier_and_later(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[
     n = len(rank)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
-    order = np.argsort(rank, kind="stable")
-    s, p = rank[order], place[order]
+    order, s = _sorted(rank, int(rank.max()).bit_length())
+    p = place[order]
     lcp = np.zeros(n, np.int32)
     lcp[1:] = np.where(s[1:] == s[:-1], depth, 0)         # under depth: not told apart from 0
     earlier, later = np.empty(n, bool), np.empty(n, bool)
@@ -257,27 +276,13 @@ def _ranges(flag: np.ndarray, owner: np.ndarray, o: np.ndarray):
     return owner[first], o[first], o[last]
 
 
-RANGES = "core long, ctx long, kind string, far int, near int"
+RANGES = "core long, ctx long, far int, near int"
 
 
-def _ranges_batch(core, ctx, parts):
-    arrays = [[], [], [], [], []]
-    for kind, (own, far, near) in parts:
-        arrays[0].append(core[own])
-        arrays[1].append(ctx[own])
-        arrays[2].append(np.full(len(own), kind, object))
-        arrays[3].append(far)
-        arrays[4].append(near)
-    c = [np.concatenate(x) for x in arrays]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()),
-         pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32))],
-        names=["core", "ctx", "kind", "far", "near"])
-
-
-def _factors(reach: int):
+def _factors(reach: int, ordered: bool):
     """Contexts sorted by core, many cores at once: ranges of offsets (bytes
-    from a string's start to its core) whose string is repeated elsewhere.
+    from a string's start to its core) whose string is repeated elsewhere
+    (``ordered``: earlier).
 
     All strings of a context hold its core, so the suffix array is built over
     the contexts without it: what is left of a string are ``reach`` bytes.
@@ -302,11 +307,13 @@ def _factors(reach: int):
         owner = np.repeat(np.arange(len(size)), n_win)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
         o = left[owner] - inner                       # falls from far to near
-        rank = suffix_ranks(whole, reach)[starts[owner] + inner]
-        rank = (rank << _U(32)) | (group[owner] * _U(reach + 1) + o.astype(np.uint64))
+        rank = suffix_ranks(whole, reach)[starts[owner] + inner] * _U(len(cores) * (reach + 1))
+        rank += group[owner] * _U(reach + 1) + o.astype(np.uint64)
         earlier, later = earlier_and_later(rank, np.array(place, np.int64)[owner] + inner, reach)
-        return _ranges_batch(core, ctx, [("any", _ranges(earlier | later, owner, o)),
-                                         ("earlier", _ranges(earlier, owner, o))])
+        own, far, near = _ranges(earlier if ordered else earlier | later, owner, o)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(core[own]), pa.array(ctx[own]), pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32))],
+            names=["core", "ctx", "far", "near"])
 
     def run(batches):
         rows, size, last = [], 0, None
@@ -325,75 +332,119 @@ def _factors(reach: int):
     return run
 
 
-def _contexts(length: int, k: int, shared, hot: bool):
-    """Pass 2: the bytes of the contexts (without their core) whose place passes a bitmap; for
-    ``hot`` cores the hashes of their pieces and strings instead."""
+def _contexts(length: int, k: int, shared):
+    """Pass 2: the bytes of the contexts (without their core) whose core and
+    place pass a bitmap each."""
     def run(batches):
         for b in batches:
             ids, hashes = _column(b, "doc_id").cast(pa.int64()), _column(b, "row").to_numpy()
             for t in text_slices(b):
                 a = Anchors(t, length, k)
-                at = np.flatnonzero(contains(shared.value, a.place(t, hashes[t.rows.start:t.rows.stop])))
+                cores, places = shared.value
+                place = a.place(t, hashes[t.rows.start:t.rows.stop])
+                at = np.flatnonzero(contains(cores, a.core) & contains(places, place))
                 rows = a.text[at] + t.rows.start
-                common = [pa.array(signed(a.core[at])), pa.array(signed(a.ctx[at])), ids.take(pa.array(rows)),
-                          pa.array(hashes[rows]), pa.array((a.at[at] - t.starts[a.text[at]]).astype(np.int32))]
-                names = ["core", "ctx", "doc_id", "row", "at"]
-                if not hot:
-                    raw = [t.data[x:p].tobytes() + t.data[p + k:y].tobytes()
-                           for x, p, y in zip(a.lo[at], a.at[at], a.hi[at])]
-                    yield pa.RecordBatch.from_arrays(
-                        [*common, pa.array((a.at - a.lo)[at].astype(np.int32)), pa.array(raw, pa.binary())],
-                        names=[*names, "left", "raw"])
-                    continue
-                # offsets far..near of each piece, cut at the text's ends
-                first = np.arange(0, length - k + 1, PIECE)
-                near = np.maximum(first[None, :], (length - (a.hi - a.at)[at])[:, None])
-                far = np.minimum(np.minimum(first + PIECE - 1, length - k)[None, :], (a.at - a.lo)[at][:, None])
-                row, piece = np.nonzero(near <= far)
-                p, lo, hi = a.at[at][row], far[row, piece], near[row, piece]
-                full_far, full_near = np.minimum(first + PIECE - 1, length - k)[piece], first[piece]
-                pcore = mix(a.hash(p - full_near, p - full_far + length) + piece.astype(np.uint64))
-                pctx = mix(a.hash(p - lo, p - hi + length) + _U(997) * lo.astype(np.uint64) + piece.astype(np.uint64))
-                count = lo - hi + 1
-                off = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                o = np.repeat(hi, count) + np.arange(off[-1]) - np.repeat(off[:-1], count)
-                s = np.repeat(p, count) - o
-                strings = a.hash(s, s + length)
-                take = pa.array(row)
+                raw = [t.data[x:p].tobytes() + t.data[p + k:y].tobytes()
+                       for x, p, y in zip(a.lo[at], a.at[at], a.hi[at])]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.take(take) for c in common), pa.array(signed(pcore)), pa.array(signed(pctx)),
-                     pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
-                     pa.ListArray.from_arrays(off, pa.array(signed(strings)))],
-                    names=[*names, "pcore", "pctx", "far", "near", "strings"])
+                    [pa.array(signed(a.core[at])), pa.array(signed(a.ctx[at])), ids.take(pa.array(rows)),
+                     pa.array(hashes[rows]), pa.array((a.at[at] - t.starts[a.text[at]]).astype(np.int32)),
+                     pa.array((a.at - a.lo)[at].astype(np.int32)), pa.array(raw, pa.binary())],
+                    names=["core", "ctx", "doc_id", "row", "at", "left", "raw"])
     return run
 
 
-PLACE = "core long, ctx long, doc_id long, row long, at int"
+CONTEXTS = "core long, ctx long, doc_id long, row long, at int, left int, raw binary"
+PIECES = "core long, ctx long, doc_id long, row long, at int, pcore long, pctx long, far int, near int"
+
+
+def _pieces(reach: int, shared=None):
+    """The pieces of contexts, ``far`` to ``near`` cut at the text's ends:
+    hashes of what all strings of the whole piece share and of all its bytes.
+    ``shared``: only pieces whose ``pcore`` passes a bitmap, with the hashes
+    of their strings."""
+    first = np.arange(0, reach + 1, PIECE)
+    last = np.minimum(first + PIECE - 1, reach)
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+                raw = _column(b, "raw").to_pylist()
+                size = np.array([len(x) for x in raw])
+                left = _column(b, "left").to_numpy().astype(np.int64)
+                hashed = RangeHash(np.frombuffer(b"".join(raw), np.uint8))
+                mid = np.cumsum(size) - size + left            # where the core was
+                near = np.maximum(first[None, :], (reach - size + left)[:, None])
+                far = np.minimum(last[None, :], left[:, None])
+                row, piece = np.nonzero(near <= far)
+                lo, hi, p = far[row, piece], near[row, piece], mid[row]
+                salt = mix(_column(b, "core").to_numpy().view(np.uint64)[row]) + piece.astype(np.uint64)
+                pcore = mix(hashed(p - first[piece], p - last[piece] + reach) + salt)
+                if shared is not None:
+                    ok = contains(shared.value, pcore)
+                    row, lo, hi, p, salt, pcore = (x[ok] for x in (row, lo, hi, p, salt, pcore))
+                pctx = mix(hashed(p - lo, p - hi + reach) + _U(997) * lo.astype(np.uint64) + salt)
+                take = pa.array(row)
+                cols = [*(_column(b, c).take(take) for c in ("core", "ctx", "doc_id", "row", "at")),
+                        pa.array(signed(pcore)), pa.array(signed(pctx)),
+                        pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+                names = ["core", "ctx", "doc_id", "row", "at", "pcore", "pctx", "far", "near"]
+                if shared is not None:
+                    count = lo - hi + 1
+                    off = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    o = np.repeat(hi, count) + np.arange(off[-1]) - np.repeat(off[:-1], count)
+                    s = np.repeat(p, count) - o
+                    core = np.repeat(_column(b, "core").to_numpy().view(np.uint64)[row], count)
+                    strings = mix(hashed(s, s + reach) + mix(core) + _U(997) * o.astype(np.uint64))
+                    cols.append(pa.ListArray.from_arrays(off, pa.array(signed(strings))))
+                    names.append("strings")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+    return run
 
 
-def _hot_ranges(pieces: DataFrame) -> DataFrame:
-    """``RANGES`` of the pieces of hot cores, by counting hashes."""
+def _hot_ranges(contexts: DataFrame, reach: int, ordered: bool) -> DataFrame:
+    """``RANGES`` of the contexts of hot cores, by counting hashes of their
+    pieces.  A string holds the core at one offset, so core and offset are
+    part of every hash."""
+    spark = contexts.sparkSession
     where = F.struct("doc_id", "row", "at")
-    pieces = materialize(pieces.dropDuplicates(["core", "ctx", "near"]), "pieces")
-    kinds = pieces.groupBy("pcore", "pctx").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first"))
-    kinds = materialize(kinds, "kinds")
-    mixed = kinds.groupBy("pcore").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("pcore")
-    own = salted_join(pieces, kinds.filter("n > 1"), ["pcore", "pctx"], F.col("ctx"))
-    every = own.select("core", "ctx", F.lit("any").alias("kind"), "far", "near").union(
-        own.filter(where != F.col("first")).select("core", "ctx", F.lit("earlier").alias("kind"), "far", "near"))
+    contexts = materialize(contexts.groupBy("core", "ctx").agg(F.min(F.struct("doc_id", "row", "at", "left", "raw"))
+                           .alias("c")).select("core", "ctx", "c.*"), "contexts")
+    pieces = contexts.mapInArrow(_pieces(reach), PIECES)
+    count = [F.count(F.lit(1)).alias("n"), *([F.min(where).alias("first")] if ordered else [])]
+    kinds = materialize(pieces.groupBy("pcore", "pctx").agg(*count), "kinds")
+    own = salted_join(pieces, kinds.filter("n > 1"), ["pcore", "pctx"], F.col("ctx"), HOT_SALTS)
     # strings of pieces that share their core but not their context
-    single = (salted_join(pieces, mixed, ["pcore"], F.col("ctx"))
-              .select("core", "ctx", "doc_id", "row", "at", "near", F.posexplode("strings").alias("i", "string"))
+    mixed = kinds.groupBy("pcore").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("pcore")
+    mixed = materialize(mixed, "mixed")
+    known = spark.sparkContext.broadcast(bitmap(mixed, F.col("pcore"), FILTER_BITS))
+    single = salted_join(contexts.mapInArrow(_pieces(reach, known), PIECES + ", strings array<long>"),
+                         mixed, ["pcore"], F.col("ctx"), HOT_SALTS)
+    single = (single.select("core", "ctx", "doc_id", "row", "at", "near", F.posexplode("strings").alias("i", "string"))
               .withColumn("o", F.col("near") + F.col("i")))
     # a string is at one place for several cores
     here = F.struct("doc_id", "row", (F.col("at") - F.col("o")).alias("at"))
     single = materialize(single, "strings")
     often = (single.groupBy("string").agg(F.min(here).alias("first"), F.max(here).alias("last"))
              .filter("first <> last").select("string", "first"))
-    got = salted_join(single, often, ["string"], F.col("ctx"))
-    one = got.select("core", "ctx", F.lit("any").alias("kind"), F.col("o").alias("far"), F.col("o").alias("near"))
-    return every.union(one).union(got.filter(here != F.col("first")).select(
-        "core", "ctx", F.lit("earlier").alias("kind"), F.col("o").alias("far"), F.col("o").alias("near")))
+    got = salted_join(single, often, ["string"], F.col("ctx"), HOT_SALTS)
+    if ordered:
+        own, got = own.filter(where != F.col("first")), got.filter(here != F.col("first"))
+    return own.select("core", "ctx", "far", "near").union(
+        got.select("core", "ctx", F.col("o").alias("far"), F.col("o").alias("near")))
+
+
+def _joined(parts):
+    """Adjoining ranges of offsets as one."""
+    ranges = F.sort_array(parts)
+
+    def add(done, x):
+        last = F.element_at(done, -1)
+        both = F.struct(last["near"].alias("near"), F.greatest(last["far"], x["far"]).alias("far"))
+        return F.when(x["near"] <= last["far"] + 1, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))
+                      ).otherwise(F.concat(done, F.array(x)))
+    return F.when(F.size(parts) < 2, parts).otherwise(
+        F.aggregate(F.slice(ranges, 2, F.size(ranges)), F.slice(ranges, 1, 1), add))
 
 
 def repeated_ranges(docs: DataFrame, keep: str = "none", length: int = LENGTH, k: int = CORE,
@@ -410,30 +461,34 @@ def repeated_ranges(docs: DataFrame, keep: str = "none", length: int = LENGTH, k
                .withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("core"))).filter("d > 1 OR n > 1"))
     classes = materialize(classes.withColumn("place", F.col("first.place") if ordered else F.col("first")), "classes")
 
-    def send(rows):
-        return spark.sparkContext.broadcast(bitmap(rows, F.col("place"), FILTER_BITS))
-
-    few = send(classes.filter(F.col("d").between(2, max_contexts)))
-    shipped = docs.mapInArrow(_contexts(length, k, few, False), PLACE + ", left int, raw binary")
-    found = shipped.repartition("core").sortWithinPartitions("core").mapInArrow(_factors(length - k), RANGES)
-    many = send(classes.filter(F.col("d") > max_contexts))
-    pieces = docs.mapInArrow(_contexts(length, k, many, True),
-                             PLACE + ", pcore long, pctx long, far int, near int, strings array<long>")
-    found = found.union(_hot_ranges(pieces))
-
-    kind = "any" if keep == "none" else "earlier"
-    some = (found.filter(F.col("kind") == kind).groupBy("core", "ctx")
-            .agg(F.collect_set(F.struct("far", "near")).alias("parts")))
-    verdict = materialize(
-        classes.join(some, ["core", "ctx"], "left").filter(F.col("parts").isNotNull() | (F.col("n") > 1))
-        .select("core", "ctx", "n", "first", "parts"), "verdicts")
+    def shipped(some):
+        shared = spark.sparkContext.broadcast((bitmap(some.select("core").distinct(), F.col("core"), FILTER_BITS),
+                                               bitmap(some, F.col("place"), FILTER_BITS)))
+        return shared, docs.mapInArrow(_contexts(length, k, shared), CONTEXTS)
+
+    _, few = shipped(classes.filter(F.col("d").between(2, max_contexts)))
+    found = few.repartition("core").sortWithinPartitions("core").mapInArrow(_factors(length - k, ordered), RANGES)
+    shared, many = shipped(classes.filter(F.col("d") > max_contexts))
+    if shared.value[0].any():                                 # else no core has that many
+        found = found.union(_hot_ranges(many, length - k, ordered))
+
+    some = (found.groupBy("core", "ctx").agg(F.collect_set(F.struct("near", "far")).alias("parts"))
+            .select("core", "ctx", _joined(F.col("parts")).alias("parts")))
+    if ordered:
+        verdict = (classes.join(some, ["core", "ctx"], "left").filter(F.col("parts").isNotNull() | (F.col("n") > 1))
+                   .select("core", "ctx", "first", "parts"))
+    else:       # a class of two or more goes as a whole: no parts
+        none = F.lit(None).cast(some.schema["parts"].dataType).alias("parts")
+        verdict = classes.filter("n > 1").select("core", "ctx", none).union(
+            classes.filter("n = 1").select("core", "ctx").join(some, ["core", "ctx"]))
+    verdict = materialize(verdict, "verdicts")
     known = spark.sparkContext.broadcast(bitmap(verdict, F.col("ctx"), FILTER_BITS))
     again = docs.mapInArrow(_known(length, k, known),
                             "core long, ctx long, doc_id long, row long, at int, lo int, hi int")
     hit = again.join(verdict, ["core", "ctx"])                # adaptive execution splits large keys
     here = F.struct("doc_id", "row", "at")
     own = F.struct("first.doc_id", "first.row", "first.at") if ordered else None
-    whole = here != own if ordered else F.col("n") > 1
+    whole = here != own if ordered else F.col("parts").isNull()
     parts = F.transform("parts", lambda p: F.struct((F.col("at") - p["far"]).alias("lo"),
                                                     (F.col("at") - p["near"] + F.lit(length)).alias("hi")))
     spans = F.when(whole, F.array(F.struct(F.col("lo"), F.col("hi")))).otherwise(parts)
@@ -466,6 +521,21 @@ def _touched(shared, inside: bool):
     return run
 
 
+def _merged(batches):
+    """Each row's ranges sorted, those that meet as one."""
+    for b in batches:
+        lows, highs = [], []
+        for lo, hi in zip(_column(b, "lo").to_pylist(), _column(b, "hi").to_pylist()):
+            lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+            order = np.argsort(lo)
+            lo, reach = lo[order], np.maximum.accumulate(hi[order])
+            cut = np.flatnonzero(lo[1:] > reach[:-1])
+            lows.append(lo[np.r_[0, cut + 1]])
+            highs.append(reach[np.r_[cut, len(lo) - 1]])
+        yield pa.RecordBatch.from_arrays([_column(b, "row"), pa.array(lows, pa.list_(pa.int32())),
+                                          pa.array(highs, pa.list_(pa.int32()))], names=["row", "lo", "hi"])
+
+
 def _cut(digest: bool):
     """Remove each text's ranges."""
     def run(batches):
@@ -513,7 +583,8 @@ def suffix_dedup(docs: DataFrame, keep: str = "none", digest: bool = False, leng
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        row_hash().alias("row"))
     spans = materialize(repeated_ranges(slim, keep, length, k, max_contexts).groupBy("row")
-                        .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
+                        .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+                        .mapInArrow(_merged, "row long, lo array<int>, hi array<int>"), "spans")
     last = "kept_sha256 string" if digest else "kept binary, spans array<array<long>>"
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, " + last
     # only texts that may lose something are shuffled to their ranges

@@ -4,12 +4,15 @@ empty and very long texts, ties, repeated rows and clashing columns."""
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from preflight.llm import (decontaminate, language, line_dedup, minhash, neighbours, packing, suffix_dedup,
                            token_count, toxicity, url_filter)
+from preflight.llm.arrow_text import RangeHash, text_slices
+from preflight.session import scratch_files
 
 DOCS = "doc_id long, text string"
 
@@ -82,6 +85,57 @@ def test_longest_previous_factors(floor):
             assert (top >= 5).tolist() == [x >= 5 for x in want]
 
 
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    """Places of the minimum hash of every string, whatever the size of a block."""
+    rnd = random.Random(4)
+    texts = [words(rnd, 200), "", "ab" * 300, "short", words(rnd, 9), "x" * 90, words(rnd, 120)]
+    (t,) = text_slices(pa.RecordBatch.from_pydict({"text": texts}))
+    length, k = 60, 24
+    want = set()
+    gram = RangeHash(t.data).rolling(k)
+    for lo, hi in zip(t.starts.tolist(), t.ends.tolist()):
+        for i in range(lo, hi - length + 1):
+            here = gram[i:i + length - k + 1]
+            want |= {i + j for j in np.flatnonzero(here == here.min()).tolist()}
+    for block in (100, 1 << 15):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        assert suffix_dedup.Anchors(t, length, k).at.tolist() == sorted(want)
+
+
+def test_suffix_ranks():
+    """Against sorting the suffixes; keys that leave no room for a place too."""
+    rnd = random.Random(5)
+    for letters in ("a", "ab", "abc\0", "".join(map(chr, range(256)))):
+        text = "".join(rnd.choice(letters) for _ in range(300)).encode("latin-1")
+        for depth in (1, 5, 30):
+            got = suffix_dedup.suffix_ranks(np.frombuffer(text, np.uint8), depth)[:len(text) - depth + 1]
+            heads = [text[i:i + depth] for i in range(len(text) - depth + 1)]
+            assert [x == y for x in got for y in got] == [x == y for x in heads for y in heads]
+            assert [heads[i] for i in np.argsort(got, kind="stable")] == sorted(heads)
+    key = np.array([5, 1 << 63, 5, 0], np.uint64)
+    for x in (key, key & np.uint64(7)):
+        order, s = suffix_dedup._sorted(x, int(x.max()).bit_length())
+        assert order.tolist() == np.argsort(x, kind="stable").tolist() and s.tolist() == sorted(x.tolist())
+
+
+def test_what_suffix_dedup_moves(spark):
+    """Ranges that meet are one before they go to their texts, and contexts of
+    hot cores are written once, not string by string."""
+    rnd = random.Random(6)
+    passage = words(rnd, 150)
+    data = [(i, words(rnd, 20) + passage + words(rnd, 20)) for i in range(40)]
+    before = set(scratch_files(spark))
+    for keep in ("none", "first"):
+        got = {}
+        for most in (1, suffix_dedup.MAX_CONTEXTS):
+            got[most] = rows(suffix_dedup.suffix_dedup(spark.createDataFrame(data, DOCS), keep, digest=True, max_contexts=most))
+        assert got[1] == got[suffix_dedup.MAX_CONTEXTS]
+    new = [f for f in scratch_files(spark) if f not in before]
+    spans = [r for f in new if "-spans-" in f for r in spark.read.parquet(f).collect()]
+    assert len(spans) == 2 * (40 + 39) and all(len(r["lo"]) == len(r["hi"]) == 1 for r in spans)
+    assert not any("strings" in spark.read.parquet(f).columns for f in new if "-strings-" not in f)
+
+
 def test_suffix_dedup_keeps_the_first(spark):
     rnd = random.Random(8)
     shared = words(rnd, 100)
