@@ -1,10 +1,10 @@
 """Bounded membership filters over 64-bit hashes.
 
 ``TwiceSeen`` is a pair of Bloom filters, once-seen and twice-seen: each task
-sends the filter places of its hashes, once per place and marked if it has
-met the hash twice itself; per filter chunk the places of all tasks are
-merged, and a place that is set again moves on to the twice-seen filter.  A
-hash met twice is in it for certain.
+sends the filter places of its hashes, ``PIECE`` hashes at a time, once per
+place and marked if the piece has the hash twice; per filter chunk the places
+of all pieces are merged, and a place that is set again moves on to the
+twice-seen filter.  A hash met twice is in it for certain.
 
 ``bitmap`` makes a filter of a fixed number of bits from a column of
 hashes.  Its size is a parameter, whatever the number of hashes, so it may
@@ -46,6 +46,7 @@ def contains(words: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 CHUNK_LOG2 = 16
+PIECE = 1 << 20         # hashes that a task holds at once (or one array of them)
 PLACES = "chunk int, once binary, twice binary"
 
 
@@ -57,9 +58,22 @@ def places(h: np.ndarray, bits_log2: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def places_of_task(hashes, bits_log2: int):
-    """Rows ``PLACES`` of a task's hash arrays (a hash counts once in an array)."""
-    seen = list(hashes)
-    h, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
+    """Batches ``PLACES`` of a task's hash arrays (a hash counts once in an
+    array), one for each ``PIECE`` hashes: what a task holds does not grow
+    with what it reads."""
+    held, n = [], 0
+    for h in hashes:
+        if held and n + len(h) > PIECE:
+            yield _places_of_piece(held, bits_log2)
+            held, n = [], 0
+        held.append(h)
+        n += len(h)
+    if n:
+        yield _places_of_piece(held, bits_log2)
+
+
+def _places_of_piece(held: list[np.ndarray], bits_log2: int) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(held), return_counts=True)
     once = np.unique(np.concatenate(places(h, bits_log2)))
     twice = np.unique(np.concatenate(places(h[n > 1], bits_log2)))
     inner, shift = np.uint64((1 << CHUNK_LOG2) - 1), np.uint64(CHUNK_LOG2)
@@ -76,7 +90,7 @@ def places_of_task(hashes, bits_log2: int):
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """All tasks' places of a chunk: the twice-seen bits."""
+    """The places of a chunk, of all tasks and pieces: the twice-seen bits."""
     once, twice = np.zeros(1 << CHUNK_LOG2, bool), np.zeros(1 << CHUNK_LOG2, bool)
     for a, b in zip(table["once"], table["twice"]):
         at = np.frombuffer(a.as_py(), np.uint16)
@@ -96,7 +110,7 @@ class TwiceSeen:
         self.words = None
 
     def fill(self, sent: DataFrame) -> "TwiceSeen":
-        """``sent``: rows ``PLACES`` of all tasks."""
+        """``sent``: rows ``PLACES`` of all tasks and pieces."""
         got = sent.groupBy("chunk").applyInArrow(_merge, "chunk int, bits binary").toArrow()
         out = np.zeros((1 << (self.bits - CHUNK_LOG2), (1 << CHUNK_LOG2) // 8), np.uint8)
         for c, b in zip(got["chunk"].to_pylist(), got["bits"].to_pylist()):

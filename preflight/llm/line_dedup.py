@@ -70,7 +70,7 @@ def line_keys(t: Texts, min_chars: int):
 
 def _once_and_twice(bits_log2: int, min_chars: int):
     def run(batches):
-        yield places_of_task((line_keys(t, min_chars)[4] for b in batches for t in text_slices(b)), bits_log2)
+        yield from places_of_task((line_keys(t, min_chars)[4] for b in batches for t in text_slices(b)), bits_log2)
     return run
 
 

@@ -150,7 +150,7 @@ def _elements(shared, bits_log2: int):
             for b in batches:
                 for t in text_slices(_wanted(shared, b)):
                     yield shingle_sets(t)[0]
-        yield places_of_task(sets(), bits_log2)
+        yield from places_of_task(sets(), bits_log2)
     return run
 
 
