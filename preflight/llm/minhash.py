@@ -12,7 +12,8 @@ the next rank.  Every text's permutation is affine in the rank
 
 32 bands of 4 rows: two texts of similarity 0.85 share no band with a
 probability of 5e-11.  Texts of equal sets are one class from the first
-shuffle on.  Of the classes that share a bucket, a twice-seen filter over
+shuffle on.  A bitmap rules out most buckets of one class before they are
+counted.  Of the classes that share a bucket, a twice-seen filter over
 all their shingles tells how many shingles of a class may be in another
 one at all (``c`` of ``n``); a class with 100 c < 85 n has no link.  This is
 exact: it removes copies that were changed too much, and texts that only
@@ -301,6 +302,8 @@ def families(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     counts = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     crowded = spark.sparkContext.broadcast(bitmap(counts.filter("k > 1"), F.col("key"), FILTER_BITS))
     members = materialize(classes.mapInArrow(lean(_in_buckets(crowded)), "key long, fp binary"), "members")
+    often = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    members = materialize(salted_join(members, often, ["key"], F.col("fp")), "members")    # the bitmap fills up
     named = materialize(classes.join(members.select("fp").distinct(), "fp").select("fp", "id", "n"), "wanted")
     some = spark.sparkContext.broadcast(bitmap(
         named.filter("id IS NOT NULL").select("id").mapInArrow(lean(_ids), "h long"), F.col("h"), FILTER_BITS))

@@ -12,7 +12,7 @@ import brute
 from preflight.llm import (decontaminate, language, line_dedup, minhash, neighbours, packing, suffix_dedup,
                            token_count, toxicity, url_filter)
 from preflight.llm.arrow_text import RangeHash, text_slices
-from preflight.session import scratch_files
+from preflight.session import materialize, scratch_files
 
 DOCS = "doc_id long, text string"
 
@@ -182,6 +182,24 @@ def test_near_duplicates(spark, corpus, block, monkeypatch):
     assert rows(minhash.near_duplicates(df)) == ordered(brute.near_duplicates(corpus))
 
 
+def test_only_classes_that_share_a_bucket_are_compared(spark, corpus, monkeypatch):
+    """Also where the bitmap of crowded buckets is full, as on large tables."""
+    rnd = random.Random(12)
+    data = corpus + [(i, words(rnd, 20, 10**9)) for i in range(1000, 1060)]
+    wanted = {}
+
+    def kept(df, label="stage", *a, **k):
+        out = materialize(df, label, *a, **k)
+        if label == "wanted":
+            wanted["ids"] = {r["id"] for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", kept)
+    monkeypatch.setattr(minhash, "FILTER_BITS", 6)
+    assert rows(minhash.near_duplicates(with_others(spark, data))) == ordered(brute.near_duplicates(data))
+    assert {10, 11, 12} <= wanted["ids"] and not wanted["ids"] & set(range(1000, 1060))
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     df = with_others(spark, corpus)
     got = minhash.deduplicated(df, 85)
